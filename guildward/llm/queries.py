@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from guildward.llm import minhash_dedup, quality_model, quality_rules, secrets_scan, url_filter
+from guildward.llm import bpe, minhash_dedup, quality_model, quality_rules, secrets_scan, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op4_bpe": bpe.op4_bpe,
         "op6_near_duplicates": minhash_dedup.op6_near_duplicates,
         "op7_quality_classifier": quality_model.op7_quality_classifier,
         "op8_secret_scans": secrets_scan.op8_secret_scans,
