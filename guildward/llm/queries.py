@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guildward.llm import bpe, minhash_dedup, quality_model, quality_rules, secrets_scan, url_filter
+from guildward.llm import bpe, minhash_dedup, quality_model, quality_rules, secrets_scan, token_files, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_near_duplicates": minhash_dedup.op6_near_duplicates,
         "op7_quality_classifier": quality_model.op7_quality_classifier,
         "op8_secret_scans": secrets_scan.op8_secret_scans,
+        "op9_token_files": token_files.op9_token_files,
     }
 
 
