@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guildward.llm import bpe, minhash_dedup, quality_model, quality_rules, secrets_scan, token_files, url_filter
+from guildward.llm import bpe, html_extract, minhash_dedup, quality_model, quality_rules, secrets_scan, token_files, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_quality_classifier": quality_model.op7_quality_classifier,
         "op8_secret_scans": secrets_scan.op8_secret_scans,
         "op9_token_files": token_files.op9_token_files,
+        "op10_html_extraction": html_extract.op10_html_extraction,
     }
 
 
