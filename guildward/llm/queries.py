@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from guildward.llm import bpe, html_extract, minhash_dedup, quality_model, quality_rules, secrets_scan, token_files, url_filter
+from guildward.llm import bpe, embedding_dedup, html_extract, minhash_dedup, quality_model, quality_rules, secrets_scan, token_files, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_bpe": bpe.op4_bpe,
         "op6_near_duplicates": minhash_dedup.op6_near_duplicates,
         "op7_quality_classifier": quality_model.op7_quality_classifier,
