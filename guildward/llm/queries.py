@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guildward.llm import bpe, embedding_dedup, html_extract, minhash_dedup, quality_model, quality_rules, secrets_scan, token_files, url_filter
+from guildward.llm import bpe, embedding_dedup, html_extract, minhash_dedup, packing, quality_model, quality_rules, secrets_scan, token_files, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_bpe": bpe.op4_bpe,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_near_duplicates": minhash_dedup.op6_near_duplicates,
         "op7_quality_classifier": quality_model.op7_quality_classifier,
         "op8_secret_scans": secrets_scan.op8_secret_scans,
