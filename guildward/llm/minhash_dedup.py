@@ -7,14 +7,15 @@ each register is equal in two sets with about their Jaccard similarity. Bands of
 registers are hashed to bucket keys; documents that share a key may be near.
 
 Copies: documents with one and the same set are represented by the smallest id,
-so groups of copies cost one sketch row. Buckets are never expanded into all
-pairs. Members of a bucket are first compared with its smallest id, then, where
-that leaves them unconnected, with other pivots for as long as this finds links,
-and only members of still different components are then paired, once for each
-pair, by an equi-join. Every pair goes through two tests: the sizes and registers
+so groups of copies cost one sketch row. Buckets are never expanded into rows of
+pairs. Members of a bucket are first compared with its smallest id. Where that
+leaves a bucket in several components, its members go, once each, to the group
+of all that such buckets connect, and are compared there in blocks of bounded
+size, passing over pairs that are connected already; a block yields links that
+span what hangs together. Every pair goes through two tests: sizes and registers
 must not rule the similarity out (likelihood ratio), and the full sets must meet
-it exactly. A pair at the limit shares no band with probability (1 - 0.8^4)^32,
-about 5e-8.
+it exactly. A pair at the limit shares no band with probability (1 - 0.8^8)^64,
+about 8e-6, a closer pair less often. For much larger corpora raise ROWS.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a row
 without doc_id links with nothing and is kept; rows that repeat a doc_id are one
@@ -33,11 +34,13 @@ from pyspark.sql import types as T
 from guildward.llm import arrow
 from guildward.llm.common import Work, WordHash, components, sized, texts
 
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS = 512, 8
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.09, 20.0, 255
 #: Pairs are given up unseen if the registers make the least similarity less likely than the best one by this factor (log).
 GIVE_UP = 18.0
+#: Documents that a block of a group holds; two blocks at a time are compared.
+BLOCK = 512
 
 
 def _streams() -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +73,10 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     """The SetSketch registers (bytes) of a set that isn't empty."""
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     z = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    for at in range(0, len(z), 512):
-        y = z[at : at + 512, None] * FACTORS + OFFSETS
+    for at in range(0, len(z), 128):
+        y = z[at : at + 128, None] * FACTORS + OFFSETS
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
-        y ^= y >> np.uint32(12)
         least = np.minimum(least, y.min(0))
     exponential = -np.log1p(-(least + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP).astype(np.uint8)
@@ -100,7 +102,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, lea
     u, v = na / (na + nb), nb / (na + nb)
     more, less = (ra > rb).sum(1), (ra < rb).sum(1)
     top = np.minimum(u / v, v / u)
-    grid = np.linspace(0, 1, 101)[:, None] * top
+    grid = np.linspace(0, 1, 41)[:, None] * top
     values = _likelihood(grid, u, v, more, less)
     best = values.argmax(0)
     each = np.arange(len(u))
@@ -134,8 +136,9 @@ def bands(sets: DataFrame) -> DataFrame:
             if not len(ids):
                 continue
             r = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(ids), BANDS, ROWS)
-            x = np.ascontiguousarray(r).view(np.uint32)[:, :, 0].astype(np.uint64)
-            x = (x | np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+            x = np.ascontiguousarray(r).view(np.uint64)[:, :, 0]
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+            x = (x ^ (x >> np.uint64(29))) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             x ^= x >> np.uint64(31)
             x *= np.uint64(0xBF58476D1CE4E5B9)
             yield pa.RecordBatch.from_arrays([pa.array(x.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["key", "doc_id"])
@@ -182,24 +185,93 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for b in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
                 keep = []
                 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                    keep.append(_close(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """members (key, doc_id, ...) with column label, and of them only the buckets that hold several labels."""
-    if labels is None:
-        return members.withColumn("label", F.col("doc_id"))
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _close(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = _common(x, y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _compare(batches, percent: int):
+    """Rows (grp, lo, hi, block, doc_id, label, registers, set) in the order of (grp, lo, hi); yields links that span what is close."""
+    found: set[tuple[int, int]] = set()
+
+    def compare(rows: list[tuple]) -> None:
+        lo, hi = rows[0][1:3]
+        registers = np.frombuffer(b"".join([r[6] for r in rows]), np.uint8).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets])
+        block = np.array([r[3] for r in rows])
+        root = list(range(len(rows)))
+
+        def top(i):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        first: dict[int, int] = {}
+        for i, r in enumerate(rows):
+            root[i] = first.setdefault(r[5], i)
+        label = np.array([r[5] for r in rows])
+        floor = REGISTERS * percent / 100 - 6 * (REGISTERS * 0.25) ** 0.5  # far below what the likelihood could let pass
+        for i in np.flatnonzero(block == lo).tolist():
+            others = np.flatnonzero((block == hi) & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
+            others = others[others > i] if lo == hi else others
+            if not len(others):
+                continue
+            same = (registers[others] == registers[i]).sum(1)
+            others = others[same >= floor]
+            if not len(others):
+                continue
+            _, may = estimate(np.broadcast_to(registers[i], (len(others), REGISTERS)), registers[others], np.full(len(others), size[i]), size[others], percent / 100)
+            for j in others[may].tolist():
+                a, b = top(i), top(j)
+                if a != b and _close(sets[i], sets[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    found.add((rows[i][4], rows[j][4]))
+
+    group: list[tuple] = []
+    for b in batches:
+        for r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            if group and group[0][:3] != r[:3]:
+                compare(group)
+                group = []
+            group.append(r)
+    if group:
+        compare(group)
+    links = sorted(found)
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _rest(work: Work, members: DataFrame, sets: DataFrame, full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that lie in different components."""
     named = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = named.withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return named.join(several, "key")
+    several = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("doc_id").alias("pivot")).where("_lo < _hi")
+    open_ = work.table(named.join(several.select("key", "pivot"), "key").select("doc_id", "label", "pivot").distinct(), "open")
+    groups = components(work, open_.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+    docs = open_.select("doc_id", "label").distinct().join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
+    docs = work.table(docs, "grouped")
+    blocks = docs.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = docs.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "label")
+    rows = dealt.join(sets.select("doc_id", "registers"), "doc_id").join(full, "doc_id")
+    rows = rows.select("grp", "lo", "hi", "block", "doc_id", "label", "registers", "set")
+    n = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    return rows.mapInArrow(lambda b: _compare(b, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -210,38 +282,17 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, text: st
     groups = all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
     sets = groups.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     sets = work.table(sets, "sets")
-    banded = bands(sets)
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    banded = bands(sets).repartition("key")
+    shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.min("doc_id").alias("pivot")).where("_n > 1").drop("_n")
     members = work.table(banded.join(shared, "key"), "members")
     ids = members.select("doc_id").distinct()
     full = full_sets(docs, ids, width, text, doc_id).join(sets.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
     full = work.table(full.dropDuplicates(["doc_id", "digest"]).select("doc_id", "set"), "full")
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return work.table(confirmed(likely(pairs, sets, percent), full, percent), name)
-
-    pivot = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
-    found = links(members.join(pivot, "key").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "links")
-    for turn in range(1, 4):
-        labels = work.table(components(work, found), "labels")
-        open_ = work.table(_labelled(members, labels), "open")
-        chance = F.xxhash64("doc_id", "key", F.lit(turn))
-        pivot = open_.groupBy("key").agg(F.min_by(F.struct("doc_id", "label"), chance).alias("p"))
-        tries = open_.join(pivot, "key").where("label <> p.label").select(F.col("doc_id").alias("a"), F.col("p.doc_id").alias("b"))
-        new = links(tries, "links")
-        n = new.count()
-        found = found.unionByName(new)
-        if not n:
-            break
+    pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    found = work.table(confirmed(likely(pairs, sets, percent), full, percent), "links")
     labels = work.table(components(work, found), "labels")
-    open_ = work.table(_labelled(members.join(sets, "doc_id"), labels), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    fits = F.expr(
-        f"x.key = y.key and x.label < y.label and 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)"
-    )
-    rest = x.join(y, fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    found = found.unionByName(links(rest, "links"))
+    rest = work.table(_rest(work, members.select("key", "doc_id"), sets, full, labels, percent), "rest")
+    found = found.unionByName(rest)
     nodes = components(work, found)
     reps = sets.select("digest", F.col("doc_id").alias("node")).join(nodes, "node", "left").select("digest", F.coalesce("component", "node").alias("rep"))
     reps = work.table(reps, "reps")
