@@ -12,7 +12,7 @@ STAGES = {"behavior": "behavior", "access": "access"}
 
 
 def trace(df: DataFrame) -> DataFrame:
-    return df.withColumn("trace_id", text.trace_id(F.col("guild_id"), F.col("message_id")))
+    return df.withColumn("trace_id", text.trace_id(F.col("guild_id"), F.col("message_id").cast("string")))
 
 
 def hit_events(signals: DataFrame) -> DataFrame:
@@ -48,8 +48,9 @@ def audits(decisions: DataFrame, status: Column) -> DataFrame:
 
 def review_key() -> Column:
     """Messages without an id are told apart by user and time."""
-    has_id = F.coalesce("message_id", F.lit("")) != ""
-    return F.when(has_id, F.concat_ws(":", "guild_id", "message_id")).otherwise(F.concat_ws(":", "guild_id", "user_id", F.col("t_ms").cast("string")))
+    message = F.col("message_id").cast("string")
+    has_id = F.coalesce(message, F.lit("")) != ""
+    return F.when(has_id, F.concat_ws(":", "guild_id", message)).otherwise(F.concat_ws(":", "guild_id", "user_id", F.col("t_ms").cast("string")))
 
 
 def review_requests(candidates: DataFrame, enabled: bool, model: str = "", prompt: str = review_json.PROMPT) -> DataFrame:
