@@ -2,9 +2,9 @@
 
 Each of REPEATS codes turns a vector by random signs and a Hadamard transform,
 cuts it in two blocks and has CODES random directions for each; a filter is a
-pair of them, its cap the vectors whose two block products add up to LIMIT
-standard deviations. A vector is decoded to the list of all filters whose cap
-holds it. Vectors of a label that share a filter are compared by exact cosines
+pair of them, its cap the vectors whose two block products add up to a limit,
+the same for all, such that a random vector lies in LISTED caps on average (in
+more where a sample shows that pairs would be missed). A vector is decoded to the list of all filters whose cap holds it. Vectors of a label that share a filter are compared by exact cosines
 in double precision.
 
 Equal vectors of a label are compared once, with their number as weight. A
@@ -33,7 +33,7 @@ from guildward.llm import arrow
 from guildward.llm.common import Work, components
 
 LEAST = 0.93
-REPEATS, CODES, LIMIT = 64, 40, 3.2
+REPEATS, CODES, LISTED, SHARED = 64, 40, 50, 3
 #: Vectors of a filter that one block holds; two blocks at a time are compared.
 BLOCK = 1024
 #: Groups up to this size are compared together, by size.
@@ -49,7 +49,35 @@ class Code:
         self.signs = rng.choice(np.array([-1.0, 1.0]), (REPEATS, self.padded))
         codes = rng.standard_normal((REPEATS, 2, CODES, self.padded // 2))
         self.codes = codes / (np.linalg.norm(codes, axis=3, keepdims=True) * np.sqrt(2))
-        self.limit = LIMIT / np.sqrt(self.padded)
+        self._settle(rng)
+
+    def _settle(self, rng) -> None:
+        """Sets the limit that leaves LISTED filters to a random vector, or twice as many and so on, until all of
+        a sample of pairs at the least cosine share SHARED filters: in few dimensions lists vary more. Where
+        no limit does (below about five dimensions) all vectors share one filter, so all are compared."""
+        x, z = rng.standard_normal((2, 512, self.dim)) if self.dim > 1 else np.ones((2, 512, 1))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        y = LEAST * x + (1 - LEAST**2) ** 0.5 * z
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        full = np.zeros((256, self.padded))
+        full[:, : self.dim] = x[:256]
+        sums = []
+        for k in range(0, REPEATS, 8):
+            w = self._turned(full * self.signs[k]).reshape(len(full), 2, -1)
+            first, second = w[:, 0] @ self.codes[k, 0].T, w[:, 1] @ self.codes[k, 1].T
+            sums.append((first[:, :, None] + second[:, None]).ravel())
+        sums, listed = np.sort(np.concatenate(sums)), LISTED
+        while True:
+            self.limit = float(sums[-max(1, int(len(sums) * listed / (REPEATS * CODES * CODES)))])
+            pairs = zip(self.decode(x), self.decode(y), strict=True)
+            if all(len(np.intersect1d(a, b, assume_unique=True)) >= SHARED for a, b in pairs):
+                return
+            listed *= 2
+            if listed > REPEATS * CODES:
+                self.limit = None
+                return
 
     def _turned(self, x: np.ndarray) -> np.ndarray:
         n, size, step = len(x), self.padded, 1
@@ -61,6 +89,8 @@ class Code:
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each row of unit vectors the sorted numbers of all filters whose cap holds it."""
+        if self.limit is None:
+            return [np.zeros(1, "<i4") for _ in unit]
         x = np.zeros((len(unit), self.padded))
         x[:, : self.dim] = unit
         rows, filters = [], []
