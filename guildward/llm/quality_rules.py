@@ -26,7 +26,8 @@ from guildward.llm import arrow
 from guildward.llm.common import WordHash, sized, texts
 
 BUCKETS = 1 << 15
-SMOOTHING = 1.0
+#: Pseudo-counts of a bucket in the raw text; the trusted text gets its share of them, so that what neither has seen is neutral.
+SMOOTHING = 8.0
 #: Least mean log ratio (nats per n-gram) of a document that is kept.
 THRESHOLD = -0.25
 MIN_WORDS = 20
@@ -75,8 +76,8 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["trusted"]
     if not good.any():
         return np.zeros(BUCKETS)
-    share = lambda c: (c + SMOOTHING) / (c.sum() + SMOOTHING * BUCKETS)
-    return np.log(share(good)) - np.log(share(raw))
+    share = lambda c, more: np.log((c + more) / (c.sum() + more * BUCKETS))
+    return share(good, SMOOTHING * good.sum() / raw.sum()) - share(raw, SMOOTHING)
 
 
 def base_counts(text: bytes | None, hashes: np.ndarray) -> tuple[int, int, int, int]:
