@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 
@@ -44,6 +45,22 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Up to U+024F texts are in NFC and lower-case letter by letter, to letters up to U+02AF, but for U+0130, U+023A and U+023E.
+_BEYOND_LATIN = re.compile("[^\\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
+_LETTER, _NUMERAL = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_SPLIT = re.compile(f"[{_LETTER}]+|[{_NUMERAL}]|'(?:[stmd]|re|ve|ll)|[^{_LETTER}{_NUMERAL}\\t-\\r \x85\xa0]+").findall
+
+
+def latin_parts(text: bytes) -> list[str] | None:
+    """The parts that a Latin text without special strings is split in, lower-cased; of other texts None."""
+    if b"<|" in text:
+        return None
+    string = text.decode("utf-8", "replace")
+    if not string.isascii() and _BEYOND_LATIN.search(string):
+        return None
+    return _LATIN_SPLIT(string.lower())
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 letters themselves, the rest from U+0100 on in order."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -75,7 +92,7 @@ class _Bounded(dict):
 class Encoder:
     """Ids and decoded text of words and texts under one vocabulary file."""
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 250_000):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         vocab, model = data["model"]["vocab"], data["model"]
@@ -93,8 +110,8 @@ class Encoder:
         self.split = regex.compile(split)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.path, self.library = path, None
-        self.parts = _Bounded(self._part, cached // 4)
-        self.words = _Bounded(self._word, cached)
+        self.parts = _Bounded(self._part, cached)
+        self.words = _Bounded(self._word, cached // 4)
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one word, given as bytes: the rank array."""
@@ -139,22 +156,22 @@ class Encoder:
                     heapq.heappush(heap, (q, a))
         return [x for x in ids if x >= 0]
 
-    def _part(self, part: bytes) -> tuple[bytes, bytes]:
-        ids = self.merge(part)
+    def _part(self, part: str) -> tuple[bytes, bytes]:
+        ids = self.merge(part.encode())
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
 
-    def _split(self, text: str) -> list[bytes]:
+    def _split(self, text: str) -> list[str]:
         """The parts of a piece of text that are merged each by itself."""
         if text.isascii():
             text = text.lower()
-            return [text.encode()] if text.isalpha() else [p.encode() for p in self.split.findall(text)]
+            return [text] if text.isalpha() else self.split.findall(text)
         if any(unicodedata.category(c) == "Cn" for c in text):
             return self._split_newer(text)
         text = unicodedata.normalize("NFC", text)
         # letter by letter: a final sigma is like any other
-        return [p.encode() for p in self.split.findall("".join(c.lower() for c in text))]
+        return self.split.findall("".join(c.lower() for c in text))
 
-    def _split_newer(self, text: str) -> list[bytes]:
+    def _split_newer(self, text: str) -> list[str]:
         """The same of a text with code points newer than Python's tables, by the library's tables."""
         if self.library is None:
             from tokenizers import Tokenizer
@@ -162,7 +179,7 @@ class Encoder:
             self.library = Tokenizer.from_file(self.path)
             self.bytes_of = {c: b for b, c in enumerate(_byte_letters())}
         parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(map(self.bytes_of.__getitem__, p)) for p, _ in parts]
+        return [bytes(map(self.bytes_of.__getitem__, p)).decode() for p, _ in parts]
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
         """Ids as little-endian 32-bit integers, and the decoded tokens, of what stands between ASCII white space."""
@@ -174,17 +191,22 @@ class Encoder:
                 got += [self.parts[p] for p in self._split(piece)]
         return got[0] if len(got) == 1 else (b"".join([i for i, _ in got]), b" ".join([d for _, d in got]))
 
+    def _encoded(self, text: bytes) -> list[tuple[bytes, bytes]]:
+        parts = latin_parts(text)
+        if parts is None:
+            words = self.words
+            return [words[w] for w in text.split()]
+        return list(map(self.parts.__getitem__, parts))
+
     def encode(self, text: bytes | None) -> bytes:
         """All ids of a text as little-endian 32-bit integers."""
-        words = self.words
-        return b"".join([words[w][0] for w in text.split()]) if text else b""
+        return b"".join([i for i, _ in self._encoded(text)]) if text else b""
 
     def encode_decode(self, text: bytes | None) -> tuple[bytes, bytes]:
         """The ids, and the text that they decode to."""
         if not text:
             return b"", b""
-        words = self.words
-        got = [words[w] for w in text.split()]
+        got = self._encoded(text)
         return b"".join([i for i, _ in got]), b" ".join([d for i, d in got if i])
 
     def decode(self, ids) -> str:
