@@ -15,6 +15,8 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>"
 #: Texts of about so many bytes are handled at a time, whatever the batch that Arrow brings.
 CHUNK_BYTES = 8 << 20
+#: Rows that ``append_columns`` hands on at a time, so that results and copies stay small beside the batch.
+SLICE_ROWS = 1024
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, keep: list[str] | None = None) -> DataFrame:
@@ -32,8 +34,9 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, k
 
         def watched():
             for b in batches:
-                seen.append(b)
-                yield b
+                for at in range(0, b.num_rows, SLICE_ROWS):
+                    seen.append(b.slice(at, SLICE_ROWS))
+                    yield seen[-1]
 
         for values in make(watched()):
             b = seen.pop()

@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guildward.llm import arrow
-from guildward.llm.bpe import _Bounded, vocabulary_path
+from guildward.llm.bpe import _Bounded, _byte_letters, latin_parts, vocabulary_path
 from guildward.llm.common import Work, sized, texts
 
 END_ID = 2
 #: Documents that a range of doc_ids holds about, and bytes of ids after which a file is closed.
-RANGE_DOCS = 8192
-FILE_BYTES = 24 << 20
+RANGE_DOCS = 2048
+#: Ranges at most; in larger corpora a range holds more documents and is cut into more files.
+MAX_RANGES = 8192
+FILE_BYTES = 8 << 20
 SEEK_MAGIC = 0x8F92EAB1
 SKIPPABLE = 0x184D2A5E
 #: Index: part, number in the part, bytes of an id, documents.
@@ -46,11 +48,13 @@ NO_ID = -(1 << 63)
 
 
 class Library:
-    """Ids by the tokenizers library, word by word with a cache: no token spans ASCII white space."""
+    """Ids by the tokenizers library, part by part with a cache.
 
-    PUNCTUATION = b".,;:!?*$%&#|)(\"-+/="
+    Latin texts are split as the library splits them; of others a word is the
+    unit, as no token spans ASCII white space.
+    """
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,27 +63,29 @@ class Library:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = f"<u{self.width}"
-        self.words = _Bounded(self._word, cached)
-        self.pieces = _Bounded(self._piece, cached)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.parts = _Bounded(self._part, cached)
+        self.words = _Bounded(self._word, cached // 4)
 
-    def _piece(self, piece: bytes) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([piece.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+    def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a part that is normalised and not split any more, by the library's model."""
+        text = part if part.isascii() and part.isalpha() else "".join([self.letters[b] for b in part.encode()])
+        return self._packed([t.id for t in self.model.tokenize(text)])
+
     def _word(self, word: bytes) -> bytes:
-        """Ids of a word; one that ends in a letter or numeral and punctuation is parted there, as the library does."""
-        core = word.rstrip(self.PUNCTUATION)
-        if core and b"'" not in word and b"<" not in word:
-            if core.isascii():
-                if core[-1:].isalnum():
-                    return self.pieces[core.lower()] + self.pieces[word[len(core) :]] if len(core) < len(word) else self.pieces[core.lower()]
-            elif len(core) < len(word) and core.decode("utf-8", "replace")[-1].lower()[-1].isalnum():
-                return self.pieces[core] + self.pieces[word[len(core) :]]
-        return self.pieces[word]
+        return self._packed(self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids)
 
     def encode(self, text: bytes | None) -> bytes:
-        words = self.words
-        return b"".join([words[w] for w in text.split()]) if text else b""
+        if not text:
+            return b""
+        parts = latin_parts(text)
+        if parts is None:
+            words = self.words
+            return b"".join([words[w] for w in text.split()])
+        return b"".join(map(self.parts.__getitem__, parts))
 
 
 _LIBRARIES: dict[str, Library] = {}
@@ -97,7 +103,7 @@ def file_bytes(part: int, number: int, width: int, ids: list[int], payloads: lis
     import zstandard
 
     index = _HEAD.pack(part, number, width, len(ids)) + np.array(ids, "<i8").tobytes() + np.array([len(p) // width for p in payloads], "<i8").tobytes()
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=1).compress
     frames, table = [], []
     for data in (index, *payloads):
         frames.append(pack(data))
@@ -151,7 +157,7 @@ def _encoded(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
 def write(docs: DataFrame, path: str, folder: str, text: str = "text", doc_id: str = "doc_id") -> None:
     """Writes the token files of docs into folder, ranges of doc_id by range."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranges = max(1, round(docs.count() / RANGE_DOCS))
+    ranges = min(MAX_RANGES, max(1, round(docs.count() / RANGE_DOCS)))
     bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
     width = library(path).width
     dealt = _encoded(docs, path, bounds).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
