@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,6 +30,16 @@ class Work:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, work_folder(spark), 0
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Deletes the folder, at the driver's end at the latest: results are lazy and may read it till then."""
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -44,9 +55,7 @@ class Work:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._written_at)
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
