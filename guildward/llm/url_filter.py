@@ -91,7 +91,10 @@ def on_list(urls: DataFrame, listed: DataFrame, url: str = "canonical") -> DataF
         passed = passed & (F.col(f"lane{k}").bitwiseAND(_bit(F.col(url), k)) != 0)
     probe = probe.withColumn("_maybe", F.coalesce(passed, F.lit(False))).drop("_block", *[f"lane{k}" for k in range(LANES)])
     exact = listed.select(F.col("canonical").alias("_listed"))
-    exact = F.broadcast(exact) if n <= BROADCAST_BLOCKS else exact
+    if n <= BROADCAST_BLOCKS:
+        key = F.when(F.col("_maybe"), F.col(url))
+        return probe.join(F.broadcast(exact), key == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed", "_maybe")
+    # a list too large to ship: only the possible hits are shuffled
     hits = probe.where("_maybe").join(exact, F.col(url) == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull())
     misses = probe.where("not _maybe").withColumn("listed", F.lit(False))
     return hits.drop("_listed", "_maybe").unionByName(misses.drop("_maybe"))
