@@ -37,6 +37,7 @@ def normalize(x: Column, word_joiner: bool = True) -> Column:
     """
     x = F.translate(nfkc(x), _ZERO_WIDTH + (_JOINER if word_joiner else ""), "")
     x = F.lower(x)
+    # fixed values: the aliases of two messengers
     x = F.regexp_replace(x, rf"薇信|微{SPACE}*信|v{SPACE}*x|v{SPACE}*信", "微信")
     x = F.regexp_replace(x, "扣扣|企鹅号", "qq")
     x = F.regexp_replace(x, SPACE, "")

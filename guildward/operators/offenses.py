@@ -14,15 +14,19 @@ def category(source: Column) -> Column:
     return text.mapped(source, schemas.CATEGORY, schemas.MANUAL_CATEGORY)
 
 
-def count(events: DataFrame, window_ms: int, clears: DataFrame | None = None, order: str = "message_id") -> DataFrame:
+def count(events: DataFrame, window_ms: int, clears: DataFrame | None = None, order: str = "message_id", only: str | None = None) -> DataFrame:
     """events (guild_id, user_id, category, t_ms, ...) with offense_count and first_ms.
 
+    only: a boolean column; rows where it is false neither count nor are counted (0).
+
     The count starts anew when more than window_ms have gone by since the user's
     last offense of the category, or at a clear marker (guild_id, user_id, t_ms),
     which holds for all categories.
     """
     keys = ["guild_id", "user_id", "category"]
     df = events.withColumn("_clear", F.lit(False))
+    if only:
+        keys.append(only)
     if clears is not None:
         kinds = events.select(*keys).distinct()
         marks = clears.select("guild_id", "user_id", "t_ms").join(kinds, ["guild_id", "user_id"])
@@ -33,6 +37,8 @@ def count(events: DataFrame, window_ms: int, clears: DataFrame | None = None, or
     df = df.withColumn("_starts", starts.cast("int")).withColumn("_island", F.sum("_starts").over(w))
     island = Window.partitionBy(*keys, "_island").orderBy("t_ms", F.col("_clear").cast("int"), order)
     df = df.withColumn("offense_count", F.row_number().over(island)).where("not _clear")
+    if only:
+        df = df.withColumn("offense_count", F.when(F.col(only), F.col("offense_count")).otherwise(0))
     first = F.min("t_ms").over(Window.partitionBy(*keys))
     return df.withColumn("first_ms", first).drop("_clear", "_starts", "_island")
 

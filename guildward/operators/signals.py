@@ -1,7 +1,8 @@
 """Signals in long form, one row each, and the one that decides a message.
 
 seq keeps the order in which a message's signals arise: 0 access list, 1 flood,
-2 and on keywords in match order, 99 classifier.
+2 and on keywords in match order, 99 classifier. The reasons and evidence texts
+are fixed values.
 """
 
 from __future__ import annotations

@@ -25,11 +25,15 @@ class Outcome:
 
 
 def keyword_hits(messages: DataFrame, rules: DataFrame, contents: DataFrame | None) -> DataFrame:
-    """Hits of messages. With contents (content_id, content) each distinct text is normalized once per guild that posts it."""
+    """Hits of messages. With contents (content_id, content) each text is normalized once, wherever it is posted.
+
+    Texts are dealt by content_id before that costly step, which the join with
+    the messages then needs no second time.
+    """
     if contents is None:
         return keywords.match(text.message_views(messages), rules, sig.KEY)
     posted = messages.select("content_id", "guild_id").distinct()
-    views = text.message_views(contents).select("content_id", "keyword_text")
+    views = text.message_views(contents.repartition("content_id")).select("content_id", "keyword_text")
     hits = keywords.match(posted.join(views, "content_id"), rules, ["content_id", "guild_id"])
     return messages.select(*sig.KEY, "content_id").join(hits, ["content_id", "guild_id"])
 
@@ -82,14 +86,12 @@ def decide(
     enabled = config.ai_review_enabled and bool(config.api_key)
     requests = audit.review_requests(candidates, enabled, config.model)
     selected = sig.top(deterministic)
-    counting = selected.where("counts_as_offense")
     if answers is not None:
         requests = requests.where("status <> 'pending'").unionByName(audit.reviewed(requests, answers), allowMissingColumns=True)
-        counting = counting.unionByName(audit.confirmed_signals(requests))
-    counted = offenses.count(counting.withColumn("category", offenses.category(F.col("source"))), policy.window_ms, clears)
-    counted = counted.drop("category", "first_ms")
-    others = selected.where("not counts_as_offense").withColumn("offense_count", F.lit(0))
-    decisions = offenses.decide(counted.unionByName(others), policy).join(with_text, "message_id", "left")
+        selected = selected.unionByName(audit.confirmed_signals(requests))
+    selected = selected.withColumn("category", offenses.category(F.col("source")))
+    counted = offenses.count(selected, policy.window_ms, clears, only="counts_as_offense").drop("category", "first_ms")
+    decisions = offenses.decide(counted, policy).join(with_text, "message_id", "left")
     audits = audit.audits(decisions, F.lit("confirmed"))
     if passed is not None:
         silent = passed.withColumn("final_action", F.lit("silent")).withColumn("offense_count", F.lit(0)).join(with_text, "message_id", "left")

@@ -203,17 +203,21 @@ def query(sql: str | None):
 # ---- keywords and text ---------------------------------------------------------------------------------------------
 
 
+def _posted(spark, d) -> DataFrame:
+    """Every document in every guild, normalized once."""
+    views = text.message_views(contents(spark, d).repartition("content_id")).select("content_id", "keyword_text")
+    return views.withColumn("guild_id", F.explode(F.array(*map(F.lit, GUILDS))))
+
+
 @query(f"WITH {RULES_CTE}, {HITS} SELECT id AS rule_id, guild_id, scope, count(*) AS n_documents FROM hits GROUP BY ALL")
 def keyword_hits(spark, d):
-    posted = contents(spark, d).withColumn("guild_id", F.explode(F.array(*map(F.lit, GUILDS))))
-    hits = keywords.match(text.message_views(posted), rules_table(spark), ["content_id", "guild_id"])
+    hits = keywords.match(_posted(spark, d), rules_table(spark), ["content_id", "guild_id"])
     return hits.groupBy(F.col("id").alias("rule_id"), "guild_id", "scope").agg(F.count("*").alias("n_documents"))
 
 
 @query(f"WITH {RULES_CTE}, {HITS} SELECT doc_id, guild_id, id AS rule_id, match_seq FROM hits")
 def keyword_top20(spark, d):
-    posted = contents(spark, d).withColumn("guild_id", F.explode(F.array(*map(F.lit, GUILDS))))
-    hits = keywords.match(text.message_views(posted), rules_table(spark), ["content_id", "guild_id"], method="automaton")
+    hits = keywords.match(_posted(spark, d), rules_table(spark), ["content_id", "guild_id"], method="automaton")
     return hits.select(F.col("content_id").alias("doc_id"), "guild_id", F.col("id").alias("rule_id"), "match_seq")
 
 

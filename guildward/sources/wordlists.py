@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guildward import config
 from guildward.functions import text
 
+#: The folder's excluded file, and what a line with an address looks like.
 EXCLUDED_FILES = ("非法网址.txt",)
 URL = r"(?i)(?:https?://|www\.)|(?:[a-z0-9-]+\.)+(?:com|cn|net|org|cc|top|xyz|vip|club|site|info|me|io|tk)(?:[/:?#]|$)"
 

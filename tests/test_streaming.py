@@ -59,3 +59,16 @@ def test_reviewer_retries(spark):
         return "answer"
 
     assert {r.review_key: r.raw for r in stateful.review(df, reviewer).collect()} == {"k1": "answer", "k2": None}
+
+
+def test_policy_change_resets_state(spark, tmp_path):
+    def run(message_id, policy):
+        spark.createDataFrame([(f"{message_id}{k}", "g", "u", 1000) for k in range(2)], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stateful.limit(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), policy)
+        sink = stateful.each_batch(lambda b: b, str(tmp_path / "out"))
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+
+    for name, policy in (("a", Policy(burst=2)), ("b", Policy(burst=2)), ("c", Policy(burst=3))):
+        run(name, policy)
+    got = {r.message_id: r.exceeded for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a0": False, "a1": False, "b0": True, "b1": True, "c0": False, "c1": False}
