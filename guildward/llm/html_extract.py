@@ -6,9 +6,9 @@ notices, adverts, forms, scripts, styles, reader comments) are cut out first.
 Then every node gets a density: characters per tag, adjusted for the share of
 characters and tags in links. Its density sum is that of its children. The node
 with the greatest sum is the core; the least density on its path to the body is
-the threshold, and the core grows to an ancestor while what that adds is at
-least as dense or no list of links; an enclosing article or main element is
-taken whole.
+the threshold: the core grows to an ancestor while what that adds is as dense or
+no list of links, and what stands beside its path and has half its characters
+per tag joins it; an enclosing article or main element is taken whole instead.
 
 Text: character references are decoded, white space in a block becomes one
 space, blocks follow each other by line feeds; line breaks are white space.
@@ -59,6 +59,12 @@ CUT_WORDS = frozenset(
     "disqus replies reply discussion share sharing social related recommended recommendations toolbar widget widgets login "
     "search pagination pager copyright legal disclaimer".split()
 )
+#: The same as parts of one word.
+CUT_STEMS = re.compile(
+    r"(?:user|reader)?comments?(?:list|box|area|form|section|thread|item|author|body|text|s)?|(?:left|right|side)(?:bar|col|column|rail|nav)"
+    r"|(?:main|top|site|page|foot|sub|bottom)(?:nav|menu|header|footer)|ad(?:box|slot|banner|unit|container|wrapper|block|space|vert\w*)"
+    r"|(?:cookie|newsletter|footer|sidebar|breadcrumb|sponsor)\w*"
+)
 #: Elements that hold an article; only a whole class name cuts these.
 HOLDERS = frozenset(("html", "body", "article", "main"))
 HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
@@ -148,7 +154,7 @@ class Page:
                     continue
                 for one in names:
                     words = _NAME.split(one)
-                    if words[0] not in ("has", "no", "with") and not CUT_WORDS.isdisjoint(words):
+                    if words[0] not in ("has", "no", "with") and (not CUT_WORDS.isdisjoint(words) or any(map(CUT_STEMS.fullmatch, words))):
                         return True
         return False
 
@@ -220,15 +226,18 @@ def main_text(source: bytes | str | None) -> str:
             if added < threshold and more_links > 0.3 * more:
                 break
             core = i
+    chosen = {core}
+    if holder is None and core != body:
+        # what stands beside the core's path and is about as dense belongs to it, and so do headings before it
+        above = {parent[i] for i in path[path.index(core) : -1]}
+        for i in range(body + 1, n):
+            if ok[i] and tag[i] is not None and tag[i] not in INLINE and parent[i] in above and i not in path:
+                dense = 2 * chars[i] / max(tags[i], 1) >= chars[core] / max(tags[core], 1) and link_chars[i] <= 0.3 * chars[i]
+                if dense or (tag[i] in HEADINGS and i < core and parent[i] == parent[core]):
+                    chosen.add(i)
     keep = [False] * n
-    keep[core] = True
-    for i in range(core + 1, n):
-        keep[i] = keep[parent[i]] and not cut[i]
-    if core != body and holder is None:  # headings right before the core
-        for i in range(body + 1, core):
-            if tag[i] in HEADINGS and parent[i] == parent[core] and ok[i]:
-                for k in range(i, core):
-                    keep[k] = k == i or (keep[parent[k]] and not cut[k])
+    for i in range(body, n):
+        keep[i] = i in chosen or (i > body and keep[parent[i]] and not cut[i])
     return _blocks(page, keep)
 
 
