@@ -10,9 +10,10 @@ Copies: documents with one and the same set are represented by the smallest id,
 so groups of copies cost one sketch row. Buckets are never expanded into rows of
 pairs. Members of a bucket are first compared with its smallest id. Where that
 leaves a bucket in several components, its members go, once each, to the group
-of all that such buckets connect, and are compared there in blocks of bounded
-size, passing over pairs that are connected already; a block yields links that
-span what hangs together. Every pair goes through two tests: sizes and registers
+of all that such buckets connect. There those outside the group's largest
+component are compared with all others, in blocks of bounded size, passing over
+pairs that are connected already; a block yields links that span what hangs
+together. Every pair goes through two tests: sizes and registers
 must not rule the similarity out (likelihood ratio), and the full sets must meet
 it exactly. A pair at the limit shares no band with probability (1 - 0.8^8)^64,
 about 8e-6, a closer pair less often. For much larger corpora raise ROWS.
@@ -263,9 +264,17 @@ def _rest(work: Work, members: DataFrame, sets: DataFrame, full: DataFrame, labe
     groups = components(work, open_.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
     docs = open_.select("doc_id", "label").distinct().join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
     docs = work.table(docs, "grouped")
-    blocks = docs.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = docs.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Documents of a group's commonest label are connected already, so only the others are compared: with each
+    # other and with those. The others' blocks have the first numbers; a pair of blocks starts with one of them.
+    labelled = docs.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    blocks = labelled.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = blocks.select("grp", "top", in_blocks(F.col("all") - F.col("most")).alias("rare"), in_blocks(F.col("most")).alias("common"))
+    is_rare = F.col("label") != F.col("top")
+    chance = F.pmod(F.xxhash64("doc_id"), F.when(is_rare, F.col("rare")).otherwise(F.col("common"))).cast("int")
+    dealt = docs.join(blocks, "grp").where("rare > 0").withColumn("block", F.when(is_rare, chance).otherwise(F.col("rare") + chance))
+    partners = F.when(is_rare, F.col("rare") + F.col("common")).otherwise(F.col("rare"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
     dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "label")
     rows = dealt.join(sets.select("doc_id", "registers"), "doc_id").join(full, "doc_id")
     rows = rows.select("grp", "lo", "hi", "block", "doc_id", "label", "registers", "set")
