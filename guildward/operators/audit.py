@@ -41,11 +41,38 @@ def audits(decisions: DataFrame, status: Column) -> DataFrame:
     content = F.left(F.coalesce("content", F.lit("")), F.lit(config.CONTENT_LIMIT)) if "content" in decisions.columns else F.lit("")
     return trace(decisions.where("write_audit")).select(
         "trace_id", "guild_id", "user_id", "message_id", "rule_id", F.col("code").alias("signal_code"), "source", "pattern", "evidence",
-        F.col("final_action").alias("action"), status.alias("status"), "offense_count", F.lit(False).alias("reviewed_by_ai"),
+        F.col("final_action").alias("action"), status.alias("status"), "offense_count", (F.col("code") == "ai_review").alias("reviewed_by_ai"),
         content.alias("content"), "t_ms",
     )
 
 
+def decision_events(audits: DataFrame) -> DataFrame:
+    """The event that goes with each audit."""
+    return audits.select(
+        "trace_id", F.lit("decision").alias("stage"), "signal_code", F.col("status").alias("result"),
+        F.left("pattern", F.lit(config.PATTERN_LIMIT)).alias("pattern"), F.left("evidence", F.lit(config.EVIDENCE_LIMIT)).alias("evidence"),
+        "t_ms", F.lit(101).alias("seq"),
+    )
+
+
+def request_audits(requests: DataFrame) -> DataFrame:
+    """Audits of reviews that are skipped, wait, or end without offense; confirmed ones are audited as decisions."""
+    silent = requests.where("status <> 'confirmed'").select(
+        "message_id", "guild_id", "user_id", "t_ms", F.lit("ai_review").alias("code"), F.lit("content").alias("source"), F.lit("").alias("pattern"),
+        "evidence", F.lit("silent").alias("final_action"), F.lit(0).cast("long").alias("rule_id"), F.lit(0).alias("offense_count"),
+        F.lit(True).alias("write_audit"), "content", "status",
+    )
+    return audits(silent, F.col("status")).withColumn("reviewed_by_ai", F.col("status") == "dismissed")
+
+
+def request_events(requests: DataFrame) -> DataFrame:
+    """The review's event of each request, with its present status."""
+    return trace(requests).select(
+        "trace_id", F.lit("ai_review").alias("stage"), F.lit("ai_review").alias("signal_code"), F.col("status").alias("result"),
+        F.lit("").alias("pattern"), F.left("evidence", F.lit(config.EVIDENCE_LIMIT)).alias("evidence"), "t_ms", F.lit(100).alias("seq"),
+    )
+
+
 def review_key() -> Column:
     """Messages without an id are told apart by user and time."""
     message = F.col("message_id").cast("string")
@@ -64,7 +91,7 @@ def review_requests(candidates: DataFrame, enabled: bool, model: str = "", promp
     df = df.withColumn("review_key", review_key())
     patterns = F.filter(F.transform("_s", lambda s: s["pattern"]), lambda p: p != "")
     body = review_json.request(F.lit(model), F.col("content"), patterns, F.transform("_s", lambda s: s["evidence"]), prompt)
-    df = df.withColumn("request", body).drop("_s", "content")
+    df = df.withColumn("request", body).drop("_s")
     if not enabled:
         return df.withColumn("status", F.lit("skipped")).withColumn("evidence", F.lit("AI 复核未启用或未配置 API Key"))
     df = deduplicated(df)

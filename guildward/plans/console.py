@@ -45,6 +45,14 @@ def between(column: str, start=None, end=None) -> Column:
     return ok & (F.col(column) < F.lit(end)) if end is not None else ok
 
 
+def days(column: str, first: str | None = None, last: str | None = None) -> Column:
+    """Whole days of the session's time zone, the last one included."""
+    start = F.to_timestamp(F.lit(first)) if first else None
+    end = F.to_timestamp(F.date_add(F.to_date(F.lit(last)), 1)) if last else None
+    ok = F.col(column) >= start if start is not None else F.lit(True)
+    return ok & (F.col(column) < end) if end is not None else ok
+
+
 def equal(**wanted) -> Column:
     """Equality for every value given."""
     ok = F.lit(True)

@@ -96,4 +96,6 @@ def decide(
     if passed is not None:
         silent = passed.withColumn("final_action", F.lit("silent")).withColumn("offense_count", F.lit(0)).join(with_text, "message_id", "left")
         audits = audits.unionByName(audit.audits(silent, F.lit("dismissed")))
+    audits = audits.unionByName(audit.request_audits(requests))
+    events = events.unionByName(audit.request_events(requests)).unionByName(audit.decision_events(audits))
     return Outcome(found, decisions, audits, events, requests)

@@ -450,7 +450,7 @@ def review_candidates(spark, d):
 
 def _audits(spark, d) -> DataFrame:
     """Audits of the pipeline with ids in message order and times in milliseconds."""
-    a = outcome(spark, d).audits
+    a = outcome(spark, d).audits.where("status = 'confirmed'")
     return a.withColumn("id", F.col("message_id")).withColumn("created_ms", F.col("t_ms")).withColumn("created_at", F.timestamp_millis("t_ms"))
 
 
@@ -493,7 +493,17 @@ def top_offenders(spark, d):
 def detection_events(spark, d):
     got = outcome(spark, d)
     per = audit.trace(got.signals.select("message_id", "guild_id").distinct())
-    return got.events.join(per, "trace_id").groupBy("guild_id", "stage", "signal_code").agg(F.count("*").alias("n"))
+    return got.events.where("result = 'hit'").join(per, "trace_id").groupBy("guild_id", "stage", "signal_code").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""{AUDITED}, c AS (SELECT g.message_id FROM gated g WHERE g.message_id IN (SELECT message_id FROM signals WHERE needs_ai)
+      AND g.message_id NOT IN (SELECT message_id FROM signals WHERE code IN ('redline_keyword', 'blacklist_user')))
+    SELECT 'confirmed' AS status, code AS signal_code, count(*) AS n FROM audits GROUP BY ALL
+    UNION ALL SELECT 'skipped', 'ai_review', count(*) FROM c HAVING count(*) > 0"""
+)
+def audit_statuses(spark, d):
+    return outcome(spark, d).audits.groupBy("status", "signal_code").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -503,8 +513,8 @@ def detection_events(spark, d):
 def trace_events(spark, d):
     """Events of the trace of the guild's last audit."""
     got = outcome(spark, d)
-    last = got.audits.where("guild_id = 'signup'").agg(F.max_by("trace_id", "message_id").alias("trace_id"), F.max("message_id").alias("message_id"))
-    return got.events.join(F.broadcast(last), "trace_id").select("message_id", "seq", "signal_code")
+    last = got.audits.where("guild_id = 'signup' and status = 'confirmed'").agg(F.max_by("trace_id", "message_id").alias("trace_id"), F.max("message_id").alias("message_id"))
+    return got.events.where("result = 'hit'").join(F.broadcast(last), "trace_id").select("message_id", "seq", "signal_code")
 
 
 @query(

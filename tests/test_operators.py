@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from guildward import queries
 from guildward.config import Config, Policy, ladder
-from guildward.operators import audit, gates, keywords, offenses, retention, rules
+from guildward.operators import audit, classifier, gates, keywords, offenses, retention, rules
 from guildward.plans import decisions
-from guildward.plans.console import Console, last_of, page_of
+from guildward.plans.console import Console, days, last_of, page_of
 from guildward.sources import wordlists
 
 RULES = "id long, guild_id string, scope string, pattern string, enabled boolean"
@@ -72,8 +72,10 @@ def test_pipeline(spark):
         6: ("blacklist_user", 1, "delete", 0, False, ["notice", "delete"]),
     }
     assert [(r.message_id, r.status) for r in out.requests.collect()] == [(4, "skipped")]
-    assert out.events.count() == 5 and out.audits.count() == 4
-    assert out.audits.select("trace_id").distinct().count() == 4
+    stages = {(r.stage, r.result): r["count"] for r in out.events.groupBy("stage", "result").count().collect()}
+    assert stages == {("access", "hit"): 1, ("keyword", "hit"): 4, ("ai_review", "skipped"): 1, ("decision", "confirmed"): 4, ("decision", "skipped"): 1}
+    assert {(r.message_id, r.status, r.reviewed_by_ai) for r in out.audits.collect()} == {(i, "confirmed", False) for i in (1, 2, 3, 6)} | {(4, "skipped", False)}
+    assert out.audits.select("trace_id").distinct().count() == 5
 
 
 def test_reviews_count_as_offenses(spark):
@@ -87,6 +89,25 @@ def test_reviews_count_as_offenses(spark):
     got = {r.message_id: (r.code, r.offense_count) for r in out.decisions.collect()}
     assert got == {1: ("ai_review", 1), 3: ("redline_keyword", 2)}
     assert {r.message_id: r.status for r in out.requests.collect()} == {1: "confirmed", 2: "dismissed"}
+    assert {(r.message_id, r.status, r.reviewed_by_ai) for r in out.audits.collect()} == {(1, "confirmed", True), (2, "dismissed", True), (3, "confirmed", False)}
+
+
+def test_classifier_plug(spark):
+    def evaluate(body, matched):
+        if body == "boom":
+            raise RuntimeError
+        return {"status": "skipped"} if body == "skip" else {"status": "review", "label": "博彩", "confidence": 0.5, "violation_probability": 0.5, "probabilities": {"x": float(matched)}}
+
+    rows = [(i, "g", "u", t, 1000) for i, t in enumerate(["bad", "boom", "skip", "idiot", "fine"])]
+    out = pipeline(spark, rows, [(1, "g", "sensitive", "bad", True), (2, "g", "redline", "idiot", True)])
+    asked = messages(spark, rows).select("message_id", F.col("content").alias("plain_text"))
+    got = {r.message_id: r.probabilities["x"] for r in classifier.classify(asked, out.signals, evaluate).collect()}
+    assert got == {0: 1.0, 4: 0.0}
+
+
+def test_days(spark):
+    df = spark.sql("select timestamp'2024-01-02 23:59:59' t union all select timestamp'2024-01-03 00:00:00'")
+    assert df.where(days("t", "2024-01-02", "2024-01-02")).count() == 1 and df.where(days("t")).count() == 2
 
 
 def test_scores_route(spark):
@@ -99,7 +120,7 @@ def test_scores_route(spark):
     out = pipeline(spark, rows, [(1, "g", "sensitive", "bad", True), (2, "g", "redline", "idiot", True)], config, scores=scores)
     assert {r.message_id: r.code for r in out.decisions.collect()} == {1: "spam_model", 4: "redline_keyword"}
     assert [r.message_id for r in out.requests.collect()] == [2]
-    assert {(r.message_id, r.status) for r in out.audits.collect()} == {(1, "confirmed"), (3, "dismissed"), (4, "confirmed")}
+    assert {(r.message_id, r.status) for r in out.audits.collect()} == {(1, "confirmed"), (2, "pending"), (3, "dismissed"), (4, "confirmed")}
 
 
 def test_review_duplicates(spark):
