@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -55,8 +56,14 @@ def detect(messages: DataFrame, rules: DataFrame, access: DataFrame, config: Con
 def decide(
     messages: DataFrame, rules: DataFrame, access: DataFrame, config: Config, scores: DataFrame | None = None,
     answers: DataFrame | None = None, clears: DataFrame | None = None, contents: DataFrame | None = None,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Outcome:
-    """The whole pipeline. messages: (message_id, guild_id, user_id, t_ms) and content, or content_id into contents."""
+    """The whole pipeline. messages: (message_id, guild_id, user_id, t_ms) and content, or content_id into contents.
+
+    All outputs start from the signals. Where several are wanted of large input,
+    give settle a function that writes a table and reads it back, so that texts
+    are scanned once.
+    """
     policy = config.policy()
     if contents is None:
         messages = gates.gate(messages, config)
@@ -65,7 +72,7 @@ def decide(
     else:
         messages = messages.limit(0)
     messages = gates.drop_whitelisted(messages, access)
-    found = detect(messages, rules, access, config, contents)
+    found = settle(detect(messages, rules, access, config, contents))
     events = audit.hit_events(found)
     with_text = messages.select("message_id", "content_id").join(contents, "content_id").drop("content_id") if contents is not None else messages.select("message_id", "content")
     deterministic, candidates = found.where("not needs_ai"), found.where("needs_ai")

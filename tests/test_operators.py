@@ -217,6 +217,17 @@ def test_manual_actions(spark):
     assert got == {0: ("warn", 0, 1), 1: ("mute", 10, 2), 2: ("mute", 10, 3)}
 
 
+def test_settled_signals_give_the_same(spark, tmp_path):
+    def settle(df):
+        df.write.parquet(str(tmp_path / "signals"))
+        return spark.read.parquet(str(tmp_path / "signals"))
+
+    rows, table = [(1, "g", "u", "idiot", 1000), (2, "g", "u", "bad", 2000)], [(1, "g", "redline", "idiot", True), (2, "g", "sensitive", "bad", True)]
+    outs = [pipeline(spark, rows, table), pipeline(spark, rows, table, settle=settle)]
+    a, b = ({tuple(map(str, r)) for r in o.audits.collect()} for o in outs)
+    assert a == b and len(a) == 2
+
+
 def test_empty_tables(spark):
     out = pipeline(spark, [(1, "g", "u", "x", 1)], [(1, "g", "redline", "zzz", True)])
     assert out.decisions.count() == out.audits.count() == out.requests.count() == 0
