@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet the base rules and whose n-grams are likely enough under the trusted text."""
-    ratios = quality_rules.fit(docs, _labels(spark, sf_dir))
-    return quality_rules.judge(docs, ratios, keep=docs.columns).where("kept").select(*docs.columns)
+    model = quality_rules.fit(docs, _labels(spark, sf_dir))
+    return quality_rules.judge(docs, model, keep=docs.columns).where("kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

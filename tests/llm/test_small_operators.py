@@ -69,6 +69,25 @@ def test_rules(spark):
     assert quality_rules.judge(none, quality_rules.fit(none, labels.where("false"))).count() == 0
 
 
+def test_rejected_share_keeps_when_the_corpus_grows(spark):
+    rng, letters = np.random.default_rng(3), np.array(list("abcdefghij"))
+    common = np.array(["".join(rng.choice(letters, 5)) for _ in range(20_000)])
+    weights = 1 / np.arange(1, 20_001)
+    weights /= weights.sum()
+
+    def share(n):
+        """Rejected shares (junk, labelled good, other good) of n documents, a tenth of them words of their own."""
+        kind = np.arange(n) % 10
+        junk = lambda: " ".join("".join(x) for x in rng.choice(letters, (200, 6)))
+        rows = [(i, junk() if kind[i] == 0 else " ".join(rng.choice(common, 200, p=weights)), "s") for i in range(n)]
+        df, labels = docs(spark, rows), spark.createDataFrame([(i, 1) for i in range(n) if kind[i] in (1, 2, 3)], "doc_id long, quality int")
+        kept = {r.doc_id for r in quality_rules.judge(df, quality_rules.fit(df, labels), keep=["doc_id"]).where("kept").collect()}
+        return [1 - np.mean([i in kept for i in range(n) if kind[i] in k]) for k in ((0,), (1, 2, 3), (4, 5, 6, 7, 8, 9))]
+
+    for shares in (share(1_000), share(10_000)):
+        assert shares[0] > 0.99 and shares[1] < 0.01 and shares[2] < 0.02, shares
+
+
 # ---- URL filter ----------------------------------------------------------------------------------------------------
 
 
