@@ -8,15 +8,17 @@ registers are hashed to bucket keys; documents that share a key may be near.
 
 Copies: documents with one and the same set are represented by the smallest id,
 so groups of copies cost one sketch row. Buckets are never expanded into rows of
-pairs. Members of a bucket are first compared with its smallest id. Where that
-leaves a bucket in several components, its members go, once each, to the group
-of all that such buckets connect. There those outside the group's largest
-component are compared with all others, in blocks of bounded size, passing over
-pairs that are connected already; a block yields links that span what hangs
-together. Every pair goes through two tests: sizes and registers
-must not rule the similarity out (likelihood ratio), and the full sets must meet
-it exactly. A pair at the limit shares no band with probability (1 - 0.8^8)^64,
-about 8e-6, a closer pair less often. For much larger corpora raise ROWS.
+pairs. A bucket's smallest id is its pivot. A document is compared with the least
+of its pivots, then with those that are still in another component. Where the
+rest of a bucket is in several components even so, its members go, once each, to
+the group of all that such buckets connect. There those outside the group's
+largest component are compared with all others: a block of bounded size is held,
+the others pass by, and pairs that are connected already are passed over; what is
+found is links that span what hangs together. Every pair goes through two tests:
+sizes and registers must not rule the similarity out (likelihood ratio), and the
+full sets must meet it exactly. A pair at the limit shares no band with
+probability (1 - 0.8^8)^64, about 8e-6, a closer pair less often. For much larger
+corpora raise ROWS.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a row
 without doc_id links with nothing and is kept; rows that repeat a doc_id are one
@@ -40,8 +42,10 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.09, 20.0, 255
 #: Pairs are given up unseen if the registers make the least similarity less likely than the best one by this factor (log).
 GIVE_UP = 18.0
-#: Documents that a block of a group holds; two blocks at a time are compared.
-BLOCK = 512
+#: Documents that a block of a group holds, and blocks that pass by it in one task.
+BLOCK, CHUNK = 512, 8
+#: What a row is to the block that it is sent to.
+ALONE, HOLD, PASS = 0, 1, 2
 
 
 def _streams() -> tuple[np.ndarray, np.ndarray]:
@@ -204,82 +208,116 @@ def _close(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+class _Merged:
+    """Labels that links of one block have put together; others are their own root."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+class _Block:
+    """The documents of one block, against which others are compared one by one."""
+
+    def __init__(self, percent: int):
+        self.percent, self.least = percent, percent / 100
+        self.ids, self.labels, self.sets = [], [], []
+        self.table, self.of = np.empty((16, REGISTERS), np.uint8), np.empty((2, 16), np.int64)
+        self.merged, self.links = _Merged(), []
+        #: Equal registers below which the likelihood could let no pair pass, by far.
+        self.floor = REGISTERS * self.least - 6 * (REGISTERS * 0.25) ** 0.5
+
+    def hold(self, doc: int, label: int, registers: bytes, items: bytes) -> None:
+        n = len(self.ids)
+        if n == len(self.table):
+            self.table, self.of = np.concatenate([self.table, self.table]), np.concatenate([self.of, self.of], 1)
+        self.ids.append(doc)
+        self.labels.append(label)
+        self.sets.append(np.frombuffer(items, np.uint64))
+        self.table[n], self.of[:, n] = np.frombuffer(registers, np.uint8), (len(self.sets[n]), label)
+
+    def compare(self, doc: int, label: int, registers: bytes, items: bytes) -> None:
+        """Adds links that connect what hangs together between this document and the block."""
+        r, x = np.frombuffer(registers, np.uint8), np.frombuffer(items, np.uint64)
+        sizes, own = self.of[:, : len(self.ids)]
+        at = np.flatnonzero((own != label) & (100 * np.minimum(sizes, len(x)) >= self.percent * np.maximum(sizes, len(x))))
+        at = at[(self.table[at] == r).sum(1) >= self.floor]
+        if not len(at):
+            return
+        some = self.table[at]
+        _, may = estimate(some, np.broadcast_to(r, some.shape), sizes[at], np.full(len(at), len(x)), self.least)
+        for i in at[may].tolist():
+            if self.merged.top(self.labels[i]) != self.merged.top(label) and _close(self.sets[i], x, self.percent):
+                self.merged.join(self.labels[i], label)
+                self.links.append((self.ids[i], doc))
+
+
 def _compare(batches, percent: int):
-    """Rows (grp, lo, hi, block, doc_id, label, registers, set) in the order of (grp, lo, hi); yields links that span what is close."""
-    found: set[tuple[int, int]] = set()
-
-    def compare(rows: list[tuple]) -> None:
-        lo, hi = rows[0][1:3]
-        registers = np.frombuffer(b"".join([r[6] for r in rows]), np.uint8).reshape(-1, REGISTERS)
-        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-        size = np.array([len(x) for x in sets])
-        block = np.array([r[3] for r in rows])
-        root = list(range(len(rows)))
-
-        def top(i):
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        first: dict[int, int] = {}
-        for i, r in enumerate(rows):
-            root[i] = first.setdefault(r[5], i)
-        label = np.array([r[5] for r in rows])
-        floor = REGISTERS * percent / 100 - 6 * (REGISTERS * 0.25) ** 0.5  # far below what the likelihood could let pass
-        for i in np.flatnonzero(block == lo).tolist():
-            others = np.flatnonzero((block == hi) & (label != label[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])))
-            others = others[others > i] if lo == hi else others
-            if not len(others):
-                continue
-            same = (registers[others] == registers[i]).sum(1)
-            others = others[same >= floor]
-            if not len(others):
-                continue
-            _, may = estimate(np.broadcast_to(registers[i], (len(others), REGISTERS)), registers[others], np.full(len(others), size[i]), size[others], percent / 100)
-            for j in others[may].tolist():
-                a, b = top(i), top(j)
-                if a != b and _close(sets[i], sets[j], percent):
-                    root[max(a, b)] = min(a, b)
-                    found.add((rows[i][4], rows[j][4]))
-
-    group: list[tuple] = []
+    """Rows (grp, block, chunk, role, doc_id, label, registers, set) in the order of the first four; yields links.
+
+    Of each (grp, block, chunk) the rows of role HOLD and ALONE are held, those of
+    role PASS are compared with them as they come, so memory holds one block.
+    ALONE rows are also compared among themselves.
+    """
+    key, block = None, None
+
+    def links(of: _Block) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in of.links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
     for b in batches:
-        for r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-            if group and group[0][:3] != r[:3]:
-                compare(group)
-                group = []
-            group.append(r)
-    if group:
-        compare(group)
-    links = sorted(found)
-    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for *now, role, doc, label, registers, items in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            if now != key:
+                if block is not None and block.links:
+                    yield links(block)
+                key, block = now, _Block(percent)
+            if role != HOLD and block.ids:
+                block.compare(doc, label, registers, items)
+            if role != PASS:
+                block.hold(doc, label, registers, items)
+    if block is not None and block.links:
+        yield links(block)
 
 
 def _rest(work: Work, members: DataFrame, sets: DataFrame, full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of a bucket that lie in different components."""
-    named = members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    """Links (a, b) between members (key, doc_id, pivot) of a bucket in different components; pivots have been compared with all."""
+    named = members.where("doc_id <> pivot").select("key", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = named.withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    several = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("doc_id").alias("pivot")).where("_lo < _hi")
-    open_ = work.table(named.join(several.select("key", "pivot"), "key").select("doc_id", "label", "pivot").distinct(), "open")
-    groups = components(work, open_.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-    docs = open_.select("doc_id", "label").distinct().join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
+    several = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("doc_id").alias("head")).where("_lo < _hi")
+    heads = named.join(several.select("key", "head"), "key").select("doc_id", "label", "head")
+    # a document has BANDS buckets at most, so the set of their heads is bounded
+    heads = work.table(heads.groupBy("doc_id", "label").agg(F.collect_set("head").alias("heads"), F.min("head").alias("least")), "open")
+    # the least head stands for a document's buckets: one edge to it, and one to it from each other head, keep all connected
+    ends = F.explode(F.array_union("heads", F.array("doc_id")))
+    groups = components(work, heads.select(ends.alias("a"), F.col("least").alias("b")))
+    docs = heads.select("doc_id", "label").join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "doc_id")
     docs = work.table(docs, "grouped")
     # Documents of a group's commonest label are connected already, so only the others are compared: with each
-    # other and with those. The others' blocks have the first numbers; a pair of blocks starts with one of them.
+    # other and with those. The others' blocks have the first numbers; what comes later passes by in chunks of blocks.
     labelled = docs.groupBy("grp", "label").agg(F.count("*").alias("n"))
     blocks = labelled.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("all"))
     in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     blocks = blocks.select("grp", "top", in_blocks(F.col("all") - F.col("most")).alias("rare"), in_blocks(F.col("most")).alias("common"))
     is_rare = F.col("label") != F.col("top")
     chance = F.pmod(F.xxhash64("doc_id"), F.when(is_rare, F.col("rare")).otherwise(F.col("common"))).cast("int")
-    dealt = docs.join(blocks, "grp").where("rare > 0").withColumn("block", F.when(is_rare, chance).otherwise(F.col("rare") + chance))
-    partners = F.when(is_rare, F.col("rare") + F.col("common")).otherwise(F.col("rare"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
-    dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "label")
-    rows = dealt.join(sets.select("doc_id", "registers"), "doc_id").join(full, "doc_id")
-    rows = rows.select("grp", "lo", "hi", "block", "doc_id", "label", "registers", "set")
+    dealt = docs.join(blocks, "grp").where("rare > 0").withColumn("place", F.when(is_rare, chance).otherwise(F.col("rare") + chance))
+    chunk = F.floor(F.col("place") / CHUNK).cast("int")
+    last = F.floor((F.col("rare") + F.col("common") - 1) / CHUNK).cast("int")
+    own = dealt.where(is_rare).select("grp", F.col("place").alias("block"), F.explode(F.sequence(chunk, last)).alias("chunk"), chunk.alias("_own"), "doc_id", "label")
+    own = own.withColumn("role", F.when(F.col("chunk") == F.col("_own"), ALONE).otherwise(HOLD)).drop("_own")
+    passing = dealt.where("place > 0").select("grp", F.explode(F.sequence(F.lit(0), F.least("place", "rare") - 1)).alias("block"), chunk.alias("chunk"), "doc_id", "label")
+    rows = own.unionByName(passing.withColumn("role", F.lit(PASS)))
+    rows = rows.join(sets.select("doc_id", "registers"), "doc_id").join(full, "doc_id")
+    rows = rows.select("grp", "block", "chunk", "role", "doc_id", "label", "registers", "set")
     n = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    rows = rows.repartition(n, "grp", "block", "chunk").sortWithinPartitions("grp", "block", "chunk", "role")
     return rows.mapInArrow(lambda b: _compare(b, percent), "a long, b long")
 
 
@@ -297,11 +335,17 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, text: st
     ids = members.select("doc_id").distinct()
     full = full_sets(docs, ids, width, text, doc_id).join(sets.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
     full = work.table(full.dropDuplicates(["doc_id", "digest"]).select("doc_id", "set"), "full")
-    pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = work.table(confirmed(likely(pairs, sets, percent), full, percent), "links")
+    pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    # most documents hang on the least of their pivots; the other pivots matter only where that leaves them apart
+    first = work.table(pairs.groupBy("b").agg(F.min("a").alias("a")), "first")
+    found = work.table(confirmed(likely(first.select("a", "b"), sets, percent), full, percent), "links")
+    labels = work.table(components(work, found), "labels")
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    apart = pairs.distinct().join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    found = found.unionByName(work.table(confirmed(likely(apart, sets, percent), full, percent), "links"))
     labels = work.table(components(work, found), "labels")
-    rest = work.table(_rest(work, members.select("key", "doc_id"), sets, full, labels, percent), "rest")
-    found = found.unionByName(rest)
+    found = found.unionByName(work.table(_rest(work, members, sets, full, labels, percent), "rest"))
     nodes = components(work, found)
     reps = sets.select("digest", F.col("doc_id").alias("node")).join(nodes, "node", "left").select("digest", F.coalesce("component", "node").alias("rep"))
     reps = work.table(reps, "reps")
