@@ -1,20 +1,27 @@
 """HTML extraction by composite text density.
 
-A page is parsed into nodes by a forgiving scanner. Elements that their tag,
-role or class names as boilerplate (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are cut out first.
-Then every node gets a density: characters per tag, adjusted for the share of
-characters and tags in links. Its density sum is that of its children. The node
-with the greatest sum is the core; the least density on its path to the body is
-the threshold: the core grows to an ancestor while what that adds is as dense or
-no list of links, and what stands beside its path and has half its characters
-per tag joins it; an enclosing article or main element is taken whole instead.
+A page is parsed into nodes by a forgiving scanner that reads it once. Elements
+whose tag, role or hiding attribute says what they are (menus, page headers,
+footers, asides, scripts, styles, form fields) are cut out. Every other node gets
+a density: characters per tag, adjusted for the share of characters and tags in
+links. A node's density sum is that of its children. The container with the
+greatest weighted sum is the core, and the least density on its path to the body
+is the threshold: the core grows to an ancestor while what that adds is as dense,
+and what stands beside its path and is about as dense as the core joins it.
+
+Tags and names only weigh: an article or main element, or one named as content,
+counts for more, a form or an element named as boilerplate for less. A name tells
+boilerplate if all its words do or are words of position (``ad-box``, but not
+``notice-period``). What weighs less is left out of the core's text unless it
+holds nearly all of it. Where the core is the body, its children that are
+nothing but several links go too.
 
 Text: character references are decoded, white space in a block becomes one
 space, blocks follow each other by line feeds; line breaks are white space.
 
 Defined cases: null and empty pages, and pages without text, give the empty
-string; markup that is never closed ends with the page; equal pages give equal
+string; an element or comment that is never closed ends with the page, a tag
+without its ``>`` swallows the rest, as in browsers; equal pages give equal
 texts; other columns pass through ``extract`` unless they are called like its
 results.
 """
@@ -24,6 +31,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -47,125 +56,199 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+_PARAGRAPH = ({"p"}, {"td", "th", "table", "button", "article", "section", "main", "body"})
 CUT_TAGS = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea input iframe svg math object "
-    "canvas audio video dialog menu datalist fieldset".split()
+    "script style noscript template head title nav footer aside button select textarea input iframe svg math object canvas "
+    "audio video dialog menu datalist".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies "
-    "consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup "
-    "sidebar sidebars menu menus nav navbar navigation topnav breadcrumb breadcrumbs masthead header footer comment comments respond "
-    "disqus replies reply discussion share sharing social related recommended recommendations toolbar widget widgets login "
-    "search pagination pager copyright legal disclaimer".split()
+#: Words that name boilerplate; those of lists of links tell only where links hold half the text.
+BOILERPLATE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot adbanner adunit sponsor sponsored sponsors promo promos "
+    "promotion banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter "
+    "subscribe subscription signup sidebar sidebars sidecol siderail menu menus nav navbar navigation topnav subnav mainnav breadcrumb "
+    "breadcrumbs masthead header footer topbar comment comments commentlist respond disqus reply replies toolbar widget widgets login search".split()
 )
-#: The same as parts of one word.
-CUT_STEMS = re.compile(
-    r"(?:user|reader)?comments?(?:list|box|area|form|section|thread|item|author|body|text|s)?|(?:left|right|side)(?:bar|col|column|rail|nav)"
-    r"|(?:main|top|site|page|foot|sub|bottom)(?:nav|menu|header|footer)|ad(?:box|slot|banner|unit|container|wrapper|block|space|vert\w*)"
-    r"|(?:cookie|newsletter|footer|sidebar|breadcrumb|sponsor)\w*"
+LINK_LISTS = frozenset("share sharing social related recommended recommendations pagination pager tags popular trending".split())
+#: Words that say nothing beside those.
+POSITION = frozenset(
+    "container wrapper wrap box list area section block item items bar site page main top bottom left right inner outer link links "
+    "button buttons form panel column col row group unit slot space text title body author meta thread user reader region zone pane holder "
+    "fixed sticky first last primary secondary global desktop mobile bottombar posts".split()
 )
-#: Elements that hold an article; only a whole class name cuts these.
+CONTENT = frozenset("article post entry story content main text".split())
+#: Weights of what may hold the article, and of what tells boilerplate.
+ARTICLE, MAIN, NAMED, LESS = 8.0, 4.0, 1.5, 0.125
 HOLDERS = frozenset(("html", "body", "article", "main"))
-HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
-_TAG = re.compile(
-    r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|!--(?:>|->|.*?--!?>|.*\Z)|[!?/][^>]*>?)""", re.S
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|\Z)""", re.I)
-_NAME = re.compile(r"[^a-z0-9]+")
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
+#: Blocks of text or lists of them: parts of a container, never the core.
+PARTS = frozenset("p ul ol li dl dt dd pre blockquote figure figcaption table thead tbody tfoot tr caption address hr".split()) | HEADINGS.keys()
+_NAME = re.compile(r"[^\s/>]*")
+_STOP = re.compile(r">|=\s*[\"']")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|\Z)""", re.I)
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_BLANKS = str.maketrans("", "", " \n\t\r\f\v")
 
 
 class Page:
-    """Nodes in page order; node 0 is the root. A text is a node of its own without a tag."""
+    """Nodes in page order; node 0 is the root. A text is a node of its own without a tag.
+
+    cut: left out whatever its density; soft: weighs LESS (1), or does so if links
+    hold half its text (2); weight: of a tag or name that may hold the article.
+    The scanner goes forward only, and open elements are found by their name, so
+    time is linear in the page however its markup is broken.
+    """
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.cut, self.text = ["#root"], [-1], [False], [None]
-        self.open = [0]
-        at, size = 0, len(source)
+        self.tag, self.parent, self.cut, self.text, self.soft, self.weight = ["#root"], [-1], [False], [None], [0], [1.0]
+        self.open, self.at = [0], {}
+        self._scan(source)
+
+    def _scan(self, source: str) -> None:
+        at, size, closes = 0, len(source), {'"': True, "'": True}
         while at < size:
-            m = _TAG.search(source, at)
-            if not m:
+            begin = source.find("<", at)
+            if begin < 0:
                 self._text(source[at:])
-                break
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+                return
+            head = source[begin + 1 : begin + 2]
+            closing = head == "/"
+            if head in ("!", "?") or closing and not source[begin + 2 : begin + 3].isalpha():
+                if begin > at:
+                    self._text(source[at:begin])
+                at = self._past_comment(source, begin)
+                continue
+            if not closing and not (head.isascii() and head.isalpha()):
+                stop = begin + 1
+                self._text(source[at:stop])
+                at = stop
                 continue
-            name = m[2].lower()
-            if m[1]:
-                self._close(name)
+            if begin > at:
+                self._text(source[at:begin])
+            name = _NAME.match(source, begin + 1 + closing)
+            at = name.end()
+            while True:
+                m = _STOP.search(source, at)
+                if not m:
+                    return
+                at = m.end()
+                if m[0] == ">":
+                    break
+                quote = m[0][-1]
+                if closes[quote]:
+                    end = source.find(quote, at)
+                    closes[quote] = end >= 0
+                    at = end + 1 if end >= 0 else at
+            word = name[0].lower()
+            if closing:
+                self._close(word)
                 continue
-            self._start(name, m[3])
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            self._start(word, source[name.end() : at - 1])
+            if word in RAW:
+                end = _raw_end(word).search(source, at)
                 at = end.end() if end else size
-                self.open.pop()
+                self._pop()
+
+    def _past_comment(self, source: str, begin: int) -> int:
+        if source.startswith("<!--", begin):
+            if source.startswith((">", "->"), begin + 4):
+                return source.index(">", begin + 4) + 1
+            end = _COMMENT_END.search(source, begin + 4)
+            return end.end() if end else len(source)
+        end = source.find(">", begin)
+        return end + 1 if end >= 0 else len(source)
 
-    def _add(self, tag: str | None, text: str | None, cut: bool) -> int:
+    def _add(self, tag: str | None, text: str | None, cut: bool, soft: int = 0, weight: float = 1.0) -> int:
         self.tag.append(tag)
         self.parent.append(self.open[-1])
         self.cut.append(cut)
         self.text.append(text)
+        self.soft.append(soft)
+        self.weight.append(weight)
         return len(self.tag) - 1
 
     def _text(self, text: str) -> None:
         if not self.cut[self.open[-1]]:
             self._add(None, text, False)
 
-    def _pop_to(self, names: set[str], stop: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[k]]
-            if tag in names:
-                del self.open[k:]
-                return
-            if tag in stop:
-                return
+    def _pop(self) -> None:
+        self.at[self.tag[self.open.pop()]].pop()
+
+    def _last(self, names: set[str]) -> int:
+        """Depth of the innermost open element of these names, 0 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def _end(self, names: set[str], stop: set[str]) -> None:
+        depth = self._last(names)
+        if depth > self._last(stop):
+            self._close_to(depth)
+
+    def _close_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self._pop()
+
+    def _close(self, name: str) -> None:
+        if self.at.get(name):
+            self._close_to(self.at[name][-1])
 
     def _start(self, name: str, attributes: str) -> None:
         if name in ENDS:
-            self._pop_to(*ENDS[name])
+            self._end(*ENDS[name])
         elif name not in INLINE and name not in RAW:
-            self._pop_to({"p"}, {"td", "th", "table", "button", "article", "section", "main", "body"})
-        up = self.open[-1]
-        cut = self.cut[up] or name in CUT_TAGS or (name == "header" and not self._in_holder()) or self._cut_by(name, attributes)
-        node = self._add(name, None, cut)
+            self._end(*_PARAGRAPH)
+        within = bool(self._last({"article", "main"}))
+        hidden, soft, weight = _signs(name, attributes) if attributes and not attributes.isspace() else (False, 0, 1.0)
+        cut = self.cut[self.open[-1]] or hidden or name in CUT_TAGS or (name == "header" and not within)
+        if name == "form":
+            soft = 1
+        if name in ("article", "main"):
+            weight = ARTICLE if name == "article" else MAIN
+        node = self._add(name, None, cut, soft, weight)
         if name not in VOID:
+            self.at.setdefault(name, []).append(len(self.open))
             self.open.append(node)
 
-    def _in_holder(self) -> bool:
-        return any(self.tag[n] in ("article", "main") for n in self.open)
-
-    def _cut_by(self, name: str, attributes: str) -> bool:
-        if not attributes or attributes.isspace():
-            return False
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value)):
-                return name not in ("html", "body")
-            if key == "role" and value in CUT_ROLES:
-                return name not in HOLDERS
-            if key in ("class", "id"):
-                names = value.split()
-                if name in HOLDERS or name in HEADINGS or name == "p" and self._in_holder():
-                    if name in ("article", "p") and not CUT_WORDS.isdisjoint(names):
-                        return True
-                    continue
-                for one in names:
-                    words = _NAME.split(one)
-                    if words[0] not in ("has", "no", "with") and (not CUT_WORDS.isdisjoint(words) or any(map(CUT_STEMS.fullmatch, words))):
-                        return True
-        return False
 
-    def _close(self, name: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[k]] == name:
-                del self.open[k:]
-                return
+@lru_cache(256)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I)
+
+
+@lru_cache(65_536)
+def _named(value: str) -> tuple[int, float]:
+    """(soft, weight) of a class or id value."""
+    soft, weight = 0, 1.0
+    for one in value.split():
+        words = set(_WORD.findall(_HUMP.sub("-", one).lower()))
+        if words & CONTENT and words <= CONTENT | POSITION:
+            weight = NAMED
+        if words & (BOILERPLATE | LINK_LISTS) and words <= BOILERPLATE | LINK_LISTS | POSITION:
+            now = 1 if words & BOILERPLATE else 2
+            soft = now if not soft else min(soft, now)
+    return soft, 1.0 if soft else weight
+
+
+def _signs(name: str, attributes: str) -> tuple[bool, int, float]:
+    """(hidden or of a role that is cut, soft, weight) by an element's attributes."""
+    soft, weight = 0, 1.0
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key in ("class", "id"):
+            if name in HEADINGS or name in ("html", "body", "main"):
+                continue
+            s, w = _named(value) if len(value) < 1000 else _named.__wrapped__(value)
+            soft, weight = s or soft, max(w, weight)
+        elif name not in HOLDERS:
+            value = value.lower()
+            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value) or key == "role" and value in CUT_ROLES:
+                return True, 0, 1.0
+    return False, soft, 1.0 if soft else weight
 
 
-def _density(c: float, t: float, lc: float, lt: float, ratio: float) -> float:
+def density(c: float, t: float, lc: float, lt: float, ratio: float) -> float:
     """Composite density of c characters under t tags, of which lc and lt belong to links; ratio is the body's share of link characters."""
     if c <= 0:
         return 0.0
@@ -174,13 +257,25 @@ def _density(c: float, t: float, lc: float, lt: float, ratio: float) -> float:
     return c / t * max(math.log(c / lc_ * t / lt_), 0.0) / math.log(max(base, 1.001))
 
 
-def main_text(source: bytes | str | None) -> str:
-    """The main text of a page."""
-    if not source:
-        return ""
-    page = Page(source.decode("utf-8", "replace") if isinstance(source, bytes) else source)
-    tag, parent, cut, text = page.tag, page.parent, page.cut, page.text
-    n = len(tag)
+class Measures(NamedTuple):
+    """Of every node: characters and tags below it, those in links, density, density sum of the children; and the body."""
+
+    chars: list[int]
+    tags: list[int]
+    link_chars: list[int]
+    link_tags: list[int]
+    density: list[float]
+    total: list[float]
+    less: list[bool]
+    body: int
+
+    def free(self, i: int) -> int:
+        """Characters of a node outside links."""
+        return self.chars[i] - self.link_chars[i]
+
+
+def measure(page: Page) -> Measures:
+    tag, parent, cut, n = page.tag, page.parent, page.cut, len(page.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
     for i in range(1, n):
@@ -188,56 +283,119 @@ def main_text(source: bytes | str | None) -> str:
     for i in range(n - 1, 0, -1):
         if cut[i]:
             continue
+        up = parent[i]
         if tag[i] is None:
-            size = len(text[i]) - sum(map(text[i].count, " \n\t\r"))
+            size = len(page.text[i].translate(_BLANKS))
             chars[i], link_chars[i] = size, size if linked[i] else 0
-        up = parent[i]
-        own, own_link = (1, tag[i] == "a") if tag[i] is not None else (0, 0)
+        else:
+            tags[up] += 1
+            link_tags[up] += tag[i] == "a"
         chars[up] += chars[i]
         link_chars[up] += link_chars[i]
-        tags[up] += tags[i] + own
-        link_tags[up] += link_tags[i] + own_link
-    if not chars[0]:
-        return ""
-    body = next((i for i in range(n) if tag[i] == "body"), 0)
-    if not chars[body]:
-        body = 0
+        tags[up] += tags[i]
+        link_tags[up] += link_tags[i]
+    body = next((i for i in range(n) if tag[i] == "body" and chars[i]), 0)
     ratio = link_chars[body] / max(chars[body], 1)
-    density = [0.0 if cut[i] else _density(chars[i], tags[i], link_chars[i], link_tags[i], ratio) for i in range(n)]
+    less = [False] * n
+    for i in range(1, n):
+        less[i] = less[parent[i]] or page.soft[i] == 1 or page.soft[i] == 2 and 2 * link_chars[i] >= chars[i]
+    dense = [0.0 if cut[i] else density(chars[i], tags[i], link_chars[i], link_tags[i], ratio) for i in range(n)]
     total = [0.0] * n
     for i in range(1, n):
-        total[parent[i]] += density[i]
-    ok = [False] * n
-    ok[body] = True
-    for i in range(body + 1, n):
-        ok[i] = ok[parent[i]] and not cut[i]
-    core = max((i for i in range(n) if ok[i] and tag[i] is not None and tag[i] not in INLINE), key=lambda i: (total[i], -i))
-    path = [core]
-    while path[-1] != body:
+        total[parent[i]] += dense[i] * (LESS if less[i] else 1.0)
+    return Measures(chars, tags, link_chars, link_tags, dense, total, less, body)
+
+
+def core_of(page: Page, m: Measures) -> int:
+    """The container below the body, or the body, with the greatest weighted density sum; the first of equal ones."""
+    below = [False] * len(page.tag)
+    below[m.body] = True
+    best, core = m.total[m.body], m.body
+    for i in range(m.body + 1, len(page.tag)):
+        below[i] = below[page.parent[i]] and not page.cut[i]
+        name = page.tag[i]
+        if below[i] and name is not None and name not in INLINE and name not in PARTS and m.total[i] * page.weight[i] > best:
+            best, core = m.total[i] * page.weight[i], i
+    return core
+
+
+def _grown(page: Page, m: Measures, path: list[int]) -> int:
+    """Place in path (from the core to the body) of the ancestor that the core grows to, the body left out."""
+    tag, parent, n = page.tag, page.parent, len(page.tag)
+    plain, plain_links, blocks, links = [0] * n, [0] * n, [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        if page.cut[i] or m.less[i] and not m.less[path[0]] or tag[i] in HEADINGS:
+            continue
+        up = parent[i]
+        if tag[i] is None:
+            plain[i], plain_links[i] = m.chars[i], m.link_chars[i]
+        else:
+            blocks[up] += 1
+            links[up] += tag[i] == "a"
+        for sums in (plain, plain_links, blocks, links):
+            sums[up] += sums[i]
+    ratio = m.link_chars[m.body] / max(m.chars[m.body], 1)
+    threshold, at = min(m.density[i] for i in path), 0
+    for k in range(1, len(path) - 1):
+        i, core = path[k], path[at]
+        more = plain[i] - plain[core]
+        added = density(more, blocks[i] - blocks[core], plain_links[i] - plain_links[core], links[i] - links[core], ratio)
+        if more and added < threshold * page.weight[core] / page.weight[i]:
+            break
+        at = k
+    return at
+
+
+def _chosen(page: Page, m: Measures) -> set[int]:
+    """Roots of the subtrees that hold the main text."""
+    tag, parent, n = page.tag, page.parent, len(page.tag)
+    path = [core_of(page, m)]
+    while path[-1] != m.body:
         path.append(parent[path[-1]])
-    threshold = min(density[i] for i in path)
-    holder = next((i for i in path if tag[i] in ("article", "main")), None)
-    if holder is not None:
-        core = holder
-    else:
-        for i in path[1:-1]:
-            more, more_links = chars[i] - chars[core], link_chars[i] - link_chars[core]
-            added = _density(more, tags[i] - tags[core], more_links, link_tags[i] - link_tags[core], ratio)
-            if added < threshold and more_links > 0.3 * more:
-                break
-            core = i
+    at = _grown(page, m, path) if len(path) > 1 else 0
+    core, above, on_path = path[at], set(path[at + 1 :]), set(path)
     chosen = {core}
-    if holder is None and core != body:
-        # what stands beside the core's path and is about as dense belongs to it, and so do headings before it
-        above = {parent[i] for i in path[path.index(core) : -1]}
-        for i in range(body + 1, n):
-            if ok[i] and tag[i] is not None and tag[i] not in INLINE and parent[i] in above and i not in path:
-                dense = 2 * chars[i] / max(tags[i], 1) >= chars[core] / max(tags[core], 1) and link_chars[i] <= 0.3 * chars[i]
-                if dense or (tag[i] in HEADINGS and i < core and parent[i] == parent[core]):
-                    chosen.add(i)
-    keep = [False] * n
-    for i in range(body, n):
-        keep[i] = i in chosen or (i > body and keep[parent[i]] and not cut[i])
+    if not above:
+        return chosen
+    inside, own = [False] * n, 0
+    inside[core] = True
+    for i in range(core + 1, n):
+        inside[i] = inside[parent[i]]
+        if inside[i] and tag[i] in HEADINGS:
+            own = min(own or 9, HEADINGS[tag[i]])
+    per_tag = m.chars[core] / max(m.tags[core], 1) * page.weight[core]
+    for i in range(m.body + 1, n):
+        if parent[i] not in above or i in on_path or page.cut[i] or tag[i] is None or tag[i] in INLINE or m.less[i] and not m.less[core]:
+            continue
+        if tag[i] in HEADINGS:
+            joins = i < core and parent[i] == parent[core] and (not own or HEADINGS[tag[i]] < own)
+        else:
+            joins = 2 * m.chars[i] / max(m.tags[i], 1) * page.weight[i] >= per_tag and m.link_chars[i] <= 0.3 * m.chars[i]
+        if joins and m.chars[i]:
+            chosen.add(i)
+    return chosen
+
+
+def main_text(source: bytes | str | None) -> str:
+    """The main text of a page."""
+    if not source:
+        return ""
+    page = Page(source.decode("utf-8", "replace") if isinstance(source, bytes) else source)
+    m = measure(page)
+    if not m.chars[0]:
+        return ""
+    chosen = _chosen(page, m)
+    keep, root = [False] * len(page.tag), [0] * len(page.tag)
+    for i in range(m.body, len(page.tag)):
+        up = page.parent[i]
+        if i in chosen:
+            keep[i], root[i] = True, i
+        elif i > m.body and keep[up] and not page.cut[i]:
+            root[i] = r = root[up]
+            # what weighs less goes, unless it holds nearly all of the text; so does a menu that stands in the body itself
+            keep[i] = not (m.less[i] and not m.less[up]) or LESS * m.free(i) > m.free(r) - m.free(i)
+            if up == r == m.body and m.link_tags[i] > 1 and m.chars[i] and not m.free(i):
+                keep[i] = False
     return _blocks(page, keep)
 
 

@@ -218,6 +218,101 @@ def test_html(spark):
     assert html_extract.main_text("<b>" * 20_000 + "deep")[-4:] == "deep"
 
 
+P = "<p>" + "A long paragraph of plain text with many words in it, so that it is dense. " * 3 + "</p>"
+LINE = P[3:-5]
+NAMES_ONLY_WEIGH = [
+    (f"<body><div class='post-sharing-economy'>{P * 2}</div></body>", f"{LINE}\n{LINE}"),
+    (f"<body><div class='main-content search-results-free'>{P * 2}</div></body>", f"{LINE}\n{LINE}"),
+    (f"<body><div class='content'>{P}<p class='notice-period'>Two months.</p>{P}</div></body>", f"{LINE}\nTwo months.\n{LINE}"),
+    (f"<body><div class='content-with-sidebar'>{P * 2}<div class=sidebar>{P}</div></div></body>", f"{LINE}\n{LINE}"),
+    (f"<body><div class='layout--sidebar-right'>{P * 2}</div><div class='elementor-widget-container'><a>x</a></div></body>", f"{LINE}\n{LINE}"),
+    (f"<body><div class='widget'>{P * 2}</div><div class=x><a>more</a></div></body>", f"{LINE}\n{LINE}"),
+    (f"<body><p>Accept our cookies, please, we need them.</p><div id=content>{P * 2}</div></body>", f"{LINE}\n{LINE}"),
+    (f"<body><div id=page><p>Accept our cookies, please.</p><div id=q>{P * 2}</div></div></body>", f"{LINE}\n{LINE}"),
+    (f"<body><article><h1>T</h1>{P}<section id=comments>{P * 8}</section></article></body>", f"T\n{LINE}"),
+    (f"<body><form id=f><nav><a>q</a></nav><div>{P * 2}<input value=x></div></form></body>", f"{LINE}\n{LINE}"),
+    (f"<body><h1>T</h1>{P * 2}<ul><li><a>m1</a><li><a>m2</a></ul></body>", f"T\n{LINE}\n{LINE}"),
+    ("<body><div class=xq>Buy the best things now.</div><article><h1>The title</h1><p>Short text.</p></article></body>", "The title\nShort text."),
+]
+
+
+@pytest.mark.parametrize("case", range(len(NAMES_ONLY_WEIGH)))
+def test_density_chooses_and_names_weigh(case):
+    page, want = NAMES_ONLY_WEIGH[case]
+    assert html_extract.main_text(page) == want
+
+
+HOSTILE = [
+    "<a ", '<a b="', "<div></x>", "<div><p>x", "<", "<!--", "<ul><li>x", "<p><b>x", "<h1>x<div>", '<div class="ad box">', "<b>", "&#", "<script>", "<table><td>x", "</p>",
+    "<article><header>x", "=\"'",
+]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text("<body>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 12
+
+
+def tree(rng, depth):
+    """A random element as (tag, children); texts are strings."""
+    if depth == 0 or rng.random() < 0.3:
+        words = " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30)))
+        return ("a", [words]) if rng.random() < 0.25 else words
+    return (rng.choice(["div", "section", "p", "div"]), [tree(rng, depth - 1) for _ in range(rng.randrange(1, 5))])
+
+
+def written(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(written, node[1]))}</{node[0]}>"
+
+
+def brute_density(node, ratio, out, linked=False):
+    """(characters, tags, link characters, link tags, density) of a node, by recursion; out gets (tag, density sum, text)."""
+    import math
+
+    if isinstance(node, str):
+        c, t, lc, lt = len(node.replace(" ", "")), 0, 0, 0
+        lc = c if linked else 0
+    else:
+        place = len(out)
+        out.append(None)
+        inner = [brute_density(x, ratio, out, linked or node[0] == "a") for x in node[1]]
+        c, lc = sum(x[0] for x in inner), sum(x[2] for x in inner)
+        t = sum(x[1] + (not isinstance(y, str)) for x, y in zip(inner, node[1], strict=True))
+        lt = sum(x[3] + (y[0] == "a" and not isinstance(y, str)) for x, y in zip(inner, node[1], strict=True))
+        out[place] = (node[0], sum(x[4] for x in inner), written(node))
+    if not c:
+        return c, t, lc, lt, 0.0
+    inner = c / max(c - lc, 1) * lc + ratio * c + math.e
+    return c, t, lc, lt, c / max(t, 1) * max(0.0, math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1))) / math.log(max(math.log(inner), 1.001))
+
+
+def test_densities_equal_brute_force():
+    import random
+
+    rng, inner_cores = random.Random(5), 0
+    for _ in range(200):
+        body = ("body", [tree(rng, 4) for _ in range(3)])
+        if any(isinstance(x, tuple) and x[0] == "p" for x in body[1]) or "<p><" in written(body) or "</div></p>" in written(body) or "</section></p>" in written(body) or "</p></p>" in written(body):
+            body = eval(repr(body).replace("('p',", "('section',"))  # noqa: S307  a p ends where a block begins, which the recursion doesn't know
+        page = html_extract.Page(f"<html>{written(body)}</html>")
+        m = html_extract.measure(page)
+        out = []
+        c, _, lc, _, _ = brute_density(body, 0.0, out)
+        out = []
+        brute_density(body, lc / max(c, 1), out)
+        own = [m.total[i] for i in range(m.body, len(page.tag)) if page.tag[i] is not None]
+        assert np.allclose(own, [x[1] for x in out])
+        sums = [x[1] if x[0] != "a" else -1 for x in out]
+        core = html_extract.core_of(page, m)
+        assert np.isclose(m.total[core], max(sums))
+        inner_cores += core != m.body
+    assert inner_cores > 50
+
+
 # ---- packing ---------------------------------------------------------------------------------------------------------
 
 
