@@ -67,7 +67,8 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node that links reach.
 
     Alternates large-star and small-star steps, each a map-side combined
-    minimum and an equi-join, until the edges are stars around the minima.
+    minimum and an equi-join, until the edges are stars around the minima: no
+    node has two smaller neighbours, or a smaller and a larger one.
     Self-loops and nulls are dropped; no edges give no rows.
     """
     e = work.table(
@@ -81,11 +82,12 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
         joined = large.join(least, "hi")
         small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", "m")).distinct()
         after = work.table(small, "edges")
-        stars = after.agg(F.count("*"), F.countDistinct("hi")).first()
-        inner = after.join(after.select(F.col("hi").alias("lo")), "lo", "left_semi").limit(1).count()
+        ends = after.select(F.col("hi").alias("x"), F.lit(1).alias("h")).union(after.select("lo", F.lit(0)))
+        times = ends.groupBy("x").agg(F.sum("h").alias("up"), F.min("h").alias("end"))
+        open_ = times.agg(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("end") == 0))).first()[0]
         work.drop(e)
         e = after
-        if stars[0] == stars[1] and not inner:
+        if not open_:
             break
     nodes = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return nodes.union(e.select("lo", "lo").distinct())

@@ -340,13 +340,14 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, text: st
     first = work.table(pairs.groupBy("b").agg(F.min("a").alias("a")), "first")
     found = work.table(confirmed(likely(first.select("a", "b"), sets, percent), full, percent), "links")
     labels = work.table(components(work, found), "labels")
+    stars = lambda labels: labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     apart = pairs.distinct().join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     apart = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    found = found.unionByName(work.table(confirmed(likely(apart, sets, percent), full, percent), "links"))
-    labels = work.table(components(work, found), "labels")
-    found = found.unionByName(work.table(_rest(work, members, sets, full, labels, percent), "rest"))
-    nodes = components(work, found)
+    found = work.table(confirmed(likely(apart, sets, percent), full, percent), "links")
+    labels = work.table(components(work, stars(labels).unionByName(found)), "labels")
+    found = work.table(_rest(work, members, sets, full, labels, percent), "rest")
+    nodes = components(work, stars(labels).unionByName(found))
     reps = sets.select("digest", F.col("doc_id").alias("node")).join(nodes, "node", "left").select("digest", F.coalesce("component", "node").alias("rep"))
     reps = work.table(reps, "reps")
     # a doc_id whose rows differ is one node: the copies of each row hang together through it
