@@ -1,61 +1,16 @@
-"""Shared plumbing: work folder, written tables, words, connected components."""
+"""Shared plumbing: members of an id table, connected components, word hashes."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of (id, flag) pairs may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests) a temporary one becomes the checkpoint folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="guildward-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/guildward/{uuid.uuid4().hex}"
-
-
-class Work:
-    """Tables of one run, written to the shared folder so that lost executors cost no lineage."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, work_folder(spark), 0
-        atexit.register(self.close)
-
-    def close(self) -> None:
-        """Deletes the folder, at the driver's end at the latest: results are lazy and may read it till then."""
-        if self.spark.sparkContext._jsc is not None:
-            self._delete(self.folder)
+from guildward.llm import bloom
+from guildward.tables import Work
 
-    def _delete(self, path: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.folder}/{self.n:03d}-{name}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it back."""
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._written_at = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later plan reads."""
-        self._delete(df._written_at)
+#: Rows up to which a side of (id, flag) pairs may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -63,6 +18,38 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs, a table (doc_id, text), whose id is in column doc_id of ids (distinct).
+
+    Few ids are broadcast. Of many, a Bloom filter of bounded size is, so that
+    only texts of members, and of what the filter lets through, move to the
+    equi-join that decides.
+    """
+    n = ids.count()
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    blocks = min(bloom.blocks_for(n), bloom.BROADCAST_BLOCKS)
+    key, filled = F.col("doc_id"), F.broadcast(bloom.table(ids, "doc_id", blocks))
+    maybe = docs.withColumn("block", bloom.block(key, blocks)).join(filled, "block").where(bloom.passed(key))
+    return maybe.select(*docs.columns).join(ids, "doc_id", "left_semi").select(*docs.columns)
+
+
+def unlike(columns: list[str], results) -> list[str]:
+    """The columns that are not called like a result, in any case."""
+    taken = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def fresh(columns: list[str], names: list[str]) -> list[str]:
+    """names, each with underscores before it until no column is called so, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def components(work: Work, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node that links reach.
 

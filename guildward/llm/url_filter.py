@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guildward.llm import bloom
+
 #: (verdict, host, path) rules; a host covers its subdomains, a path what starts with it, the longest rule wins.
 RULES = [
     ("block", "com", "/en/"),
@@ -24,14 +26,11 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Hosts and languages of the default list: every numbered article of these.
-LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "spam-farm.example.net", "cheap-pills.example.org")
-LISTED_LANGS = ("en", "de", "fr", "es")
-LISTED_ARTICLES = 1000
-LANES = 8
-BITS_PER_URL = 16
-#: Rows of a block table (36 bytes each) that may be broadcast; beyond it the probe join shuffles.
-BROADCAST_BLOCKS = 1_000_000
+#: Families of hosts whose pages the default list holds: the label before the registered domain.
+LISTED_FAMILIES = ("spam-farm", "cheap-pills")
+#: Bytes of listed URLs that may be broadcast; beyond it the possible hits are shuffled to the list.
+BROADCAST_BYTES = 16 << 20
+RESULTS = ["host", "path", "rule", "verdict", "listed"]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,62 +56,49 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def listed_urls(spark: SparkSession) -> DataFrame:
-    """Default list (canonical): articles 0 to 999 in four languages of four hosts."""
-    hosts, langs = F.array(*map(F.lit, LISTED_HOSTS)), F.array(*map(F.lit, LISTED_LANGS))
-    ids = spark.range(LISTED_ARTICLES).select(F.col("id").cast("string").alias("n"), F.explode(hosts).alias("host"))
-    return ids.select("n", "host", F.explode(langs).alias("lang")).select(F.concat_ws("/", "host", "lang", "n").alias("canonical"))
-
-
-def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url, F.lit("block")), F.lit(blocks))
-
-
-def _bit(url: Column, lane: int) -> Column:
-    return F.call_function("shiftleft", F.lit(1), F.pmod(F.hash(url, F.lit(lane)), F.lit(32)))
-
-
-def bloom(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, lane0..lane7) over column canonical; bits are or-ed map-side first."""
-    lanes = [F.bit_or(_bit(F.col("canonical"), k)).alias(f"lane{k}") for k in range(LANES)]
-    return listed.groupBy(_block(F.col("canonical"), blocks).alias("block")).agg(*lanes)
+def listed_urls(pages: DataFrame, url: str = "url") -> DataFrame:
+    """Default list (canonical): the URLs of all pages of LISTED_FAMILIES, found by a pass over the whole table."""
+    host, path = host_and_path(F.col(url))
+    found = pages.select(host.alias("host"), canonical(host, path).alias("canonical"))
+    return found.where(F.col("host").rlike(rf"(^|\.)({'|'.join(LISTED_FAMILIES)})\.")).select("canonical").distinct()
 
 
 def on_list(urls: DataFrame, listed: DataFrame, url: str = "canonical") -> DataFrame:
     """urls with boolean ``listed``: the filter passes possible hits, an equi-join on the text decides them."""
+    names = urls.columns
+    rows = urls.toDF(*[f"c{i}" for i in range(len(names))])
+    key = F.col(f"c{names.index(url)}")
     listed = listed.where("canonical is not null").select("canonical").distinct()
-    n = listed.count()
-    blocks = max(1, -(-n * BITS_PER_URL // (32 * LANES)))
-    table = bloom(listed, blocks)
-    table = F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table
-    probe = urls.withColumn("_block", _block(F.col(url), blocks)).join(table.withColumnRenamed("block", "_block"), "_block", "left")
-    passed = F.lit(True)
-    for k in range(LANES):
-        passed = passed & (F.col(f"lane{k}").bitwiseAND(_bit(F.col(url), k)) != 0)
-    probe = probe.withColumn("_maybe", F.coalesce(passed, F.lit(False))).drop("_block", *[f"lane{k}" for k in range(LANES)])
-    exact = listed.select(F.col("canonical").alias("_listed"))
-    if n <= BROADCAST_BLOCKS:
-        key = F.when(F.col("_maybe"), F.col(url))
-        return probe.join(F.broadcast(exact), key == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull()).drop("_listed", "_maybe")
-    # a list too large to ship: only the possible hits are shuffled
-    hits = probe.where("_maybe").join(exact, F.col(url) == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull())
-    misses = probe.where("not _maybe").withColumn("listed", F.lit(False))
-    return hits.drop("_listed", "_maybe").unionByName(misses.drop("_maybe"))
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canonical")), F.lit(0))).first()
+    blocks = bloom.blocks_for(n)
+    table = bloom.table(listed, "canonical", blocks)
+    table = F.broadcast(table) if blocks <= bloom.BROADCAST_BLOCKS else table
+    own = [f"c{i}" for i in range(len(names))]
+    probe = rows.withColumn("block", bloom.block(key, blocks)).join(table, "block", "left").select(*own, bloom.passed(key).alias("maybe"))
+    exact = listed.select(F.col("canonical").alias("exact"))
+    if size <= BROADCAST_BYTES:
+        out = probe.join(F.broadcast(exact), F.when(F.col("maybe"), key) == F.col("exact"), "left").withColumn("hit", F.col("exact").isNotNull())
+    else:  # only the possible hits are shuffled
+        hits = probe.where("maybe").join(exact, key == F.col("exact"), "left").withColumn("hit", F.col("exact").isNotNull())
+        out = hits.drop("exact").unionByName(probe.where("not maybe").withColumn("hit", F.lit(False)))
+    return out.select(*[F.col(c).alias(name) for c, name in zip(own, names, strict=True) if name.lower() != "listed"], F.col("hit").alias("listed"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
-    """pages with host, path, rule, listed and verdict; a rule decides first, then the list."""
-    host, path = host_and_path(F.col(url))
-    df = pages.withColumns({"host": host, "path": path})
+    """pages with RESULTS; a rule decides first, then the list."""
+    names = pages.columns
+    df = pages.toDF(*[f"c{i}" for i in range(len(names))])
+    host, path = host_and_path(F.col(f"c{names.index(url)}"))
+    df = df.withColumns({"host": host, "path": path})
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    df = df.withColumns({"rule": rule, "verdict": verdict, "_canonical": canonical(F.col("host"), F.col("path"))}).drop("listed")
-    df = on_list(df, listed, "_canonical").drop("_canonical")
-    return df.withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")))
+    df = df.withColumns({"rule": rule, "verdict": verdict, "canonical": canonical(F.col("host"), F.col("path"))})
+    df = on_list(df, listed).withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")))
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in RESULTS], *RESULTS)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return judge(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 OP2_SQL = r"""
@@ -131,12 +117,10 @@ WITH u AS (
          max_by(kind, length(rules.h || rules.p)) AS kind
   FROM h JOIN rules ON (h.host = rules.h OR ends_with(h.host, '.' || rules.h)) AND starts_with(h.path, rules.p)
   GROUP BY page_id
-), listed AS (
-  SELECT DISTINCT host || '/' || lang || '/' || n AS canonical
-  FROM (SELECT unnest(['spam-farm.example.org', 'cheap-pills.example.com', 'spam-farm.example.net', 'cheap-pills.example.org']) AS host),
-       (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang), range(1000) t(n)
 ), c AS (
   SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html)?/*$', '') AS canonical FROM h
+), listed AS (
+  SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')
 )
 SELECT c.page_id, c.host, c.path, fit.rule, coalesce(fit.kind, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        l.canonical IS NOT NULL AS listed
