@@ -8,7 +8,8 @@ Encoded words are cached per worker, within a bound.
 
 The file's settings are those of its kind: NFC, white space to one space, lower
 case, split into contractions, letter runs, single numerals and other runs, then
-bytes with a word-end mark. Its special strings in a text become their own ids.
+bytes with a word-end mark; a file with others is refused. Its special strings in
+a text become their own ids.
 
 Defined cases: a null text is an empty one, without tokens, and decodes to the
 empty string; equal texts get equal ids; rows repeat as in the input; other
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from guildward.llm import arrow
-from guildward.llm.common import texts
+from guildward.llm.common import texts, unlike
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of at most so many parts are scanned; longer ones use a heap.
@@ -45,6 +46,30 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: The settings that encoding assumes, as the file writes them (fixed values).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def as_assumed(data: dict) -> bool:
+    """Whether a vocabulary file's settings are those that this module encodes by."""
+    model, empty = data["model"], ("dropout", "unk_token", "continuing_subword_prefix")
+    added = all(not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in data["added_tokens"])
+    return (
+        (data["normalizer"] or {}).get("normalizers") == NORMALIZERS
+        and (data["pre_tokenizer"] or {}).get("pretokenizers") == PRE_TOKENIZERS
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in (*empty, "byte_fallback", "ignore_merges"))
+        and data["post_processor"] is None
+        and data["decoder"] is None
+        and added
+    )
+
+
 #: Up to U+024F texts are in NFC and lower-case letter by letter, to letters up to U+02AF, but for U+0130, U+023A and U+023E.
 _BEYOND_LATIN = re.compile("[^\\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
 _LETTER, _NUMERAL = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -95,6 +120,8 @@ class Encoder:
     def __init__(self, path: str, cached: int = 250_000):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        if not as_assumed(data):
+            raise ValueError(f"{path} doesn't have the settings that are assumed here")
         vocab, model = data["model"]["vocab"], data["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.special = {a["content"]: a["id"] for a in data["added_tokens"]}
@@ -106,8 +133,7 @@ class Encoder:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[vocab[a] << _ID_BITS | vocab[b]] = rank << _ID_BITS | vocab[a + b]
-        split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.split = regex.compile(split)
+        self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.path, self.library = path, None
         self.parts = _Bounded(self._part, cached)
@@ -233,7 +259,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
             ids = [e.encode(t) for t in texts(b.column(b.schema.get_field_index(text)))]
             yield [ids, [len(i) // 4 for i in ids]]
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_tokens")]
+    keep = unlike(docs.columns if keep is None else keep, ("ids", "n_tokens"))
     return arrow.append_columns(docs, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], make, keep)
 
 
@@ -246,7 +272,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             column = b.column(b.schema.get_field_index(ids)).to_pylist()
             yield [[e.decode(struct.unpack(f"<{len(i) // 4}I", i)) if i else "" for i in column]]
 
-    return arrow.append_columns(encoded, [T.StructField("decoded", T.StringType())], make, [c for c in encoded.columns if c != "decoded"])
+    return arrow.append_columns(encoded, [T.StructField("decoded", T.StringType())], make, unlike(encoded.columns, ["decoded"]))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -263,7 +289,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
                 rows.append((len(ids) // 4, sha(ids), sha(decoded)))
             yield list(zip(*rows, strict=True)) if rows else [[], [], []]
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in fields}]
+    keep = unlike(docs.columns if keep is None else keep, [f.name for f in fields])
     return arrow.append_columns(docs, fields, make, keep)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from guildward.llm import arrow
-from guildward.llm.common import texts
+from guildward.llm.common import texts, unlike
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -435,7 +435,7 @@ def extract(pages: DataFrame, source: str = "html", keep: list[str] | None = Non
             out = [main_text(x) for x in texts(b.column(b.schema.get_field_index(source)))]
             yield [out, list(map(len, out))]
 
-    keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
+    keep = unlike(pages.columns if keep is None else keep, ("text", "n_chars"))
     return arrow.append_columns(pages, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], make, keep)
 
 

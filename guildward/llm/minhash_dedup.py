@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guildward.llm import arrow
-from guildward.llm.common import Work, WordHash, components, sized, texts
+from guildward.llm.common import Work, WordHash, among, components, texts
 
 REGISTERS, ROWS = 512, 8
 BANDS = REGISTERS // ROWS
@@ -153,7 +153,7 @@ def bands(sets: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
     """(doc_id, digest, set) of the documents with these ids; the set as little-endian 64-bit hashes."""
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(sized(ids), "doc_id", "left_semi")
+    picked = among(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), ids)
 
     def make(batches):
         table = WordHash()
@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, text: st
     banded = bands(sets).repartition("key")
     shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.min("doc_id").alias("pivot")).where("_n > 1").drop("_n")
     members = work.table(banded.join(shared, "key"), "members")
-    ids = members.select("doc_id").distinct()
+    ids = work.table(members.select("doc_id").distinct(), "ids")
     full = full_sets(docs, ids, width, text, doc_id).join(sets.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
     full = work.table(full.dropDuplicates(["doc_id", "digest"]).select("doc_id", "set"), "full")
     pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))

@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences of fixed capacity, under conflicts.
 
-Documents are dealt to shards of bounded size by a hash of their id, so a hot
-source spreads over all shards, and each shard is packed by itself, longest
+Documents are dealt to shards of bounded size by a hash of what they are, so a hot
+source spreads over all shards, and so do rows that repeat, and each shard is packed by itself, longest
 last piece first. Bins are ordered by what they have left and carry a bitmap of the sources
 and one of the duplicate clusters in them: no bin holds two documents of one
 source or of one cluster. A document goes to the tightest bin that is compatible;
@@ -34,6 +34,8 @@ from guildward.llm.common import texts
 CAPACITY = 2048
 #: Documents of a shard, about.
 SHARD_DOCS = 16_384
+#: Equal items that are dealt together.
+ALIKE = 16
 #: Sources with more than this share of a shard get a bitmap of residuals.
 HOT_SHARE = 0.01
 
@@ -124,28 +126,44 @@ def pack_shard(ids: list, lengths: list[int], sources: list, clusters: list, cap
     return out
 
 
-def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc_id, source, length, cluster): words and end mark of the whole text; copies up to case and white space share a cluster."""
+def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", cluster: str | None = None) -> DataFrame:
+    """(doc_id, source, length, cluster): words and end mark of the whole text.
+
+    cluster names a column with a document's group of near copies (as the
+    component_id of ``near_duplicates``); without one, exact copies up to case
+    and white space share a cluster.
+    """
 
     def make(batches):
         for b in batches:
             words = [arrow.words_of(t) for t in texts(b.column(b.schema.get_field_index("_text")))]
             yield [[len(w) + 1 for w in words], [xxhash.xxh3_64_intdigest(b" ".join(w).lower()) - (1 << 63) if w else None for w in words]]
 
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(source).alias("_hash"), F.col(source).alias("_source"), F.col(text).alias("_text"))
-    picked = picked.withColumn("source", F.when(F.col("_source").isNotNull(), F.col("_hash"))).drop("_hash", "_source")
+    known = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    group = [known(cluster).alias("_group")] if cluster else []
+    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), known(source).alias("source"), F.col(text).alias("_text"), *group)
     fields = [T.StructField("length", T.LongType()), T.StructField("cluster", T.LongType())]
-    return arrow.append_columns(picked, fields, make, ["doc_id", "source"])
+    out = arrow.append_columns(picked, fields, make, ["doc_id", "source", *(["_group"] if cluster else [])])
+    return out.withColumn("cluster", F.col("_group")).drop("_group") if cluster else out
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shards: int | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, bin_id) for items (doc_id, source, length, cluster)."""
+    """(doc_id, piece, start, length, bin_id) for items (doc_id, source, length, cluster).
+
+    Equal items are counted first, and each ALIKE of them are dealt by
+    themselves, so that a row that repeats without bound has no shard of its own.
+    """
     if shards is None:
         shards = max(1, -(-items.select("doc_id").count() // SHARD_DOCS))
-    deal: Column = F.pmod(F.xxhash64("doc_id", "length"), F.lit(shards))
+    alike = items.groupBy("doc_id", "source", "length", "cluster").agg(F.count("*").alias("times"))
+    lots = F.floor((F.col("times") - 1) / ALIKE)
+    alike = alike.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), lots)))
+    alike = alike.withColumn("times", F.least(F.col("times") - F.col("lot") * ALIKE, F.lit(ALIKE)))
+    deal: Column = F.pmod(F.xxhash64("doc_id", "source", "length", "cluster", "lot"), F.lit(shards))
 
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
+        t = t.take(np.repeat(np.arange(t.num_rows), t["times"].to_numpy()))
         t = t.sort_by([("doc_id", "ascending"), ("length", "ascending"), ("source", "ascending"), ("cluster", "ascending")])
         ids = t["doc_id"].to_pylist()
         rows = pack_shard(ids, t["length"].to_pylist(), t["source"].to_pylist(), t["cluster"].to_pylist(), capacity)
@@ -160,7 +178,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shards: int | None = None)
             }
         )
 
-    dealt = items.select("doc_id", "source", "length", "cluster", deal.alias("shard"))
+    dealt = alike.select("doc_id", "source", "length", "cluster", "times", deal.alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, length long, bin_id long")
 
 

@@ -7,8 +7,9 @@ is the sigmoid of an intercept and one table entry per feature and pair.
 
 Defined cases: a null text is an empty one and is scored like any other; with no
 labelled rows every score is 0.9 (nothing speaks against a document); rows
-without a doc_id are never learnt from; repeated rows give repeated rows; other
-columns pass through ``score`` unless they are called like its results.
+without a doc_id are never learnt from, and rows that repeat one count once;
+repeated rows give repeated rows; other columns pass through ``score`` unless
+they are called like its results, whose names may be chosen.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guildward.llm import arrow
-from guildward.llm.common import texts
+from guildward.llm.common import texts, unlike
 
 #: Labelled rows that a model is fitted on at most: those whose doc_id hashes lowest.
 SAMPLE_ROWS = 20_000
@@ -186,13 +187,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text: str
     usable = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out("doc_id"))
     sample = usable.groupBy("doc_id").agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
-    got = with_features(picked, "text", ["doc_id", "_quality"]).limit(2 * rows).toArrow().sort_by("doc_id")
+    # rows that repeat an id count once, with the least of their features: a row a label, so within the bound
+    once = with_features(picked, "text", ["doc_id", "_quality"]).groupBy("doc_id", "_quality").agg(F.min("_features").alias("_features"))
+    got = once.toArrow().sort_by("doc_id")
     x = np.array(got.column("_features").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, np.array(got.column("_quality").to_pylist(), float))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns of ``keep``) with score (0 to 1) and predicted (1 from KEEP_FROM on)."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs (or the columns of ``keep``) with score (0 to 1) and predicted (1 from KEEP_FROM on) under these names."""
 
     def make(batches):
         for b in batches:
@@ -200,8 +203,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             s = model.score(x)
             yield [s, (s >= KEEP_FROM).astype(np.int32)]
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    return arrow.append_columns(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, keep)
+    keep = unlike(docs.columns if keep is None else keep, names)
+    return arrow.append_columns(docs, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], make, keep)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

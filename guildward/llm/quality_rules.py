@@ -15,7 +15,7 @@ Defined cases: a null or empty text has no words, zero counts, score 0 and fails
 the base rule; with no trusted documents all scores are 0; with none that meets
 the base rules no score is too low; repeated rows give
 repeated rows and count as often; other columns pass through ``judge`` unless
-they are called like its results, which replace them.
+they are called like its results, whose names may be chosen.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guildward.llm import arrow
-from guildward.llm.common import WordHash, sized, texts
+from guildward.llm.common import WordHash, among, texts, unlike
 
 #: Buckets are a power of two: n-grams are counted in MOST_BUCKETS, then folded while a bucket holds LOAD or fewer and LEAST_BUCKETS are left.
 LEAST_BUCKETS = 1 << 15
@@ -65,34 +65,28 @@ def _hashes(table: WordHash, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 
-def ngram_counts(docs: DataFrame, text: str, trusted: str) -> DataFrame:
-    """(bucket, raw, trusted): n-grams of all documents, and of those whose column ``trusted`` is true."""
+def ngram_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(bucket, n): n-grams of all documents; counts are added up per task first."""
 
     def run(batches):
-        table, raw, good = WordHash(), np.zeros(MOST_BUCKETS, np.int64), np.zeros(MOST_BUCKETS, np.int64)
+        table, n = WordHash(), np.zeros(MOST_BUCKETS, np.int64)
         for b in batches:
-            flags = b.column(1).to_pylist()
-            at = 0
             for part in arrow.chunks(texts(b.column(0))):
-                each = [buckets_of(_hashes(table, w)) if (w := arrow.words_of(t)) else None for t in part]
-                own = [x for x in each if x is not None]
-                picked = [x for x, f in zip(each, flags[at : at + len(part)], strict=True) if f and x is not None]
-                at += len(part)
-                for into, which in ((raw, own), (good, picked)):
-                    if which:
-                        into += np.bincount(np.concatenate(which), minlength=MOST_BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "trusted"])
-
-    counted = docs.select(text, trusted).mapInArrow(run, "bucket long, raw long, trusted long")
-    return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-
-
-def totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(raw, trusted) of every bucket, folded to the table's size."""
-    got = counts.toArrow()
+                each = [buckets_of(_hashes(table, w)) for t in part if (w := arrow.words_of(t))]
+                if each:
+                    n += np.bincount(np.concatenate(each), minlength=MOST_BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["bucket", "n"])
+
+    return docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+def totals(all_: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(raw, trusted) counts of every bucket, folded to the table's size."""
     raw, good = np.zeros(MOST_BUCKETS), np.zeros(MOST_BUCKETS)
-    raw[got["bucket"].to_numpy()], good[got["bucket"].to_numpy()] = got["raw"].to_numpy(), got["trusted"].to_numpy()
+    for counts, into in ((all_, raw), (trusted, good)):
+        got = counts.toArrow()
+        into[got["bucket"].to_numpy()] = got["n"].to_numpy()
     while len(raw) > LEAST_BUCKETS and raw.sum() <= LOAD * (len(raw) // 2):
         # h % (n / 2) is h % n % (n / 2)
         raw, good = raw.reshape(2, -1).sum(0), good.reshape(2, -1).sum(0)
@@ -111,8 +105,8 @@ def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     return share(good, SMOOTHING * good.sum() / raw.sum(), len(raw), good.sum()) - share(raw, SMOOTHING, len(raw), raw.sum())
 
 
-def trusted_threshold(docs: DataFrame, raw: np.ndarray, good: np.ndarray, text: str, trusted: str) -> float:
-    """The threshold that the scores of all trusted documents set; counts of steps are added up, so order doesn't matter."""
+def trusted_threshold(docs: DataFrame, raw: np.ndarray, good: np.ndarray, text: str) -> float:
+    """The threshold that the scores of docs, the trusted documents, set; counts of steps are added up, so order doesn't matter."""
     size, total = len(raw), good.sum()
     more = SMOOTHING * total / max(1, raw.sum())
     log_raw = share(raw, SMOOTHING, size, raw.sum())
@@ -131,7 +125,7 @@ def trusted_threshold(docs: DataFrame, raw: np.ndarray, good: np.ndarray, text:
                 steps[step] = steps.get(step, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(steps), pa.int64()), pa.array(list(steps.values()), pa.int64())], names=["step", "n"])
 
-    counted = docs.where(trusted).select(text).mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
     rows = sorted((r["step"], r["n"]) for r in counted.collect())
     if not rows:
         return -math.inf
@@ -156,14 +150,14 @@ def base_counts(text: bytes | None, hashes: np.ndarray) -> tuple[int, int, int,
     )
 
 
-def judge(docs: DataFrame, model: Model, text: str = "text", threshold: float | None = None, keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns of ``keep``) with RESULTS; threshold replaces the model's."""
+def judge(
+    docs: DataFrame, model: Model, text: str = "text", threshold: float | None = None, keep: list[str] | None = None, names: list[str] | None = None
+) -> DataFrame:
+    """docs (or the columns of ``keep``) with RESULTS, or these under the names given; threshold replaces the model's."""
     ratios, threshold = model.ratios, model.threshold if threshold is None else threshold
-    fields = [T.StructField(c, T.LongType()) for c in RESULTS[:5]] + [
-        T.StructField("llr", T.DoubleType()),
-        T.StructField("base_failed", T.BooleanType()),
-        T.StructField("kept", T.BooleanType()),
-    ]
+    names = RESULTS if names is None else names
+    kinds = [T.LongType()] * 5 + [T.DoubleType(), T.BooleanType(), T.BooleanType()]
+    fields = [T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]
 
     def make(batches):
         table = WordHash()
@@ -178,18 +172,18 @@ def judge(docs: DataFrame, model: Model, text: str = "text", threshold: float |
                 rows.append((n, *counts, llr, failed, not failed and llr >= threshold))
             yield list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
 
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
+    keep = unlike(docs.columns if keep is None else keep, names)
     return arrow.append_columns(docs, fields, make, keep)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
     """Log ratios and threshold with the documents that labels call good (quality 1) as the trusted ones; counts all documents."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    flagged = docs.select(doc_id, text).join(sized(good), F.col(doc_id) == F.col("_good"), "left")
-    flagged = flagged.withColumn("_trusted", F.col("_good").isNotNull())
-    raw, trusted = totals(ngram_counts(flagged, text, "_trusted"))
-    threshold = trusted_threshold(flagged, raw, trusted, text, "_trusted") if trusted.any() else -math.inf
-    return Model(log_ratios(raw, trusted), threshold)
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    trusted = among(docs, good)
+    raw, of_trusted = totals(ngram_counts(docs, "text"), ngram_counts(trusted, "text"))
+    threshold = trusted_threshold(trusted, raw, of_trusted, "text") if of_trusted.any() else -math.inf
+    return Model(log_ratios(raw, of_trusted), threshold)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,11 @@ table and frame 0, then decompresses only the documents that it wants.
 Files are written by Spark's text sink, one row a file: each row is a file's
 bytes without its last four, and these, the seek table's magic number, are the
 sink's line separator. Writes so go through the committer and any Hadoop store,
-and a lost task leaves no half file. Files cover ascending ranges of doc_id.
+and a lost task leaves no half file. This rests on the sink copying a string's
+bytes as they are, valid UTF-8 or not; every frame's checksum would tell if it
+did not, and a test writes all byte values. Files cover ascending ranges of
+doc_id; a running total over them, a row each, needs one task: FILE_BYTES bounds
+their number at some ten thousand a terabyte of ids.
 
 Defined cases: a null text is an empty one; every document ends with the end id;
 null doc_ids come first; rows with equal doc_id follow each other in the order of
@@ -18,6 +22,7 @@ their ids' bytes; an empty table writes no frames.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guildward.llm import arrow
-from guildward.llm.bpe import _Bounded, _byte_letters, latin_parts, vocabulary_path
+from guildward.llm.bpe import _Bounded, _byte_letters, as_assumed, latin_parts, vocabulary_path
 from guildward.llm.common import Work, sized, texts
 
 END_ID = 2
@@ -51,7 +56,8 @@ class Library:
     """Ids by the tokenizers library, part by part with a cache.
 
     Latin texts are split as the library splits them; of others a word is the
-    unit, as no token spans ASCII white space.
+    unit, as no token spans ASCII white space. Under a file with other settings
+    than those assumed the library encodes whole texts.
     """
 
     def __init__(self, path: str, cached: int = 250_000):
@@ -64,6 +70,8 @@ class Library:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = f"<u{self.width}"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            self.by_parts = as_assumed(json.load(f))
         self.parts = _Bounded(self._part, cached)
         self.words = _Bounded(self._word, cached // 4)
 
@@ -81,6 +89,8 @@ class Library:
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
+        if not self.by_parts:
+            return self._packed(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids)
         parts = latin_parts(text)
         if parts is None:
             words = self.words
