@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guildward.llm import minhash_dedup, packing, quality_model, quality_rules, secrets_scan
-from guildward.llm.common import Work, sized
+from guildward.llm.common import Work, fresh, sized
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,28 +16,38 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from labels of these documents, predicts to be good."""
     model = quality_model.train(docs, _labels(spark, sf_dir))
-    return quality_model.score(docs, model).where("predicted = 1").select(*docs.columns)
+    score, predicted = fresh(docs.columns, ["score", "predicted"])
+    return quality_model.score(docs, model, names=(score, predicted)).where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet the base rules and whose n-grams are likely enough under the trusted text."""
     model = quality_rules.fit(docs, _labels(spark, sf_dir))
-    return quality_rules.judge(docs, model, keep=docs.columns).where("kept").select(*docs.columns)
+    names = fresh(docs.columns, quality_rules.RESULTS)
+    return quality_rules.judge(docs, model, names=names).where(F.col(names[-1])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document, that of the smallest id, of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    A document is an id: rows that repeat one are copies of a document, whatever
+    their texts, and the row with the least hash of its columns stays. Rows
+    without an id are kept.
+    """
+    (id_,) = fresh(docs.columns, ["id"])
+    same = F.col("doc_id") == F.col(id_)
     found = minhash_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = found.where("not kept").select(F.col("doc_id").alias(id_)).distinct()
+    left = docs.join(sized(gone), same, "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_))
     if not twice.limit(1).count():
         return left
-    # rows that repeat an id are one document: one row of each stays
-    again = left.join(sized(twice), "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    again = again.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
-    return left.join(sized(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    again = left.join(sized(twice), same, "left_semi")
+    # the least of a hash and the row is found map-side, so an id that repeats without bound needs no large group
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    first = again.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
+    first = first.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return left.join(sized(twice), same, "left_anti").unionByName(first)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
