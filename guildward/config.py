@@ -12,7 +12,14 @@ MAX_SIGNALS = 20
 DEFAULT_MUTE_MINUTES = 10
 REVIEW_WINDOW_MS = 24 * 3_600_000
 STATE_IDLE_MS = 2 * 3_600_000
-REVIEW_ATTEMPTS, REVIEW_TIMEOUT_S, REVIEW_BACKOFF_MS = 3, 8, 250
+REVIEW_ATTEMPTS, REVIEW_TIMEOUT_S, REVIEW_BACKOFF_MS, REVIEW_CAPACITY = 3, 8, 250, 100
+RULES_TTL_S, RETENTION_EVERY_S = 30, 6 * 3600
+#: Least and greatest value of each numeric setting, null where there is none.
+RANGES = {
+    "flood_rate_per_minute": (1, 240), "flood_burst_allowance": (1, 50), "flood_cooldown_seconds": (10, 3600), "offense_window_hours": (1, 168),
+    "audit_retention_days": (1, None),
+}
+LEVEL_RANGES = {"offense_count": (1, 100), "mute_minutes": (1, 10_080)}
 WORDLIST_BYTES, WORDLIST_LINES, WORDLIST_PATTERN = 2 * 1024 * 1024, 100_000, 200
 PRESETS = {
     "relaxed": (24, 12, 90_000, 24),
@@ -103,13 +110,28 @@ class Config:
     model: str = ""
     signal: str = ""
     bot_name: str = ""
-    welcome_message: str = "{username}，欢迎加入本群。"
+    welcome_message: str = "{username}，欢迎加入本群，我是群管家 {botName}。"
     leave_message: str = "{userId} 退出了群聊。"
 
     def __post_init__(self):
         if self.governance_preset not in (*PRESETS, "custom"):
             raise ValueError(f"unknown preset {self.governance_preset!r}")
 
+    def checked(self) -> Config:
+        """The settings themselves; ValueError where a value is out of its range or a level is not one."""
+        for name, bounds in RANGES.items():
+            _in_range(name, getattr(self, name), bounds)
+        levels = self.punishment_levels or []
+        if len(levels) > 10:
+            raise ValueError("there may be ten punishment levels")
+        for level in levels:
+            if level.get("offense_count") is None or level.get("action") not in ("warn", "mute", "kick"):
+                raise ValueError(f"a punishment level needs offense_count and an action of warn, mute, kick: {level!r}")
+            for name, bounds in LEVEL_RANGES.items():
+                if level.get(name) is not None:
+                    _in_range(name, level[name], bounds)
+        return self
+
     def policy(self) -> Policy:
         levels = ladder(self.punishment_levels)
         if self.governance_preset != "custom":
@@ -127,9 +149,15 @@ class Config:
         return not self.guild_ids or guild_id in self.guild_ids
 
 
+def _in_range(name: str, value, bounds: tuple) -> None:
+    least, most = bounds
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value < least or most is not None and value > most:
+        raise ValueError(f"{name} must be a number from {least}" + (f" to {most}" if most is not None else "") + f", not {value!r}")
+
+
 def flatten(sections: dict) -> Config:
-    """A Config of nested sections; of equal names the last section's value holds, unknown names are errors."""
+    """A Config of nested sections; of equal names the last section's value holds, unknown names and values out of range are errors."""
     flat: dict = {}
     for value in sections.values():
         flat |= value or {}
-    return Config(**flat)
+    return Config(**flat).checked()

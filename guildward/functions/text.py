@@ -13,6 +13,7 @@ from guildward import config, schemas
 
 #: White space of the message format: Unicode space separators, line ends and the byte order mark (fixed value).
 SPACE = r"[\x09-\x0D\x20\xA0  -     　﻿]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
 _ZERO_WIDTH, _JOINER = "​‌‍﻿", "⁠"
 
 
@@ -117,8 +118,23 @@ def leave(template: Column, user_id: Column) -> Column:
     return replace_first(template, "{userId}", F.coalesce(user_id, F.lit("")))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number from 0 on with one or two decimals: the nearest to its exact binary value, of two equally near the greater.
+
+    The product with the scale is taken as a sum of two doubles without error, as
+    a formatter that rounds the decimal notation differs where that ends in 5.
+    """
+    scale, x = 10**digits, x.cast("double")
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * float(scale)
+    error = (high * float(scale) - product) + (x - high) * float(scale)
+    n = F.floor(product)
+    n = n + F.when((product - n - 0.5) + error >= 0, 1).otherwise(0)
+    return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+
 def percent(x: Column) -> Column:
-    return F.format_string("%.1f%%", x * 100)
+    return F.concat(fixed(x * 100, 1), F.lit("%"))
 
 
 def parse_scope(x: Column) -> Column:
@@ -131,6 +147,29 @@ def parse_time(x: Column) -> Column:
     return F.coalesce(F.unix_millis(F.try_to_timestamp(x)), F.lit(0))
 
 
+def label(x: Column, kind: str) -> Column:
+    """The console's name of a signal, action, status, stage or result; of an unknown value the value itself."""
+    return mapped(x, schemas.LABELS_OF[kind], x)
+
+
+def normalize_action(x: Column, fallback: str) -> Column:
+    return F.when(x.isin(*schemas.ACTION_RANK), x).otherwise(F.lit(fallback))
+
+
+def punishment_action(x: Column) -> Column:
+    """What a level of the ladder may do; anything else warns."""
+    return F.when(x.isin("mute", "kick"), x).otherwise(F.lit("warn"))
+
+
+def local_time(x: Column) -> Column:
+    """An ISO time in the session's time zone as the console shows it; what is no time stays as it is."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(x), "yyyy/M/d HH:mm:ss"), x)
+
+
+def megabytes(x: Column) -> Column:
+    return F.format_string("%d MB", F.floor(x / (1024 * 1024) + 0.5))
+
+
 def iso(x: Column) -> Column:
     return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -138,8 +177,8 @@ def iso(x: Column) -> Column:
 def file_size(x: Column) -> Column:
     return (
         F.when(x < 1024, F.format_string("%d B", x.cast("long")))
-        .when(x < 1024 * 1024, F.format_string("%.1f KB", x / 1024))
-        .otherwise(F.format_string("%.1f MB", x / (1024 * 1024)))
+        .when(x < 1024 * 1024, F.concat(fixed(x / 1024, 1), F.lit(" KB")))
+        .otherwise(F.concat(fixed(x / (1024 * 1024), 2), F.lit(" MB")))
     )
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guildward import config
 from guildward.functions import review_json, text
@@ -38,7 +40,10 @@ def event(signals: DataFrame, stage: Column, result: Column, evidence: Column |
 
 def audits(decisions: DataFrame, status: Column) -> DataFrame:
     """An audit for each decision that asks for one; content is cut."""
-    content = F.left(F.coalesce("content", F.lit("")), F.lit(config.CONTENT_LIMIT)) if "content" in decisions.columns else F.lit("")
+    if "stored" in decisions.columns:
+        content = F.coalesce("stored", F.lit(""))
+    else:
+        content = F.left(F.coalesce("content", F.lit("")), F.lit(config.CONTENT_LIMIT)) if "content" in decisions.columns else F.lit("")
     return trace(decisions.where("write_audit")).select(
         "trace_id", "guild_id", "user_id", "message_id", "rule_id", F.col("code").alias("signal_code"), "source", "pattern", "evidence",
         F.col("final_action").alias("action"), status.alias("status"), "offense_count", (F.col("code") == "ai_review").alias("reviewed_by_ai"),
@@ -60,7 +65,7 @@ def request_audits(requests: DataFrame) -> DataFrame:
     silent = requests.where("status <> 'confirmed'").select(
         "message_id", "guild_id", "user_id", "t_ms", F.lit("ai_review").alias("code"), F.lit("content").alias("source"), F.lit("").alias("pattern"),
         "evidence", F.lit("silent").alias("final_action"), F.lit(0).cast("long").alias("rule_id"), F.lit(0).alias("offense_count"),
-        F.lit(True).alias("write_audit"), "content", "status",
+        F.lit(True).alias("write_audit"), "content", "status", *(["stored"] if "stored" in requests.columns else []),
     )
     return audits(silent, F.col("status")).withColumn("reviewed_by_ai", F.col("status") == "dismissed")
 
@@ -80,14 +85,16 @@ def review_key() -> Column:
     return F.when(has_id, F.concat_ws(":", "guild_id", message)).otherwise(F.concat_ws(":", "guild_id", "user_id", F.col("t_ms").cast("string")))
 
 
-def review_requests(candidates: DataFrame, enabled: bool, model: str = "", prompt: str = review_json.PROMPT) -> DataFrame:
+def review_requests(candidates: DataFrame, enabled: bool, model: str = "", prompt: str = review_json.PROMPT, capacity: int | None = None) -> DataFrame:
     """A request per message with candidate signals (and content): status, request JSON.
 
     Disabled reviews are skipped; a key that was queued within 24 hours before is
-    a duplicate, whether or not it failed.
+    a duplicate, whether or not it failed. capacity bounds what a micro-batch may
+    queue, in order of time; the rest fails, as a full queue takes no more.
     """
     ordered = F.array_sort(F.collect_list(F.struct("seq", "pattern", "evidence")))
-    df = candidates.groupBy("message_id", "guild_id", "user_id", "t_ms").agg(ordered.alias("_s"), F.first("content").alias("content"))
+    texts = [F.first(c).alias(c) for c in ("content", "stored") if c in candidates.columns]
+    df = candidates.groupBy("message_id", "guild_id", "user_id", "t_ms").agg(ordered.alias("_s"), *texts)
     df = df.withColumn("review_key", review_key())
     patterns = F.filter(F.transform("_s", lambda s: s["pattern"]), lambda p: p != "")
     body = review_json.request(F.lit(model), F.col("content"), patterns, F.transform("_s", lambda s: s["evidence"]), prompt)
@@ -96,14 +103,21 @@ def review_requests(candidates: DataFrame, enabled: bool, model: str = "", promp
         return df.withColumn("status", F.lit("skipped")).withColumn("evidence", F.lit("AI 复核未启用或未配置 API Key"))
     df = deduplicated(df)
     queued = F.when(F.col("duplicate"), "duplicate").otherwise("pending")
-    return df.withColumn("status", queued).withColumn("evidence", F.when(F.col("duplicate"), "重复消息复核任务").otherwise("等待 AI 复核")).drop("duplicate")
+    df = df.withColumn("status", queued).withColumn("evidence", F.when(F.col("duplicate"), "重复消息复核任务").otherwise("等待 AI 复核")).drop("duplicate")
+    if capacity is None:
+        return df
+    taken = df.where("status = 'pending'").orderBy("t_ms", "message_id").limit(capacity).select("message_id", F.lit(True).alias("_taken"))
+    df = df.join(F.broadcast(taken), "message_id", "left")
+    full = (F.col("status") == "pending") & F.col("_taken").isNull()
+    return df.withColumns({"evidence": F.when(full, "AI 复核队列已满").otherwise(F.col("evidence")), "status": F.when(full, "failed").otherwise(F.col("status"))}).drop("_taken")
 
 
 def deduplicated(requests: DataFrame, window_ms: int = config.REVIEW_WINDOW_MS, key: str = "review_key") -> DataFrame:
     """requests with duplicate: true within window_ms of the key's last one that was queued.
 
-    Which one was queued last depends on all before, so a key's times are folded
-    in order; only keys that repeat within the window reach the fold.
+    Which one was queued last depends on all before it in its run, so runs that
+    are longer than the window go through a fold, which reads its sorted partition
+    as a stream and remembers one time.
     """
     order = ["t_ms", "message_id"]
     w = Window.partitionBy(key).orderBy(*order)
@@ -111,11 +125,31 @@ def deduplicated(requests: DataFrame, window_ms: int = config.REVIEW_WINDOW_MS,
     df = requests.withColumn("_close", close)
     # a request no earlier than window_ms after its forerunner starts anew, whatever came before
     df = df.withColumn("_run", F.sum((~F.col("_close")).cast("int")).over(w))
-    run = Window.partitionBy(key, "_run").orderBy(*order)
-    times = F.collect_list("t_ms").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    queued = F.aggregate(times, F.lit(None).cast("long"), lambda last, t: F.when(last.isNull() | (t - last >= window_ms), t).otherwise(last))
-    first = F.row_number().over(run) == 1
-    return df.withColumn("duplicate", ~first & (queued < F.col("t_ms"))).drop("_close", "_run")
+    run = Window.partitionBy(key, "_run")
+    df = df.withColumn("_span", F.max("t_ms").over(run) - F.min("t_ms").over(run))
+    # in a run shorter than the window only its first request is queued
+    first = F.row_number().over(run.orderBy(*order)) == 1
+    short = df.withColumn("duplicate", ~first).where(F.col("_span") < window_ms).drop("_close", "_run", "_span")
+    names = requests.columns
+    schema = T.StructType([*requests.schema.fields, T.StructField("duplicate", T.BooleanType())])
+
+    def fold(batches):
+        of, last = None, None
+        for b in batches:
+            column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
+            out = []
+            for k, r, t in zip(column(key), column("_run"), column("t_ms"), strict=True):
+                if (k, r) != of or t - last >= window_ms:
+                    of, last = (k, r), t
+                    out.append(False)
+                else:
+                    out.append(True)
+            own = [b.column(b.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.bool_())], names=schema.names)
+
+    long = df.where(F.col("_span") >= window_ms).select(*names, "_run")
+    long = long.repartition(key, "_run").sortWithinPartitions(key, "_run", *order)
+    return short.select(*names, "duplicate").unionByName(long.mapInArrow(fold, schema))
 
 
 def reviewed(requests: DataFrame, answers: DataFrame) -> DataFrame:
@@ -148,6 +182,22 @@ def confirmed_signals(reviews: DataFrame) -> DataFrame:
     )
 
 
+def review_updates(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of answered reviews: rows for the append-only log of audit states (trace_id, status, action, evidence, updated_ms), and their events.
+
+    Each change makes an event of the review, and one of the decision unless it is pending still.
+    """
+    changed = trace(done.where("status <> 'pending'"))
+    action = F.when(F.col("status") == "confirmed", "delete").otherwise("silent")
+    log = changed.select("trace_id", "status", action.alias("action"), "evidence", F.coalesce("done_ms", "t_ms").alias("updated_ms"))
+    evidence = F.left("evidence", F.lit(config.EVIDENCE_LIMIT))
+    event_ = lambda stage, seq: log.select(
+        "trace_id", F.lit(stage).alias("stage"), F.lit("ai_review").alias("signal_code"), F.col("status").alias("result"), F.lit("").alias("pattern"),
+        evidence.alias("evidence"), F.col("updated_ms").alias("t_ms"), F.lit(seq).alias("seq"),
+    )
+    return log, event_("ai_review", 102).unionByName(event_("decision", 103))
+
+
 def latest(changes: DataFrame, key: str = "audit_id", time: str = "updated_ms", tie: str = "seq") -> DataFrame:
     """The last row of each audit in an append-only log of its states."""
     rest = [c for c in changes.columns if c != key]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guildward import schemas
 from guildward.config import Config
@@ -11,6 +12,7 @@ from guildward.functions import text
 
 #: Rows (two ids each) that a side may have to be broadcast.
 BROADCAST_ROWS = 1_000_000
+ROLES = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())]))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -22,21 +24,36 @@ def in_scope(config: Config, guild: str = "guild_id") -> Column:
     return F.col(guild).isin(*config.guild_ids) if config.guild_ids else F.lit(True)
 
 
-def privileged(config: Config) -> Column:
-    """Administrators by user id, or by a role whose id or name is one of the fixed role names."""
+def privileged(config: Config, roles: T.DataType | None = ROLES) -> Column:
+    """Administrators by user id, or by a role whose id or name is one of the fixed role names.
+
+    roles: type of column roles, an array of (id, name) or of plain names; null if there is no such column.
+    """
     names = schemas.PRIVILEGED_ROLES
-    by_role = F.exists(F.coalesce("roles", F.array().cast("array<struct<id:string,name:string>>")), lambda r: r["id"].isin(*names) | r["name"].isin(*names))
-    by_id = F.col("user_id").isin(*config.admin_user_ids) if config.admin_user_ids else F.lit(False)
-    return F.coalesce(by_id, F.lit(False)) | F.coalesce(by_role, F.lit(False))
+    by_id = F.coalesce(F.col("user_id").isin(*config.admin_user_ids), F.lit(False)) if config.admin_user_ids else F.lit(False)
+    if roles is None:
+        return by_id
+    plain = isinstance(roles, T.ArrayType) and isinstance(roles.elementType, T.StringType)
+    told = (lambda r: r.isin(*names)) if plain else (lambda r: r["id"].isin(*names) | r["name"].isin(*names))
+    return by_id | F.coalesce(F.exists("roles", lambda r: F.coalesce(told(r), F.lit(False))), F.lit(False))
+
+
+def has_text(content: str = "content") -> Column:
+    return F.coalesce(F.col(content).rlike(text.NOT_SPACE), F.lit(False))
+
 
+def gate(messages: DataFrame, config: Config, contents: DataFrame | None = None) -> DataFrame:
+    """Messages of guilds in scope with text, not by privileged users; none if the engine is off.
 
-def gate(messages: DataFrame, config: Config) -> DataFrame:
-    """Messages of guilds in scope with text, not by privileged users; none if the engine is off."""
+    With contents (content_id, content) the text is that of the message's content_id.
+    """
     if not config.enabled:
-        return messages.limit(0)
-    open_ = (F.coalesce("guild_id", F.lit("")) != "") & (text.trim(F.coalesce("content", F.lit(""))) != "") & in_scope(config)
-    messages = messages.where(open_)
-    return messages.where(~privileged(config)) if "roles" in messages.columns else messages
+        return messages.where(F.lit(False))
+    roles = messages.schema["roles"].dataType if "roles" in messages.columns else None
+    messages = messages.where((F.coalesce("guild_id", F.lit("")) != "") & in_scope(config) & ~privileged(config, roles))
+    if contents is None:
+        return messages.where(has_text())
+    return messages.join(contents.where(has_text()).select("content_id"), "content_id", "left_semi").select(*messages.columns)
 
 
 def members(access: DataFrame, list_type: str) -> DataFrame:

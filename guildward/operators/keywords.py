@@ -1,19 +1,20 @@
-"""Keyword rules against message texts: an equi-join with a containment test for few rules, an automaton for many."""
+"""Keyword rules against message texts: each text is searched once for the distinct patterns of all guilds, then rules join the hits."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guildward import config, schemas
 from guildward.functions import text
 from guildward.operators.gates import small
 
-#: Rules up to which each message of a guild is tested against each rule.
-JOIN_RULES = 64
-#: Rules that the automaton's table may hold to be shipped to every task; more go guild by guild through the join.
-AUTOMATON_RULES = 200_000
+#: Distinct patterns up to which each is searched for by itself; beyond it, automata do.
+FEW_PATTERNS = 64
+#: Patterns that an automaton holds, about; more are dealt to several, and each scans the texts.
+AUTOMATON_PATTERNS = 200_000
 
 
 def compiled(rules: DataFrame) -> DataFrame:
@@ -28,58 +29,69 @@ def ranked(hits: DataFrame, key: list[str]) -> DataFrame:
     return hits.withColumn("match_seq", F.row_number().over(w)).where(F.col("match_seq") <= config.MAX_SIGNALS)
 
 
-def match(messages: DataFrame, rules: DataFrame, key: list[str], keyword_text: str = "keyword_text", method: str = "auto") -> DataFrame:
-    """(key, id, scope, pattern, npat, end_pos, match_seq), a row for each rule that a message of its guild contains."""
-    rules = compiled(rules)
-    n = rules.limit(AUTOMATON_RULES + 1).count() if method == "auto" else 0
-    if method == "auto":
-        method = "automaton" if JOIN_RULES < n <= AUTOMATON_RULES else "join"
-    wanted = [*dict.fromkeys([*key, "guild_id"]), keyword_text]
-    if method == "join":
-        joined = messages.select(*wanted).join(small(rules), "guild_id").where(F.col(keyword_text).contains(F.col("npat")))
-        hits = joined.withColumn("end_pos", (F.instr(F.col(keyword_text), F.col("npat")) + F.char_length("npat") - 1).cast("long"))
-        return ranked(hits.drop(keyword_text), key)
-    return ranked(_automaton(messages.select(*wanted), rules, key, keyword_text), key)
-
-
-def _automaton(messages: DataFrame, rules: DataFrame, key: list[str], keyword_text: str) -> DataFrame:
-    """Hits by one scan of each text over an automaton of its guild's patterns; the rules are within AUTOMATON_RULES."""
-    table: dict[str, dict[str, list[tuple]]] = {}
-    for r in rules.orderBy("id").collect():
-        table.setdefault(r["guild_id"], {}).setdefault(r["npat"], []).append((r["id"], r["scope"], r["pattern"]))
-    shared = messages.sparkSession.sparkContext.broadcast(table)
-    names = [*dict.fromkeys([*key, "guild_id"])]
-    fields = [messages.schema[c] for c in names]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", id long, scope string, pattern string, npat string, end_pos long"
+def found(texts: DataFrame, patterns: DataFrame, keep: list[str], keyword_text: str = "keyword_text", method: str = "auto") -> DataFrame:
+    """(keep, npat, end_pos): the first occurrence of every pattern (distinct, column npat) in every text."""
+    n = patterns.limit(FEW_PATTERNS + 1).count()
+    if method == "automaton" or method == "auto" and n > FEW_PATTERNS:
+        parts = max(1, -(-patterns.count() // AUTOMATON_PATTERNS))
+        part = lambda k: patterns.where(F.pmod(F.xxhash64("npat"), F.lit(parts)) == k)
+        out = _scanned(texts, part(0), keep, keyword_text)
+        for k in range(1, parts):
+            out = out.unionByName(_scanned(texts, part(k), keep, keyword_text))
+        return out
+    few = [r["npat"] for r in patterns.collect()]
+    body = F.col(keyword_text)
+    hits = F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda p: F.contains(body, p))
+    out = texts.select(*keep, keyword_text, F.explode(hits).alias("npat"))
+    return out.select(*keep, "npat", (F.instr(body, F.col("npat")) + F.char_length("npat") - 1).cast("long").alias("end_pos"))
+
+
+def _scanned(texts: DataFrame, patterns: DataFrame, keep: list[str], keyword_text: str) -> DataFrame:
+    """found by one scan of each text over an automaton of the patterns, which are within AUTOMATON_PATTERNS, about."""
+    shared = texts.sparkSession.sparkContext.broadcast([r["npat"] for r in patterns.collect()])
+    schema = T.StructType([*(texts.schema[c] for c in keep), T.StructField("npat", T.StringType()), T.StructField("end_pos", T.LongType())])
 
     def scan(batches):
         import ahocorasick
 
-        built: dict[str, object] = {}
+        machine = ahocorasick.Automaton()
+        for p in shared.value:
+            machine.add_word(p, p)
+        machine.make_automaton()
         for b in batches:
-            take, rows = [], []
-            guilds, texts = b.column(b.schema.get_field_index("guild_id")).to_pylist(), b.column(b.schema.get_field_index(keyword_text)).to_pylist()
-            for i, (guild, value) in enumerate(zip(guilds, texts, strict=True)):
-                patterns = shared.value.get(guild)
-                if not patterns or not value:
+            take, names, ends = [], [], []
+            for i, value in enumerate(b.column(b.schema.get_field_index(keyword_text)).to_pylist()):
+                if not value or not shared.value:
                     continue
-                if guild not in built:
-                    built[guild] = a = ahocorasick.Automaton()
-                    for p in patterns:
-                        a.add_word(p, p)
-                    a.make_automaton()
                 seen = set()
-                for end, p in built[guild].iter(value):
+                for end, p in machine.iter(value):
                     if p not in seen:
                         seen.add(p)
-                        for rule in patterns[p]:
-                            take.append(i)
-                            rows.append((*rule, p, end + 1))
-            if rows:
+                        take.append(i)
+                        names.append(p)
+                        ends.append(end + 1)
+            if take:
                 at = pa.array(take, pa.int64())
-                own = [b.column(b.schema.get_field_index(c)).take(at) for c in names]
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-                new = [pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(own + new, names=[*names, "id", "scope", "pattern", "npat", "end_pos"])
+                own = [b.column(b.schema.get_field_index(c)).take(at) for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names), pa.array(ends, pa.int64())], names=schema.names)
+
+    return texts.select(*keep, keyword_text).mapInArrow(scan, schema)
 
-    return messages.mapInArrow(scan, schema)
+
+def match(
+    messages: DataFrame, rules: DataFrame, key: list[str], contents: DataFrame | None = None, keyword_text: str = "keyword_text", method: str = "auto"
+) -> DataFrame:
+    """(key, guild_id, id, scope, pattern, npat, end_pos, match_seq), a row for each rule that a message of its guild contains.
+
+    With contents (content_id, keyword_text) messages name theirs by content_id,
+    and a text is searched once, wherever it is posted.
+    """
+    rules = compiled(rules)
+    patterns = rules.select("npat").distinct()
+    keys = [*dict.fromkeys([*key, "guild_id"])]
+    if contents is None:
+        hits = found(messages, patterns, keys, keyword_text, method)
+    else:
+        hits = messages.select(*keys, "content_id").join(found(contents, patterns, ["content_id"], keyword_text, method), "content_id")
+    hits = hits.join(small(rules), ["guild_id", "npat"])
+    return ranked(hits.select(*keys, "id", "scope", "pattern", "npat", "end_pos"), key)

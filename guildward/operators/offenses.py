@@ -14,14 +14,17 @@ def category(source: Column) -> Column:
     return text.mapped(source, schemas.CATEGORY, schemas.MANUAL_CATEGORY)
 
 
-def count(events: DataFrame, window_ms: int, clears: DataFrame | None = None, order: str = "message_id", only: str | None = None) -> DataFrame:
+def count(
+    events: DataFrame, window_ms: int, clears: DataFrame | None = None, order: str = "message_id", only: str | None = None, carry: DataFrame | None = None
+) -> DataFrame:
     """events (guild_id, user_id, category, t_ms, ...) with offense_count and first_ms.
 
     only: a boolean column; rows where it is false neither count nor are counted (0).
 
     The count starts anew when more than window_ms have gone by since the user's
     last offense of the category, or at a clear marker (guild_id, user_id, t_ms),
-    which holds for all categories.
+    which holds for all categories. carry is the state that earlier events left
+    (guild_id, user_id, category, offense_count, created_ms, updated_ms).
     """
     keys = ["guild_id", "user_id", "category"]
     df = events.withColumn("_clear", F.lit(False))
@@ -31,16 +34,22 @@ def count(events: DataFrame, window_ms: int, clears: DataFrame | None = None, or
         kinds = events.select(*keys).distinct()
         marks = clears.select("guild_id", "user_id", "t_ms").join(kinds, ["guild_id", "user_id"])
         df = df.unionByName(marks.withColumn("_clear", F.lit(True)), allowMissingColumns=True)
+    if carry is None:
+        df = df.withColumns({"_had": F.lit(0), "_last": F.lit(None).cast("long"), "_made": F.lit(None).cast("long")})
+    else:
+        before = carry.select("guild_id", "user_id", "category", F.col("offense_count").alias("_had"), F.col("updated_ms").alias("_last"), F.col("created_ms").alias("_made"))
+        df = df.join(before, ["guild_id", "user_id", "category"], "left")
     w = Window.partitionBy(*keys).orderBy("t_ms", F.col("_clear").cast("int"), order)
-    last, cleared = F.lag("t_ms").over(w), F.lag("_clear").over(w)
+    last, cleared = F.coalesce(F.lag("t_ms").over(w), F.col("_last")), F.coalesce(F.lag("_clear").over(w), F.lit(False))
     starts = last.isNull() | cleared | F.col("_clear") | (F.col("t_ms") - last > window_ms)
     df = df.withColumn("_starts", starts.cast("int")).withColumn("_island", F.sum("_starts").over(w))
     island = Window.partitionBy(*keys, "_island").orderBy("t_ms", F.col("_clear").cast("int"), order)
-    df = df.withColumn("offense_count", F.row_number().over(island)).where("not _clear")
+    had = F.when(F.col("_island") == 0, F.coalesce("_had", F.lit(0))).otherwise(0)
+    df = df.withColumn("offense_count", (F.row_number().over(island) + had).cast("int")).where("not _clear")
     if only:
         df = df.withColumn("offense_count", F.when(F.col(only), F.col("offense_count")).otherwise(0))
-    first = F.min("t_ms").over(Window.partitionBy(*keys))
-    return df.withColumn("first_ms", first).drop("_clear", "_starts", "_island")
+    first = F.least(F.min("t_ms").over(Window.partitionBy(*keys)), F.col("_made"))
+    return df.withColumn("first_ms", first).drop("_clear", "_starts", "_island", "_had", "_last", "_made")
 
 
 def state(counted: DataFrame, actions: bool = False) -> DataFrame:
@@ -95,7 +104,7 @@ def notices(decisions: DataFrame) -> DataFrame:
         "at": text.at(F.col("user_id")),
         "type": text.violation_type(F.col("source"), F.col("content_label")),
         "evidence": F.when(F.col("source") == "content", F.col("evidence")).otherwise(F.col("public_reason")),
-        "content": text.shortened(F.coalesce("content", F.lit(""))),
+        "content": F.coalesce("short", F.lit("")) if "short" in decisions.columns else text.shortened(F.coalesce("content", F.lit(""))),
         "action": text.action_name(F.col("level.action")),
         "muteMinutes": F.when(F.col("level.action") == "mute", F.col("level.mute_minutes")).otherwise(0).cast("string"),
         "offenseCount": F.col("offense_count").cast("string"),

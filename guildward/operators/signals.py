@@ -38,7 +38,7 @@ def access_signals(flagged: DataFrame) -> DataFrame:
 
 def flood_signals(limited: DataFrame, policy: Policy) -> DataFrame:
     """Of messages over the limit; only triggers count as offenses and are audited."""
-    seconds = lambda ms: F.format_string("%.1f", ms / 1000)
+    seconds = lambda ms: text.fixed(ms / 1000, 1)
     evidence = F.concat(
         F.lit(f"个人发送频率超过限制：允许长期 {policy.rate} 条/分钟、短时连续 {policy.burst} 条，虚拟积压 "),
         seconds(F.col("debt_ms")),
@@ -115,7 +115,10 @@ def top(signals: DataFrame) -> DataFrame:
     return ranked.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_action", "_code")
 
 
-def codes(signals: DataFrame) -> DataFrame:
-    """(message_id, codes): the codes of a message's signals in order, joined by commas."""
+def codes(signals: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """(message_id, codes): the codes of a message's signals in order, joined by commas; messages is asked for to name those without any."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "code")))
-    return signals.groupBy("message_id").agg(F.array_join(F.transform(ordered, lambda s: s["code"]), ",").alias("codes"))
+    found = signals.groupBy("message_id").agg(F.array_join(F.transform(ordered, lambda s: s["code"]), ",").alias("codes"))
+    if messages is None:
+        return found
+    return messages.select("message_id").join(found, "message_id", "left").withColumn("codes", F.coalesce("codes", F.lit("none")))

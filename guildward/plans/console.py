@@ -6,9 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from guildward import schemas
 from guildward.config import Config
+from guildward.functions import text
 from guildward.operators import gates, offenses, retention, rules
 from guildward.sources import wordlists
 
@@ -61,8 +63,30 @@ def equal(**wanted) -> Column:
     return ok
 
 
+RECORDS = {"rule": schemas.RULES, "audit": schemas.AUDITS, "event": schemas.AUDIT_EVENTS, "offense": schemas.OFFENSES}
+#: Columns with closed values, and what their labels are of.
+LABELLED = {"signal_code": "signal", "last_signal_code": "signal", "action": "action", "last_action": "action", "status": "status", "stage": "stage", "result": "result"}
+
+
+class Listing:
+    """One page of a list; the total is counted when it is asked for, as by unpacking (rows, total)."""
+
+    def __init__(self, rows: DataFrame, whole: DataFrame):
+        self.rows, self._whole, self._total = rows, whole, None
+
+    @property
+    def total(self) -> int:
+        if self._total is None:
+            self._total = self._whole.count()
+        return self._total
+
+    def __iter__(self):
+        yield self.rows
+        yield self.total
+
+
 class Console:
-    """Queries return DataFrames, lists also the total; changes return new versions of a table."""
+    """Queries return DataFrames, lists a Listing; changes return new versions of a table."""
 
     def __init__(self, config: Config):
         self.config = config
@@ -71,9 +95,15 @@ class Console:
         rules.require(bool(guild_id) and self.config.in_scope(guild_id), "the guild is missing or out of scope")
         return guild_id
 
-    def _listed(self, df: DataFrame, order: list[Column], page, size, default: int) -> tuple[DataFrame, int]:
+    def _listed(self, df: DataFrame, order: list[Column], page, size, default: int) -> Listing:
         p, n = page_of(page, size, default)
-        return df.orderBy(*order).offset((p - 1) * n).limit(n), df.count()
+        return Listing(df.orderBy(*order).offset((p - 1) * n).limit(n), df)
+
+    def records(self, df: DataFrame, kind: str) -> DataFrame:
+        """The columns that the console shows of rules, audits, events or offenses, in their order, with the labels of the closed ones."""
+        df = df.select(*T.StructType.fromDDL(RECORDS[kind]).fieldNames())
+        shown = {c: of for c, of in LABELLED.items() if c in df.columns}
+        return df.withColumns({f"{c}_label": text.label(F.col(c), of) for c, of in shown.items()})
 
     def groups(self, table: DataFrame) -> DataFrame:
         """(guild_id, rule_count, enabled_count); configured guilds without rules are there with zeros."""
@@ -114,9 +144,13 @@ class Console:
         wordlists.check_text(content)
         spark = table.sparkSession
         numbered = wordlists.lines(spark.createDataFrame([(content,)], "text string"))
-        after = rules.insert(table, wordlists.patterns(numbered), self._guild(guild_id), scope, created_by, now)
-        created = after.count() - table.count()
-        return after, wordlists.counters(numbered).withColumn("created_count", F.lit(created))
+        patterns = wordlists.patterns(numbered)
+        wanted = rules.new_patterns(patterns, table, self._guild(guild_id), scope)
+        after = rules.insert(table, patterns, guild_id, scope, created_by, now)
+        created, asked = after.count() - table.count(), wanted.count()
+        counted = wordlists.counters(numbered).withColumn("created_count", F.lit(created))
+        more = {"known_count": F.col("pattern_count") - asked, "failed_count": F.lit(asked - created)}
+        return after, counted.withColumns(more)
 
     def create_rule(self, table: DataFrame, guild_id: str, scope: str, pattern: str, created_by: str, now: Column) -> DataFrame:
         new = table.sparkSession.createDataFrame([(0, pattern)], "line_no int, pattern string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guildward import config
 from guildward.config import Config
 from guildward.functions import text
 from guildward.operators import audit, flood, gates, keywords, offenses
@@ -26,55 +28,64 @@ class Outcome:
 
 
 def keyword_hits(messages: DataFrame, rules: DataFrame, contents: DataFrame | None) -> DataFrame:
-    """Hits of messages. With contents (content_id, content) each text is normalized once, wherever it is posted.
-
-    Texts are dealt by content_id before that costly step, which the join with
-    the messages then needs no second time.
-    """
+    """Hits of messages. With contents (content_id, content) each text is normalized and searched once, wherever it is posted."""
     if contents is None:
         return keywords.match(text.message_views(messages), rules, sig.KEY)
     posted = messages.select("content_id", "guild_id").distinct()
-    views = text.message_views(contents.repartition("content_id")).select("content_id", "keyword_text")
-    hits = keywords.match(posted.join(views, "content_id"), rules, ["content_id", "guild_id"])
+    views = text.message_views(contents).select("content_id", "keyword_text")
+    hits = keywords.match(posted, rules, ["content_id", "guild_id"], views)
     return messages.select(*sig.KEY, "content_id").join(hits, ["content_id", "guild_id"])
 
 
-def detect(messages: DataFrame, rules: DataFrame, access: DataFrame, config: Config, contents: DataFrame | None = None) -> DataFrame:
-    """All initial signals of gated messages."""
-    policy = config.policy()
+def texts_of(messages: DataFrame, contents: DataFrame | None) -> DataFrame:
+    """(message_id, content, stored, short): the text, as an audit keeps it and as a notice shows it.
+
+    The last two are made per content, before the join, and only where they are used.
+    """
+    given = messages.select("message_id", "content") if contents is None else contents.select("content_id", "content")
+    cut = F.left(F.coalesce("content", F.lit("")), F.lit(config.CONTENT_LIMIT))
+    given = given.withColumns({"stored": cut, "short": text.shortened(F.coalesce("content", F.lit("")))})
+    return given if contents is None else messages.select("message_id", "content_id").join(given, "content_id").drop("content_id")
+
+
+def detect(
+    messages: DataFrame, rules: DataFrame, access: DataFrame, settings: Config, contents: DataFrame | None = None, limited: DataFrame | None = None
+) -> DataFrame:
+    """All initial signals of gated messages. limited: the limiter's results, where a stream has them already."""
+    policy = settings.policy()
     flagged = gates.flag_blacklisted(messages, access)
     out = sig.access_signals(flagged)
-    if config.behavior_detection_enabled:
+    if settings.behavior_detection_enabled and limited is not None:
+        own = limited.join(messages.select("message_id"), "message_id", "left_semi")
+        out = out.unionByName(sig.flood_signals(own, policy))
+    elif settings.behavior_detection_enabled:
         user = F.coalesce(F.when(F.col("user_id") != "", F.col("user_id")), F.lit("unknown"))
         keyed = messages.select(*sig.KEY).withColumn("_user", user)
         out = out.unionByName(sig.flood_signals(flood.limit(keyed, policy, ["guild_id", "_user"], ["t_ms", "message_id"]), policy))
-    if config.content_detection_enabled:
+    if settings.content_detection_enabled:
         out = out.unionByName(sig.keyword_signals(keyword_hits(messages, rules, contents)))
     return out
 
 
 def decide(
-    messages: DataFrame, rules: DataFrame, access: DataFrame, config: Config, scores: DataFrame | None = None,
+    messages: DataFrame, rules: DataFrame, access: DataFrame, settings: Config, scores: DataFrame | None = None,
     answers: DataFrame | None = None, clears: DataFrame | None = None, contents: DataFrame | None = None,
-    settle: Callable[[DataFrame], DataFrame] = lambda df: df,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df, limited: DataFrame | None = None, carry: DataFrame | None = None,
+    capacity: int | None = None,
 ) -> Outcome:
     """The whole pipeline. messages: (message_id, guild_id, user_id, t_ms) and content, or content_id into contents.
 
     All outputs start from the signals. Where several are wanted of large input,
     give settle a function that writes a table and reads it back, so that texts
-    are scanned once.
+    are scanned once. limited and carry are what a stream knows of earlier
+    messages: the limiter's results for these, and the offense state before them;
+    capacity is what the review queue takes of them.
     """
-    policy = config.policy()
-    if contents is None:
-        messages = gates.gate(messages, config)
-    elif config.enabled:
-        messages = messages.where((F.col("guild_id") != "") & gates.in_scope(config))
-    else:
-        messages = messages.limit(0)
-    messages = gates.drop_whitelisted(messages, access)
-    found = settle(detect(messages, rules, access, config, contents))
+    policy = settings.policy()
+    messages = gates.drop_whitelisted(gates.gate(messages, settings, contents), access)
+    found = settle(detect(messages, rules, access, settings, contents, limited))
     events = audit.hit_events(found)
-    with_text = messages.select("message_id", "content_id").join(contents, "content_id").drop("content_id") if contents is not None else messages.select("message_id", "content")
+    with_text = texts_of(messages, contents)
     deterministic, candidates = found.where("not needs_ai"), found.where("needs_ai")
     passed = None
     if scores is not None:
@@ -90,14 +101,14 @@ def decide(
         unscored = candidates.join(routed.select("message_id"), "message_id", "left_anti")
         candidates = told.join(reviewed, "message_id", "left_semi").unionByName(unscored).unionByName(own)
     candidates = candidates.join(sig.immediate(found), "message_id", "left_anti").join(with_text, "message_id")
-    enabled = config.ai_review_enabled and bool(config.api_key)
-    requests = audit.review_requests(candidates, enabled, config.model)
+    enabled = settings.ai_review_enabled and bool(settings.api_key)
+    requests = audit.review_requests(candidates, enabled, settings.model, capacity=capacity)
     selected = sig.top(deterministic)
     if answers is not None:
         requests = requests.where("status <> 'pending'").unionByName(audit.reviewed(requests, answers), allowMissingColumns=True)
         selected = selected.unionByName(audit.confirmed_signals(requests))
     selected = selected.withColumn("category", offenses.category(F.col("source")))
-    counted = offenses.count(selected, policy.window_ms, clears, only="counts_as_offense").drop("category", "first_ms")
+    counted = offenses.count(selected, policy.window_ms, clears, only="counts_as_offense", carry=carry).drop("category", "first_ms")
     decisions = offenses.decide(counted, policy).join(with_text, "message_id", "left")
     audits = audit.audits(decisions, F.lit("confirmed"))
     if passed is not None:
@@ -106,3 +117,23 @@ def decide(
     audits = audits.unionByName(audit.request_audits(requests))
     events = events.unionByName(audit.request_events(requests)).unionByName(audit.decision_events(audits))
     return Outcome(found, decisions, audits, events, requests)
+
+
+def assigned(messages: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """messages with column config: the number of the first of configs that names their guild, else of the first for all guilds; others go."""
+    named = {g: i for i, c in reversed(list(enumerate(configs))) for g in c.guild_ids}
+    rest = next((i for i, c in enumerate(configs) if not c.guild_ids), None)
+    table = messages.sparkSession.createDataFrame(list(named.items()), "guild_id string, config int")
+    found = messages.join(gates.small(table), "guild_id", "left")
+    return found.withColumn("config", F.coalesce("config", F.lit(rest).cast("int"))).where("config is not null")
+
+
+def decide_each(messages: DataFrame, rules: DataFrame, access: DataFrame, configs: Sequence[Config], **more) -> Outcome:
+    """decide with the settings of each message's guild. The plan grows with the number of settings, not with that of guilds."""
+    dealt = assigned(messages, configs)
+    parts = []
+    for i, settings in enumerate(configs):
+        own = dealt.where(F.col("config") == i).drop("config")
+        parts.append(decide(own, rules, access, replace(settings, guild_ids=()), **more))
+    names = [f.name for f in fields(Outcome)]
+    return Outcome(*(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [getattr(p, n) for p in parts]) for n in names))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guildward import schemas
 from guildward.config import Config, Policy, ladder
 from guildward.functions import review_json, text
 from guildward.operators import audit, flood, gates, keywords, offenses, retention
@@ -16,6 +17,7 @@ from guildward.plans import decisions
 from guildward.plans.console import Console
 from guildward.sources import messages as message_source
 from guildward.sources import wordlists
+from guildward.tables import Work
 
 GUILDS = ("click", "error", "purchase", "signup", "view")
 REDLINE = ("idiot", "clown", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting", "trash")
@@ -28,8 +30,6 @@ RULES = [
 ]
 CONFIG = Config(governance_preset="custom", flood_rate_per_minute=2, flood_burst_allowance=2, flood_cooldown_seconds=10, offense_window_hours=1)
 NOW_MS = 200_000
-WORDLIST = "﻿# sample\nIdiot\r\n i d i o t \nv.x\nv x\n微 信 返利\nV信返利\n\n!!!\n兼职\n兼职啊啊啊啊\n兼职啊啊\n#end\nclown\n" + "x" * 201 + "\n薇信返利"
-LEXICON = [("a.txt", "﻿# t\nfoo\nBAR!\nhttp://x.y\nx\n---\nfoo.\nexample.com/a\nbaz   qux"), ("b.txt", "bar\n// c\n```\nwww.site\nquux\n\nnew-word"), ("非法网址.txt", "skipped\nfile")]
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -48,7 +48,13 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "documents").select(F.col("doc_id").alias("content_id"), F.col("text").alias("content"))
+    return spread(_read(spark, d, "documents")).select(F.col("doc_id").alias("content_id"), F.col("text").alias("content"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: small tables come as one file, in one partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def access_table(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +125,9 @@ HITS = f"""{KW},
 
 def gcra_cte(source: str, keys: str, policy: Policy, out: str = "gcra") -> str:
     """CTEs (recursive) that end in ``out``: the limiter's verdict on every row of source."""
-    i, tol, cd = policy.interval_ms, policy.tolerance_ms, policy.cooldown_ms
+    cd = policy.cooldown_ms
+    i = f"(CAST(60000 AS DOUBLE) / {policy.rate})"  # a quotient of doubles: a decimal literal would be another number
+    tol = f"({policy.burst - 1} * {i})"
     on = " AND ".join(f"r.{k} = x.{k}" for k in keys.split(", "))
     xs = ", ".join(f"x.{k}" for k in keys.split(", "))
     late = f"x.t_ms < r.tat - {tol}"
@@ -203,22 +211,22 @@ def query(sql: str | None):
 # ---- keywords and text ---------------------------------------------------------------------------------------------
 
 
-def _posted(spark, d) -> DataFrame:
-    """Every document in every guild, normalized once."""
-    views = text.message_views(contents(spark, d).repartition("content_id")).select("content_id", "keyword_text")
-    return views.withColumn("guild_id", F.explode(F.array(*map(F.lit, GUILDS))))
+def _matched(spark, d, **more) -> DataFrame:
+    """Hits of every document in every guild."""
+    texts = contents(spark, d)
+    posted = texts.select("content_id", F.explode(F.array(*map(F.lit, GUILDS))).alias("guild_id"))
+    views = text.message_views(texts).select("content_id", "keyword_text")
+    return keywords.match(posted, rules_table(spark), ["content_id", "guild_id"], views, **more)
 
 
 @query(f"WITH {RULES_CTE}, {HITS} SELECT id AS rule_id, guild_id, scope, count(*) AS n_documents FROM hits GROUP BY ALL")
 def keyword_hits(spark, d):
-    hits = keywords.match(_posted(spark, d), rules_table(spark), ["content_id", "guild_id"])
-    return hits.groupBy(F.col("id").alias("rule_id"), "guild_id", "scope").agg(F.count("*").alias("n_documents"))
+    return _matched(spark, d).groupBy(F.col("id").alias("rule_id"), "guild_id", "scope").agg(F.count("*").alias("n_documents"))
 
 
 @query(f"WITH {RULES_CTE}, {HITS} SELECT doc_id, guild_id, id AS rule_id, match_seq FROM hits")
 def keyword_top20(spark, d):
-    hits = keywords.match(_posted(spark, d), rules_table(spark), ["content_id", "guild_id"], method="automaton")
-    return hits.select(F.col("content_id").alias("doc_id"), "guild_id", F.col("id").alias("rule_id"), "match_seq")
+    return _matched(spark, d, method="automaton").select(F.col("content_id").alias("doc_id"), "guild_id", F.col("id").alias("rule_id"), "match_seq")
 
 
 @query(f"WITH {norm_cte('documents', 'doc_id', 'text', 'kw')} SELECT doc_id, md5(s) AS digest, length(s) AS n_chars FROM kw")
@@ -431,7 +439,8 @@ ROUTED = f"""WITH RECURSIVE {SIGNALS},
 @query(f"{ROUTED} SELECT message_id, status, rule_id, pattern, evidence FROM routed")
 def model_routing(spark, d):
     m = gates.drop_whitelisted(messages(spark, d), access_table(spark, d))
-    routed = sig.route_scores(m.select(*sig.KEY), outcome(spark, d).signals, message_scores(spark, d))
+    found = Work(spark).table(outcome(spark, d).signals)
+    routed = sig.route_scores(m.select(*sig.KEY), found, message_scores(spark, d))
     return routed.select("message_id", "status", "rule_id", "pattern", "evidence")
 
 
@@ -442,7 +451,7 @@ def model_routing(spark, d):
       AND (r.status = 'review' OR (r.status IS NULL AND g.message_id IN (SELECT message_id FROM cand)))"""
 )
 def review_candidates(spark, d):
-    return outcome(spark, d, scores=message_scores(spark, d)).requests.select("message_id")
+    return outcome(spark, d, scores=message_scores(spark, d), settle=Work(spark).table).requests.select("message_id")
 
 
 # ---- audits --------------------------------------------------------------------------------------------------------
@@ -459,8 +468,8 @@ AUDITED = f"{DECIDED}, audits AS (SELECT * FROM decided WHERE code <> 'spam_floo
 
 @query(f"{AUDITED} SELECT message_id, user_id, code AS signal_code, final_action AS action, offense_count FROM audits WHERE guild_id = 'click' ORDER BY t_ms DESC, message_id DESC LIMIT 25 OFFSET 25")
 def audit_page(spark, d):
-    rows, _ = Console(Config()).audits(_audits(spark, d), "click", page=2)
-    return rows.select("message_id", "user_id", "signal_code", "action", "offense_count")
+    listed = Console(Config()).audits(_audits(spark, d), "click", page=2)
+    return listed.rows.select("message_id", "user_id", "signal_code", "action", "offense_count")
 
 
 @query(
@@ -469,11 +478,8 @@ def audit_page(spark, d):
 )
 def audit_search_range(spark, d):
     at = lambda ms: F.timestamp_millis(F.lit(ms))
-    df = _audits(spark, d)
-    from guildward.plans.console import between, searched
-
-    ok = (F.col("guild_id") == "view") & searched("pattern", "O") & between("created_ms", 50_000, 150_000)
-    return df.where(ok).orderBy(F.desc(at(0)), F.desc("created_ms"), F.desc("id")).limit(100).select("message_id", "pattern")
+    listed = Console(Config()).audits(_audits(spark, d), "view", search="O", start=at(50_000), end=at(150_000), size=100)
+    return listed.rows.select("message_id", "pattern")
 
 
 @query(f"{AUDITED} SELECT message_id, code AS signal_code FROM audits WHERE guild_id = 'error' ORDER BY message_id DESC LIMIT 10")
@@ -491,7 +497,7 @@ def top_offenders(spark, d):
       count(*) AS n FROM signals GROUP BY ALL"""
 )
 def detection_events(spark, d):
-    got = outcome(spark, d)
+    got = outcome(spark, d, settle=Work(spark).table)
     per = audit.trace(got.signals.select("message_id", "guild_id").distinct())
     return got.events.where("result = 'hit'").join(per, "trace_id").groupBy("guild_id", "stage", "signal_code").agg(F.count("*").alias("n"))
 
@@ -503,7 +509,7 @@ def detection_events(spark, d):
     UNION ALL SELECT 'skipped', 'ai_review', count(*) FROM c HAVING count(*) > 0"""
 )
 def audit_statuses(spark, d):
-    return outcome(spark, d).audits.groupBy("status", "signal_code").agg(F.count("*").alias("n"))
+    return outcome(spark, d, settle=Work(spark).table).audits.groupBy("status", "signal_code").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -512,9 +518,14 @@ def audit_statuses(spark, d):
 )
 def trace_events(spark, d):
     """Events of the trace of the guild's last audit."""
-    got = outcome(spark, d)
-    last = got.audits.where("guild_id = 'signup' and status = 'confirmed'").agg(F.max_by("trace_id", "message_id").alias("trace_id"), F.max("message_id").alias("message_id"))
-    return got.events.where("result = 'hit'").join(F.broadcast(last), "trace_id").select("message_id", "seq", "signal_code")
+    got = outcome(spark, d, settle=Work(spark).table)
+    audits = got.audits.withColumn("id", F.col("message_id"))
+    last = audits.where("guild_id = 'signup' and status = 'confirmed'").agg(F.max_by("trace_id", "message_id").alias("t"), F.max("message_id").alias("m")).first()
+    events = got.events.withColumn("created_at", F.timestamp_millis("t_ms")).withColumn("id", F.col("seq")).where("result = 'hit'")
+    if last["t"] is None:
+        return spark.createDataFrame([], "message_id long, seq int, signal_code string")
+    found = Console(Config()).audit_events(events, audits, "signup", last["t"])
+    return found.select(F.lit(last["m"]).alias("message_id"), "seq", "signal_code")
 
 
 @query(
@@ -580,8 +591,8 @@ def guild_zero_fill(spark, d):
 
 @query(f"WITH {RULES_CTE} SELECT id, scope, pattern, enabled FROM rules WHERE guild_id = 'view' AND contains(lower(pattern), 'o') ORDER BY id LIMIT 3 OFFSET 3")
 def rule_page(spark, d):
-    rows, _ = Console(Config()).rules(rules_table(spark), "view", search="O", page=2, size=3)
-    return rows.select("id", "scope", "pattern", "enabled")
+    listed = Console(Config()).rules(rules_table(spark), "view", search="O", page=2, size=3)
+    return listed.rows.select("id", "scope", "pattern", "enabled")
 
 
 @query(
@@ -596,25 +607,365 @@ def wordlist_dedupe(spark, d):
     return wordlists.patterns(b.select((F.col("item_id") * 2 + F.col("k")).alias("line_no"), line.alias("line")))
 
 
-@query("SELECT 13 AS read_count, 7 AS pattern_count, 4 AS duplicate_count, 2 AS invalid_count")
+#: Lines of a list made of the benchmark's texts: as they are, marked up, doubled letters, comments, marks only, too long, empty.
+_LINE = """CASE k WHEN 0 THEN {t} WHEN 1 THEN ' >> ' || {t} || '! ' WHEN 2 THEN {upper} || '…' WHEN 3 THEN '# ' || {t} WHEN 4 THEN '!?!' WHEN 5 THEN repeat({t} || ' ', 12)
+    WHEN 6 THEN '' ELSE {head} || '微 信' END"""
+_KINDS_OF_LINE = 8
+
+
+def _list_lines(spark, d) -> DataFrame:
+    """(line_no, line) of the list."""
+    b = _read(spark, d, "benchmark").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_KINDS_OF_LINE - 1))))
+    line = F.expr(_LINE.format(t="text", upper="upper(replace(text, 'ß', 'ss'))", head="substr(text, 1, 40)"))
+    return b.select((F.col("item_id") * _KINDS_OF_LINE + F.col("k")).alias("line_no"), line.alias("line"))
+
+
+_LISTED = f"""l AS (SELECT item_id * {_KINDS_OF_LINE} + k AS line_no, trim({_LINE.format(t="text", upper="upper(replace(text, 'ß', 'ss'))", head="substr(text, 1, 40)")}) AS p FROM benchmark, range({_KINDS_OF_LINE}) t(k)),
+    {norm_cte("l", "line_no", "p", "nn")},
+    held AS (SELECT line_no, p AS pattern, nn.s AS n, length(p) <= 200 AND nn.s <> '' AS valid FROM l JOIN nn USING (line_no) WHERE p <> '' AND NOT starts_with(p, '#')),
+    news AS (SELECT line_no, pattern, n FROM held WHERE valid QUALIFY row_number() OVER (PARTITION BY n ORDER BY line_no) = 1)"""
+
+
+@query(
+    f"""WITH {_LISTED} SELECT (SELECT count(*) FROM held) AS read_count, (SELECT count(*) FROM news) AS pattern_count,
+      (SELECT count(*) FROM held WHERE valid) - (SELECT count(*) FROM news) AS duplicate_count, (SELECT count(*) FROM held WHERE NOT valid) AS invalid_count"""
+)
 def wordlist_counters(spark, d):
-    return wordlists.counters(wordlists.lines(spark.createDataFrame([(WORDLIST,)], "text string")))
+    return wordlists.counters(_list_lines(spark, d))
+
+
+def _known_rules(spark, d) -> DataFrame:
+    """Rules of every third text of the benchmark, in two guilds and both scopes."""
+    b = _read(spark, d, "benchmark").where("item_id % 3 = 0")
+    guild = F.when(F.col("item_id") % 2 == 0, "click").otherwise("view")
+    return b.select(
+        (F.col("item_id") + 1).alias("id"), guild.alias("guild_id"), F.when(F.col("item_id") % 4 < 3, "redline").otherwise("sensitive").alias("scope"),
+        F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("pattern"), (F.col("item_id") % 5 != 0).alias("enabled"), F.lit("b").alias("created_by"), F.timestamp_millis(F.lit(0)).alias("created_at"),
+    )
+
+
+_KNOWN = f"""known AS (SELECT item_id + 1 AS id, CASE WHEN item_id % 2 = 0 THEN 'click' ELSE 'view' END AS guild_id, CASE WHEN item_id % 4 < 3 THEN 'redline' ELSE 'sensitive' END AS scope,
+      upper(replace(text, 'ß', 'ss')) AS pattern, item_id % 5 <> 0 AS enabled FROM benchmark WHERE item_id % 3 = 0),
+    {norm_cte("known", "id", "pattern", "kn")}"""
+_UNKNOWN = f"""{_LISTED}, {_KNOWN}, fresh AS (SELECT line_no, pattern FROM news
+      WHERE n NOT IN (SELECT kn.s FROM known JOIN kn USING (id) WHERE guild_id = 'click' AND scope = 'redline'))"""
 
 
-@query("SELECT unnest(['v.x', '微 信 返利', '兼职', '兼职啊啊啊啊', 'v x']) AS pattern")
+@query(f"WITH {_UNKNOWN} SELECT line_no, pattern FROM fresh")
 def wordlist_anti_existing(spark, d):
-    new = wordlists.patterns(wordlists.lines(spark.createDataFrame([(WORDLIST,)], "text string")))
-    return rule_ops.new_patterns(new, rules_table(spark), "click", "redline").select("pattern")
+    return rule_ops.new_patterns(wordlists.patterns(_list_lines(spark, d)), _known_rules(spark, d), "click", "redline").select("line_no", "pattern")
+
+
+@query(
+    f"""WITH {_UNKNOWN}, top AS (SELECT max(id) AS m FROM known)
+    SELECT id, guild_id, scope, pattern, enabled FROM known
+    UNION ALL SELECT m + row_number() OVER (ORDER BY line_no), 'click', 'redline', pattern, true FROM fresh, top"""
+)
+def rule_import(spark, d):
+    after = rule_ops.insert(_known_rules(spark, d), wordlists.patterns(_list_lines(spark, d)), "click", "redline", "me", F.timestamp_millis(F.lit(1)))
+    return after.select("id", "guild_id", "scope", "pattern", "enabled")
+
+
+@query(
+    f"""WITH {_KNOWN}, first AS (SELECT min(id) AS id FROM known WHERE guild_id = 'view')
+    SELECT id, guild_id, CASE WHEN id = (SELECT id FROM first) THEN 'sensitive' ELSE scope END AS scope, CASE WHEN id = (SELECT id FROM first) THEN 'Other Words' ELSE pattern END AS pattern,
+      CASE WHEN id = (SELECT id FROM first) THEN false ELSE enabled END AS enabled
+    FROM known WHERE id <> (SELECT min(id) FROM known WHERE guild_id = 'click')"""
+)
+def rule_edits(spark, d):
+    """One rule changed and one deleted, through the console."""
+    table = _known_rules(spark, d)
+    least = {r["guild_id"]: r["id"] for r in table.groupBy("guild_id").agg(F.min("id").alias("id")).collect()}
+    console = Console(Config())
+    after = console.update_rule(table, "view", least["view"], "sensitive", "Other Words", False)
+    return console.delete_rule(after, "click", least["click"]).select("id", "guild_id", "scope", "pattern", "enabled")
+
+
+@query(f"WITH {_KNOWN} SELECT id, scope, pattern FROM known WHERE guild_id = 'view'")
+def rules_of_guild_deleted(spark, d):
+    after, _ = Console(Config()).delete_group(_known_rules(spark, d), "click")
+    return after.select("id", "scope", "pattern")
+
+
+@query(
+    f"""WITH {_KNOWN} SELECT guild_id, count(*) AS rule_count, count(*) FILTER (enabled) AS enabled_count FROM known GROUP BY ALL"""
+)
+def imported_rule_counts(spark, d):
+    return Console(Config()).groups(_known_rules(spark, d))
+
+
+#: Files of a lexicon: three of the benchmark's texts, with links and short lines among them, and an excluded one.
+_FILE_LINE = """CASE k WHEN 0 THEN {t} WHEN 1 THEN upper(replace({t}, 'ß', 'ss')) || '.' WHEN 2 THEN 'see http://example.com/' || item_id WHEN 3 THEN 'a' WHEN 4 THEN '// ' || {t} WHEN 5 THEN '---' ELSE '' END"""
 
 
-@query("SELECT unnest(['foo', 'bar', 'bazqux', 'quux', 'newword']) AS word")
+def _lexicon_files(spark, d) -> DataFrame:
+    b = _read(spark, d, "benchmark").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    name = F.when(F.col("item_id") % 4 == 3, wordlists.EXCLUDED_FILES[0]).otherwise(F.concat(F.lit("f"), (F.col("item_id") % 4).cast("string"), F.lit(".txt")))
+    lines = b.select(name.alias("file"), (F.col("item_id") * 7 + F.col("k")).alias("n"), F.expr(_FILE_LINE.format(t="replace(text, chr(10), ' ')")).alias("line"))
+    return lines.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+_LEXICON = f"""f AS (SELECT item_id * 7 + k AS line_no, item_id % 4 AS file, trim({_FILE_LINE.format(t="replace(text, chr(10), ' ')")}) AS p FROM benchmark, range(7) t(k) WHERE item_id % 4 <> 3),
+    {norm_cte("f", "line_no", "p", "fn", joiner=False)},
+    kinds AS (SELECT line_no, file, fn.s AS n, CASE WHEN p = '' OR starts_with(p, '//') OR starts_with(p, '#') OR p = '---' THEN 'skipped' WHEN contains(p, 'http://') THEN 'url'
+      WHEN length(fn.s) < 2 THEN 'short' ELSE 'word' END AS kind FROM f JOIN fn USING (line_no))"""
+
+
+@query(f"WITH {_LEXICON} SELECT DISTINCT n AS word FROM kinds WHERE kind = 'word'")
 def lexicon_words(spark, d):
-    return wordlists.lexicon(spark.createDataFrame(LEXICON, "file string, text string"))
+    return wordlists.lexicon(_lexicon_files(spark, d))
 
 
-@query("SELECT 2 AS source_files, 1 AS skipped_files, 16 AS source_lines, 5 AS skipped_lines, 3 AS skipped_urls, 1 AS skipped_short, 2 AS duplicate_lines, 5 AS output_words, 28 AS output_bytes")
+@query(
+    f"""WITH {_LEXICON}, w AS (SELECT DISTINCT n FROM kinds WHERE kind = 'word')
+    SELECT (SELECT count(DISTINCT file) FROM f) AS source_files, 1 AS skipped_files, count(*) AS source_lines, count(*) FILTER (kind = 'skipped') AS skipped_lines,
+      count(*) FILTER (kind = 'url') AS skipped_urls, count(*) FILTER (kind = 'short') AS skipped_short, count(*) FILTER (kind = 'word') - (SELECT count(*) FROM w) AS duplicate_lines,
+      (SELECT count(*) FROM w) AS output_words, (SELECT CAST(sum(octet_length(encode(n)) + 1) AS BIGINT) FROM w) AS output_bytes FROM kinds"""
+)
 def lexicon_stats(spark, d):
-    return wordlists.lexicon_stats(spark.createDataFrame(LEXICON, "file string, text string"))
+    return wordlists.lexicon_stats(_lexicon_files(spark, d))
+
+
+@query(
+    """WITH t AS (SELECT count(*) AS n FROM documents), s AS (SELECT n, greatest(100, CAST(ceil(n / 10 / 100) AS BIGINT) * 100) AS step FROM t)
+    SELECT n.done, CAST(floor(100 * n.done / n.total + 0.5) AS BIGINT) AS percent FROM (
+      SELECT CAST(least(k * step, n) AS BIGINT) AS done, n AS total FROM s, range(1, 12) r(k) WHERE (k - 1) * step < n) n"""
+)
+def import_progress(spark, d):
+    rows = wordlists.progress(_read(spark, d, "documents").count())
+    return spark.createDataFrame([r[:2] for r in rows], "done long, percent long")
+
+
+# ---- gates, policies, ladders and reviews at large ------------------------------------------------------------------
+
+_BLANK = "CASE WHEN doc_id % 5 = 0 THEN chr(9) || ' ' || chr(12288) WHEN doc_id % 5 = 1 THEN NULL ELSE text END"
+
+
+@query(
+    f"""WITH {MSG}, c AS (SELECT doc_id, {_BLANK} AS t FROM documents)
+    SELECT m.guild_id, count(*) AS n FROM msg m JOIN c ON m.content_id = c.doc_id
+    WHERE c.t IS NOT NULL AND regexp_replace(c.t, '{_SP}', '', 'g') <> '' AND m.guild_id <> 'error' AND CAST(m.user_id AS BIGINT) NOT IN (1, 2, 3) AND CAST(m.user_id AS BIGINT) % 7 <> 0
+    GROUP BY ALL"""
+)
+def content_gates(spark, d):
+    """Blank and missing texts, administrators by id and by plain role, guilds out of scope."""
+    blank = _read(spark, d, "documents").select(F.col("doc_id").alias("content_id"), F.expr(_BLANK.replace("chr(12288)", "'\u3000'")).alias("content"))
+    role = F.when(F.col("user_id").cast("long") % 7 == 0, F.array(F.lit("member"), F.lit("owner"))).otherwise(F.array(F.lit("Owner")))
+    settings = Config(guild_ids=("click", "view", "purchase", "signup"), admin_user_ids=("1", "2", "3"))
+    return gates.gate(messages(spark, d).withColumn("roles", role), settings, blank).groupBy("guild_id").agg(F.count("*").alias("n"))
+
+
+_ODD = Policy(7, 2, 30_000), Policy(52, 1, 10_000)
+
+
+@query(
+    f"""WITH RECURSIVE {MSG}, {gcra_cte("msg", "user_id", _ODD[0], "a")}, {gcra_cte("msg", "guild_id, user_id", _ODD[1], "b")}
+    SELECT 7 AS rate, message_id, exceeded, triggered, retry_after_ms, debt_ms, tat AS expected_ms FROM a
+    UNION ALL SELECT 52, message_id, exceeded, triggered, retry_after_ms, debt_ms, tat FROM b"""
+)
+def gcra_inexact_rates(spark, d):
+    """Rates whose interval is no whole number of milliseconds, all rows."""
+    m = messages(spark, d)
+    runs = [flood.limit(m, p, keys, ["t_ms", "message_id"]).withColumn("rate", F.lit(p.rate)) for p, keys in zip(_ODD, (["user_id"], ["guild_id", "user_id"]), strict=True)]
+    return runs[0].unionByName(runs[1]).select("rate", "message_id", "exceeded", "triggered", "retry_after_ms", "debt_ms", "expected_ms")
+
+
+@query(
+    f"""WITH RECURSIVE {MSG}, {gcra_cte("msg", "guild_id, user_id", CONFIG.policy())},
+    s AS (SELECT message_id, debt_ms AS d, greatest(100, retry_after_ms) AS r, triggered FROM gcra WHERE exceeded)
+    SELECT message_id, '个人发送频率超过限制：允许长期 2 条/分钟、短时连续 2 条，虚拟积压 ' || CASE WHEN d % 1000 = 250 THEN (d // 1000) || '.3' ELSE printf('%.1f', CAST(d AS DOUBLE) / 1000) END
+      || ' 秒，超出容忍 ' || CASE WHEN r % 1000 = 250 THEN (r // 1000) || '.3' ELSE printf('%.1f', CAST(r AS DOUBLE) / 1000) END
+      || ' 秒，是否新增违规：' || CASE WHEN triggered THEN '是' ELSE '否' END AS evidence FROM s"""
+)
+def flood_evidence(spark, d):
+    policy = CONFIG.policy()
+    over = flood.limit(messages(spark, d), policy, ["guild_id", "user_id"], ["t_ms", "message_id"])
+    return sig.flood_signals(over, policy).select("message_id", "evidence")
+
+
+_PER_GUILD = (
+    Config(guild_ids=("click", "view"), governance_preset="strict", content_detection_enabled=False),
+    Config(guild_ids=("view", "signup"), governance_preset="custom", flood_rate_per_minute=52, flood_burst_allowance=1, content_detection_enabled=False),
+    Config(guild_ids=("error",), enabled=False),
+    Config(governance_preset="custom", flood_rate_per_minute=2, flood_burst_allowance=2, flood_cooldown_seconds=10, content_detection_enabled=False),
+)
+
+
+@query(
+    f"""WITH RECURSIVE {MSG}, x AS (SELECT * FROM msg WHERE guild_id IN ('click', 'view')), y AS (SELECT * FROM msg WHERE guild_id = 'signup'),
+    z AS (SELECT * FROM msg WHERE guild_id NOT IN ('click', 'view', 'signup', 'error')),
+    {gcra_cte("x", "guild_id, user_id", _PER_GUILD[0].policy(), "gx")}, {gcra_cte("y", "guild_id, user_id", _PER_GUILD[1].policy(), "gy")},
+    {gcra_cte("z", "guild_id, user_id", _PER_GUILD[3].policy(), "gz")},
+    a AS (SELECT * FROM gx UNION ALL SELECT * FROM gy UNION ALL SELECT * FROM gz)
+    SELECT message_id, guild_id, triggered AS counts_as_offense FROM a WHERE exceeded"""
+)
+def policies_per_guild(spark, d):
+    m = messages(spark, d).withColumn("content", F.lit("x"))
+    none = access_table(spark, d).where("false")
+    got = decisions.decide_each(m, rules_table(spark), none, _PER_GUILD).signals
+    return got.select("message_id", "guild_id", "counts_as_offense")
+
+
+_TWO = ["th", "er", "on", "an", "in", "re", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve", "he"]
+_MANY = ",\n".join(f"({i + 1}, 'click', '{'redline' if i % 2 else 'sensitive'}', '{p}', true, '{p}')" for i, p in enumerate(_TWO))
+
+
+@query(
+    f"""WITH rules(id, guild_id, scope, pattern, enabled, npat) AS (VALUES {_MANY}), {HITS} SELECT doc_id, id AS rule_id, match_seq, CAST(end_pos AS BIGINT) AS end_pos FROM hits"""
+)
+def keyword_signal_limit(spark, d):
+    """Thirty frequent pairs of letters: the limit of twenty signals cuts most texts."""
+    rows = [(i + 1, "click", "redline" if i % 2 else "sensitive", p, True) for i, p in enumerate(_TWO)]
+    table = spark.createDataFrame(rows, "id long, guild_id string, scope string, pattern string, enabled boolean")
+    texts = contents(spark, d)
+    views = text.message_views(texts).select("content_id", "keyword_text")
+    posted = texts.select("content_id", F.lit("click").alias("guild_id"))
+    hits = keywords.match(posted, table, ["content_id", "guild_id"], views)
+    return hits.select(F.col("content_id").alias("doc_id"), F.col("id").alias("rule_id"), "match_seq", "end_pos")
+
+
+_STEEP = [{"offense_count": 2, "action": "warn", "template": "w{offenseCount}"}, {"offense_count": 3, "action": "mute", "mute_minutes": 5}, {"offense_count": 4, "action": "kick", "template": "k{action}{level}"}]
+
+
+@query(
+    """WITH e AS (SELECT event_id AS message_id, event_type AS guild_id, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS t_ms,
+        CASE event_id % 5 WHEN 0 THEN 'warn' WHEN 1 THEN 'silent' WHEN 2 THEN 'delete' WHEN 3 THEN 'mute' ELSE 'kick' END AS action FROM events),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY guild_id, user_id ORDER BY t_ms, message_id) AS INTEGER) AS offense_count FROM e WHERE action <> 'silent'),
+    l AS (SELECT *, CASE WHEN offense_count >= 4 THEN 3 WHEN offense_count >= 3 THEN 2 WHEN offense_count >= 2 THEN 1 END AS level FROM n),
+    f AS (SELECT *, CASE WHEN action = 'warn' THEN 'warn' WHEN level = 3 OR action = 'kick' THEN 'kick' WHEN level = 2 OR action = 'mute' THEN 'mute' ELSE action END AS final_action FROM l)
+    SELECT message_id, offense_count, level, final_action, CASE WHEN final_action = 'mute' THEN greatest(CASE WHEN action = 'mute' THEN 10 ELSE 0 END, CASE WHEN level = 2 THEN 5 ELSE 0 END) ELSE 0 END AS mute_minutes,
+      CASE WHEN level = 1 THEN 'w' || offense_count WHEN level = 3 THEN 'k踢出3' END AS notice FROM f"""
+)
+def manual_actions(spark, d):
+    """Every kind of manual action against a ladder with warn, mute and kick; silent ones are refused."""
+    policy = Policy(window_ms=10**15, levels=ladder(_STEEP))
+    e = _read(spark, d, "events")
+    kinds = F.element_at(F.array(*map(F.lit, ("warn", "silent", "delete", "mute", "kick"))), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = e.select(
+        F.col("event_id").alias("message_id"), F.col("event_type").alias("guild_id"), F.col("user_id").cast("string").alias("user_id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"), kinds.alias("action"), F.lit(schemas.MANUAL_CATEGORY).alias("category"),
+        F.lit("manual").alias("source"), F.lit("e").alias("evidence"), F.lit("r").alias("public_reason"), F.lit(None).cast("string").alias("content_label"), F.lit("c").alias("content"),
+    )
+    counted = offenses.count(rows.where("action <> 'silent'"), policy.window_ms)
+    got = offenses.notices(offenses.manual(rows.select("message_id", "action"), counted, policy))
+    return got.select("message_id", "offense_count", F.col("level.level").alias("level"), "final_action", "mute_minutes", "notice")
+
+
+_REVIEWS = Config(governance_preset="custom", ai_review_enabled=True, api_key="k", model="m", behavior_detection_enabled=False)
+
+
+def _reviews(spark, d, capacity: int | None = None, answered: bool = True) -> decisions.Outcome:
+    """Texts of three words from the sensitive list, posted as messages, with answers to most requests."""
+    m = messages(spark, d)
+    words = F.element_at(F.array(*map(F.lit, SENSITIVE)), (F.col("message_id") % 3 + 1).cast("int"))
+    texts = F.when(F.col("message_id") % 4 < 2, F.concat(F.lit("say "), words)).otherwise("nothing")
+    rule_rows = [(i + 1, g, "sensitive", w, True) for i, (g, w) in enumerate((g, w) for g in GUILDS for w in SENSITIVE)]
+    table = spark.createDataFrame(rule_rows, "id long, guild_id string, scope string, pattern string, enabled boolean")
+    i = F.col("message_id")
+    raw = (
+        F.when(i % 8 == 0, '{"violation": true, "category": "欺诈", "reason": "R"}').when(i % 8 == 1, '{"violation": false, "category": "不违规", "reason": ""}')
+        .when(i % 8 == 4, "no json")
+    )
+    answers = m.where("message_id % 8 <> 5").select(F.concat_ws(":", "guild_id", i.cast("string")).alias("review_key"), raw.alias("raw"), (F.col("t_ms") + 7).alias("done_ms"))
+    none = access_table(spark, d).where("false")
+    return decisions.decide(m.withColumn("content", texts), table, none, _REVIEWS, answers=answers if answered else None, capacity=capacity)
+
+
+@query(
+    f"""WITH {MSG} SELECT message_id, CASE message_id % 8 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' WHEN 4 THEN 'failed' ELSE 'pending' END AS status,
+      CASE message_id % 8 WHEN 0 THEN 'R' WHEN 1 THEN 'AI 判定为不违规' ELSE '等待 AI 复核' END AS evidence FROM msg WHERE message_id % 4 < 2"""
+)
+def review_answers(spark, d):
+    return _reviews(spark, d).requests.select("message_id", "status", "evidence")
+
+
+@query(
+    f"""WITH {MSG}, r AS (SELECT message_id, guild_id, user_id, t_ms + 7 AS t_ms FROM msg WHERE message_id % 8 = 0)
+    SELECT message_id, CAST(row_number() OVER (PARTITION BY guild_id, user_id ORDER BY t_ms, message_id) AS INTEGER) AS offense_count, 'ai_review' AS code FROM r"""
+)
+def review_offenses(spark, d):
+    """Confirmed reviews count as offenses at the time of their answer."""
+    return _reviews(spark, d).decisions.select("message_id", "offense_count", "code")
+
+
+@query(
+    f"""WITH {MSG}, q AS (SELECT message_id, row_number() OVER (ORDER BY t_ms, message_id) AS n FROM msg WHERE message_id % 4 < 2)
+    SELECT CASE WHEN n <= 100 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN n <= 100 THEN '等待 AI 复核' ELSE 'AI 复核队列已满' END AS evidence, count(*) AS n, max(message_id) AS last FROM q GROUP BY 1, 2"""
+)
+def review_queue_full(spark, d):
+    got = _reviews(spark, d, capacity=100, answered=False).requests
+    return got.groupBy("status", "evidence").agg(F.count("*").alias("n"), F.max("message_id").alias("last"))
+
+
+@query(
+    f"""WITH {MSG}, r AS (SELECT CASE message_id % 8 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' WHEN 4 THEN 'failed' END AS status, t_ms + 7 AS t_ms FROM msg WHERE message_id % 8 IN (0, 1, 4))
+    SELECT stage, status AS result, count(*) AS n, CAST(sum(t_ms) AS BIGINT) AS total_ms FROM r, (SELECT unnest(['ai_review', 'decision']) AS stage) GROUP BY 1, 2"""
+)
+def review_update_events(spark, d):
+    _, events = audit.review_updates(_reviews(spark, d).requests)
+    return events.groupBy("stage", "result").agg(F.count("*").alias("n"), F.sum("t_ms").alias("total_ms"))
+
+
+# ---- labels and formats ---------------------------------------------------------------------------------------------
+
+
+def _labels_sql(x: str, kind: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in schemas.LABELS_OF[kind].items()) + f" ELSE {x} END"
+
+
+_CODES = [*schemas.LABELS_OF["signal"], "other"]
+_AT = "[" + ", ".join(f"'{c}'" for c in _CODES) + "]"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id AS id, {_AT}[event_id % {len(_CODES)} + 1] AS signal_code, CASE event_id % 3 WHEN 0 THEN 'hit' WHEN 1 THEN 'pass' ELSE 'action' END AS result,
+        event_type AS stage FROM events)
+    SELECT id, {_labels_sql("signal_code", "signal")} AS signal_code_label, {_labels_sql("result", "result")} AS result_label, {_labels_sql("stage", "stage")} AS stage_label FROM e"""
+)
+def event_records(spark, d):
+    i = F.col("event_id")
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (i % len(_CODES) + 1).cast("int"))
+    result = F.when(i % 3 == 0, "hit").when(i % 3 == 1, "pass").otherwise("action")
+    rows = _read(spark, d, "events").select(
+        i.alias("id"), F.lit("t").alias("trace_id"), F.col("event_type").alias("stage"), code.alias("signal_code"), result.alias("result"), F.lit("").alias("pattern"),
+        F.lit("").alias("evidence"), F.lit(None).cast("timestamp").alias("created_at"), F.lit("kept back").alias("secret"),
+    )
+    return Console(Config()).records(rows, "event").select("id", "signal_code_label", "result_label", "stage_label")
+
+
+@query(
+    """WITH s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN doc_id WHEN 1 THEN doc_id * 977 ELSE doc_id * 99991 END AS n FROM documents),
+    k AS (SELECT *, (n * 20 + 1024) // 2048 AS kb, (n * 200 + 1048576) // 2097152 AS mb FROM s)
+    SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (kb // 10) || '.' || (kb % 10) || ' KB' ELSE (mb // 100) || '.' || lpad(CAST(mb % 100 AS VARCHAR), 2, '0') || ' MB' END AS size,
+      ((n * 2 + 1048576) // 2097152) || ' MB' AS megabytes FROM k"""
+)
+def file_sizes(spark, d):
+    i = F.col("doc_id")
+    n = F.when(i % 3 == 0, i).when(i % 3 == 1, i * 977).otherwise(i * 99991)
+    return _read(spark, d, "documents").select("doc_id", text.file_size(n).alias("size"), text.megabytes(n).alias("megabytes"))
+
+
+@query(
+    """SELECT event_id, strftime(ts, '%Y/%-m/%-d %H:%M:%S') AS shown, epoch_us(ts) // 1000 AS ms, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso FROM events"""
+)
+def event_times(spark, d):
+    """A time written, read back and shown; times are UTC, as the session's zone is."""
+    at = F.col("ts").cast("timestamp")
+    rows = _read(spark, d, "events").select("event_id", text.iso(at).alias("iso"))
+    return rows.select("event_id", text.local_time(F.col("iso")).alias("shown"), text.parse_time(F.col("iso")).alias("ms"), "iso")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'redline' WHEN 1 THEN 'sensitive' END AS scope, CASE WHEN doc_id % 5 < 4 THEN ['warn', 'kick', 'mute', 'silent'][doc_id % 5 + 1] ELSE 'delete' END AS action,
+      CASE doc_id % 5 WHEN 1 THEN 'kick' WHEN 2 THEN 'mute' ELSE 'warn' END AS punishment FROM documents"""
+)
+def coerced_values(spark, d):
+    i = F.col("doc_id")
+    scope = F.element_at(F.array(*map(F.lit, ("红线", "敏感", "both", ""))), (i % 4 + 1).cast("int"))
+    action = F.element_at(F.array(*map(F.lit, ("warn", "kick", "mute", "silent", "ban"))), (i % 5 + 1).cast("int"))
+    return _read(spark, d, "documents").select(
+        "doc_id", text.parse_scope(scope).alias("scope"), text.normalize_action(action, "delete").alias("action"), text.punishment_action(action).alias("punishment")
+    )
 
 
 _RET = Config(guild_ids=("click", "view"), audit_retention_days=10)

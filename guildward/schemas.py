@@ -27,4 +27,18 @@ LABELS = ("不违规", "普通广告", "黑产广告", "谩骂引战", "低俗
 SCOPE_NAMES = {"redline": "红线", "sensitive": "敏感"}
 ACTION_NAMES = {"warn": "警告", "delete": "撤回", "mute": "禁言", "kick": "踢出"}
 OTHER_ACTION_NAME = "记录"
+#: Labels of the console (fixed values).
+LABELS_OF = {
+    "signal": {
+        "blacklist_user": "黑名单", "redline_keyword": "红线词", "sensitive_keyword": "敏感词", "spam_model": "违规消息检测模型", "ai_review": "AI 复核",
+        "spam_flood": "刷屏", "similar_repeat": "相似复读", "manual_action": "手动处置",
+    },
+    "action": {"silent": "放行", "warn": "警告", "delete": "撤回", "mute": "禁言", "kick": "踢出"},
+    "status": {"pending": "待复核", "confirmed": "已确认", "dismissed": "已排除", "skipped": "未复核", "failed": "复核失败", "duplicate": "重复任务"},
+    "stage": {"access": "名单检查", "keyword": "关键词检测", "behavior": "行为检测", "spam_model": "本地模型", "ai_review": "AI 复核", "decision": "最终裁决"},
+    "result": {
+        "hit": "命中", "pass": "放行", "review": "待复核", "action": "直接处置", "pending": "处理中", "confirmed": "确认违规", "dismissed": "排除违规",
+        "skipped": "跳过", "failed": "失败", "duplicate": "重复任务",
+    },
+}
 PRIVILEGED_ROLES = ("owner", "admin", "administrator")

@@ -23,8 +23,8 @@ def members(events: DataFrame, kind: str) -> DataFrame:
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """(message_id, guild_id, user_id, t_ms) of the sample event table."""
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    """(message_id, guild_id, user_id, t_ms) of the sample event table; times are rounded to milliseconds."""
+    ms = F.expr("(unix_micros(cast(ts as timestamp)) + 500) div 1000")
     return events.select(
         F.col("event_id").alias("message_id"),
         F.col("event_type").alias("guild_id"),

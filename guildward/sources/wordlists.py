@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,8 +74,11 @@ def lexicon_lines(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_FILES)
     df = df.withColumn("n", text.normalize(F.col("line"), word_joiner=False))
     kind = F.when(skip, "skipped").when(F.col("line").rlike(URL), "url").when(F.char_length("n") < 2, "short").otherwise("word")
     df = df.withColumn("kind", kind)
-    first = F.row_number().over(Window.partitionBy("kind", "n").orderBy("file", "line_no")) == 1
-    return df.withColumn("state", F.when(F.col("kind") != "word", F.col("kind")).when(first, "new").otherwise("duplicate")).drop("kind")
+    # only words need an order among equals: other lines, of which many are alike, don't enter the window
+    words = df.where("kind = 'word'")
+    first = F.row_number().over(Window.partitionBy("n").orderBy("file", "line_no")) == 1
+    words = words.withColumn("state", F.when(first, "new").otherwise("duplicate"))
+    return words.unionByName(df.where("kind <> 'word'").withColumn("state", F.col("kind"))).drop("kind")
 
 
 def lexicon(files: DataFrame) -> DataFrame:
@@ -96,6 +100,29 @@ def lexicon_stats(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_FILES)
     return of_lines.select("*", one).join(of_files.select("*", one), "_one").drop("_one")
 
 
+def progress(total: int) -> list[tuple[int, int, str]]:
+    """(rows done, percent, message) of each report of an import of total rows: batches of 100, a report about every tenth."""
+    step, last, out = max(100, math.ceil(total / 10 / 100) * 100), 0, []
+    for done in [*range(100, total, 100), *([total] if total else [])]:
+        if done == total or done - last >= step:
+            last, percent = done, math.floor(100 * done / total + 0.5)
+            out.append((done, percent, f"词库导入进度：{done}/{total}（{percent}%），已新增 {done} 条。"))
+    return out
+
+
+def summary(counts: DataFrame, scope: str) -> DataFrame:
+    """(message): what an import with these counters (and created_count, known_count, failed_count) reports."""
+    n = lambda c: F.col(c).cast("string")
+    failed = F.when(F.col("failed_count") > 0, F.concat(F.lit("，失败 "), n("failed_count"), F.lit(" 条"))).otherwise("")
+    duplicates = (F.col("duplicate_count") + F.col("known_count")).cast("string")
+    return counts.select(
+        F.concat(
+            text.scope_name(F.lit(scope)), F.lit("词库导入完成：读取 "), n("read_count"), F.lit(" 条，新增 "), n("created_count"), F.lit(" 条，重复 "), duplicates,
+            F.lit(" 条，无效 "), n("invalid_count"), F.lit(" 条"), failed, F.lit("。"),
+        ).alias("message")
+    )
+
+
 def write_lexicon(files: DataFrame, folder: str) -> None:
     """One word a line in one file, sorted: a lexicon is bounded by its language, not by the message stream."""
     lexicon(files).coalesce(1).write.mode("overwrite").text(folder)

@@ -8,18 +8,21 @@ nothing: the limiter has recovered and any cooldown is over by then.
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from guildward import config
 from guildward.config import Policy
 from guildward.operators.flood import State, step
 
-FLOOD_OUT = "message_id string, guild_id string, user_id string, t_ms long, exceeded boolean, triggered boolean, episode boolean, retry_after_ms long, debt_ms long, expected_ms double"
+_FLOOD_RESULTS = "exceeded boolean, triggered boolean, episode boolean, retry_after_ms long, debt_ms long, expected_ms double"
 _FLOOD_STATE = "expected double, episode boolean, triggered_at long, policy_key string, last_ms long"
 OFFENSE_OUT = "message_id string, guild_id string, user_id string, category string, t_ms long, offense_count int"
 
@@ -29,7 +32,10 @@ def _with_time(df: DataFrame, delay: str) -> DataFrame:
 
 
 def limit(messages: DataFrame, policy: Policy, delay: str = "1 minute") -> DataFrame:
-    """FLOOD_OUT for a stream of (message_id, guild_id, user_id, t_ms). A change of policy resets the keys."""
+    """A stream of messages (message_id, guild_id, user_id, t_ms, any others) with the limiter's results. A change of policy resets the keys."""
+    names = [c for c in messages.columns if c not in ("message_id", "t_ms")]
+    given = messages.select(F.col("message_id").cast("string").alias("message_id"), "t_ms", *names)
+    schema = T.StructType([*given.schema.fields, *T.StructType.fromDDL(_FLOOD_RESULTS).fields])
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,17 +47,18 @@ def limit(messages: DataFrame, policy: Policy, delay: str = "1 minute") -> DataF
             s = State(expected, episode, triggered_at) if policy_key == policy.key else s
         rows = pd.concat(frames).sort_values(["t_ms", "message_id"], kind="stable")
         out = []
-        for message_id, t in zip(rows["message_id"], rows["t_ms"], strict=True):
+        for t in rows["t_ms"]:
             last = max(last, int(t))
             s, exceeded, triggered, wait, debt = step(s, last, policy)
-            out.append((message_id, *key, int(t), exceeded, triggered, s.episode, wait, debt, s.expected))
+            out.append((exceeded, triggered, s.episode, wait, debt, s.expected))
         state.update((s.expected, s.episode, s.triggered_at, policy.key, last))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + config.STATE_IDLE_MS)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FLOOD_OUT.split(", ")])
+        found = pd.DataFrame(out, columns=schema.names[-6:])
+        yield pd.concat([rows[schema.names[:-6]].reset_index(drop=True), found], axis=1)
 
     user = F.coalesce(F.when(F.col("user_id") != "", F.col("user_id")), F.lit("unknown"))
-    keyed = _with_time(messages.withColumn("user_id", user).withColumn("message_id", F.col("message_id").cast("string")), delay)
-    return keyed.groupBy("guild_id", "user_id").applyInPandasWithState(fold, FLOOD_OUT, _FLOOD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = _with_time(given.withColumn("_key", user), delay)
+    return keyed.groupBy("guild_id", "_key").applyInPandasWithState(fold, schema, _FLOOD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def count(offenses: DataFrame, window_ms: int, delay: str = "1 minute") -> DataFrame:
@@ -96,19 +103,38 @@ def each_batch(decide: Callable[[DataFrame], DataFrame], folder: str, fmt: str =
     return write
 
 
-def review(requests: DataFrame, reviewer: Callable[[str], str]) -> DataFrame:
-    """(review_key, raw, done_ms): answers of a pluggable reviewer, three attempts each with growing pauses; null raw if all fail."""
+def within(seconds: float, call: Callable, *args):
+    """call(*args), or TimeoutError after so many seconds. The call goes on in a thread that ends with the worker."""
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((True, call(*args)))
+        except Exception as error:  # noqa: BLE001  told to the caller
+            box.append((False, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not box:
+        raise TimeoutError(f"no answer within {seconds} s")
+    ok, value = box[0]
+    if not ok:
+        raise value
+    return value
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
 
+def review(requests: DataFrame, reviewer: Callable[[str], str], timeout_s: float = config.REVIEW_TIMEOUT_S) -> DataFrame:
+    """(review_key, raw, done_ms): answers of a pluggable reviewer, three attempts each within timeout_s and with growing pauses; null raw if all fail."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for key, body in zip(f["review_key"], f["request"], strict=True):
                 raw = None
                 for attempt in range(config.REVIEW_ATTEMPTS):
                     try:
-                        raw = reviewer(body)
+                        raw = within(timeout_s, reviewer, body)
                         break
                     except Exception:  # noqa: BLE001  a reviewer may fail in any way; the attempt counts
                         if attempt + 1 < config.REVIEW_ATTEMPTS:

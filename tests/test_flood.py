@@ -92,5 +92,26 @@ def test_islands_equal_fold(spark):
             assert abs(r.expected_ms - want[4]) < 1e-6
 
 
+def test_any_rate_equals_fold(spark):
+    """Bit by bit, whatever the rate: the limiter adds intervals that are no whole number of milliseconds."""
+    rng = random.Random(17)
+    for rate, burst, base in [(52, 3, 2966), (7, 2, 0), (13, 1, 1_704_067_200_123), (240, 5, 0), *((rng.randrange(1, 241), rng.randrange(1, 6), rng.choice([0, 1_704_067_200_000])) for _ in range(8))]:
+        policy, rows = Policy(rate=rate, burst=burst, cooldown_ms=10_000), []
+        for u in range(25):
+            t = base
+            for _ in range(rng.randrange(1, 60)):
+                rows.append(("g", str(u), t))
+                t += rng.choice([0, 0, 1, 7, int(policy.interval_ms), int(policy.interval_ms) + 1, rng.randrange(4 * int(policy.interval_ms) + 2)])
+        got = {r.message_id: r for r in limited(spark, rows, policy).collect()}
+        assert len(got) == len(rows)
+        for u in range(25):
+            ids = [i for i, r in enumerate(rows) if r[1] == str(u)]
+            for i, want in zip(ids, folded([rows[i][2] for i in ids], policy)):
+                r = got[i]
+                assert (r.exceeded, r.triggered, r.retry_after_ms, r.debt_ms, r.expected_ms) == want, (rate, burst, i)
+    policy = Policy(rate=52, burst=3)
+    assert [r.exceeded for r in limited(spark, [("g", "u", 2966)] * 3, policy).orderBy("message_id").collect()] == [w[0] for w in folded([2966] * 3, policy)]
+
+
 def test_empty(spark):
     assert limited(spark, [("g", "u", 1)], POLICY).where(F.lit(False)).count() == 0

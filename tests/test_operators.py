@@ -3,13 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from guildward import queries
 from guildward.config import Config, Policy, ladder
 from guildward.operators import audit, classifier, gates, keywords, offenses, retention, rules
 from guildward.plans import decisions
 from guildward.plans.console import Console, days, last_of, page_of
 from guildward.sources import wordlists
 
+WORDLIST = "﻿# sample\nIdiot\r\n i d i o t \nv.x\nv x\n微 信 返利\nV信返利\n\n!!!\n兼职\n兼职啊啊啊啊\n兼职啊啊\n#end\nclown\n" + "x" * 201 + "\n薇信返利"
+LEXICON = [("a.txt", "﻿# t\nfoo\nBAR!\nhttp://x.y\nx\n---\nfoo.\nexample.com/a\nbaz   qux"), ("b.txt", "bar\n// c\n```\nwww.site\nquux\n\nnew-word"), ("非法网址.txt", "skipped\nfile")]
 RULES = "id long, guild_id string, scope string, pattern string, enabled boolean"
 
 
@@ -158,7 +159,7 @@ def test_wordlist(spark):
 
 
 def test_lexicon_files(spark, tmp_path):
-    for name, content in queries.LEXICON:
+    for name, content in LEXICON:
         (tmp_path / name).write_text(content, encoding="utf-8")
     files = wordlists.read_folder(spark, str(tmp_path))
     wordlists.write_lexicon(files, str(tmp_path / "out"))
@@ -231,3 +232,95 @@ def test_settled_signals_give_the_same(spark, tmp_path):
 def test_empty_tables(spark):
     out = pipeline(spark, [(1, "g", "u", "x", 1)], [(1, "g", "redline", "zzz", True)])
     assert out.decisions.count() == out.audits.count() == out.requests.count() == 0
+
+
+def test_gates_of_contents_and_roles(spark):
+    rows = [(1, "g", "a", 1, 1), (2, "g", "a", 2, 2), (3, "g", "admin", 1, 3), (4, "g", "a", 9, 4), (5, "", "a", 1, 5), (6, "h", "a", 1, 6)]
+    m = spark.createDataFrame(rows, "message_id long, guild_id string, user_id string, content_id long, t_ms long")
+    contents = spark.createDataFrame([(1, "text"), (2, " \u3000\n"), (3, None)], "content_id long, content string")
+    config = Config(guild_ids=("g",), admin_user_ids=("admin",))
+    left = lambda df, c=contents: sorted(r.message_id for r in gates.gate(df, config, c).collect())
+    assert left(m) == [1]
+    plain = m.withColumn("roles", F.when(F.col("message_id") == 1, F.array(F.lit("x"), F.lit("owner"))))
+    assert left(plain) == []
+    mixed = m.withColumn("content", F.lit("t")).withColumn("roles", F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit("Owner").alias("name"))))
+    assert left(mixed, None) == [1, 2, 4]
+    whole = decisions.decide(m, spark.createDataFrame([], RULES), access(spark, [("g", "a", "blacklist"), ("g", "admin", "blacklist")]), config, contents=contents)
+    assert [r.message_id for r in whole.decisions.collect()] == [1]
+
+
+def test_patterns_beyond_one_automaton(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [(i, "g", "".join(rng.choice("abcd") for _ in range(40))) for i in range(60)]
+    rows = [(i + 1, "g", "redline", "".join(rng.choice("abcd") for _ in range(4)), True) for i in range(150)]
+    views = spark.createDataFrame(texts, "message_id long, guild_id string, keyword_text string")
+    got = lambda: {tuple(r) for r in keywords.match(views, spark.createDataFrame(rows, RULES), ["message_id"]).collect()}
+    one = got()
+    monkeypatch.setattr(keywords, "AUTOMATON_PATTERNS", 30)
+    assert got() == one and one
+
+
+def test_settings_are_checked():
+    from guildward.config import flatten
+
+    assert flatten({"a": {"flood_rate_per_minute": 240}, "b": {"audit_retention_days": 1}}).flood_rate_per_minute == 240
+    level = {"offense_count": 1, "action": "warn"}
+    for bad in ({"flood_rate_per_minute": 241}, {"audit_retention_days": 0}, {"offense_window_hours": "x"}, {"punishment_levels": [level] * 11}, {"punishment_levels": [{"action": "warn"}]},
+                {"punishment_levels": [level | {"mute_minutes": 0}]}, {"governance_preset": "odd"}):
+        with pytest.raises(ValueError):
+            flatten({"s": bad})
+
+
+def test_numbers_are_rounded_from_their_binary_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+    from guildward.functions import text
+
+    values = [0.0, 0.05, 0.15, 0.25, 0.35, 0.45, 0.75, 0.95, 1.005, 83.45, 12.345, 99.95, 1e5 + 0.35, 0.5, 2.675] + [k / 1000 for k in range(50, 4000, 100)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2):
+        want = [str(Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in values]
+        assert [r.s for r in df.select(text.fixed(F.col("x"), digits).alias("s")).collect()] == want
+
+
+def test_carried_offenses_go_on(spark):
+    rows = [(i, "g", "u", "c", t) for i, t in enumerate([0, 5, 9, 30, 34, 35])]
+    schema = "message_id long, guild_id string, user_id string, category string, t_ms long"
+    whole = [r.offense_count for r in offenses.count(spark.createDataFrame(rows, schema), 10).orderBy("message_id").collect()]
+    for cut in range(1, 6):
+        first = offenses.count(spark.createDataFrame(rows[:cut], schema), 10)
+        state = first.groupBy("guild_id", "user_id", "category").agg(
+            F.max_by("offense_count", "t_ms").alias("offense_count"), F.max("t_ms").alias("updated_ms"), F.min("first_ms").alias("created_ms")
+        )
+        rest = offenses.count(spark.createDataFrame(rows[cut:], schema), 10, carry=state).orderBy("message_id").collect()
+        assert [r.offense_count for r in rest] == whole[cut:] and rest[0].first_ms == 0
+
+
+def test_import_reports(spark):
+    assert wordlists.progress(0) == [] and wordlists.progress(250)[0] == (100, 40, "词库导入进度：100/250（40%），已新增 100 条。")
+    assert [p[0] for p in wordlists.progress(2450)] == [300, 600, 900, 1200, 1500, 1800, 2100, 2400, 2450]
+    table = spark.createDataFrame([(1, "g", "redline", "known", True, "b", None)], RULES + ", created_by string, created_at timestamp")
+    after, counts = Console(Config()).import_wordlist(table, "g", "redline", "known\nnew\nnew!\n!!", "me", F.timestamp_millis(F.lit(0)))
+    assert after.count() == 2
+    assert wordlists.summary(counts, "redline").first().message == "红线词库导入完成：读取 4 条，新增 1 条，重复 2 条，无效 1 条。"
+
+
+def test_retention_job(spark, tmp_path):
+    from guildward.plans import retention_job
+
+    day = 86_400_000
+    spark.createDataFrame([(1, "t1", "g", 0), (2, "t2", "g", 99 * day)], "id long, trace_id string, guild_id string, created_ms long").write.parquet(f"{tmp_path}/in/audits")
+    spark.createDataFrame([(1, "t1", 0), (2, "t2", 99 * day), (3, "t9", 0)], "id long, trace_id string, created_ms long").write.parquet(f"{tmp_path}/in/events")
+    spark.createDataFrame([("g", "u", 0), ("g", "v", 100 * day)], "guild_id string, user_id string, updated_ms long").write.parquet(f"{tmp_path}/in/offenses")
+    assert retention_job.run(spark, Config(), f"{tmp_path}/in", f"{tmp_path}/out", 100 * day) == {"audits": 1, "events": 2, "offenses": 1}
+    assert [r.user_id for r in spark.read.parquet(f"{tmp_path}/out/offenses").collect()] == ["v"]
+
+
+def test_long_runs_of_equal_reviews(spark):
+    rows = [(i, "k", t) for i, t in enumerate(range(0, 3000, 7))] + [(1000 + i, "other", t) for i, t in enumerate([0, 5, 9, 20])]
+    got = {r.message_id: r.duplicate for r in audit.deduplicated(spark.createDataFrame(rows, "message_id long, review_key string, t_ms long"), 10).collect()}
+    last = {}
+    for i, k, t in rows:
+        queued = k not in last or t - last[k] >= 10
+        assert got[i] is not queued
+        if queued:
+            last[k] = t

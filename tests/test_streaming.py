@@ -72,3 +72,69 @@ def test_policy_change_resets_state(spark, tmp_path):
         run(name, policy)
     got = {r.message_id: r.exceeded for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a0": False, "a1": False, "b0": True, "b1": True, "c0": False, "c1": False}
+
+
+RULES = "id long, guild_id string, scope string, pattern string, enabled boolean"
+ACCESS = "guild_id string, user_id string, list_type string"
+
+
+def test_decisions_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
+    from guildward.config import Config
+    from guildward.plans import decisions
+    from guildward.streaming.moderation import Moderation
+
+    rng, messages, t = random.Random(9), [], 1
+    for i in range(240):
+        t += rng.choice([0, 10, 300, 900, 9_000])
+        body = rng.choice(["hello there", "buy spam now", "some odd words", "", "hello"])
+        messages.append((f"{i:04d}", "g", str(rng.randrange(5)), body, t))
+    schema = "message_id string, guild_id string, user_id string, content string, t_ms long"
+    df = spark.createDataFrame(messages, schema)
+    rules = spark.createDataFrame([(1, "g", "redline", "spam", True), (2, "g", "sensitive", "odd", True)], RULES)
+    access = spark.createDataFrame([("g", "3", "blacklist"), ("g", "4", "whitelist")], ACCESS)
+    settings = Config(governance_preset="custom", flood_rate_per_minute=30, flood_burst_allowance=2, flood_cooldown_seconds=10, offense_window_hours=1)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(3):
+        spark.createDataFrame(messages[k * 80 : (k + 1) * 80], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    made = Moderation(settings, lambda s: rules, lambda s: access, out)
+    assert made.start(stream, str(tmp_path / "cp"), availableNow=True).awaitTermination(240)
+    want = decisions.decide(df, rules, access, settings)
+    key = ["message_id", "code", "final_action", "offense_count", "mute_minutes"]
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    got = read("decisions").select(*key).collect()
+    assert sorted(got) == sorted(want.decisions.select(*key).collect()) and max(r.offense_count for r in got) > 3
+    told = ["trace_id", "status", "signal_code"]
+    assert sorted(read("audits").select(*told).collect()) == sorted(want.audits.select(*told).collect())
+    assert read("events").count() == want.events.count() and read("requests").count() == want.requests.count()
+    # a batch that is repeated replaces itself: what the last batch wrote stays as it is
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "state").iterdir())
+    before = sorted(map(repr, spark.read.parquet(f"{out}/state/batch={last}").collect()))
+    assert before and last >= 2
+
+
+def test_rules_are_read_again_after_their_time():
+    from guildward.streaming.moderation import Refreshed
+
+    now, reads = [0.0], []
+    table = Refreshed(lambda spark: reads.append(spark) or len(reads), ttl_s=30, clock=lambda: now[0])
+    assert [table("a"), table("a")] == [1, 1]
+    now[0] = 29.9
+    assert table("a") == 1
+    now[0] = 30.0
+    assert table("a") == 2
+    table.drop()
+    assert table("a") == 3
+
+
+def test_a_reviewer_that_hangs_is_given_up(spark, monkeypatch):
+    import time
+
+    requests = spark.createDataFrame([("k", "body", "pending"), ("x", "body", "skipped")], "review_key string, request string, status string")
+
+    def hangs(body):
+        time.sleep(30)
+
+    began = time.monotonic()
+    got = stateful.review(requests, hangs, timeout_s=0.2).collect()
+    assert [(r.review_key, r.raw) for r in got] == [("k", None)] and time.monotonic() - began < 20
