@@ -4,8 +4,9 @@ Each of REPEATS codes turns a vector by random signs and a Hadamard transform,
 cuts it in two blocks and has CODES random directions for each; a filter is a
 pair of them, its cap the vectors whose two block products add up to a limit,
 the same for all, such that a random vector lies in LISTED caps on average (in
-more where a sample shows that pairs would be missed). A vector is decoded to the list of all filters whose cap holds it. Vectors of a label that share a filter are compared by exact cosines
-in double precision.
+more where a sample shows that pairs would be missed). A vector is decoded to the
+list of all filters whose cap holds it. Vectors of a label that share a filter
+are compared by exact cosines in double precision.
 
 Equal vectors of a label are compared once, with their number as weight. A
 filter's vectors are compared in blocks of bounded size, by matrix products, and
@@ -22,6 +23,8 @@ own; ties take the smallest vec_id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +39,8 @@ LEAST = 0.93
 REPEATS, CODES, LISTED, SHARED = 64, 40, 50, 3
 #: Vectors of a filter that one block holds; two blocks at a time are compared.
 BLOCK = 1024
+#: Cosines as near to the limit as rounding could be.
+DOUBT = 1e-12
 #: Groups up to this size are compared together, by size.
 SMALL = 16
 
@@ -158,12 +163,25 @@ def _first_shared(a: bytes, b: bytes) -> int:
     return int(np.intersect1d(np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4"), assume_unique=True)[0])
 
 
+def exact(x: np.ndarray, y: np.ndarray) -> float:
+    """The cosine of two unit vectors, by one formula whatever group they are compared in."""
+    return math.fsum((x * y).tolist())
+
+
+def _reach(sims: np.ndarray, first, second, unit: np.ndarray, least: float) -> np.ndarray:
+    """Which similarities reach the limit; those within rounding of it are told by ``exact``. first and second give a place's rows of unit."""
+    near = sims >= least
+    for at in np.argwhere(np.abs(sims - least) < DOUBT).tolist():
+        near[tuple(at)] = exact(unit[first(at)], unit[second(at)]) >= least
+    return near
+
+
 def _compare_small(links: _Links, size: int, at: np.ndarray, unit, ids, weights, filters, own: np.ndarray, least: float) -> None:
     """Groups of ``size`` rows from ``at`` on, all at once; own holds the filter of each group."""
     x, y = np.triu_indices(size, 1)
     for k in range(0, len(at), 4096):
         a, b = (at[k : k + 4096, None] + x).ravel(), (at[k : k + 4096, None] + y).ravel()
-        near = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
+        near = _reach(np.einsum("ij,ij->i", unit[a], unit[b]), lambda at: a[at[0]], lambda at: b[at[0]], unit, least)  # noqa: B023
         for i, j, f in zip(a[near].tolist(), b[near].tolist(), np.repeat(own[k : k + 4096], len(x))[near].tolist(), strict=True):
             if _first_shared(filters[i], filters[j]) == f:
                 for p, q in ((i, j), (j, i)):
@@ -175,7 +193,8 @@ def _compare_large(links: _Links, left: np.ndarray, right: np.ndarray | None, un
     """All rows of left against all of right, or left's among themselves."""
     both = left if right is None else np.concatenate([left, right])
     n = len(left)
-    near = unit[both] @ unit[both].T >= least if right is None else unit[left] @ unit[right].T >= least
+    other = both if right is None else right
+    near = _reach(unit[left] @ unit[other].T, lambda at: left[at[0]], lambda at: other[at[1]], unit, least)
     earlier = [f[: np.searchsorted(f, own)] for f in (np.frombuffer(filters[i], "<i4") for i in both)]
     names, place, times = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(both)), [len(f) for f in earlier])
