@@ -190,10 +190,18 @@ def test_op7(rows, texts, labels):
             z += table[place(model.coarse[a], row[a]), place(model.coarse[b], row[b])]
         score = 1 / (1 + math.exp(-z))
         assert got[i].held_out == held[i] and abs(got[i].score - score) < 1e-9 and got[i].predicted == (got[i].score >= 0.7)
-    judged = [(got[i].score, q) for i, q in labels.items() if held.get(i)]
+
+
+def test_op7_tells_held_out_rows_apart(spark):
+    """On the next larger tables, where some ninety labelled rows are held out."""
+    larger = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.queries()["op7_quality_classifier"](spark, larger).collect()}
+    t = pq.read_table(f"{larger}/labels.parquet").to_pydict()
+    judged = [(got[i].score, q) for i, q in zip(t["doc_id"], t["quality"], strict=True) if got[i].held_out]
     good, bad = [s for s, q in judged if q == 1], [s for s, q in judged if q == 0]
-    if good and bad:
-        assert np.mean([a > b for a in good for b in bad]) > 0.9
+    assert len(good) > 50 and len(bad) > 10
+    assert np.mean([a > b for a in good for b in bad]) > 0.98
+    assert np.mean([(s >= quality_model.KEEP_FROM) == q for s, q in judged]) > 0.95
 
 
 def test_op8(rows, texts):
