@@ -133,11 +133,29 @@ def _vector(values: list | None) -> bytes | None:
 
 
 def unit_rows(vectors: list[bytes], dim: int) -> np.ndarray:
-    x = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in vectors])
+    """The vectors scaled to length one, in double precision."""
+    widths = {len(v) for v in vectors}
+    if widths == {4 * dim} or widths == {8 * dim}:
+        x = np.frombuffer(b"".join(vectors), np.float32 if widths == {4 * dim} else np.float64).astype(np.float64).reshape(-1, dim)
+    else:
+        x = np.array([np.frombuffer(v, np.float32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in vectors])
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+class _Bytes:
+    """The values of a binary Arrow column, read where they lie."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        array = column.combine_chunks()
+        array = pa.concat_arrays(array.chunks) if isinstance(array, pa.ChunkedArray) else array
+        self.ends = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+        self.data = memoryview(array.buffers()[2]) if array.buffers()[2] is not None else memoryview(b"")
+
+    def __getitem__(self, i: int) -> memoryview:
+        return self.data[self.ends[i] : self.ends[i + 1]]
+
+
 class _Links:
     """Links found by one task: sums per vector, and links that span what hangs together."""
 
@@ -184,9 +202,9 @@ def _compare_small(links: _Links, size: int, at: np.ndarray, unit, ids, weights,
         near = _reach(np.einsum("ij,ij->i", unit[a], unit[b]), lambda at: a[at[0]], lambda at: b[at[0]], unit, least)  # noqa: B023
         for i, j, f in zip(a[near].tolist(), b[near].tolist(), np.repeat(own[k : k + 4096], len(x))[near].tolist(), strict=True):
             if _first_shared(filters[i], filters[j]) == f:
-                for p, q in ((i, j), (j, i)):
-                    links.counts[ids[p]] = links.counts.get(ids[p], 0) + weights[q]
-                links.edges.add((ids[i], ids[j]))
+                for p, q in ((int(ids[i]), weights[j]), (int(ids[j]), weights[i])):
+                    links.counts[p] = links.counts.get(p, 0) + int(q)
+                links.edges.add((int(ids[i]), int(ids[j])))
 
 
 def _compare_large(links: _Links, left: np.ndarray, right: np.ndarray | None, unit, ids, weights, filters, own: int, least: float) -> None:
@@ -203,8 +221,7 @@ def _compare_large(links: _Links, left: np.ndarray, right: np.ndarray | None, un
         some = (place >= k) & (place < k + 512) & (times[place] > 1)
         held[row[some], place[some] - k] = 1
         near &= (held @ held.T if right is None else held[:n] @ held[n:].T) == 0
-    w = np.array([weights[i] for i in both], np.int64)
-    name = np.array([ids[i] for i in both], np.int64)
+    w, name = np.asarray(weights, np.int64)[both], np.asarray(ids, np.int64)[both]
     if right is None:
         np.fill_diagonal(near, False)
         links.add(name, near @ w)
@@ -230,49 +247,53 @@ def _compare(batches, least: float):
     links, carry = _Links(), None
     columns = ["label", "dim", "filter", "left", "right", "rep", "weight", "vec", "filters", "block"]
 
-    def groups(t: pa.Table):
-        key = t.select(["label", "dim", "filter", "left", "right"]).to_pydict()
+    def groups(t: pa.Table, key: np.ndarray, cut: np.ndarray) -> None:
+        """Compares the groups of t that cut parts; key has their dim, filter, left and right."""
         n = t.num_rows
-        rows = list(zip(*key.values(), strict=True))
-        cut = [0] + [i for i in range(1, n) if rows[i] != rows[i - 1]] + [n]
-        ids, weights = t["rep"].to_pylist(), t["weight"].to_pylist()
-        filters, vec, block = t["filters"].to_pylist(), t["vec"].to_pylist(), np.array(t["block"].to_pylist())
-        dims = np.array(key["dim"])
+        ids, weights, block = (t[c].to_numpy() for c in ("rep", "weight", "block"))
+        filters, vec = _Bytes(t["filters"]), _Bytes(t["vec"])
+        dims, own, left, right = key
+        size = np.diff(cut)
         for dim in np.unique(dims):
-            mine = [(a, b) for a, b in zip(cut, cut[1:]) if dims[a] == dim]
-            which = np.concatenate([np.arange(a, b) for a, b in mine])
+            mine = np.flatnonzero(dims[cut[:-1]] == dim)
+            which = np.flatnonzero(dims == dim)
             unit = np.zeros((n, dim))
-            unit[which] = unit_rows([vec[i] for i in which], int(dim))
-            small: dict[int, list[int]] = {}
-            for a, b in mine:
-                left, right = rows[a][3:]
-                if b - a <= SMALL and left == right:
-                    small.setdefault(b - a, []).append(a)
-                elif left == right:
-                    _compare_large(links, np.arange(a, b), None, unit, ids, weights, filters, rows[a][2], least)
+            unit[which] = unit_rows([vec[i] for i in which.tolist()], int(dim))
+            small = (size[mine] <= SMALL) & (left[cut[mine]] == right[cut[mine]])
+            for k in np.unique(size[mine[small]]).tolist():
+                if k > 1:
+                    at = cut[mine[small & (size[mine] == k)]]
+                    _compare_small(links, k, at, unit, ids, weights, filters, own[at], least)
+            for g in mine[~small].tolist():
+                a, b = cut[g], cut[g + 1]
+                if left[a] == right[a]:
+                    _compare_large(links, np.arange(a, b), None, unit, ids, weights, filters, own[a], least)
                 else:
-                    one, two = a + np.flatnonzero(block[a:b] == left), a + np.flatnonzero(block[a:b] == right)
+                    one, two = a + np.flatnonzero(block[a:b] == left[a]), a + np.flatnonzero(block[a:b] == right[a])
                     if len(one) and len(two):
-                        _compare_large(links, one, two, unit, ids, weights, filters, rows[a][2], least)
-            for size, at in small.items():
-                if size > 1:
-                    _compare_small(links, size, np.array(at), unit, ids, weights, filters, np.array([rows[a][2] for a in at]), least)
+                        _compare_large(links, one, two, unit, ids, weights, filters, own[a], least)
+
+    def taken(t: pa.Table, whole: bool) -> pa.Table:
+        """Compares t's groups, but for the last one if more of it may come, which is returned."""
+        label = t["label"].combine_chunks().dictionary_encode()
+        label = label.indices if isinstance(label, pa.DictionaryArray) else label.unify_dictionaries().combine_chunks().indices
+        key = np.stack([t[c].to_numpy() for c in ("dim", "filter", "left", "right")])
+        codes = label.to_numpy(zero_copy_only=False)
+        new = (key[:, 1:] != key[:, :-1]).any(0) | (codes[1:] != codes[:-1])
+        cut = np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
+        if not whole:
+            cut = cut[:-1]
+        if len(cut) > 1:
+            groups(t.slice(0, cut[-1]), key[:, : cut[-1]], cut)
+        return t.slice(cut[-1])
 
     for b in batches:
         t = pa.Table.from_batches([b]).select(columns)
         t = pa.concat_tables([carry, t]) if carry is not None else t
-        if not t.num_rows:
-            continue
-        key = t.select(["label", "dim", "filter", "left", "right"])
-        last, n = key.slice(t.num_rows - 1).to_pylist()[0], t.num_rows
-        at = n - 1
-        while at and key.slice(at - 1, 1).to_pylist()[0] == last:
-            at -= 1
-        if at:
-            groups(t.slice(0, at))
-        carry = t.slice(at)
+        if t.num_rows:
+            carry = taken(t, False)
     if carry is not None and carry.num_rows:
-        groups(carry)
+        taken(carry, True)
     yield from links.batches()
 
 
@@ -319,7 +340,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, vec_id: str = "vec_id
     held = reps.select("label", "dim", "rep", "filters").mapInArrow(explode, "label string, dim int, rep long, filter int")
     key = ["label", "dim", "filter"]
     sizes = held.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
-    sizes = sizes.select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    # written, so that the join shuffles both sides itself and can split a filter with very many vectors
+    sizes = work.table(sizes.select(*key, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sizes")
     # a member of a large filter goes to the pairs of its own block with every block
     dealt = held.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
