@@ -63,8 +63,9 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
     )
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        # written, so that the join shuffles both sides itself and can split a node with very many neighbours
+        of_u = work.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.where("v > u").join(of_u, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", "m")).distinct()
@@ -73,6 +74,7 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
         times = ends.groupBy("x").agg(F.sum("h").alias("up"), F.min("h").alias("end"))
         open_ = times.agg(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("end") == 0))).first()[0]
         work.drop(e)
+        work.drop(of_u)
         e = after
         if not open_:
             break

@@ -291,7 +291,7 @@ def _rest(work: Work, members: DataFrame, sets: DataFrame, full: DataFrame, labe
     named = members.where("doc_id <> pivot").select("key", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = named.withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     several = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("doc_id").alias("head")).where("_lo < _hi")
-    heads = named.join(several.select("key", "head"), "key").select("doc_id", "label", "head")
+    heads = named.join(work.table(several.select("key", "head"), "several"), "key").select("doc_id", "label", "head")
     # a document has BANDS buckets at most, so the set of their heads is bounded
     heads = work.table(heads.groupBy("doc_id", "label").agg(F.collect_set("head").alias("heads"), F.min("head").alias("least")), "open")
     # the least head stands for a document's buckets: one edge to it, and one to it from each other head, keep all connected
@@ -305,6 +305,7 @@ def _rest(work: Work, members: DataFrame, sets: DataFrame, full: DataFrame, labe
     blocks = labelled.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("all"))
     in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     blocks = blocks.select("grp", "top", in_blocks(F.col("all") - F.col("most")).alias("rare"), in_blocks(F.col("most")).alias("common"))
+    blocks = work.table(blocks, "blocks")
     is_rare = F.col("label") != F.col("top")
     chance = F.pmod(F.xxhash64("doc_id"), F.when(is_rare, F.col("rare")).otherwise(F.col("common"))).cast("int")
     dealt = docs.join(blocks, "grp").where("rare > 0").withColumn("place", F.when(is_rare, chance).otherwise(F.col("rare") + chance))
@@ -329,9 +330,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, text: st
     groups = all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
     sets = groups.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     sets = work.table(sets, "sets")
-    banded = bands(sets).repartition("key")
-    shared = banded.groupBy("key").agg(F.count("*").alias("_n"), F.min("doc_id").alias("pivot")).where("_n > 1").drop("_n")
-    members = work.table(banded.join(shared, "key"), "members")
+    # keys of shared buckets are written, here and below, so that joins with them shuffle both sides and can split a hot key
+    shared = bands(sets).groupBy("key").agg(F.count("*").alias("_n"), F.min("doc_id").alias("pivot")).where("_n > 1").drop("_n")
+    members = work.table(bands(sets).join(work.table(shared, "shared"), "key"), "members")
     ids = work.table(members.select("doc_id").distinct(), "ids")
     full = full_sets(docs, ids, width, text, doc_id).join(sets.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi")
     full = work.table(full.dropDuplicates(["doc_id", "digest"]).select("doc_id", "set"), "full")
