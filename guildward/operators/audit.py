@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from guildward import config
+from guildward import config, schemas
 from guildward.functions import review_json, text
 
 STAGES = {"behavior": "behavior", "access": "access"}
@@ -182,6 +182,33 @@ def confirmed_signals(reviews: DataFrame) -> DataFrame:
     )
 
 
+def batch_ids(number: int) -> Column:
+    """Ids of the rows of batch ``number``: greater than those of earlier batches, without a shuffle.
+
+    24 bits tell the batch, 15 the partition, 24 the row in it.
+    """
+    place = F.monotonically_increasing_id()
+    return F.lit(number << 39) + F.shiftright(place, 33) * F.lit(1 << 24) + place.bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def stored(audits: DataFrame, number: int = 0) -> DataFrame:
+    """Audits as rows to append to the audit table (schemas.AUDITS)."""
+    at = F.timestamp_millis("t_ms")
+    channel = F.coalesce("channel_id", F.lit("")) if "channel_id" in audits.columns else F.lit("")
+    df = audits.withColumns({"id": batch_ids(number), "channel_id": channel, "created_at": at, "updated_at": at})
+    return _typed(df, schemas.AUDITS)
+
+
+def stored_events(events: DataFrame, number: int = 0) -> DataFrame:
+    """Events as rows to append to the event table (schemas.AUDIT_EVENTS), in a trace's order; those without a trace are left out."""
+    df = events.where(F.coalesce("trace_id", F.lit("")) != "").withColumn("created_at", F.timestamp_millis("t_ms"))
+    return _typed(df.sortWithinPartitions("t_ms", "seq").withColumn("id", batch_ids(number)), schemas.AUDIT_EVENTS)
+
+
+def _typed(df: DataFrame, ddl: str) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl).fields])
+
+
 def review_updates(done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of answered reviews: rows for the append-only log of audit states (trace_id, status, action, evidence, updated_ms), and their events.
 

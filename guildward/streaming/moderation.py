@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from guildward import config
 from guildward.config import Config
-from guildward.operators import gates, offenses
+from guildward.operators import audit, gates, offenses
 from guildward.plans import decisions
 from guildward.streaming import stateful
 
@@ -73,10 +73,10 @@ class Moderation:
                 held.select(*names), self.rules(spark), self.access(spark), self.settings, limited=held, carry=carry, capacity=self.capacity, **self.more
             )
             self._write(out.decisions, "decisions", number)
-            self._write(out.audits, "audits", number)
+            self._write(audit.stored(out.audits, number), "audits", number)
             self._write(out.requests, "requests", number)
             try:  # a lost event must not stop the decisions that it tells about
-                self._write(out.events.where("trace_id <> ''"), "events", number)
+                self._write(audit.stored_events(out.events, number), "events", number)
             except Exception:  # noqa: BLE001
                 _LOG.warning("the events of batch %s were not written", number, exc_info=True)
             self._write(self._after(spark, carry, number), "state", number)

@@ -324,3 +324,28 @@ def test_long_runs_of_equal_reviews(spark):
         assert got[i] is not queued
         if queued:
             last[k] = t
+
+
+def test_console_tables(spark):
+    from guildward import schemas
+    from guildward.functions import text
+
+    console = Console(Config(guild_ids=("g",)))
+    lists = spark.createDataFrame([(2, "g", "u2", "blacklist", "r", "b", None), (1, "g", "u1", "blacklist", "", "b", None), (3, "h", "u", "blacklist", "", "b", None)], schemas.ACCESS)
+    assert [r.id for r in console.access_list(lists, "g", "blacklist").collect()] == [1, 2]
+    kept = [(1, "g", "u", "c", 3, "spam_flood", "p", "mute", None, None), (2, "g", "v", "c", 1, "x", "p", "ban", None, None)]
+    table = spark.createDataFrame(kept, schemas.OFFENSES)
+    shown = console.records(table, "offense").orderBy("id").collect()
+    assert [(r.last_signal_code_label, r.last_action_label) for r in shown] == [("刷屏", "禁言"), ("x", "ban")]
+    assert [r.user_id for r in console.clear_offense(table, "g", "u").where("offense_count > 0").collect()] == ["v"]
+    events = spark.createDataFrame([(3, "t", "decision", "c", "hit", "", "", None), (1, "t", "keyword", "c", "hit", "", "", None)], schemas.AUDIT_EVENTS)
+    audits = spark.createDataFrame([("t", "g")], "trace_id string, guild_id string")
+    assert [r.id for r in console.audit_events(events, audits, "g", "t").collect()] == [1, 3]
+    assert console.audit_events(events, audits.where("false"), "g", "t").count() == 0
+    at = spark.createDataFrame([("2024-01-05T03:04:05.678Z",), ("never",)], "t string")
+    got = at.select(text.local_time(F.col("t")), text.parse_time(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("2024/1/5 03:04:05", 1704423845678), ("never", 0)]
+    signals = spark.createDataFrame([(1, 2, "b"), (1, 0, "a")], "message_id long, seq int, code string")
+    from guildward.operators import signals as sig
+
+    assert {tuple(r) for r in sig.codes(signals, spark.createDataFrame([(1,), (2,)], "message_id long")).collect()} == {(1, "a,b"), (2, "none")}

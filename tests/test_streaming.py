@@ -107,6 +107,8 @@ def test_decisions_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     told = ["trace_id", "status", "signal_code"]
     assert sorted(read("audits").select(*told).collect()) == sorted(want.audits.select(*told).collect())
     assert read("events").count() == want.events.count() and read("requests").count() == want.requests.count()
+    ids = read("audits").select("id", "created_at").orderBy("id").collect()
+    assert len({r.id for r in ids}) == len(ids) and read("events").select("id").distinct().count() == want.events.count()
     # a batch that is repeated replaces itself: what the last batch wrote stays as it is
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "state").iterdir())
     before = sorted(map(repr, spark.read.parquet(f"{out}/state/batch={last}").collect()))
@@ -138,3 +140,34 @@ def test_a_reviewer_that_hangs_is_given_up(spark, monkeypatch):
     began = time.monotonic()
     got = stateful.review(requests, hangs, timeout_s=0.2).collect()
     assert [(r.review_key, r.raw) for r in got] == [("k", None)] and time.monotonic() - began < 20
+
+
+def test_review_keys_of_a_stream(spark, tmp_path):
+    hour = 3_600_000
+    rows = [("a", 0), ("b", hour), ("a", 2 * hour), ("a", 23 * hour), ("b", 20 * hour)]
+    df = spark.createDataFrame([(f"{i}", k, t) for i, (k, t) in enumerate(rows)], "message_id string, review_key string, t_ms long")
+    got = streamed(spark, tmp_path, df, df.schema, stateful.review_keys)
+    assert sorted(r.message_id for r in got.collect()) == ["0", "1"]
+
+
+def test_a_failing_event_sink_stops_nothing(spark, tmp_path, monkeypatch):
+    from guildward.config import Config
+    from guildward.operators import audit
+    from guildward.streaming.moderation import Moderation
+
+    def broken(events, number=0):
+        raise RuntimeError("no sink")
+
+    monkeypatch.setattr(audit, "stored_events", broken)
+    schema = "message_id string, guild_id string, user_id string, content string, t_ms long"
+    results = ", exceeded boolean, triggered boolean, episode boolean, retry_after_ms long, debt_ms long, expected_ms double"
+    batch = spark.createDataFrame([("1", "g", "u", "spam", 5, False, False, False, 0, 0, 9.0)], schema + results)
+    rules, access = spark.createDataFrame([(1, "g", "redline", "spam", True)], RULES), spark.createDataFrame([], ACCESS)
+    made = Moderation(Config(), lambda s: rules, lambda s: access, str(tmp_path))
+    made.batch(batch, 0)
+    made.batch(batch, 0)
+    assert spark.read.parquet(f"{tmp_path}/decisions").count() == 1 and spark.read.parquet(f"{tmp_path}/audits").count() == 1
+    made.batch(batch.withColumn("message_id", F.lit("2")).withColumn("t_ms", F.lit(7).cast("long")), 1)
+    assert spark.read.parquet(f"{tmp_path}/decisions/batch=1").first().offense_count == 2
+    state = spark.read.parquet(f"{tmp_path}/state/batch=1").first()
+    assert (state.offense_count, state.created_ms, state.updated_ms) == (2, 5, 7)
