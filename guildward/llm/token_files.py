@@ -17,7 +17,8 @@ their number at some ten thousand a terabyte of ids.
 
 Defined cases: a null text is an empty one; every document ends with the end id;
 null doc_ids come first; rows with equal doc_id follow each other in the order of
-their ids' bytes; an empty table writes no frames.
+a hash of their texts, then of their ids' bytes, and one that fills several
+ranges is spread over them by that hash; an empty table writes no frames.
 """
 
 from __future__ import annotations
@@ -152,14 +153,19 @@ class Reader:
 
 
 def _encoded(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
-    fields = [T.StructField("ids", T.BinaryType()), T.StructField("part", T.IntegerType())]
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("mix", T.LongType())]
 
     def make(batches):
         lib, cuts = library(path), np.array(bounds, np.int64)
         end = np.array([END_ID], lib.code).tobytes()
         for b in batches:
             ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            yield [[lib.encode(t) + end for t in texts(b.column(1))], np.searchsorted(cuts, ids, "right").astype(np.int32)]
+            given = texts(b.column(1))
+            mix = np.array([xxhash.xxh64_intdigest(t or b"") >> 11 for t in given], np.int64)
+            # an id that is a bound several times fills the ranges between, in the order of the hash
+            first, last = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+            part = first + (mix / (1 << 53) * (last - first + 1)).astype(np.int64)
+            yield [[lib.encode(t) + end for t in given], np.minimum(part, last).astype(np.int32), mix]
 
     return arrow.append_columns(docs, fields, make, ["doc_id"])
 
@@ -168,9 +174,10 @@ def write(docs: DataFrame, path: str, folder: str, text: str = "text", doc_id: s
     """Writes the token files of docs into folder, ranges of doc_id by range."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranges = min(MAX_RANGES, max(1, round(docs.count() / RANGE_DOCS)))
-    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else []
+    placed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    bounds = sorted(int(x) for x in placed.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)) if ranges > 1 else []
     width = library(path).width
-    dealt = _encoded(docs, path, bounds).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
+    dealt = _encoded(docs, path, bounds).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "mix", "ids")
 
     def run(batches):
         ids, payloads, size, number, part = [], [], 0, 0, 0

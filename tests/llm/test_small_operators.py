@@ -127,6 +127,12 @@ def test_among_many(spark, monkeypatch):
     ids = spark.range(0, 4000, 3).selectExpr("id doc_id")
     got = sorted(r.doc_id for r in common.among(df, ids).collect())
     assert got == list(range(0, 2000, 3))
+    clash = df.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("id", "block", "maybe", "lane0", "c0")])
+    left = common.without(clash, ids)
+    assert left.columns == clash.columns
+    assert sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [i for i in range(2000) if i % 3] and left.count() == 1334
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10_000)
+    assert sorted(map(repr, common.without(clash, ids).collect())) == sorted(map(repr, left.collect()))
 
 
 def test_bloom_has_no_misses(spark):
@@ -224,6 +230,26 @@ def test_token_files(spark, tokenizer, tmp_path, monkeypatch):
         token_files.Reader(broken).frame(1)
 
 
+def test_token_files_of_a_hot_id(spark, tmp_path, monkeypatch):
+    """A third of all rows without an id, another third of one id: several ranges hold each, in one order."""
+    monkeypatch.setattr(token_files, "RANGE_DOCS", 20)
+    rows = [(None, f"none {i}") for i in range(200)] + [(7, f"seven {i}") for i in range(200)] + [(i, f"own {i}") for i in range(-50, 150) if i != 7]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = str(tmp_path / "tokens")
+    token_files.write(df, bpe.vocabulary_path(), folder)
+    got = token_files.read(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    starts = np.cumsum([0] + [r.n_tokens for r in got])
+    assert [r.start for r in got] == starts[:-1].tolist()
+    assert len({(r.doc_id, r.ids_crc32) for r in got}) == len(rows)
+    parts = set()
+    for f in tmp_path.glob("tokens/part-*"):
+        reader = token_files.Reader(f.read_bytes())
+        if 7 in reader.doc_ids:
+            parts.add(reader.part)
+    assert len(parts) >= 5
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     folder = str(tmp_path / "none")
     token_files.write(docs(spark, ODD).where("false"), bpe.vocabulary_path(), folder)
