@@ -164,6 +164,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, text: str, doc_id: st
     return arrow.append_columns(picked, [T.StructField("digest", T.BinaryType()), T.StructField("set", T.BinaryType())], make, ["doc_id"])
 
 
+def sliced(batches, rows: int):
+    """The batches in parts of so many rows, so that what is made of them stays small."""
+    for b in batches:
+        yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
+
+
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and registers don't rule the similarity out."""
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
@@ -171,7 +177,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = joined.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 2048):
             if b.num_rows:
                 ra, rb = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, REGISTERS) for k in (4, 5))
                 _, may = estimate(ra, rb, b.column(2).to_numpy(), b.column(3).to_numpy(), percent / 100)
@@ -186,12 +192,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
-        for batch in batches:
-            for b in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                keep = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    keep.append(_close(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
-                yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in sliced(batches, 256):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                keep.append(_close(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long")
 
@@ -272,7 +277,7 @@ def _compare(batches, percent: int):
     def links(of: _Block) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in of.links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    for b in batches:
+    for b in sliced(batches, 256):
         for *now, role, doc, label, registers, items in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
             if now != key:
                 if block is not None and block.links:
