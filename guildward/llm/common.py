@@ -34,6 +34,21 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return maybe.select(*docs.columns).join(ids, "doc_id", "left_semi").select(*docs.columns)
 
 
+def without(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in column doc_id of ids (distinct), null ids among them; as in ``among``, few other rows move."""
+    names = docs.columns
+    own = [f"c{i}" for i in range(len(names))]
+    rows, key, gone = docs.toDF(*own), F.col(own[names.index(doc_id)]), ids.select(F.col("doc_id").alias("id"))
+    n = ids.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), key == F.col("id"), "left_anti").toDF(*names)
+    blocks = min(bloom.blocks_for(n), bloom.BROADCAST_BLOCKS)
+    filled = F.broadcast(bloom.table(ids, "doc_id", blocks))
+    probed = rows.withColumn("block", bloom.block(key, blocks)).join(filled, "block", "left").select(*own, bloom.passed(key).alias("maybe"))
+    kept = probed.where("not maybe").drop("maybe")
+    return kept.unionByName(probed.where("maybe").drop("maybe").join(gone, key == F.col("id"), "left_anti")).toDF(*names)
+
+
 def unlike(columns: list[str], results) -> list[str]:
     """The columns that are not called like a result, in any case."""
     taken = {r.lower() for r in results}

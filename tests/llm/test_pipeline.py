@@ -3,6 +3,7 @@ import re
 
 import __spark_entry__
 import corpus_pipeline
+from pyspark.sql import functions as F
 from guildward.llm import queries
 
 from tests.llm.test_dedup import brute
@@ -61,6 +62,26 @@ def test_repeated_rows_of_an_id(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"]
 
 
+def test_other_texts_of_an_id_and_clashing_columns(spark, tmp_path):
+    """An id is one document, whatever its rows say; columns called like results stay as they are."""
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, c, "en", "s", 3), (3, c + " end", "en", "t", 4), (4, None, None, None, None), (None, a, "en", "s", 5)]
+    df = spark.createDataFrame(rows, DOCS)
+    own = ["score", "predicted", "n_words", "kept", "llr", "spans", "base", "c0", "id", "_id", "row", "n", "digest", "KEPT_"]
+    df = df.select("*", *[F.lit(0.25).alias(x) for x in own])
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "4", "None"]
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, df, str(tmp_path))
+        assert after.columns == df.columns and all(r[x] == 0.25 for r in after.collect() for x in own)
+    assert corpus_pipeline.best_fit(spark, df, "").count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert set(queries.queries()) <= set(names) and "pipeline" in names
