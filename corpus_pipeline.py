@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guildward.llm import minhash_dedup, packing, quality_model, quality_rules, secrets_scan
-from guildward.llm.common import Work, fresh, sized
+from guildward.llm.common import Work, fresh, sized, without
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,20 +34,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their texts, and the row with the least hash of its columns stays. Rows
     without an id are kept.
     """
-    (id_,) = fresh(docs.columns, ["id"])
-    same = F.col("doc_id") == F.col(id_)
     found = minhash_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = found.where("not kept").select(F.col("doc_id").alias(id_)).distinct()
-    left = docs.join(sized(gone), same, "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_))
+    left = without(docs, Work(spark).table(found.where("not kept").select("doc_id").distinct()))
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not twice.limit(1).count():
         return left
-    again = left.join(sized(twice), same, "left_semi")
+    (id_,) = fresh(docs.columns, ["id"])
+    again = left.join(sized(twice.withColumnRenamed("doc_id", id_)), F.col("doc_id") == F.col(id_), "left_semi")
     # the least of a hash and the row is found map-side, so an id that repeats without bound needs no large group
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     first = again.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row"))
     first = first.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return left.join(sized(twice), same, "left_anti").unionByName(first)
+    return without(left, twice).unionByName(first)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
