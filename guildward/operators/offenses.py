@@ -114,11 +114,26 @@ def notices(decisions: DataFrame) -> DataFrame:
 
 
 def manual(actions: DataFrame, counted: DataFrame, policy: Policy) -> DataFrame:
-    """Decisions of counted manual actions (category MANUAL_CATEGORY): warn stays warn, others go through the ladder.
+    """Decisions of counted manual actions (category MANUAL_CATEGORY), with warning, the text of a plain warning.
 
-    actions of the kind silent are refused; delete is recorded only.
+    actions: (message_id, action) and, where it is known, warned: whether the
+    command to warn was given, else that to punish; without it a warn is the
+    former's. A warning has no level. What is punished goes through the ladder;
+    actions of the kind silent are refused, a delete is recorded only.
     """
-    df = decide(counted.join(actions.where("action <> 'silent'").select("message_id"), "message_id", "left_semi"), policy)
-    warned = F.col("action") == "warn"
-    df = df.withColumn("final_action", F.when(warned, "warn").otherwise(F.col("final_action")))
-    return df.withColumn("mute_minutes", F.when(warned, 0).otherwise(F.col("mute_minutes")))
+    known = F.col("warned") if "warned" in actions.columns else F.col("action") == "warn"
+    asked = actions.where("action <> 'silent'").select("message_id", known.alias("warned"))
+    df = decide(counted.join(asked, "message_id"), policy)
+    for c in ("level", "notice_action"):
+        df = df.withColumn(c, F.when(~F.col("warned"), F.col(c)))
+    df = df.withColumn("final_action", F.when(F.col("warned"), "warn").otherwise(F.col("final_action")))
+    df = df.withColumn("mute_minutes", F.when(F.col("warned"), 0).otherwise(F.col("mute_minutes")))
+    df = df.withColumn("passed", F.col("final_action") == "warn")
+    plain = (F.col("final_action") == "warn") & F.col("level").isNull()
+    steps = F.array(
+        F.when(F.col("notice_action").isNotNull(), F.lit("notice")),
+        F.when(plain, F.lit("warn")),
+        F.when(F.col("final_action").isin("mute", "kick"), F.col("final_action")),
+    )
+    warning = F.when(plain, F.concat(text.at(F.col("user_id")), F.lit(" 管理员警告："), F.col("public_reason")))
+    return df.withColumns({"plan": F.array_compact(steps), "warning": warning}).drop("warned")

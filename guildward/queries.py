@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from guildward import schemas
 from guildward.config import Config, Policy, ladder
 from guildward.functions import review_json, text
-from guildward.operators import audit, flood, gates, keywords, offenses, retention
+from guildward.operators import audit, classifier, flood, gates, keywords, offenses, retention
 from guildward.operators import rules as rule_ops
 from guildward.operators import signals as sig
 from guildward.plans import decisions
@@ -828,13 +828,16 @@ _STEEP = [{"offense_count": 2, "action": "warn", "template": "w{offenseCount}"},
 
 
 @query(
-    """WITH e AS (SELECT event_id AS message_id, event_type AS guild_id, CAST(user_id AS VARCHAR) AS user_id, epoch_ms(ts) AS t_ms,
+    """WITH e AS (SELECT event_id AS message_id, event_type AS guild_id, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS t_ms, event_id % 10 = 0 AS warned,
         CASE event_id % 5 WHEN 0 THEN 'warn' WHEN 1 THEN 'silent' WHEN 2 THEN 'delete' WHEN 3 THEN 'mute' ELSE 'kick' END AS action FROM events),
     n AS (SELECT *, CAST(row_number() OVER (PARTITION BY guild_id, user_id ORDER BY t_ms, message_id) AS INTEGER) AS offense_count FROM e WHERE action <> 'silent'),
-    l AS (SELECT *, CASE WHEN offense_count >= 4 THEN 3 WHEN offense_count >= 3 THEN 2 WHEN offense_count >= 2 THEN 1 END AS level FROM n),
-    f AS (SELECT *, CASE WHEN action = 'warn' THEN 'warn' WHEN level = 3 OR action = 'kick' THEN 'kick' WHEN level = 2 OR action = 'mute' THEN 'mute' ELSE action END AS final_action FROM l)
+    l AS (SELECT *, CASE WHEN warned THEN NULL WHEN offense_count >= 4 THEN 3 WHEN offense_count >= 3 THEN 2 WHEN offense_count >= 2 THEN 1 END AS level FROM n),
+    f AS (SELECT *, CASE WHEN warned THEN 'warn' WHEN level = 3 OR action = 'kick' THEN 'kick' WHEN level = 2 OR action = 'mute' THEN 'mute' ELSE action END AS final_action FROM l)
     SELECT message_id, offense_count, level, final_action, CASE WHEN final_action = 'mute' THEN greatest(CASE WHEN action = 'mute' THEN 10 ELSE 0 END, CASE WHEN level = 2 THEN 5 ELSE 0 END) ELSE 0 END AS mute_minutes,
-      CASE WHEN level = 1 THEN 'w' || offense_count WHEN level = 3 THEN 'k踢出3' END AS notice FROM f"""
+      CASE WHEN level = 1 THEN 'w' || offense_count WHEN level = 3 THEN 'k踢出3' END AS notice, final_action = 'warn' AS passed,
+      array_to_string(list_filter([CASE WHEN level IN (1, 3) THEN 'notice' END, CASE WHEN final_action = 'warn' AND level IS NULL THEN 'warn' END,
+        CASE WHEN final_action IN ('mute', 'kick') THEN final_action END], lambda x: x IS NOT NULL), ',') AS plan,
+      CASE WHEN final_action = 'warn' AND level IS NULL THEN '<at id="' || user_id || '"/> 管理员警告：r' END AS warning FROM f"""
 )
 def manual_actions(spark, d):
     """Every kind of manual action against a ladder with warn, mute and kick; silent ones are refused."""
@@ -847,8 +850,10 @@ def manual_actions(spark, d):
         F.lit("manual").alias("source"), F.lit("e").alias("evidence"), F.lit("r").alias("public_reason"), F.lit(None).cast("string").alias("content_label"), F.lit("c").alias("content"),
     )
     counted = offenses.count(rows.where("action <> 'silent'"), policy.window_ms)
-    got = offenses.notices(offenses.manual(rows.select("message_id", "action"), counted, policy))
-    return got.select("message_id", "offense_count", F.col("level.level").alias("level"), "final_action", "mute_minutes", "notice")
+    asked = rows.select("message_id", "action", (F.col("message_id") % 10 == 0).alias("warned"))
+    got = offenses.notices(offenses.manual(asked, counted, policy))
+    columns = ["final_action", "mute_minutes", "notice", "passed", F.array_join("plan", ",").alias("plan"), "warning"]
+    return got.select("message_id", "offense_count", F.col("level.level").alias("level"), *columns)
 
 
 _REVIEWS = Config(governance_preset="custom", ai_review_enabled=True, api_key="k", model="m", behavior_detection_enabled=False)
@@ -906,6 +911,102 @@ def review_update_events(spark, d):
     return events.groupBy("stage", "result").agg(F.count("*").alias("n"), F.sum("t_ms").alias("total_ms"))
 
 
+_ASKED = "CASE message_id % 3 WHEN 0 THEN 'ingor' WHEN 1 THEN 'oution' ELSE 'ntble' END"
+_RULE_NO = "CASE guild_id WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END * 3 + message_id % 3 + 1"
+
+
+@query(
+    f"""WITH {MSG} SELECT message_id, guild_id || ':' || message_id AS review_key, 'm' AS model, 200 AS max_tokens, 2 AS n_messages,
+      'Patterns: ' || {_ASKED} || chr(10) || 'Evidence: 命中敏感关键词 #' || ({_RULE_NO}) || '(' || {_ASKED} || ')' || chr(10) || 'Message begins:' || chr(10) || 'say ' || {_ASKED}
+        || chr(10) || 'Message ends.' AS asked FROM msg WHERE message_id % 4 < 2"""
+)
+def review_request_bodies(spark, d):
+    body = lambda path: F.get_json_object("request", path)
+    got = _reviews(spark, d, answered=False).requests
+    return got.select(
+        "message_id", "review_key", body("$.model").alias("model"), body("$.max_tokens").cast("int").alias("max_tokens"),
+        F.json_array_length(body("$.messages")).alias("n_messages"), body("$.messages[1].content").alias("asked"),
+    )
+
+
+@query(
+    f"""WITH {MSG} SELECT CASE WHEN message_id % 3 = 0 THEN guild_id || ':' || user_id || ':' || t_ms ELSE guild_id || ':' || message_id END AS review_key, count(*) AS n FROM msg GROUP BY ALL"""
+)
+def review_keys(spark, d):
+    """Messages without an id are told apart by user and time."""
+    m = messages(spark, d).withColumn("message_id", F.when(F.col("message_id") % 3 != 0, F.col("message_id").cast("string")).otherwise(""))
+    return m.groupBy(audit.review_key().alias("review_key")).agg(F.count("*").alias("n"))
+
+
+def _label_of(body: str, sensitive: bool) -> dict | None:
+    """A stand-in for a classifier: by the length of the text, and whether a sensitive rule hit it."""
+    n = len(body)
+    if n % 7 == 0:
+        raise RuntimeError("no answer")
+    status = ("action", "review", "pass", "skipped")[n % 4]
+    return {"status": status, "label": "欺诈" if sensitive else "不违规", "confidence": 0.5, "violation_probability": (n % 4) / 4, "probabilities": {"欺诈": 0.25}}
+
+
+@query(
+    f"""WITH {RULES_CTE}, {HITS}, first AS (SELECT doc_id, bool_or(scope = 'redline') AS red FROM hits WHERE guild_id = 'view' GROUP BY ALL),
+    t AS (SELECT d.doc_id, length({plain_sql("text")}) AS n, f.doc_id IS NOT NULL AS sensitive FROM documents d LEFT JOIN first f USING (doc_id) WHERE NOT coalesce(f.red, false))
+    SELECT doc_id, ['action', 'review', 'pass'][n % 4 + 1] AS status, CASE WHEN sensitive THEN '欺诈' ELSE '不违规' END AS label, CAST(n % 4 AS DOUBLE) / 4 AS violation_probability, 0.25::DOUBLE AS p
+    FROM t WHERE n % 7 <> 0 AND n % 4 < 3"""
+)
+def classified_messages(spark, d):
+    """Every document as a message of one guild; immediate ones are not asked about, failures and skips give no row."""
+    texts = contents(spark, d).withColumn("plain_text", text.plain_text(F.col("content")))
+    m = texts.select(F.col("content_id").alias("message_id"), F.lit("view").alias("guild_id"), F.lit("1").alias("user_id"), F.lit(0).cast("long").alias("t_ms"), "content_id", "plain_text")
+    signals = sig.keyword_signals(decisions.keyword_hits(m, rules_table(spark), texts.select("content_id", "content")))
+    got = classifier.classify(m, signals, _label_of)
+    p = F.element_at("probabilities", "欺诈").alias("p")
+    return got.select(F.col("message_id").alias("doc_id"), "status", "label", "violation_probability", p)
+
+
+@query(
+    f"""{AUDITED} SELECT message_id, pattern FROM audits WHERE guild_id = 'view' AND code = 'redline_keyword'
+      AND user_id = (SELECT max(user_id) FROM audits WHERE guild_id = 'view' AND code = 'redline_keyword') ORDER BY t_ms DESC, message_id DESC LIMIT 25"""
+)
+def audit_filters(spark, d):
+    rows = Work(spark).table(_audits(spark, d))
+    user = rows.where("guild_id = 'view' and signal_code = 'redline_keyword'").agg(F.max("user_id")).first()[0]
+    listed = Console(Config()).audits(rows, "view", user_id=user, signal_code="redline_keyword", status="confirmed")
+    return listed.rows.select("message_id", "pattern")
+
+
+@query(
+    """WITH a AS (SELECT row_number() OVER (ORDER BY user_id) AS id, CAST(user_id AS VARCHAR) AS user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 37 = 0)),
+    b AS (SELECT id, user_id, CASE WHEN id % 2 = 0 THEN 'r' || id ELSE '' END AS reason FROM a UNION ALL SELECT max(id) + 1, 'new', 'why' FROM a)
+    SELECT id, '#' || id || ' ' || user_id || CASE WHEN reason = '' THEN '' ELSE '，原因：' || reason END AS entry FROM b WHERE id <> 1"""
+)
+def access_edits(spark, d):
+    """One entry added, one added again, one removed; then the list as the console shows it."""
+    users = _read(spark, d, "events").where("user_id % 37 = 0").select("user_id").distinct()
+    n = F.row_number().over(Window.orderBy("user_id"))
+    table = users.select(n.cast("long").alias("id"), F.col("user_id").cast("string").alias("user_id")).select(
+        "id", F.lit("g").alias("guild_id"), "user_id", F.lit("blacklist").alias("list_type"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("r"), F.col("id").cast("string"))).otherwise("").alias("reason"),
+        F.lit("b").alias("created_by"), F.timestamp_millis(F.lit(0)).alias("created_at"),
+    )
+    least = table.where("id = 1").first()["user_id"]
+    now = F.timestamp_millis(F.lit(1))
+    table, added = rule_ops.add_access(table, "g", "new", "blacklist", "why", "me", now)
+    table, again = rule_ops.add_access(table, "g", "new", "blacklist", "other", "me", now)
+    table, removed = rule_ops.remove_access(table, "g", least, "blacklist")
+    rule_ops.require(added and not again and removed, "an edit was not made")
+    return Console(Config()).access_list(table, "g", "blacklist")
+
+
+@query(
+    r"""SELECT doc_id, CAST(len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS BIGINT) AS n_lines, string_split(text, chr(10))[1] AS first FROM documents WHERE text IS NOT NULL"""
+)
+def text_lines(spark, d):
+    """Lines of whole texts, a byte order mark before each."""
+    texts = _read(spark, d, "documents").where("text is not null").select("doc_id", F.concat(F.lit("\uFEFF"), F.col("text")).alias("text"))
+    got = wordlists.lines(texts, by=["doc_id"])
+    return got.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.min_by("line", "line_no").alias("first"))
+
+
 # ---- labels and formats ---------------------------------------------------------------------------------------------
 
 
