@@ -13,6 +13,7 @@ from guildward.functions import text
 
 #: The folder's excluded file, and what a line with an address looks like.
 EXCLUDED_FILES = ("非法网址.txt",)
+COLLATION = "zh_Hans"
 URL = r"(?i)(?:https?://|www\.)|(?:[a-z0-9-]+\.)+(?:com|cn|net|org|cc|top|xyz|vip|club|site|info|me|io|tk)(?:[/:?#]|$)"
 
 
@@ -82,8 +83,8 @@ def lexicon_lines(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_FILES)
 
 
 def lexicon(files: DataFrame) -> DataFrame:
-    """(word): distinct normal forms, sorted."""
-    return lexicon_lines(files).where("state = 'new'").select(F.col("n").alias("word")).orderBy("word")
+    """(word): distinct normal forms, sorted as Chinese is: by sound, Latin letters last."""
+    return lexicon_lines(files).where("state = 'new'").select(F.col("n").alias("word")).orderBy(F.collate("word", COLLATION), "word")
 
 
 def lexicon_stats(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_FILES) -> DataFrame:

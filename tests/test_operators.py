@@ -326,6 +326,11 @@ def test_long_runs_of_equal_reviews(spark):
             last[k] = t
 
 
+def test_lexicon_order(spark):
+    files = spark.createDataFrame([("a.txt", "兼职\n阿姨\n薇薇\nabc\n中文\nzed")], "file string, text string")
+    assert [r.word for r in wordlists.lexicon(files).collect()] == ["阿姨", "兼职", "薇薇", "中文", "abc", "zed"]
+
+
 def test_console_tables(spark):
     from guildward import schemas
     from guildward.functions import text
