@@ -19,6 +19,16 @@ CHUNK_BYTES = 8 << 20
 SLICE_ROWS = 1024
 
 
+#: Bytes of an Arrow batch that Spark hands to Python: rows hold whole texts, so their number bounds nothing.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after the session's bound of an Arrow batch is set to BATCH_BYTES; it holds for what runs later, and only less memory comes of it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, keep: list[str] | None = None) -> DataFrame:
     """df's columns (or those of ``keep``) with ``fields``, whose values ``make`` yields batch by batch.
 
@@ -44,7 +54,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, k
             new = [pa.array(v, type=k) if not isinstance(v, pa.Array) else v.cast(k) for v, k in zip(values, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(own + new, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def chunks(texts: list, most: int = CHUNK_BYTES) -> Iterator[list]:

@@ -100,7 +100,7 @@ def components(work: Work, edges: DataFrame) -> DataFrame:
 class WordHash(dict):
     """64-bit hashes of words, computed once; forgets all beyond a bound."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

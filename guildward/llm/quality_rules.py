@@ -78,7 +78,7 @@ def ngram_counts(docs: DataFrame, text: str) -> DataFrame:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["bucket", "n"])
 
-    return docs.select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return arrow.bounded(docs).select(text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def totals(all_: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
