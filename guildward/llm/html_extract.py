@@ -90,7 +90,6 @@ _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
-_BLANKS = str.maketrans("", "", " \n\t\r\f\v")
 
 
 class Page:
@@ -183,7 +182,7 @@ class Page:
 
     def _end(self, names: set[str], stop: set[str]) -> None:
         depth = self._last(names)
-        if depth > self._last(stop):
+        if depth and depth > self._last(stop):
             self._close_to(depth)
 
     def _close_to(self, depth: int) -> None:
@@ -199,9 +198,8 @@ class Page:
             self._end(*ENDS[name])
         elif name not in INLINE and name not in RAW:
             self._end(*_PARAGRAPH)
-        within = bool(self._last({"article", "main"}))
         hidden, soft, weight = _signs(name, attributes) if attributes and not attributes.isspace() else (False, 0, 1.0)
-        cut = self.cut[self.open[-1]] or hidden or name in CUT_TAGS or (name == "header" and not within)
+        cut = self.cut[self.open[-1]] or hidden or name in CUT_TAGS or name == "header" and not self._last({"article", "main"})
         if name == "form":
             soft = 1
         if name in ("article", "main"):
@@ -285,7 +283,7 @@ def measure(page: Page) -> Measures:
             continue
         up = parent[i]
         if tag[i] is None:
-            size = len(page.text[i].translate(_BLANKS))
+            size = len(page.text[i]) - sum(map(page.text[i].count, " \n\t\r\f\v"))
             chars[i], link_chars[i] = size, size if linked[i] else 0
         else:
             tags[up] += 1
@@ -352,7 +350,7 @@ def _chosen(page: Page, m: Measures) -> set[int]:
     path = [core_of(page, m)]
     while path[-1] != m.body:
         path.append(parent[path[-1]])
-    at = _grown(page, m, path) if len(path) > 1 else 0
+    at = _grown(page, m, path) if len(path) > 2 else 0
     core, above, on_path = path[at], set(path[at + 1 :]), set(path)
     chosen = {core}
     if not above:
