@@ -145,7 +145,8 @@ def test_a_reviewer_that_hangs_is_given_up(spark, monkeypatch):
 def test_review_keys_of_a_stream(spark, tmp_path):
     hour = 3_600_000
     rows = [("a", 0), ("b", hour), ("a", 2 * hour), ("a", 23 * hour), ("b", 20 * hour)]
-    df = spark.createDataFrame([(f"{i}", k, t) for i, (k, t) in enumerate(rows)], "message_id string, review_key string, t_ms long")
+    start = 1_704_067_200_000  # at the epoch itself a row would be late from the start
+    df = spark.createDataFrame([(f"{i}", k, start + t) for i, (k, t) in enumerate(rows)], "message_id string, review_key string, t_ms long")
     got = streamed(spark, tmp_path, df, df.schema, stateful.review_keys)
     assert sorted(r.message_id for r in got.collect()) == ["0", "1"]
 
