@@ -18,6 +18,16 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Bytes up to which a side whose rows have no bounded width may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def light(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its values, added up, have at most so many bytes, else as it is."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
+
+
 def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs, a table (doc_id, text), whose id is in column doc_id of ids (distinct).
 
