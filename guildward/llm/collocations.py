@@ -6,9 +6,11 @@ one with a count, so a frequent word's pointers are few. The pointers of a prefi
 then meet in one task, which extends the prefix to the right, depth first: the
 pointers of a longer phrase are those of the shorter one that go on with its last
 word, and a phrase below the least count is not extended. A prefix with more
-pointers than a task should hold (TASK_POINTERS) is counted, extended by one word
-where its pointers lie, and each extension is dealt as a prefix of its own; so on,
-until none is too large.
+pointers than a task should hold (TASK_POINTERS) is counted, and its pointers are
+dealt to parts by a hash of the next word, each grown by itself; a part that is too
+large still, as one next word is frequent, is extended by one word where its
+pointers lie, and each extension is dealt as a prefix of its own. So on, until none
+is too large.
 
 Texts are lower-cased in A-Z, split at ``.,;:!?`` and line ends into pieces, and
 these at spaces and tabs into words. A null or empty text has no words; a null
@@ -20,6 +22,7 @@ other columns of the input are not looked at, whatever their names.
 from __future__ import annotations
 
 import string
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,15 @@ LEAST_COUNT, LONGEST, INSIDE_PERCENT, FIRST = 10, 3, 50, 2000
 SCALE = 1_000_000
 #: Words that a task holds before it hands on what it has gathered.
 TASK_WORDS = 4_000_000
-#: Distinct pointers from which a prefix is extended before it is dealt.
+#: Distinct pointers from which a prefix is divided before it is dealt.
 TASK_POINTERS = 200_000
 #: Pointers of one row, and bytes of a text that are split at a time.
 ROW_POINTERS, PART_BYTES = 50_000, 1 << 20
 
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\r\t", string.ascii_lowercase.encode() + b"\n" * 9 + b" ")
-_PROJECTED = "lang string, prefix string, words int, n long, pointers int, suffixes binary, counts binary"
+_PROJECTED = "lang string, prefix string, part int, words int, n long, pointers int, suffixes binary, counts binary"
+
+_KEY = ["lang", "prefix", "part"]
 
 
 class _Ids(dict):
@@ -106,7 +111,7 @@ class _Gathered:
                 suffixes = [names[x] for x in columns[1][a:b].tolist()] if self.longest > 1 else [b""] * (b - a)
                 for c in columns[2:]:
                     suffixes = [s + b" " + names[x] if x else s for s, x in zip(suffixes, c[a:b].tolist(), strict=True)]
-                yield lang, names[columns[0][lo]], 1, int(counts[a:b].sum()), b - a, b"\n".join(suffixes), counts[a:b].tobytes()
+                yield lang, names[columns[0][lo]], -1, 1, int(counts[a:b].sum()), b - a, b"\n".join(suffixes), counts[a:b].tobytes()
 
 
 def _sent(rows):
@@ -114,18 +119,18 @@ def _sent(rows):
     held, size = [], 0
 
     def batch():
-        lang, prefix, words, n, pointers, suffixes, counts = zip(*held, strict=True)
+        lang, prefix, part, words, n, pointers, suffixes, counts = zip(*held, strict=True)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(lang, pa.string()), pa.array(prefix, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64()),
-                pa.array(pointers, pa.int32()), pa.array(suffixes, pa.binary()), pa.array(counts, pa.binary()),
+                pa.array(lang, pa.string()), pa.array(prefix, pa.binary()).cast(pa.string()), pa.array(part, pa.int32()), pa.array(words, pa.int32()),
+                pa.array(n, pa.int64()), pa.array(pointers, pa.int32()), pa.array(suffixes, pa.binary()), pa.array(counts, pa.binary()),
             ],
             names=[c.split()[0] for c in _PROJECTED.split(", ")],
         )
 
     for row in rows:
         held.append(row)
-        size += len(row[5]) + len(row[6]) + 64
+        size += len(row[6]) + len(row[7]) + 64
         if size > arrow.BATCH_BYTES:
             yield batch()
             held, size = [], 0
@@ -157,32 +162,38 @@ def project(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: s
     return arrow.bounded(given).mapInArrow(lambda batches: _sent(gathered(batches)), _PROJECTED)
 
 
-def _extended(rows: DataFrame) -> DataFrame:
-    """The pointers of prefixes as pointers of their extensions by one word."""
+def _divided(rows: DataFrame) -> DataFrame:
+    """The pointers of too large prefixes (_PROJECTED and parts): in parts by the next word, or of a part, as those of its extensions by one word."""
 
     def run(batches):
-        def extended():
+        def divided():
             for b in batches:
-                for lang, prefix, words, _, _, suffixes, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    own: dict[bytes, list] = {}
+                for lang, prefix, part, words, _, _, suffixes, counts, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    own: dict = {}
                     for s, k in zip(suffixes.split(b"\n"), np.frombuffer(counts, "<i4").tolist(), strict=True):
                         head, _, tail = s.partition(b" ")
                         if head:
-                            own.setdefault(head, []).append((tail, k))
-                    for head, some in own.items():
+                            to, rest = (zlib.crc32(head) % parts, s) if part < 0 else (head, tail)
+                            if to in own:
+                                own[to].append((rest, k))
+                            else:
+                                own[to] = [(rest, k)]
+                    for to, some in own.items():
                         n = np.array([k for _, k in some], "<i4")
-                        yield lang, prefix.encode() + b" " + head, words + 1, int(n.sum(dtype=np.int64)), len(some), b"\n".join([s for s, _ in some]), n.tobytes()
+                        place = (prefix.encode(), to, words) if part < 0 else (prefix.encode() + b" " + to, -1, words + 1)
+                        yield lang, *place, int(n.sum(dtype=np.int64)), len(some), b"\n".join([s for s, _ in some]), n.tobytes()
 
-        yield from _sent(extended())
+        yield from _sent(divided())
 
     return arrow.bounded(rows).mapInArrow(run, _PROJECTED)
 
 
 def _grown(rows: DataFrame, least: int, longest: int) -> DataFrame:
-    """(lang, phrase, words, f): the frequent phrases that begin with the prefixes of rows, each grown in one task."""
+    """(lang, phrase, words, f): the frequent phrases that begin with the prefixes of rows, each grown in one task; of a part, those longer than the prefix."""
 
-    def grow(phrase: bytes, words: int, pointers: list, n: int, found: list) -> None:
-        found.append((phrase, words, n))
+    def grow(phrase: bytes, words: int, pointers: list, n: int, found: list, part: int = -1) -> None:
+        if part < 0:
+            found.append((phrase, words, n))
         if words == longest:
             return
         further: dict[bytes, list] = {}
@@ -198,14 +209,14 @@ def _grown(rows: DataFrame, least: int, longest: int) -> DataFrame:
             if total >= least:
                 grow(phrase + b" " + head, words + 1, own, total, found)
 
-    def phrases(prefix: str, words: int, n: int, parts: list) -> list:
+    def phrases(prefix: str, part: int, words: int, n: int, parts: list) -> list:
         found: list = []
         if n >= least:
             merged: dict[bytes, int] = {}
             for suffixes, counts in parts:
                 for s, k in zip(suffixes.split(b"\n"), np.frombuffer(counts, "<i4").tolist(), strict=True):
                     merged[s] = merged.get(s, 0) + k
-            grow(prefix.encode(), words, list(merged.items()), n, found)
+            grow(prefix.encode(), words, list(merged.items()), n, found, part)
         return found
 
     def batch(held: list):
@@ -218,22 +229,22 @@ def _grown(rows: DataFrame, least: int, longest: int) -> DataFrame:
     def run(batches):
         of, words, n, parts, held = None, 0, 0, [], []
         for b in batches:
-            for lang, prefix, w, k, _, suffixes, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (lang, prefix) != of:
+            for lang, prefix, part, w, k, _, suffixes, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (lang, prefix, part) != of:
                     if of:
-                        held += [(of[0], *x) for x in phrases(of[1], words, n, parts)]
-                    of, words, n, parts = (lang, prefix), w, 0, []
+                        held += [(of[0], *x) for x in phrases(*of[1:], words, n, parts)]
+                    of, words, n, parts = (lang, prefix, part), w, 0, []
                 n += k
                 parts.append((suffixes, counts))
                 if len(held) >= 10_000:
                     yield batch(held)
                     held = []
         if of:
-            held += [(of[0], *x) for x in phrases(of[1], words, n, parts)]
+            held += [(of[0], *x) for x in phrases(*of[1:], words, n, parts)]
         if held:
             yield batch(held)
 
-    dealt = rows.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix")
+    dealt = rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
     return arrow.bounded(dealt).mapInArrow(run, "lang string, phrase string, words int, f long")
 
 
@@ -248,15 +259,15 @@ def frequent(
     rows = work.table(project(docs, longest, text, lang, held), "projected")
     totals = work.table(rows.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     parts = []
-    for words in range(1, longest + 1):
-        sizes = rows.groupBy("lang", "prefix").agg(F.sum("n").alias("f"), F.sum("pointers").alias("pointers"))
-        large = work.table(sizes.where(F.col("pointers") > most).select("lang", "prefix", "f"), "large")
-        hint = light(large.select("lang", "prefix"))
-        parts.append(work.table(_grown(rows.join(hint, ["lang", "prefix"], "left_anti").select(*rows.columns), least, longest), "phrases"))
-        parts.append(large.where(F.col("f") >= least).select("lang", F.col("prefix").alias("phrase"), F.lit(words).alias("words"), "f"))
-        if words == longest or not large.limit(1).count():
+    while True:
+        sizes = rows.groupBy(*_KEY).agg(F.max("words").alias("words"), F.sum("n").alias("f"), F.sum("pointers").alias("pointers"))
+        large = work.table(sizes.where(F.col("pointers") > most).withColumn("parts", F.ceil(2 * F.col("pointers") / most).cast("int")), "large")
+        hint = light(large.select(*_KEY, "parts"))
+        parts.append(work.table(_grown(rows.join(hint, _KEY, "left_anti").select(*rows.columns), least, longest), "phrases"))
+        parts.append(large.where(f"part < 0 and f >= {least}").select("lang", F.col("prefix").alias("phrase"), "words", "f"))
+        if not large.limit(1).count():
             break
-        rows = work.table(_extended(rows.join(hint, ["lang", "prefix"], "left_semi").select(*rows.columns)), "projected")
+        rows = work.table(_divided(rows.where(F.col("words") < longest).join(hint, _KEY).select(*rows.columns, "parts")), "projected")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
