@@ -12,7 +12,7 @@ MAX_SIGNALS = 20
 DEFAULT_MUTE_MINUTES = 10
 REVIEW_WINDOW_MS = 24 * 3_600_000
 STATE_IDLE_MS = 2 * 3_600_000
-REVIEW_ATTEMPTS, REVIEW_TIMEOUT_S, REVIEW_BACKOFF_MS, REVIEW_CAPACITY = 3, 8, 250, 100
+REVIEW_ATTEMPTS, REVIEW_TIMEOUT_S, REVIEW_BACKOFF_MS, REVIEW_CAPACITY, REVIEW_CONCURRENCY = 3, 8, 250, 100, 2
 RULES_TTL_S, RETENTION_EVERY_S = 30, 6 * 3600
 #: Least and greatest value of each numeric setting, null where there is none.
 RANGES = {

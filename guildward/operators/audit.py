@@ -9,12 +9,14 @@ from pyspark.sql import types as T
 
 from guildward import config, schemas
 from guildward.functions import review_json, text
+from guildward.operators.identity import carried, row_key, told_by, trace_key
+from guildward.operators.review_queue import occupancy
 
 STAGES = {"behavior": "behavior", "access": "access"}
 
 
 def trace(df: DataFrame) -> DataFrame:
-    return df.withColumn("trace_id", text.trace_id(F.col("guild_id"), F.col("message_id").cast("string")))
+    return df.withColumn("trace_id", text.trace_id(F.col("guild_id"), trace_key(df)))
 
 
 def hit_events(signals: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def audits(decisions: DataFrame, status: Column) -> DataFrame:
     return trace(decisions.where("write_audit")).select(
         "trace_id", "guild_id", "user_id", "message_id", "rule_id", F.col("code").alias("signal_code"), "source", "pattern", "evidence",
         F.col("final_action").alias("action"), status.alias("status"), "offense_count", (F.col("code") == "ai_review").alias("reviewed_by_ai"),
-        content.alias("content"), "t_ms",
+        content.alias("content"), "t_ms", *(["channel_id"] if "channel_id" in decisions.columns else []),
     )
 
 
@@ -65,7 +67,7 @@ def request_audits(requests: DataFrame) -> DataFrame:
     silent = requests.where("status <> 'confirmed'").select(
         "message_id", "guild_id", "user_id", "t_ms", F.lit("ai_review").alias("code"), F.lit("content").alias("source"), F.lit("").alias("pattern"),
         "evidence", F.lit("silent").alias("final_action"), F.lit(0).cast("long").alias("rule_id"), F.lit(0).alias("offense_count"),
-        F.lit(True).alias("write_audit"), "content", "status", *(["stored"] if "stored" in requests.columns else []),
+        F.lit(True).alias("write_audit"), "content", "status", *(c for c in ("stored", "channel_id") if c in requests.columns), *carried(requests),
     )
     return audits(silent, F.col("status")).withColumn("reviewed_by_ai", F.col("status") == "dismissed")
 
@@ -78,36 +80,46 @@ def request_events(requests: DataFrame) -> DataFrame:
     )
 
 
-def review_key() -> Column:
-    """Messages without an id are told apart by user and time."""
-    message = F.col("message_id").cast("string")
-    has_id = F.coalesce(message, F.lit("")) != ""
-    return F.when(has_id, F.concat_ws(":", "guild_id", message)).otherwise(F.concat_ws(":", "guild_id", "user_id", F.col("t_ms").cast("string")))
-
-
-def review_requests(candidates: DataFrame, enabled: bool, model: str = "", prompt: str = review_json.PROMPT, capacity: int | None = None) -> DataFrame:
+def review_requests(
+    candidates: DataFrame, enabled: bool, model: str = "", prompt: str = review_json.PROMPT, capacity: int | None = None, answers: DataFrame | None = None
+) -> DataFrame:
     """A request per message with candidate signals (and content): status, request JSON.
 
     Disabled reviews are skipped; a key that was queued within 24 hours before is
-    a duplicate, whether or not it failed. capacity bounds what a micro-batch may
-    queue, in order of time; the rest fails, as a full queue takes no more.
+    a duplicate, whether or not it failed. capacity bounds the queue: a request
+    that finds so many waiting or running fails. A request leaves the queue with
+    its answer; without answers none does, so the first ones in time fill it.
     """
+    return queued(asked(candidates, model, prompt), enabled, capacity, answers)
+
+
+def asked(candidates: DataFrame, model: str = "", prompt: str = review_json.PROMPT) -> DataFrame:
+    """A row per message with candidate signals: review_key, and the request as JSON."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "pattern", "evidence")))
-    texts = [F.first(c).alias(c) for c in ("content", "stored") if c in candidates.columns]
-    df = candidates.groupBy("message_id", "guild_id", "user_id", "t_ms").agg(ordered.alias("_s"), *texts)
-    df = df.withColumn("review_key", review_key())
+    texts = [F.first(c).alias(c) for c in ("content", "stored", "short", "channel_id") if c in candidates.columns]
+    df = candidates.groupBy("message_id", "guild_id", "user_id", "t_ms", *carried(candidates)).agg(ordered.alias("_s"), *texts)
+    df = df.withColumn("review_key", told_by())
     patterns = F.filter(F.transform("_s", lambda s: s["pattern"]), lambda p: p != "")
     body = review_json.request(F.lit(model), F.col("content"), patterns, F.transform("_s", lambda s: s["evidence"]), prompt)
-    df = df.withColumn("request", body).drop("_s")
+    return df.withColumn("request", body).drop("_s")
+
+
+def queued(df: DataFrame, enabled: bool, capacity: int | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """Rows that ``asked`` made, with status and evidence. Column duplicate, if it is there, tells what is known to be one; it goes."""
     if not enabled:
-        return df.withColumn("status", F.lit("skipped")).withColumn("evidence", F.lit("AI 复核未启用或未配置 API Key"))
-    df = deduplicated(df)
-    queued = F.when(F.col("duplicate"), "duplicate").otherwise("pending")
-    df = df.withColumn("status", queued).withColumn("evidence", F.when(F.col("duplicate"), "重复消息复核任务").otherwise("等待 AI 复核")).drop("duplicate")
+        return df.drop("duplicate").withColumn("status", F.lit("skipped")).withColumn("evidence", F.lit("AI 复核未启用或未配置 API Key"))
+    df = df if "duplicate" in df.columns else deduplicated(df)
+    status = F.when(F.col("duplicate"), "duplicate").otherwise("pending")
+    df = df.withColumn("status", status).withColumn("evidence", F.when(F.col("duplicate"), "重复消息复核任务").otherwise("等待 AI 复核")).drop("duplicate")
     if capacity is None:
         return df
-    taken = df.where("status = 'pending'").orderBy("t_ms", "message_id").limit(capacity).select("message_id", F.lit(True).alias("_taken"))
-    df = df.join(F.broadcast(taken), "message_id", "left")
+    if answers is not None:
+        done = answers.groupBy("review_key").agg(F.min("done_ms").alias("done_ms"))
+        held = occupancy(df.where("status = 'pending'").join(done, "review_key", "left"), capacity).drop("done_ms", "queued", "running")
+        refused = {"status": F.when(F.col("full"), "failed").otherwise(F.col("status")), "evidence": F.when(F.col("full"), "AI 复核队列已满").otherwise(F.col("evidence"))}
+        return held.withColumns(refused).drop("full").unionByName(df.where("status <> 'pending'"))
+    taken = df.where("status = 'pending'").orderBy("t_ms", "message_id").limit(capacity).select(row_key(df), F.lit(True).alias("_taken"))
+    df = df.join(F.broadcast(taken), row_key(df), "left")
     full = (F.col("status") == "pending") & F.col("_taken").isNull()
     return df.withColumns({"evidence": F.when(full, "AI 复核队列已满").otherwise(F.col("evidence")), "status": F.when(full, "failed").otherwise(F.col("status"))}).drop("_taken")
 
@@ -119,7 +131,7 @@ def deduplicated(requests: DataFrame, window_ms: int = config.REVIEW_WINDOW_MS,
     are longer than the window go through a fold, which reads its sorted partition
     as a stream and remembers one time.
     """
-    order = ["t_ms", "message_id"]
+    order = ["t_ms", "message_id", *carried(requests)]
     w = Window.partitionBy(key).orderBy(*order)
     close = F.coalesce(F.col("t_ms") - F.lag("t_ms").over(w) < window_ms, F.lit(False))
     df = requests.withColumn("_close", close)
@@ -178,45 +190,57 @@ def confirmed_signals(reviews: DataFrame) -> DataFrame:
         "message_id", "guild_id", "user_id", F.col("done_ms").alias("t_ms"), F.lit(0).alias("seq"), F.lit("ai_review").alias("code"),
         F.lit("content").alias("source"), F.lit("消息内容经 AI 复核确认违规").alias("public_reason"), "evidence", F.lit("").alias("pattern"),
         F.lit("delete").alias("action"), F.lit(False).alias("needs_ai"), F.lit(0).cast("long").alias("rule_id"),
-        F.lit(True).alias("counts_as_offense"), F.lit(True).alias("write_audit"), F.col("category_label").alias("content_label"),
+        F.lit(True).alias("counts_as_offense"), F.lit(True).alias("write_audit"), F.col("category_label").alias("content_label"), *carried(reviews),
     )
 
 
-def batch_ids(number: int) -> Column:
-    """Ids of the rows of batch ``number``: greater than those of earlier batches, without a shuffle.
+def batch_ids(number: int, writer: int = 0) -> Column:
+    """Ids of the rows of batch ``number``: greater than those of the writer's earlier batches, without a shuffle.
 
-    24 bits tell the batch, 15 the partition, 24 the row in it.
+    24 bits tell the batch, 2 which of several queries writes the table, 13 the partition, 24 the row in it.
     """
     place = F.monotonically_increasing_id()
-    return F.lit(number << 39) + F.shiftright(place, 33) * F.lit(1 << 24) + place.bitwiseAND(F.lit((1 << 33) - 1))
+    return F.lit((number << 39) + (writer << 37)) + F.shiftright(place, 33) * F.lit(1 << 24) + place.bitwiseAND(F.lit((1 << 33) - 1))
 
 
-def stored(audits: DataFrame, number: int = 0) -> DataFrame:
+def stored(audits: DataFrame, number: int = 0, writer: int = 0) -> DataFrame:
     """Audits as rows to append to the audit table (schemas.AUDITS)."""
     at = F.timestamp_millis("t_ms")
     channel = F.coalesce("channel_id", F.lit("")) if "channel_id" in audits.columns else F.lit("")
-    df = audits.withColumns({"id": batch_ids(number), "channel_id": channel, "created_at": at, "updated_at": at})
+    df = audits.withColumns({"id": batch_ids(number, writer), "channel_id": channel, "created_at": at, "updated_at": at})
     return _typed(df, schemas.AUDITS)
 
 
-def stored_events(events: DataFrame, number: int = 0) -> DataFrame:
+def stored_events(events: DataFrame, number: int = 0, writer: int = 0) -> DataFrame:
     """Events as rows to append to the event table (schemas.AUDIT_EVENTS), in a trace's order; those without a trace are left out."""
     df = events.where(F.coalesce("trace_id", F.lit("")) != "").withColumn("created_at", F.timestamp_millis("t_ms"))
-    return _typed(df.sortWithinPartitions("t_ms", "seq").withColumn("id", batch_ids(number)), schemas.AUDIT_EVENTS)
+    return _typed(df.sortWithinPartitions("t_ms", "seq").withColumn("id", batch_ids(number, writer)), schemas.AUDIT_EVENTS)
 
 
 def _typed(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl).fields])
 
 
-def review_updates(done: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of answered reviews: rows for the append-only log of audit states (trace_id, status, action, evidence, updated_ms), and their events.
+def review_updates(done: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of answered reviews: rows for the append-only log of audit states (schemas.AUDIT_CHANGES), and their events.
 
-    Each change makes an event of the review, and one of the decision unless it is pending still.
+    decisions, or columns of done, tell the action and the offense count of those
+    confirmed; without them the action is the signal's own. Each change makes an event of the review,
+    and one of the decision unless it is pending still.
     """
     changed = trace(done.where("status <> 'pending'"))
-    action = F.when(F.col("status") == "confirmed", "delete").otherwise("silent")
-    log = changed.select("trace_id", "status", action.alias("action"), "evidence", F.coalesce("done_ms", "t_ms").alias("updated_ms"))
+    confirmed, own = F.col("status") == "confirmed", row_key(done)
+    if decisions is not None:
+        made = decisions.where("code = 'ai_review'").select(own, "final_action", "offense_count")
+        changed = changed.drop("final_action", "offense_count").join(made, own, "left")
+    elif "final_action" not in changed.columns:
+        changed = changed.withColumns({"final_action": F.lit(None).cast("string"), "offense_count": F.lit(None).cast("int")})
+    action = F.when(confirmed, F.coalesce("final_action", F.lit("delete"))).otherwise("silent")
+    count = F.when(confirmed, F.coalesce("offense_count", F.lit(0))).otherwise(0)
+    log = changed.select(
+        "trace_id", "status", action.alias("action"), count.alias("offense_count"), (confirmed | (F.col("status") == "dismissed")).alias("reviewed_by_ai"), "evidence",
+        F.coalesce("done_ms", "t_ms").alias("updated_ms"),
+    )
     evidence = F.left("evidence", F.lit(config.EVIDENCE_LIMIT))
     event_ = lambda stage, seq: log.select(
         "trace_id", F.lit(stage).alias("stage"), F.lit("ai_review").alias("signal_code"), F.col("status").alias("result"), F.lit("").alias("pattern"),
@@ -225,6 +249,21 @@ def review_updates(done: DataFrame) -> tuple[DataFrame, DataFrame]:
     return log, event_("ai_review", 102).unionByName(event_("decision", 103))
 
 
+def current(audits: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored audits (schemas.AUDITS) as they are after the log of their states: a review's audit shows its trace's last one.
+
+    Other audits of the trace, as that of a flood, are as they were.
+    """
+    patched = ("status", "action", "offense_count", "reviewed_by_ai", "evidence")
+    last = latest(changes.select("trace_id", "updated_ms", *patched), "trace_id", "updated_ms", "status")
+    last = last.select(F.col("trace_id").alias("_trace"), F.struct("updated_ms", *patched).alias("_new"))
+    df = audits.join(last, (F.col("trace_id") == F.col("_trace")) & (F.col("signal_code") == "ai_review"), "left")
+    new = {c: F.coalesce(F.col(f"_new.{c}"), F.col(c)) for c in patched}
+    if "updated_at" in audits.columns:
+        new["updated_at"] = F.coalesce(F.timestamp_millis("_new.updated_ms"), "updated_at")
+    return df.withColumns(new).select(*audits.columns)
+
+
 def latest(changes: DataFrame, key: str = "audit_id", time: str = "updated_ms", tie: str = "seq") -> DataFrame:
     """The last row of each audit in an append-only log of its states."""
     rest = [c for c in changes.columns if c != key]

@@ -10,14 +10,16 @@ from guildward import schemas
 from guildward.config import Config
 from guildward.functions import text
 
-#: Rows (two ids each) that a side may have to be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of values that a side may have to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 ROLES = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType())]))
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its rows, counted up to the bound, stay below it."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows, counted up to the bound, and the bytes of their texts stay below it."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes), F.lit(0))
+    n, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
 
 
 def in_scope(config: Config, guild: str = "guild_id") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from guildward import config, schemas
 from guildward.config import Level, Policy
 from guildward.functions import text
+from guildward.operators.identity import carried
 
 
 def category(source: Column) -> Column:
@@ -39,11 +40,12 @@ def count(
     else:
         before = carry.select("guild_id", "user_id", "category", F.col("offense_count").alias("_had"), F.col("updated_ms").alias("_last"), F.col("created_ms").alias("_made"))
         df = df.join(before, ["guild_id", "user_id", "category"], "left")
-    w = Window.partitionBy(*keys).orderBy("t_ms", F.col("_clear").cast("int"), order)
+    ties = [order, *carried(events)]
+    w = Window.partitionBy(*keys).orderBy("t_ms", F.col("_clear").cast("int"), *ties)
     last, cleared = F.coalesce(F.lag("t_ms").over(w), F.col("_last")), F.coalesce(F.lag("_clear").over(w), F.lit(False))
     starts = last.isNull() | cleared | F.col("_clear") | (F.col("t_ms") - last > window_ms)
     df = df.withColumn("_starts", starts.cast("int")).withColumn("_island", F.sum("_starts").over(w))
-    island = Window.partitionBy(*keys, "_island").orderBy("t_ms", F.col("_clear").cast("int"), order)
+    island = Window.partitionBy(*keys, "_island").orderBy("t_ms", F.col("_clear").cast("int"), *ties)
     had = F.when(F.col("_island") == 0, F.coalesce("_had", F.lit(0))).otherwise(0)
     df = df.withColumn("offense_count", (F.row_number().over(island) + had).cast("int")).where("not _clear")
     if only:
@@ -54,7 +56,7 @@ def count(
 
 def state(counted: DataFrame, actions: bool = False) -> DataFrame:
     """The last offense of each key: offense_count, last_*, created (first ever) and updated times."""
-    latest = F.max_by(F.struct("offense_count", "code", "pattern", *(["action"] if actions else [])), F.struct("t_ms", "message_id"))
+    latest = F.max_by(F.struct("offense_count", "code", "pattern", *(["action"] if actions else [])), F.struct("t_ms", "message_id", *carried(counted)))
     df = counted.groupBy("guild_id", "user_id", "category").agg(latest.alias("s"), F.min("first_ms").alias("created_ms"), F.max("t_ms").alias("updated_ms"))
     kept = [F.col("s.offense_count").alias("offense_count"), F.col("s.code").alias("last_signal_code"), F.col("s.pattern").alias("last_pattern")]
     kept += [F.col("s.action").alias("last_action")] if actions else []

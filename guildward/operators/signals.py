@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from guildward import config, schemas
 from guildward.config import Policy
 from guildward.functions import text
+from guildward.operators.identity import carried, row_key
 
 COLUMNS = [
     "message_id", "guild_id", "user_id", "t_ms", "seq", "code", "source", "public_reason", "evidence", "pattern", "action",
@@ -27,7 +28,7 @@ def _signal(df: DataFrame, **values: Column | str | bool | int | None) -> DataFr
     given.setdefault("pattern", given["evidence"])
     kinds = {"seq": "int", "rule_id": "long", "needs_ai": "boolean", "counts_as_offense": "boolean", "write_audit": "boolean"}
     column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return df.select(*KEY, *[column(given[c]).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS[len(KEY) :]])
+    return df.select(*KEY, *carried(df), *[column(given[c]).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS[len(KEY) :]])
 
 
 def access_signals(flagged: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def keyword_signals(hits: DataFrame) -> DataFrame:
 
 def immediate(signals: DataFrame) -> DataFrame:
     """Messages with a signal that needs neither classifier nor review."""
-    return signals.where(F.col("code").isin("redline_keyword", "blacklist_user")).select("message_id").distinct()
+    return signals.where(F.col("code").isin("redline_keyword", "blacklist_user")).select(row_key(signals)).distinct()
 
 
 def model_evidence(tail: Column | None = None) -> Column:
@@ -82,15 +83,17 @@ def model_evidence(tail: Column | None = None) -> Column:
 def route_scores(messages: DataFrame, signals: DataFrame, scores: DataFrame) -> DataFrame:
     """Classifier results as signals with column status (action, review or pass); skipped and missing results give none.
 
-    messages: (KEY); immediate messages are never scored. The rule of the first
-    keyword candidate and the patterns of all are carried along.
+    messages: (KEY, and ROW_KEY if signals have it); immediate messages are never
+    scored. scores name a message by ROW_KEY, or by message_id and, if they have
+    it, guild_id. The rule of the first keyword candidate and the patterns of all
+    are carried along.
     """
-    waiting = messages.join(immediate(signals), "message_id", "left_anti").join(
-        scores.where(F.col("status").isin("action", "review", "pass")), "message_id"
-    )
+    key = row_key(messages)
+    known = scores.where(F.col("status").isin("action", "review", "pass"))
+    waiting = messages.join(immediate(signals), key, "left_anti").join(known, score_key(scores))
     ordered = F.array_sort(F.collect_list(F.struct("seq", "pattern", "rule_id")))
-    candidates = signals.where("needs_ai").groupBy("message_id").agg(ordered.alias("_c"))
-    df = waiting.join(candidates, "message_id", "left")
+    candidates = signals.where("needs_ai").groupBy(key).agg(ordered.alias("_c"))
+    df = waiting.join(candidates, key, "left")
     patterns = F.left(F.coalesce(F.array_join(F.transform("_c", lambda c: c["pattern"]), "、"), F.lit("")), F.lit(config.PATTERN_LIMIT))
     df = df.withColumn("_p", patterns).withColumn("_r", F.coalesce(F.get("_c", 0)["rule_id"], F.lit(0)))
     tail = F.when(F.col("_p") != "", F.concat(F.lit("，候选词："), F.col("_p"))).otherwise("")
@@ -107,18 +110,27 @@ def route_scores(messages: DataFrame, signals: DataFrame, scores: DataFrame) ->
     )
 
 
+def score_key(scores: DataFrame) -> list[str]:
+    """The columns by which a table of classifier results names a message."""
+    return carried(scores) or [c for c in ("guild_id", "message_id") if c in scores.columns]
+
+
 def top(signals: DataFrame) -> DataFrame:
     """The signal of each message that decides it, among those that need no review: action, then signal rank, then seq."""
     ranked = signals.where("not needs_ai").withColumn("_action", text.mapped(F.col("action"), schemas.ACTION_RANK, 0))
     ranked = ranked.withColumn("_code", text.mapped(F.col("code"), schemas.SIGNAL_RANK, 1))
-    w = Window.partitionBy("message_id").orderBy(F.desc("_action"), F.desc("_code"), "seq")
+    w = Window.partitionBy(row_key(signals)).orderBy(F.desc("_action"), F.desc("_code"), "seq")
     return ranked.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_action", "_code")
 
 
 def codes(signals: DataFrame, messages: DataFrame | None = None) -> DataFrame:
-    """(message_id, codes): the codes of a message's signals in order, joined by commas; messages is asked for to name those without any."""
+    """(message_id, codes): the codes of a message's signals in order, joined by commas; messages is asked for to name those without any.
+
+    Messages are told apart by ROW_KEY where signals have it, which is then a column too.
+    """
+    key = row_key(signals)
     ordered = F.array_sort(F.collect_list(F.struct("seq", "code")))
-    found = signals.groupBy("message_id").agg(F.array_join(F.transform(ordered, lambda s: s["code"]), ",").alias("codes"))
+    found = signals.groupBy(*dict.fromkeys(["message_id", key])).agg(F.array_join(F.transform(ordered, lambda s: s["code"]), ",").alias("codes"))
     if messages is None:
         return found
-    return messages.select("message_id").join(found, "message_id", "left").withColumn("codes", F.coalesce("codes", F.lit("none")))
+    return messages.select(*dict.fromkeys(["message_id", key])).join(found.select(key, "codes"), key, "left").withColumn("codes", F.coalesce("codes", F.lit("none")))

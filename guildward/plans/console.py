@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guildward import schemas
 from guildward.config import Config
 from guildward.functions import text
-from guildward.operators import gates, offenses, retention, rules
+from guildward.operators import audit, gates, offenses, retention, rules
 from guildward.sources import wordlists
 
 
@@ -68,11 +69,26 @@ RECORDS = {"rule": schemas.RULES, "audit": schemas.AUDITS, "event": schemas.AUDI
 LABELLED = {"signal_code": "signal", "last_signal_code": "signal", "action": "action", "last_action": "action", "status": "status", "stage": "stage", "result": "result"}
 
 
+#: Rows that are passed over by sorting; a page further down is found by counts over spans of its order.
+SHALLOW_ROWS = 10_000
+#: Widths of spans, from wide to narrow: of times in milliseconds, of ids. A span of more than SHALLOW_ROWS is counted by the next width.
+TIME_SPANS, ID_SPANS = (86_400_000, 3_600_000, 60_000, 1_000), (1 << 24, 1 << 19, 1 << 14)
+
+
 class Listing:
-    """One page of a list; the total is counted when it is asked for, as by unpacking (rows, total)."""
+    """One page of a list; the total is counted when it is asked for, as by unpacking (rows, total), or comes with the rows by ``fetch``."""
+
+    def __init__(self, rows: Callable[[DataFrame], DataFrame], whole: DataFrame, total: int | None = None):
+        self._page, self.rows, self._whole, self._total = rows, rows(whole), whole, total
 
-    def __init__(self, rows: DataFrame, whole: DataFrame):
-        self.rows, self._whole, self._total = rows, whole, None
+    def fetch(self) -> tuple[list, int]:
+        """The page's rows and the total, by one job."""
+        if self._total is not None:
+            return self.rows.collect(), self._total
+        seen = Observation()
+        rows = self._page(self._whole.observe(seen, F.count(F.lit(1)).alias("n"))).collect()
+        self._total = seen.get["n"]
+        return rows, self._total
 
     @property
     def total(self) -> int:
@@ -85,6 +101,38 @@ class Listing:
         yield self.total
 
 
+def span_of(df: DataFrame, place: Column, widths: tuple, down: bool, skip: int, n: int) -> tuple:
+    """(low, high, rows before, total): the span of place that holds rows skip to skip + n of the order, found by counts; rows without a place come last."""
+    found, total, edge = [], None, None
+    for width in widths:
+        part = df if edge is None else df.where((place >= edge[0]) & (place < edge[1]))
+        counts = part.groupBy(F.floor(place / width).alias("s")).agg(F.count("*").alias("n")).collect()
+        rows = [(r["s"] * width, (r["s"] + 1) * width, r["n"]) for r in counts if r["s"] is not None]
+        if total is None:
+            total, found = sum(r["n"] for r in counts), rows
+        else:  # the span that was too large gives way to its parts
+            found = [x for x in found if x[:2] != edge] + rows
+        found.sort(reverse=down)
+        before = 0
+        for low, high, m in found:
+            if before + m > skip:
+                break
+            before += m
+        else:  # among those without a place, or beyond the end
+            return None, None, 0, total
+        if m <= SHALLOW_ROWS:
+            break
+        edge = (low, high)
+    held, last = m, (low, high)
+    for x in found[found.index((low, high, m)) + 1 :]:
+        if before + held >= skip + n:
+            break
+        held, last = held + x[2], x[:2]
+    if before + held < min(skip + n, total):  # the page goes on to rows without a place
+        return None, None, 0, total
+    return min(low, last[0]), max(high, last[1]), before, total
+
+
 class Console:
     """Queries return DataFrames, lists a Listing; changes return new versions of a table."""
 
@@ -95,9 +143,15 @@ class Console:
         rules.require(bool(guild_id) and self.config.in_scope(guild_id), "the guild is missing or out of scope")
         return guild_id
 
-    def _listed(self, df: DataFrame, order: list[Column], page, size, default: int) -> Listing:
+    def _listed(self, df: DataFrame, order: list[Column], page, size, default: int, place: Column | None = None, spans: tuple = (), down: bool = False) -> Listing:
+        """place: what leads the order, as a number, with the widths of its spans; down: the greatest first."""
         p, n = page_of(page, size, default)
-        return Listing(df.orderBy(*order).offset((p - 1) * n).limit(n), df)
+        skip = (p - 1) * n
+        if place is None or skip <= SHALLOW_ROWS:
+            return Listing(lambda whole: whole.orderBy(*order).offset(skip).limit(n), df)
+        low, high, before, total = span_of(df, place, spans, down, skip, n)
+        inside = (place >= low) & (place < high) if low is not None else F.lit(True)
+        return Listing(lambda whole: whole.where(inside).orderBy(*order).offset(skip - before).limit(n), df, total)
 
     def records(self, df: DataFrame, kind: str) -> DataFrame:
         """The columns that the console shows of rules, audits, events or offenses, in their order, with the labels of the closed ones."""
@@ -116,11 +170,17 @@ class Console:
 
     def rules(self, table: DataFrame, guild_id: str, scope: str | None = None, search: str | None = None, page=None, size=None):
         df = table.where((F.col("guild_id") == self._guild(guild_id)) & equal(scope=scope) & searched("pattern", search))
-        return self._listed(df.where(F.col("scope").isin(*schemas.SCOPES)), [F.col("id")], page, size, 50)
-
-    def audits(self, table: DataFrame, guild_id: str, user_id=None, signal_code=None, status=None, search=None, start=None, end=None, page=None, size=None):
+        return self._listed(df.where(F.col("scope").isin(*schemas.SCOPES)), [F.col("id")], page, size, 50, F.col("id"), ID_SPANS)
+
+    def audits(
+        self, table: DataFrame, guild_id: str, user_id=None, signal_code=None, status=None, search=None, start=None, end=None, page=None, size=None,
+        changes: DataFrame | None = None,
+    ):
+        """changes: the log of audit states (schemas.AUDIT_CHANGES), which is applied before anything is looked for."""
+        if changes is not None:
+            table = audit.current(table.where(F.col("guild_id") == self._guild(guild_id)), changes)
         ok = equal(user_id=user_id, signal_code=signal_code, status=status) & searched("pattern", search) & between("created_at", start, end)
-        return self._listed(table.where((F.col("guild_id") == self._guild(guild_id)) & ok), [F.desc("created_at"), F.desc("id")], page, size, 25)
+        return self._listed(table.where((F.col("guild_id") == self._guild(guild_id)) & ok), [F.desc("created_at"), F.desc("id")], page, size, 25, F.unix_millis("created_at"), TIME_SPANS, down=True)
 
     def audit_events(self, events: DataFrame, table: DataFrame, guild_id: str, trace_id: str) -> DataFrame:
         """Events of a trace, in order, if an audit of the guild has it."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from guildward import config
 from guildward.config import Config
 from guildward.functions import text
-from guildward.operators import audit, flood, gates, keywords, offenses
+from guildward.operators import audit, flood, gates, identity, keywords, offenses
 from guildward.operators import signals as sig
 
 
@@ -30,22 +30,23 @@ class Outcome:
 def keyword_hits(messages: DataFrame, rules: DataFrame, contents: DataFrame | None) -> DataFrame:
     """Hits of messages. With contents (content_id, content) each text is normalized and searched once, wherever it is posted."""
     if contents is None:
-        return keywords.match(text.message_views(messages), rules, sig.KEY)
+        return keywords.match(text.message_views(messages), rules, [*sig.KEY, *identity.carried(messages)])
     posted = messages.select("content_id", "guild_id").distinct()
     views = text.message_views(contents).select("content_id", "keyword_text")
     hits = keywords.match(posted, rules, ["content_id", "guild_id"], views)
-    return messages.select(*sig.KEY, "content_id").join(hits, ["content_id", "guild_id"])
+    return messages.select(*sig.KEY, *identity.carried(messages), "content_id").join(hits, ["content_id", "guild_id"])
 
 
 def texts_of(messages: DataFrame, contents: DataFrame | None) -> DataFrame:
-    """(message_id, content, stored, short): the text, as an audit keeps it and as a notice shows it.
+    """(message_key, content, stored, short): the text, as an audit keeps it and as a notice shows it, and channel_id if messages have one.
 
     The last two are made per content, before the join, and only where they are used.
     """
-    given = messages.select("message_id", "content") if contents is None else contents.select("content_id", "content")
+    own = [identity.row_key(messages), *(["channel_id"] if "channel_id" in messages.columns else [])]
+    given = messages.select(*own, "content") if contents is None else contents.select("content_id", "content")
     cut = F.left(F.coalesce("content", F.lit("")), F.lit(config.CONTENT_LIMIT))
     given = given.withColumns({"stored": cut, "short": text.shortened(F.coalesce("content", F.lit("")))})
-    return given if contents is None else messages.select("message_id", "content_id").join(given, "content_id").drop("content_id")
+    return given if contents is None else messages.select(*own, "content_id").join(given, "content_id").drop("content_id")
 
 
 def detect(
@@ -56,67 +57,117 @@ def detect(
     flagged = gates.flag_blacklisted(messages, access)
     out = sig.access_signals(flagged)
     if settings.behavior_detection_enabled and limited is not None:
-        own = limited.join(messages.select("message_id"), "message_id", "left_semi")
+        key = identity.row_key(limited)
+        own = limited.join(messages.select(key), key, "left_semi")
         out = out.unionByName(sig.flood_signals(own, policy))
     elif settings.behavior_detection_enabled:
         user = F.coalesce(F.when(F.col("user_id") != "", F.col("user_id")), F.lit("unknown"))
-        keyed = messages.select(*sig.KEY).withColumn("_user", user)
-        out = out.unionByName(sig.flood_signals(flood.limit(keyed, policy, ["guild_id", "_user"], ["t_ms", "message_id"]), policy))
+        told = identity.carried(messages)
+        keyed = messages.select(*sig.KEY, *told).withColumn("_user", user)
+        out = out.unionByName(sig.flood_signals(flood.limit(keyed, policy, ["guild_id", "_user"], ["t_ms", "message_id", *told]), policy))
     if settings.content_detection_enabled:
         out = out.unionByName(sig.keyword_signals(keyword_hits(messages, rules, contents)))
     return out
 
 
-def decide(
-    messages: DataFrame, rules: DataFrame, access: DataFrame, settings: Config, scores: DataFrame | None = None,
-    answers: DataFrame | None = None, clears: DataFrame | None = None, contents: DataFrame | None = None,
-    settle: Callable[[DataFrame], DataFrame] = lambda df: df, limited: DataFrame | None = None, carry: DataFrame | None = None,
-    capacity: int | None = None,
-) -> Outcome:
-    """The whole pipeline. messages: (message_id, guild_id, user_id, t_ms) and content, or content_id into contents.
+@dataclass
+class Gathered:
+    """What is known of messages before offenses are counted.
 
-    All outputs start from the signals. Where several are wanted of large input,
-    give settle a function that writes a table and reads it back, so that texts
-    are scanned once. limited and carry are what a stream knows of earlier
-    messages: the limiter's results for these, and the offense state before them;
-    capacity is what the review queue takes of them.
+    signals: all; events: their rows to append; deterministic: signals that need no
+    review; passed: the classifier's silent ones, if it was asked; asked: reviews to
+    make, not yet queued; texts: ``texts_of`` the messages.
     """
-    policy = settings.policy()
-    messages = gates.drop_whitelisted(gates.gate(messages, settings, contents), access)
+
+    signals: DataFrame
+    events: DataFrame
+    deterministic: DataFrame
+    passed: DataFrame | None
+    asked: DataFrame
+    texts: DataFrame
+
+
+def reviews(settings: Config) -> bool:
+    """Whether reviews are made at all."""
+    return settings.ai_review_enabled and bool(settings.api_key)
+
+
+def gather(
+    messages: DataFrame, rules: DataFrame, access: DataFrame, settings: Config, scores: DataFrame | None = None, contents: DataFrame | None = None,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df, limited: DataFrame | None = None,
+) -> Gathered:
+    """Gates, signals, the classifier's routes and the reviews to ask for."""
+    messages = identity.with_key(gates.drop_whitelisted(gates.gate(messages, settings, contents), access))
+    key = identity.ROW_KEY
     found = settle(detect(messages, rules, access, settings, contents, limited))
     events = audit.hit_events(found)
     with_text = texts_of(messages, contents)
     deterministic, candidates = found.where("not needs_ai"), found.where("needs_ai")
     passed = None
     if scores is not None:
-        routed = sig.route_scores(messages.select(*sig.KEY), found, scores)
+        routed = sig.route_scores(messages.select(*sig.KEY, key), found, scores)
         events = events.unionByName(audit.event(routed, F.lit("spam_model"), F.col("status")))
         deterministic = deterministic.unionByName(routed.where("status = 'action'").drop("status"))
         passed = routed.where("status = 'pass'").drop("status")
-        reviewed = routed.where("status = 'review'").select("message_id")
+        reviewed = routed.where("status = 'review'").select(key)
         # a review without candidates asks about the classifier's own signal; action and pass ask nothing
-        own = routed.where("status = 'review'").drop("status").join(candidates.select("message_id").distinct(), "message_id", "left_anti")
-        told = candidates.join(scores.where("status = 'review'").select("message_id", "label", "confidence", "violation_probability"), "message_id")
+        own = routed.where("status = 'review'").drop("status").join(candidates.select(key).distinct(), key, "left_anti")
+        by = sig.score_key(scores)
+        told = candidates.join(scores.where("status = 'review'").select(*by, "label", "confidence", "violation_probability"), by)
         told = told.withColumn("evidence", F.concat(F.col("evidence"), F.lit("；"), sig.model_evidence())).select(*candidates.columns)
-        unscored = candidates.join(routed.select("message_id"), "message_id", "left_anti")
-        candidates = told.join(reviewed, "message_id", "left_semi").unionByName(unscored).unionByName(own)
-    candidates = candidates.join(sig.immediate(found), "message_id", "left_anti").join(with_text, "message_id")
-    enabled = settings.ai_review_enabled and bool(settings.api_key)
-    requests = audit.review_requests(candidates, enabled, settings.model, capacity=capacity)
-    selected = sig.top(deterministic)
+        unscored = candidates.join(routed.select(key), key, "left_anti")
+        candidates = told.join(reviewed, key, "left_semi").unionByName(unscored).unionByName(own)
+    candidates = candidates.join(sig.immediate(found), key, "left_anti").join(with_text, key)
+    return Gathered(found, events, deterministic, passed, audit.asked(candidates, settings.model), with_text)
+
+
+def selected(signals: DataFrame) -> DataFrame:
+    """The signal of each message that decides it, with its category of offense."""
+    return sig.top(signals).withColumn("category", offenses.category(F.col("source")))
+
+
+def decide(
+    messages: DataFrame, rules: DataFrame, access: DataFrame, settings: Config, scores: DataFrame | None = None,
+    answers: DataFrame | None = None, clears: DataFrame | None = None, contents: DataFrame | None = None,
+    settle: Callable[[DataFrame], DataFrame] = lambda df: df, limited: DataFrame | None = None, carry: DataFrame | None = None,
+    capacity: int | None = None,
+) -> Outcome:
+    """The whole pipeline. messages: (message_id, guild_id, user_id, t_ms) and content, or content_id into contents.
+
+    Messages are told apart by ``identity.ROW_KEY``, which signals, decisions and
+    requests carry: ids may repeat over guilds or be missing, and a row that comes
+    twice is two messages.
+
+    All outputs start from the signals. Where several are wanted of large input,
+    give settle a function that writes a table and reads it back, so that texts
+    are scanned once. limited and carry are what is known of earlier messages: the
+    limiter's results for these, and the offense state before them; capacity is
+    what the review queue holds: with answers a request leaves it at its answer,
+    without them the first in time fill it.
+    """
+    policy, key = settings.policy(), identity.ROW_KEY
+    known = gather(messages, rules, access, settings, scores, contents, settle, limited)
+    asked = settle(known.asked) if capacity is not None and answers is not None else known.asked  # the queue is swept several times
+    requests = audit.queued(asked, reviews(settings), capacity, answers)
+    chosen = sig.top(known.deterministic)
     if answers is not None:
         requests = requests.where("status <> 'pending'").unionByName(audit.reviewed(requests, answers), allowMissingColumns=True)
-        selected = selected.unionByName(audit.confirmed_signals(requests))
-    selected = selected.withColumn("category", offenses.category(F.col("source")))
-    counted = offenses.count(selected, policy.window_ms, clears, only="counts_as_offense", carry=carry).drop("category", "first_ms")
-    decisions = offenses.decide(counted, policy).join(with_text, "message_id", "left")
+        chosen = chosen.unionByName(audit.confirmed_signals(requests))
+    chosen = chosen.withColumn("category", offenses.category(F.col("source")))
+    counted = offenses.count(chosen, policy.window_ms, clears, only="counts_as_offense", carry=carry).drop("category", "first_ms")
+    decisions = offenses.decide(counted, policy).join(known.texts, key, "left")
     audits = audit.audits(decisions, F.lit("confirmed"))
-    if passed is not None:
-        silent = passed.withColumn("final_action", F.lit("silent")).withColumn("offense_count", F.lit(0)).join(with_text, "message_id", "left")
-        audits = audits.unionByName(audit.audits(silent, F.lit("dismissed")))
+    if known.passed is not None:
+        audits = audits.unionByName(passed_audits(known))
     audits = audits.unionByName(audit.request_audits(requests))
-    events = events.unionByName(audit.request_events(requests)).unionByName(audit.decision_events(audits))
-    return Outcome(found, decisions, audits, events, requests)
+    events = known.events.unionByName(audit.request_events(requests)).unionByName(audit.decision_events(audits))
+    return Outcome(known.signals, decisions, audits, events, requests)
+
+
+def passed_audits(known: Gathered) -> DataFrame:
+    """Audits of what the classifier let pass."""
+    silent = known.passed.withColumn("final_action", F.lit("silent")).withColumn("offense_count", F.lit(0)).join(known.texts, identity.ROW_KEY, "left")
+    return audit.audits(silent, F.lit("dismissed"))
 
 
 def assigned(messages: DataFrame, configs: Sequence[Config]) -> DataFrame:

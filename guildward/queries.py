@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from guildward import schemas
 from guildward.config import Config, Policy, ladder
 from guildward.functions import review_json, text
-from guildward.operators import audit, classifier, flood, gates, keywords, offenses, retention
+from guildward.operators import audit, classifier, flood, gates, identity, keywords, offenses, retention, review_queue
 from guildward.operators import rules as rule_ops
 from guildward.operators import signals as sig
-from guildward.plans import decisions
+from guildward.plans import console, decisions
 from guildward.plans.console import Console
 from guildward.sources import messages as message_source
 from guildward.sources import wordlists
@@ -229,6 +230,12 @@ def keyword_top20(spark, d):
     return _matched(spark, d, method="automaton").select(F.col("content_id").alias("doc_id"), "guild_id", F.col("id").alias("rule_id"), "match_seq")
 
 
+@query(f"WITH {RULES_CTE}, {HITS} SELECT doc_id, guild_id, id AS rule_id, match_seq FROM hits")
+def keyword_grams(spark, d):
+    """Candidates by an equi-join of grams, as for very many rules."""
+    return _matched(spark, d, method="grams").select(F.col("content_id").alias("doc_id"), "guild_id", F.col("id").alias("rule_id"), "match_seq")
+
+
 @query(f"WITH {norm_cte('documents', 'doc_id', 'text', 'kw')} SELECT doc_id, md5(s) AS digest, length(s) AS n_chars FROM kw")
 def normalize_text(spark, d):
     kw = text.normalize(F.col("text"))
@@ -351,7 +358,7 @@ def signal_priority(spark, d):
 
 @query(f"WITH RECURSIVE {SIGNALS} SELECT message_id, string_agg(code, ',' ORDER BY seq) AS codes FROM signals GROUP BY ALL")
 def signal_codes(spark, d):
-    return sig.codes(outcome(spark, d).signals)
+    return sig.codes(outcome(spark, d).signals).select("message_id", "codes")
 
 
 def _counted(spark, d, clears=None) -> DataFrame:
@@ -395,6 +402,23 @@ def punishment_ladder(spark, d):
     return got.select("message_id", "offense_count", F.col("level.level").alias("level"), "final_action", "mute_minutes", "notice_action")
 
 
+@query(f"{DECIDED} SELECT guild_id, user_id, t_ms, code, final_action, offense_count FROM decided")
+def repeated_ids(spark, d):
+    """Messages whose ids are given again and again, in their guild and in others, are decided one by one all the same."""
+    m = messages(spark, d).withColumn("message_id", F.floor(F.col("message_id") / 5))
+    got = decisions.decide(m, rules_table(spark), access_table(spark, d), CONFIG, contents=contents(spark, d))
+    return got.decisions.select("guild_id", "user_id", "t_ms", "code", "final_action", "offense_count")
+
+
+@query(f"{DECIDED} SELECT guild_id, user_id, t_ms, code, final_action, offense_count FROM decided")
+def missing_ids(spark, d):
+    """A third of the messages has no id, a third an empty one."""
+    i = F.col("message_id")
+    m = messages(spark, d).withColumn("message_id", F.when(i % 3 == 1, "").when(i % 3 == 2, F.lpad(i.cast("string"), 12, "0")))
+    got = decisions.decide(m, rules_table(spark), access_table(spark, d), CONFIG, contents=contents(spark, d))
+    return got.decisions.select("guild_id", "user_id", "t_ms", "code", "final_action", "offense_count")
+
+
 @query(f"{DECIDED} SELECT guild_id, code, final_action, false AS passed, count(*) AS n, sum(mute_minutes) AS mute_minutes FROM decided GROUP BY ALL")
 def decision_actions(spark, d):
     got = outcome(spark, d).decisions.groupBy("guild_id", "code", "final_action", "passed")
@@ -454,6 +478,23 @@ def review_candidates(spark, d):
     return outcome(spark, d, scores=message_scores(spark, d), settle=Work(spark).table).requests.select("message_id")
 
 
+@query(
+    f"""{ROUTED}
+    SELECT g.message_id, 'pending' AS status, CASE WHEN c.message_id IS NULL THEN 1 ELSE len(string_split(c.patterns, '、')) END AS n_patterns,
+      coalesce(r.status = 'review', false) AS scored
+    FROM gated g LEFT JOIN routed r ON g.message_id = r.message_id LEFT JOIN cand c ON c.message_id = g.message_id
+    WHERE g.message_id NOT IN (SELECT message_id FROM now) AND (r.status = 'review' OR (r.status IS NULL AND c.message_id IS NOT NULL))"""
+)
+def scored_reviews(spark, d):
+    """Classifier and reviews at once: what the classifier sends to review, and candidates that it has no result for."""
+    settings = replace(CONFIG, ai_review_enabled=True, api_key="k", model="m")
+    m, texts = messages(spark, d), contents(spark, d)
+    got = decisions.decide(m, rules_table(spark), access_table(spark, d), settings, scores=message_scores(spark, d), contents=texts, settle=Work(spark).table)
+    asked = F.get_json_object("request", "$.messages[1].content")
+    patterns = F.split(F.substring_index(F.substring_index(asked, "\nEvidence: ", 1), "Patterns: ", -1), ", |、")
+    return got.requests.select("message_id", "status", F.size(patterns).cast("long").alias("n_patterns"), F.contains(asked, F.lit("总违规概率")).alias("scored"))
+
+
 # ---- audits --------------------------------------------------------------------------------------------------------
 
 
@@ -482,6 +523,19 @@ def audit_search_range(spark, d):
     return listed.rows.select("message_id", "pattern")
 
 
+@query("SELECT id, guild_id, place, total FROM (SELECT event_id AS id, event_type AS guild_id, row_number() OVER (ORDER BY epoch_ms(ts) DESC, event_id DESC) AS place, count(*) OVER () AS total FROM events WHERE event_type = 'view') WHERE place BETWEEN total // 30 * 29 + 1 AND total // 30 * 30")
+def audit_deep_page(spark, d):
+    """A page far down a long list, found by counts over its times: only the rows of its span are sorted."""
+    e = _read(spark, d, "events").where("event_type = 'view'")
+    many = e.count()
+    table = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("guild_id"), F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("created_at"))
+    size = many // 30
+    low, high, before, total = console.span_of(table, F.unix_millis("created_at"), console.TIME_SPANS, True, 29 * size, size)
+    inside = table.where(F.unix_millis("created_at") >= low).where(F.unix_millis("created_at") < high)
+    page = inside.orderBy(F.desc("created_at"), F.desc("id")).offset(29 * size - before).limit(size)
+    return _placed(page, 29 * size).select("id", "guild_id", "place", F.lit(total).cast("long").alias("total"))
+
+
 @query(f"{AUDITED} SELECT message_id, code AS signal_code FROM audits WHERE guild_id = 'error' ORDER BY message_id DESC LIMIT 10")
 def recent_audits(spark, d):
     return Console(Config()).recent_audits(_audits(spark, d), "error").select("message_id", "signal_code")
@@ -676,9 +730,9 @@ def rule_edits(spark, d):
     """One rule changed and one deleted, through the console."""
     table = _known_rules(spark, d)
     least = {r["guild_id"]: r["id"] for r in table.groupBy("guild_id").agg(F.min("id").alias("id")).collect()}
-    console = Console(Config())
-    after = console.update_rule(table, "view", least["view"], "sensitive", "Other Words", False)
-    return console.delete_rule(after, "click", least["click"]).select("id", "guild_id", "scope", "pattern", "enabled")
+    edits = Console(Config())
+    after = edits.update_rule(table, "view", least["view"], "sensitive", "Other Words", False)
+    return edits.delete_rule(after, "click", least["click"]).select("id", "guild_id", "scope", "pattern", "enabled")
 
 
 @query(f"WITH {_KNOWN} SELECT id, scope, pattern FROM known WHERE guild_id = 'view'")
@@ -694,6 +748,29 @@ def imported_rule_counts(spark, d):
     return Console(Config()).groups(_known_rules(spark, d))
 
 
+@query(
+    f"""WITH {_KNOWN}, g AS (SELECT DISTINCT event_type AS guild_id FROM events WHERE event_type <> 'error' UNION SELECT 'nobody')
+    SELECT g.guild_id, count(k.id) AS rule_count, count(k.id) FILTER (k.enabled) AS enabled_count, row_number() OVER (ORDER BY g.guild_id) AS place
+    FROM g LEFT JOIN known k ON k.guild_id = g.guild_id GROUP BY g.guild_id"""
+)
+def known_rule_counts(spark, d):
+    """Counts of all guilds of the settings, with zeros for those without rules; place tells the order of the list."""
+    guilds = tuple(g for g in GUILDS if g != "error") + ("nobody",)
+    return _placed(Console(Config(guild_ids=guilds)).groups(_known_rules(spark, d)))
+
+
+@query(f"WITH {_KNOWN} SELECT id, scope, pattern, enabled, place FROM (SELECT *, row_number() OVER (ORDER BY id) AS place FROM known WHERE guild_id = 'view' AND scope = 'redline') WHERE place BETWEEN 6 AND 10")
+def known_rule_page(spark, d):
+    """The second page of a guild's rules of one scope, with each row's place in the list."""
+    listed = Console(Config()).rules(_known_rules(spark, d), "view", scope="redline", page=2, size=5)
+    return _placed(listed.rows, 5).select("id", "scope", "pattern", "enabled", "place")
+
+
+def _placed(page: DataFrame, before: int = 0) -> DataFrame:
+    """A page (of a few rows) with the place of each row in its list, from the order in which the rows come."""
+    return page.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1 + before)
+
+
 #: Files of a lexicon: three of the benchmark's texts, with links and short lines among them, and an excluded one.
 _FILE_LINE = """CASE k WHEN 0 THEN {t} WHEN 1 THEN upper(replace({t}, 'ß', 'ss')) || '.' WHEN 2 THEN 'see http://example.com/' || item_id WHEN 3 THEN 'a' WHEN 4 THEN '// ' || {t} WHEN 5 THEN '---' ELSE '' END"""
 
@@ -859,7 +936,7 @@ def manual_actions(spark, d):
 _REVIEWS = Config(governance_preset="custom", ai_review_enabled=True, api_key="k", model="m", behavior_detection_enabled=False)
 
 
-def _reviews(spark, d, capacity: int | None = None, answered: bool = True) -> decisions.Outcome:
+def _reviews(spark, d, capacity: int | None = None, answered: bool = True, **more) -> decisions.Outcome:
     """Texts of three words from the sensitive list, posted as messages, with answers to most requests."""
     m = messages(spark, d)
     words = F.element_at(F.array(*map(F.lit, SENSITIVE)), (F.col("message_id") % 3 + 1).cast("int"))
@@ -873,7 +950,7 @@ def _reviews(spark, d, capacity: int | None = None, answered: bool = True) -> de
     )
     answers = m.where("message_id % 8 <> 5").select(F.concat_ws(":", "guild_id", i.cast("string")).alias("review_key"), raw.alias("raw"), (F.col("t_ms") + 7).alias("done_ms"))
     none = access_table(spark, d).where("false")
-    return decisions.decide(m.withColumn("content", texts), table, none, _REVIEWS, answers=answers if answered else None, capacity=capacity)
+    return decisions.decide(m.withColumn("content", texts), table, none, _REVIEWS, answers=answers if answered else None, capacity=capacity, **more)
 
 
 @query(
@@ -902,6 +979,53 @@ def review_queue_full(spark, d):
     return got.groupBy("status", "evidence").agg(F.count("*").alias("n"), F.max("message_id").alias("last"))
 
 
+@query(
+    f"""WITH RECURSIVE {MSG}, n AS (SELECT *, t_ms + (message_id % 97) * 40 AS done, row_number() OVER (PARTITION BY guild_id ORDER BY t_ms, message_id) AS n FROM msg),
+    q AS (
+      SELECT guild_id, n, message_id, [done] AS held, 0 AS queued, false AS is_full FROM n WHERE n = 1
+      UNION ALL
+      SELECT guild_id, n, message_id, CASE WHEN len(l) < 6 THEN list_append(l, done) ELSE l END, len(l), len(l) >= 6 FROM (
+        SELECT x.guild_id, x.n, x.message_id, x.done, list_filter(q.held, lambda t: t > x.t_ms) AS l FROM q JOIN n AS x ON x.guild_id = q.guild_id AND x.n = q.n + 1))
+    SELECT message_id, CAST(queued AS INTEGER) AS queued, CAST(least(queued, 2) AS INTEGER) AS running, is_full AS "full" FROM q"""
+)
+def review_queue_occupancy(spark, d):
+    """A queue of six for each guild, and answers that take up to four seconds."""
+    m = messages(spark, d).withColumn("done_ms", F.col("t_ms") + F.col("message_id") % 97 * 40)
+    return review_queue.occupancy(m, 6, by=["guild_id"], span_ms=5_000).select("message_id", "queued", "running", "full")
+
+
+@query(
+    f"""WITH RECURSIVE {MSG}, asked AS (SELECT *, CASE WHEN message_id % 8 <> 5 THEN t_ms + 7 END AS done, row_number() OVER (ORDER BY t_ms, message_id) AS n FROM msg WHERE message_id % 4 < 2),
+    q AS (
+      SELECT n, message_id, [coalesce(done, 9223372036854775807)] AS held, false AS is_full FROM asked WHERE n = 1
+      UNION ALL
+      SELECT n, message_id, CASE WHEN len(l) < 40 THEN list_append(l, coalesce(done, 9223372036854775807)) ELSE l END, len(l) >= 40 FROM (
+        SELECT x.n, x.message_id, x.done, list_filter(q.held, lambda t: t > x.t_ms) AS l FROM q JOIN asked AS x ON x.n = q.n + 1))
+    SELECT CASE WHEN is_full THEN 'failed' ELSE CASE message_id % 8 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' WHEN 4 THEN 'failed' ELSE 'pending' END END AS status,
+      CASE WHEN is_full THEN 'AI 复核队列已满' ELSE CASE message_id % 8 WHEN 0 THEN 'R' WHEN 1 THEN 'AI 判定为不违规' ELSE '等待 AI 复核' END END AS evidence, count(*) AS n, max(message_id) AS last
+    FROM q GROUP BY 1, 2"""
+)
+def review_queue_answers(spark, d):
+    """A queue of forty for all, in which requests without an answer stay."""
+    got = _reviews(spark, d, capacity=40, settle=Work(spark).table).requests
+    return got.groupBy("status", "evidence").agg(F.count("*").alias("n"), F.max("message_id").alias("last"))
+
+
+@query(
+    f"""WITH {MSG}, c AS (SELECT message_id, row_number() OVER (PARTITION BY guild_id, user_id ORDER BY t_ms, message_id) AS n FROM msg WHERE message_id % 8 = 0)
+    SELECT m.message_id, CASE m.message_id % 8 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' WHEN 4 THEN 'failed' ELSE 'pending' END AS status,
+      CASE WHEN c.n >= 3 THEN 'mute' WHEN c.n >= 1 THEN 'delete' ELSE 'silent' END AS action, CAST(coalesce(c.n, 0) AS INTEGER) AS offense_count, m.message_id % 8 < 2 AS reviewed_by_ai,
+      CASE m.message_id % 8 WHEN 0 THEN 'R' WHEN 1 THEN 'AI 判定为不违规' ELSE '等待 AI 复核' END AS evidence, m.t_ms + CASE WHEN m.message_id % 8 = 5 THEN 0 ELSE 7 END AS updated_ms
+    FROM msg m LEFT JOIN c USING (message_id) WHERE m.message_id % 4 < 2"""
+)
+def audits_after_answers(spark, d):
+    """The stored audits of reviews, still pending, read with the log of states that the answers brought."""
+    answered = _reviews(spark, d, settle=Work(spark).table)
+    log, _ = audit.review_updates(answered.requests, answered.decisions)
+    now = audit.current(audit.stored(_reviews(spark, d, answered=False).audits), Work(spark).table(log))
+    return now.select(F.col("message_id").cast("long").alias("message_id"), "status", "action", "offense_count", "reviewed_by_ai", "evidence", F.unix_millis("updated_at").alias("updated_ms"))
+
+
 @query(
     f"""WITH {MSG}, r AS (SELECT CASE message_id % 8 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'dismissed' WHEN 4 THEN 'failed' END AS status, t_ms + 7 AS t_ms FROM msg WHERE message_id % 8 IN (0, 1, 4))
     SELECT stage, status AS result, count(*) AS n, CAST(sum(t_ms) AS BIGINT) AS total_ms FROM r, (SELECT unnest(['ai_review', 'decision']) AS stage) GROUP BY 1, 2"""
@@ -935,7 +1059,7 @@ def review_request_bodies(spark, d):
 def review_keys(spark, d):
     """Messages without an id are told apart by user and time."""
     m = messages(spark, d).withColumn("message_id", F.when(F.col("message_id") % 3 != 0, F.col("message_id").cast("string")).otherwise(""))
-    return m.groupBy(audit.review_key().alias("review_key")).agg(F.count("*").alias("n"))
+    return m.groupBy(identity.told_by().alias("review_key")).agg(F.count("*").alias("n"))
 
 
 def _label_of(body: str, sensitive: bool) -> dict | None:

@@ -9,6 +9,8 @@ AUDITS = (
     "content string, created_at timestamp, updated_at timestamp"
 )
 AUDIT_EVENTS = "id long, trace_id string, stage string, signal_code string, result string, pattern string, evidence string, created_at timestamp"
+#: The log of audit states, to which rows are only added.
+AUDIT_CHANGES = "trace_id string, status string, action string, offense_count int, reviewed_by_ai boolean, evidence string, updated_ms long"
 OFFENSES = (
     "id long, guild_id string, user_id string, category string, offense_count int, last_signal_code string, last_pattern string, "
     "last_action string, created_at timestamp, updated_at timestamp"

@@ -124,6 +124,8 @@ def summary(counts: DataFrame, scope: str) -> DataFrame:
     )
 
 
-def write_lexicon(files: DataFrame, folder: str) -> None:
-    """One word a line in one file, sorted: a lexicon is bounded by its language, not by the message stream."""
+def write_lexicon(files: DataFrame, folder: str, stats: str | None = None) -> None:
+    """One word a line in one file, sorted: a lexicon is bounded by its language, not by the message stream. stats: a folder for its counters, as JSON."""
     lexicon(files).coalesce(1).write.mode("overwrite").text(folder)
+    if stats is not None:
+        lexicon_stats(files).coalesce(1).write.mode("overwrite").json(stats)

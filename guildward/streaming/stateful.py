@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from guildward import config
+from guildward import config, schemas
 from guildward.config import Policy
 from guildward.operators.flood import State, step
+from guildward.operators.identity import ROW_KEY
 
 _FLOOD_RESULTS = "exceeded boolean, triggered boolean, episode boolean, retry_after_ms long, debt_ms long, expected_ms double"
 _FLOOD_STATE = "expected double, episode boolean, triggered_at long, policy_key string, last_ms long"
-OFFENSE_OUT = "message_id string, guild_id string, user_id string, category string, t_ms long, offense_count int"
 
 
 def _with_time(df: DataFrame, delay: str) -> DataFrame:
@@ -61,37 +61,95 @@ def limit(messages: DataFrame, policy: Policy, delay: str = "1 minute") -> DataF
     return keyed.groupBy("guild_id", "_key").applyInPandasWithState(fold, schema, _FLOOD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def count(offenses: DataFrame, window_ms: int, delay: str = "1 minute") -> DataFrame:
-    """OFFENSE_OUT for a stream of (message_id, guild_id, user_id, category, t_ms); a row with clear=true resets its key."""
+def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """All rows of a key in a micro-batch; nullable integers would come as floats, so columns go as objects."""
+    return pd.concat([f.astype(object) for f in frames]).sort_values(order, kind="stable", na_position="first").reset_index(drop=True)
+
+
+def count(offenses: DataFrame, window_ms: int, delay: str | None = "1 minute", tell_clears: bool = False) -> DataFrame:
+    """A stream of (message_id, guild_id, user_id, category, t_ms, any others) with offense_count and first_ms.
+
+    A row with clear=true resets its key; it is dropped, or with tell_clears goes
+    on with 0 and column clear, which others have false. A row with
+    counts_as_offense=false passes with 0 and leaves the state as it is. delay None:
+    the stream has its watermark on column _time already.
+    """
+    df = offenses if "clear" in offenses.columns else offenses.withColumn("clear", F.lit(False))
+    df = df if "counts_as_offense" in df.columns else df.withColumn("counts_as_offense", F.lit(True))
+    df = df.withColumn("message_id", F.col("message_id").cast("string"))
+    names = [c for c in df.columns if c != "_time" and (tell_clears or c != "clear")]
+    schema = T.StructType([*(df.schema[c] for c in names), *T.StructType.fromDDL("offense_count int, first_ms long").fields])
+    ties = ["message_id", *(c for c in (ROW_KEY,) if c in names)]
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        n, last = state.get if state.exists else (0, 0)
-        rows = pd.concat(frames).sort_values(["t_ms", "clear", "message_id"], kind="stable")
-        out = []
-        for message_id, t, clear in zip(rows["message_id"], rows["t_ms"], rows["clear"], strict=True):
+        n, last, first = state.get if state.exists else (0, 0, None)
+        rows = _rows(frames, ["t_ms", "clear", *ties])
+        counts, firsts, kept = [], [], []
+        for i, (t, clear, counted) in enumerate(zip(rows["t_ms"], rows["clear"], rows["counts_as_offense"], strict=True)):
             now = max(last, int(t))
             if clear:
-                n = 0
-                continue
-            n = n + 1 if n and now - last <= window_ms else 1
-            last = now
-            out.append((message_id, *key, int(t), n))
-        state.update((n, last))
+                n, first = 0, None
+                if not tell_clears:
+                    continue
+            elif counted:
+                n = n + 1 if n and now - last <= window_ms else 1
+                last, first = now, int(t) if first is None else min(first, int(t))
+            kept.append(i)
+            counts.append(n if counted or clear else 0)
+            firsts.append(first)
+        state.update((n, last, first))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + window_ms + 1)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OFFENSE_OUT.split(", ")])
+        yield rows.iloc[kept][names].assign(offense_count=counts, first_ms=firsts)
+
+    df = _with_time(df, delay) if delay is not None else df
+    return df.groupBy("guild_id", "user_id", "category").applyInPandasWithState(fold, schema, "n int, last_ms long, first_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
-    df = offenses if "clear" in offenses.columns else offenses.withColumn("clear", F.lit(False))
-    df = _with_time(df.withColumn("message_id", F.col("message_id").cast("string")), delay)
-    return df.groupBy("guild_id", "user_id", "category").applyInPandasWithState(fold, OFFENSE_OUT, "n int, last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
+def clear_marks(clears: DataFrame) -> DataFrame:
+    """A stream of clear markers (guild_id, user_id, t_ms) as rows for ``count``: one for each category of offenses."""
+    kinds = F.explode(F.array(*map(F.lit, (*schemas.CATEGORY.values(), schemas.MANUAL_CATEGORY))))
+    return clears.select("guild_id", "user_id", "t_ms", kinds.alias("category"), F.lit(True).alias("clear"))
 
-def review_keys(requests: DataFrame) -> DataFrame:
-    """Requests whose key none had within 24 hours of event time."""
-    timed = requests.withColumn("_time", F.timestamp_millis("t_ms")).withWatermark("_time", "24 hours")
-    return timed.dropDuplicatesWithinWatermark(["review_key"])
+
+def review_keys(requests: DataFrame, window_ms: int = config.REVIEW_WINDOW_MS, delay: str = "1 minute") -> DataFrame:
+    """A stream of requests (review_key, message_id, t_ms, any others) with duplicate: true within window_ms of the key's last one that was queued."""
+    schema = T.StructType([*requests.schema.fields, T.StructField("duplicate", T.BooleanType())])
+    names = requests.columns
+    order = ["t_ms", "message_id", *(c for c in (ROW_KEY,) if c in names)]
+
+    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows, found = _rows(frames, order), []
+        for t in rows["t_ms"]:
+            found.append(last is not None and int(t) - last < window_ms)
+            if not found[-1]:
+                last = int(t)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + window_ms)
+        yield rows[names].assign(duplicate=found)
+
+    return _with_time(requests, delay).groupBy("review_key").applyInPandasWithState(fold, schema, "last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def answered(requests: DataFrame, answers: DataFrame, within_: str = "24 hours", delay: str = "1 minute") -> DataFrame:
+    """Streams of pending requests and of answers (review_key, raw, done_ms) joined: requests with raw and done_ms.
+
+    An answer belongs to the request of its key within whose time it comes; the
+    first one of a key counts. A request that none has come to within that time is
+    told with nulls, once the watermark of both streams has passed it.
+    """
+    left = requests.withColumn("_asked", F.timestamp_millis("t_ms")).withWatermark("_asked", delay)
+    # a key is known as answered as long as its request may be
+    right = answers.select(F.col("review_key").alias("_key"), "raw", "done_ms", F.timestamp_millis("done_ms").alias("_done")).withWatermark("_done", within_)
+    right = right.dropDuplicatesWithinWatermark(["_key"])
+    on = (F.col("review_key") == F.col("_key")) & (F.col("_done") >= F.col("_asked")) & (F.col("_done") <= F.col("_asked") + F.expr(f"interval {within_}"))
+    return left.join(right, on, "left_outer").drop("_key", "_done", "_asked")
 
 
 def each_batch(decide: Callable[[DataFrame], DataFrame], folder: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:

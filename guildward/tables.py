@@ -20,6 +20,63 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/guildward/{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    """A path of the Hadoop file system and that file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    path, files = _files(spark, path)
+    return files.exists(path)
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    at, files = _files(spark, path)
+    files.mkdirs(at)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path, files = _files(spark, path)
+    files.delete(path, True)
+
+
+def folders(spark: SparkSession, path: str, begins: str) -> list[str]:
+    """Folders below path, at any depth, whose names begin so."""
+    at, files = _files(spark, path)
+    if not files.exists(at):
+        return []
+    out = []
+    for status in files.listStatus(at):
+        if status.isDirectory():
+            below = f"{path}/{status.getPath().getName()}"
+            out += [below] if status.getPath().getName().startswith(begins) else folders(spark, below, begins)
+    return out
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder; its parent is made, a target that is there is an error."""
+    (a, files), (b, _) = _files(spark, source), _files(spark, target)
+    files.mkdirs(b.getParent())
+    if files.exists(b) or not files.rename(a, b):
+        raise OSError(f"{source} could not become {target}")
+
+
+def write_once(df: DataFrame, folder: str, name: str, part: str) -> bool:
+    """Writes df to folder/name/part in one step: readers see all of it or nothing. False if it is there already, which is left as it is.
+
+    The rows are written to a folder beside that readers pass over, which is then renamed.
+    """
+    spark, target = df.sparkSession, f"{folder}/{name}/{part}"
+    if exists(spark, target):
+        return False
+    staged = f"{folder}/_staged/{name}/{part}"
+    df.write.mode("overwrite").parquet(staged)
+    move(spark, staged, target)
+    return True
+
+
 class Work:
     """The tables of one run."""
 
@@ -34,8 +91,7 @@ class Work:
             self._delete(self.folder)
 
     def _delete(self, path: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, path)
 
     def path(self, name: str) -> str:
         self.n += 1

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from guildward import schemas
 from guildward.config import Policy
 from guildward.operators import flood, offenses
 from guildward.streaming import stateful
@@ -98,21 +99,24 @@ def test_decisions_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
         spark.createDataFrame(messages[k * 80 : (k + 1) * 80], schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     made = Moderation(settings, lambda s: rules, lambda s: access, out)
-    assert made.start(stream, str(tmp_path / "cp"), availableNow=True).awaitTermination(240)
+    running = made.start(stream, str(tmp_path / "cp"), availableNow=True)
+    assert not any(q.isActive or q.exception() for q in running)
     want = decisions.decide(df, rules, access, settings)
     key = ["message_id", "code", "final_action", "offense_count", "mute_minutes"]
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    read = lambda name: spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/{name}")
     got = read("decisions").select(*key).collect()
     assert sorted(got) == sorted(want.decisions.select(*key).collect()) and max(r.offense_count for r in got) > 3
     told = ["trace_id", "status", "signal_code"]
-    assert sorted(read("audits").select(*told).collect()) == sorted(want.audits.select(*told).collect())
-    assert read("events").count() == want.events.count() and read("requests").count() == want.requests.count()
-    ids = read("audits").select("id", "created_at").orderBy("id").collect()
-    assert len({r.id for r in ids}) == len(ids) and read("events").select("id").distinct().count() == want.events.count()
-    # a batch that is repeated replaces itself: what the last batch wrote stays as it is
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "state").iterdir())
-    before = sorted(map(repr, spark.read.parquet(f"{out}/state/batch={last}").collect()))
-    assert before and last >= 2
+    assert sorted(made.audits(spark).select(*told).collect()) == sorted(want.audits.select(*told).collect())
+    events = ["trace_id", "stage", "signal_code", "result", "evidence"]
+    assert sorted(made.events(spark).select(*events).collect()) == sorted(want.events.where("trace_id <> ''").select(*events).collect())
+    assert read("requests").count() == want.requests.count()
+    for table in (made.audits(spark), made.events(spark)):
+        assert table.select("id").distinct().count() == table.count()
+    # a batch that is repeated writes nothing again
+    before = sorted(map(repr, read("chosen").collect()))
+    made._write(read("chosen").limit(1), "chosen", 0)
+    assert before and sorted(map(repr, read("chosen").collect())) == before
 
 
 def test_rules_are_read_again_after_their_time():
@@ -143,20 +147,116 @@ def test_a_reviewer_that_hangs_is_given_up(spark, monkeypatch):
 
 
 def test_review_keys_of_a_stream(spark, tmp_path):
-    hour = 3_600_000
-    rows = [("a", 0), ("b", hour), ("a", 2 * hour), ("a", 23 * hour), ("b", 20 * hour)]
-    start = 1_704_067_200_000  # at the epoch itself a row would be late from the start
-    df = spark.createDataFrame([(f"{i}", k, start + t) for i, (k, t) in enumerate(rows)], "message_id string, review_key string, t_ms long")
+    """Keys over three micro-batches are told as duplicates as over one table."""
+    from guildward.operators import audit
+
+    rng, hour, t, rows = random.Random(4), 3_600_000, 1_704_067_200_000, []
+    for i in range(120):
+        t += rng.choice([0, 1, hour, 5 * hour, 24 * hour])
+        rows.append((f"{i:04d}", rng.choice("abc"), t))
+    df = spark.createDataFrame(rows, "message_id string, review_key string, t_ms long")
     got = streamed(spark, tmp_path, df, df.schema, stateful.review_keys)
-    assert sorted(r.message_id for r in got.collect()) == ["0", "1"]
+    told = lambda d: sorted((r.message_id, r.duplicate) for r in d.collect())
+    assert told(got) == told(audit.deduplicated(df)) and {d for _, d in told(got)} == {True, False}
+
+
+def test_clear_markers_of_a_stream(spark, tmp_path):
+    """A marker resets all categories of its user; counts over three micro-batches equal those over one table."""
+    rng, t, rows, marks = random.Random(8), 1_704_067_200_000, [], []
+    for i in range(200):
+        t += rng.choice([0, 10, 4_000, 30_000])
+        if rng.random() < 0.1:
+            marks.append(("g", rng.choice("ab"), t))
+        rows.append((f"{i:04d}", "g", rng.choice("ab"), rng.choice(["内容违规", "行为违规"]), t, rng.random() < 0.8))
+    ddl = "message_id string, guild_id string, user_id string, category string, t_ms long, counts_as_offense boolean"
+    df, clears = spark.createDataFrame(rows, ddl), spark.createDataFrame(marks, "guild_id string, user_id string, t_ms long")
+    want = {r.message_id: r.offense_count for r in offenses.count(df, 20_000, clears, only="counts_as_offense").collect()}
+    both = df.withColumn("clear", F.lit(False)).unionByName(stateful.clear_marks(clears), allowMissingColumns=True)
+    got = streamed(spark, tmp_path, both, both.schema, lambda s: stateful.count(s, 20_000))
+    assert {r.message_id: r.offense_count for r in got.collect()} == want and 0 in want.values() and max(want.values()) > 3
+
+
+def test_reviews_of_a_stream(spark, tmp_path):
+    """Requests and answers as streams of three files: statuses, offenses, audits and states as the batch plan has them."""
+    from guildward.config import Config
+    from guildward.plans import decisions
+    from guildward.streaming.moderation import Moderation
+
+    rng, t, rows, answers = random.Random(2), 1_704_067_200_000, [], []
+    raws = ['{"violation": true, "category": "欺诈", "reason": "R"}', '{"violation": false, "category": "不违规", "reason": ""}', "no json", None]
+    for i in range(90):
+        t += rng.choice([500, 20_000, 400_000])
+        message = rng.choice(["", f"{i:03d}", f"{i:03d}", f"{i:03d}"])
+        rows.append((message, rng.choice("gh"), rng.choice("uvw"), f"c{i % 3}", rng.choice(["odd words", "an odd one", "spam", "fine"]), t))
+        raw = rng.choice(raws)
+        if raw:
+            key = f"{rows[-1][1]}:{message}" if message else f"{rows[-1][1]}:{rows[-1][2]}:{t}"
+            answers += [(key, raw, t + 300)] + [(key, raws[0], t + 900)] * (i % 4 == 0)
+    schema = "message_id string, guild_id string, user_id string, channel_id string, content string, t_ms long"
+    told = "review_key string, raw string, done_ms long"
+    for k in range(3):
+        part = slice(k * 30, (k + 1) * 30)
+        last = rows[part][-1][-1]
+        spark.createDataFrame(rows[part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        first = rows[part][0][-1]
+        spark.createDataFrame([a for a in answers if first < a[2] <= last + 900], told).coalesce(1).write.mode("append").parquet(str(tmp_path / "answers"))
+    rules = spark.createDataFrame([(i, g, s, w, True) for i, (g, s, w) in enumerate([("g", "sensitive", "odd"), ("h", "sensitive", "odd"), ("g", "redline", "spam")])], RULES)
+    access = spark.createDataFrame([], ACCESS)
+    settings = Config(ai_review_enabled=True, api_key="k", behavior_detection_enabled=False)
+    messages = spark.createDataFrame(rows, schema)
+    want = decisions.decide(messages, rules, access, settings, answers=spark.createDataFrame(answers, told))
+    read = lambda kind, path: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / path))
+    made = Moderation(settings, lambda s: rules, lambda s: access, str(tmp_path / "out"), capacity=None)
+    running = made.start(read(schema, "in"), str(tmp_path / "cp"), answers=read(told, "answers"), availableNow=True)
+    assert not any(q.exception() for q in running)
+    table = lambda name: spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / name))
+    key = ["message_key", "status"]
+    done = sorted(want.requests.select(*key).collect())
+    assert len(done) > 30 and {r.status for r in done} == {"pending", "confirmed", "dismissed", "failed"}
+    assert sorted(table("reviews").where("status <> 'pending'").select(*key).collect()) == [r for r in done if r.status != "pending"]
+    made_of = ["message_key", "code", "final_action", "offense_count", "t_ms"]
+    assert sorted(table("decisions").select(*made_of).collect()) == sorted(want.decisions.select(*made_of).collect())
+    shown = ["trace_id", "channel_id", "signal_code", "status", "action", "offense_count", "evidence", "reviewed_by_ai"]
+    assert sorted(made.audits(spark).select(*shown).collect()) == sorted(audit_rows(want.audits, shown))
+    state = {(r.guild_id, r.user_id, r.category): (r.offense_count, r.last_signal_code) for r in made.offenses(spark).collect()}
+    counted = want.decisions.where("offense_count > 0").collect()
+    last = {}
+    for r in sorted(counted, key=lambda r: (r.t_ms, r.message_id)):
+        last[r.guild_id, r.user_id, "内容违规"] = (r.offense_count, r.code)
+    assert state == last
+
+
+def audit_rows(audits, shown):
+    return audits.select(*shown).collect()
+
+
+def test_waiting_requests_fill_the_queue_of_a_stream(spark, tmp_path):
+    """The queue holds what earlier batches left in it, and answers make room."""
+    from guildward.config import Config
+    from guildward.streaming import moderation
+
+    made = moderation.Moderation(Config(ai_review_enabled=True, api_key="k"), None, None, str(tmp_path), capacity=3)
+    row = lambda i: (f"{i}", "g", "u", 1000 + i, f"g:{i}#1", "c", "c", "c", "", f"g:{i}", "{}")
+    asked = lambda *ids: spark.createDataFrame([row(i) for i in ids], moderation.ASKED).withColumn("duplicate", F.lit(False))
+    made.review(asked(1, 2), 0)
+    made.review(asked(3, 4, 5), 1)
+    assert made.waiting(spark) == 3
+    pending = made.read(spark, "requests", moderation.REQUESTS).where("status = 'pending'")
+    assert sorted(r.message_id for r in pending.collect()) == ["1", "2", "3"]
+    raw = F.lit('{"violation": false, "category": "不违规", "reason": ""}')
+    made.answer(pending.where("message_id <> '2'").withColumns({"raw": raw, "done_ms": F.lit(5000).cast("long")}), 0)
+    made.review(asked(6, 7, 8), 2)
+    assert made.waiting(spark) == 3 and made.audits(spark).groupBy("status").count().collect()
+    got = {r.message_id: r.status for r in made.audits(spark).collect()}
+    assert got == {"1": "dismissed", "2": "pending", "3": "dismissed", "4": "failed", "5": "failed", "6": "pending", "7": "pending", "8": "failed"}
 
 
 def test_a_failing_event_sink_stops_nothing(spark, tmp_path, monkeypatch):
     from guildward.config import Config
     from guildward.operators import audit
-    from guildward.streaming.moderation import Moderation
+    from guildward.streaming.moderation import CHOSEN, Moderation
 
-    def broken(events, number=0):
+    def broken(*args):
         raise RuntimeError("no sink")
 
     monkeypatch.setattr(audit, "stored_events", broken)
@@ -165,10 +265,83 @@ def test_a_failing_event_sink_stops_nothing(spark, tmp_path, monkeypatch):
     batch = spark.createDataFrame([("1", "g", "u", "spam", 5, False, False, False, 0, 0, 9.0)], schema + results)
     rules, access = spark.createDataFrame([(1, "g", "redline", "spam", True)], RULES), spark.createDataFrame([], ACCESS)
     made = Moderation(Config(), lambda s: rules, lambda s: access, str(tmp_path))
-    made.batch(batch, 0)
-    made.batch(batch, 0)
-    assert spark.read.parquet(f"{tmp_path}/decisions").count() == 1 and spark.read.parquet(f"{tmp_path}/audits").count() == 1
-    made.batch(batch.withColumn("message_id", F.lit("2")).withColumn("t_ms", F.lit(7).cast("long")), 1)
-    assert spark.read.parquet(f"{tmp_path}/decisions/batch=1").first().offense_count == 2
-    state = spark.read.parquet(f"{tmp_path}/state/batch=1").first()
-    assert (state.offense_count, state.created_ms, state.updated_ms) == (2, 5, 7)
+    for _ in range(2):  # the second time nothing is written again
+        made.detect(batch, 0)
+    chosen = made.read(spark, "chosen", CHOSEN)
+    assert [(r.message_id, r.code, r.stored) for r in chosen.collect()] == [("1", "redline_keyword", "spam")]
+    counted = chosen.withColumns({"clear": F.lit(False), "offense_count": F.lit(1), "first_ms": F.lit(5).cast("long")})
+    for _ in range(2):
+        made.conclude(counted, 0)
+    assert spark.read.parquet(f"{tmp_path}/decisions").count() == 1 and made.audits(spark).count() == 1
+    mark = counted.withColumns({"clear": F.lit(True), "offense_count": F.lit(0), "t_ms": F.lit(9).cast("long")})
+    state = made.offenses(spark).first()
+    assert (state.offense_count, state.created_ms, state.updated_ms) == (1, 5, 5)
+    made.conclude(mark, 1)
+    assert made.offenses(spark).count() == 0
+
+
+def stored_tables(spark, folder, days):
+    """A Moderation's audits, events, changes and offenses: a message on each of the days, a batch per two days."""
+    from guildward.config import Config
+    from guildward.streaming import moderation
+
+    made = moderation.Moderation(Config(), None, None, folder)
+    for number in range(0, len(days), 2):
+        rows = []
+        for i in range(number, min(number + 2, len(days))):
+            t = days[i] * 86_400_000
+            rows.append((f"{i}", "gh"[i % 2], "u", t, f"{'gh'[i % 2]}:{i}#1", 2, "redline_keyword", "content", "r", "e", "p", "delete", False, 1, True, True, None, "内容违规", "c", "c", "c", ""))
+        counted = spark.createDataFrame(rows, moderation.CHOSEN).withColumns({"clear": F.lit(False), "offense_count": F.lit(1), "first_ms": F.col("t_ms")})
+        made.conclude(counted, number // 2)
+        reviewed = counted.withColumns({"code": F.lit("ai_review"), "message_id": F.concat(F.lit("r"), "message_id"), "message_key": F.concat(F.lit("r"), "message_key")})
+        made.conclude(reviewed, 100 + number // 2)
+    return made
+
+
+def test_retention_of_a_running_folder(spark, tmp_path):
+    """Only batches with old rows are touched; events and changes go by their audits' guild; a broken run is finished."""
+    from guildward.config import Config
+    from guildward.plans import retention_job
+
+    day, now, folder = 86_400_000, 100 * 86_400_000, str(tmp_path / "t")
+    made = stored_tables(spark, folder, [10, 20, 60, 80, 95, 99])
+    stamp = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before, audits = stamp(), made.audits(spark).count()
+    gone = retention_job.prune(spark, Config(audit_retention_days=30, offense_window_hours=24), folder, now)
+    times = lambda df, c: sorted(int(r[0].timestamp() * 1000) // day for r in df.select(c).collect())
+    assert audits == 6 and gone["audits"] == 3 and gone["changes"] == 3 and gone["offenses"] == 10
+    assert times(made.audits(spark), "created_at") == [80, 95, 99] and set(times(made.events(spark), "created_at")) == {80, 95, 99}
+    assert [r.updated_ms // day for r in made.offenses(spark).collect()] == [99]
+    after = stamp()
+    young = {p for p in before if any(f"{t}/decisions/batch={n}/" in str(p) for t in ("audits", "events", "changes") for n in (2, 102))}
+    assert young and all(after.get(p) == before[p] for p in young)
+    assert retention_job.prune(spark, Config(audit_retention_days=30), folder, now) == dict.fromkeys(gone, 0)
+    # of one guild only
+    scoped = retention_job.prune(spark, Config(audit_retention_days=1, guild_ids=("g",)), folder, now)
+    assert scoped["audits"] == 1 and times(made.audits(spark), "created_at") == [80, 99]
+    # a run that ended between writing and moving
+    kept = made.audits(spark).where("false")
+    path = made.read(spark, "audits", schemas.AUDITS).select("_metadata.file_path").first()[0]
+    kept.write.parquet(f"{folder}/_kept/{path[path.rindex('/audits/') + 1 :].rpartition('/')[0]}")
+    retention_job.finish(spark, folder)
+    assert made.audits(spark).count() < 2 and not (tmp_path / "t" / "_kept").exists()
+
+
+def test_retention_copies_stored_tables(spark, tmp_path):
+    import pytest
+    from guildward.config import Config
+    from guildward.operators import audit, offenses
+    from guildward.plans import retention_job
+
+    now = 100 * 86_400_000
+    made = stored_tables(spark, str(tmp_path / "t"), [10, 99])
+    source = str(tmp_path / "in")
+    made.audits(spark).write.parquet(f"{source}/audits")
+    made.events(spark).write.parquet(f"{source}/events")
+    made.offenses(spark).write.parquet(f"{source}/offenses")
+    gone = retention_job.run(spark, Config(), source, str(tmp_path / "kept"), now)
+    assert gone["audits"] == 1 and gone["events"] >= 1 and gone["offenses"] >= 0
+    for target in (source, f"{source}/", f"{source}/deeper", str(tmp_path)):
+        with pytest.raises(ValueError):
+            retention_job.run(spark, Config(), source, target, now)
+    assert spark.read.parquet(f"{source}/audits").count() == 2
