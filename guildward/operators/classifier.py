@@ -8,22 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guildward.operators.identity import row_key
+from guildward.operators.identity import common_key
 from guildward.operators.signals import immediate
 
 SCORES = "{key} {kind}, status string, label string, confidence double, violation_probability double, probabilities map<string,double>"
 
 
 def classify(messages: DataFrame, signals: DataFrame, evaluate: Callable[[str, bool], dict | None]) -> DataFrame:
-    """SCORES of messages (message_id, or ROW_KEY if they have it, and plain_text). evaluate(text, sensitive_matched) gives a row's values.
+    """SCORES of messages (message_id, or ROW_KEY if signals have it too, and plain_text). evaluate(text, sensitive_matched) gives a row's values.
 
     A result that fails to come, for whatever reason, is as good as none: the
     message has no row, and its signals go on without the classifier.
     """
-    key = row_key(messages)
+    key = common_key(messages, signals)
     kind = messages.schema[key].dataType.simpleString()
     sensitive = signals.where("needs_ai").select(key).distinct().withColumn("sensitive", F.lit(True))
-    asked = messages.join(immediate(signals), key, "left_anti").join(sensitive, key, "left")
+    asked = messages.join(immediate(signals, key), key, "left_anti").join(sensitive, key, "left")
     asked = asked.select(key, "plain_text", F.coalesce("sensitive", F.lit(False)).alias("sensitive"))
     names = ["status", "label", "confidence", "violation_probability", "probabilities"]
 

@@ -38,6 +38,10 @@ def row_key(df: DataFrame) -> str:
     return ROW_KEY if ROW_KEY in df.columns else "message_id"
 
 
+def common_key(a: DataFrame, b: DataFrame) -> str:
+    return ROW_KEY if ROW_KEY in a.columns and ROW_KEY in b.columns else "message_id"
+
+
 def carried(df: DataFrame) -> list[str]:
     return [ROW_KEY] if ROW_KEY in df.columns else []
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from guildward import config, schemas
 from guildward.config import Policy
 from guildward.functions import text
-from guildward.operators.identity import carried, row_key
+from guildward.operators.identity import carried, common_key, row_key
 
 COLUMNS = [
     "message_id", "guild_id", "user_id", "t_ms", "seq", "code", "source", "public_reason", "evidence", "pattern", "action",
@@ -67,9 +67,9 @@ def keyword_signals(hits: DataFrame) -> DataFrame:
     )
 
 
-def immediate(signals: DataFrame) -> DataFrame:
+def immediate(signals: DataFrame, key: str | None = None) -> DataFrame:
     """Messages with a signal that needs neither classifier nor review."""
-    return signals.where(F.col("code").isin("redline_keyword", "blacklist_user")).select(row_key(signals)).distinct()
+    return signals.where(F.col("code").isin("redline_keyword", "blacklist_user")).select(key or row_key(signals)).distinct()
 
 
 def model_evidence(tail: Column | None = None) -> Column:
@@ -88,9 +88,9 @@ def route_scores(messages: DataFrame, signals: DataFrame, scores: DataFrame) ->
     it, guild_id. The rule of the first keyword candidate and the patterns of all
     are carried along.
     """
-    key = row_key(messages)
+    key = common_key(messages, signals)
     known = scores.where(F.col("status").isin("action", "review", "pass"))
-    waiting = messages.join(immediate(signals), key, "left_anti").join(known, score_key(scores))
+    waiting = messages.join(immediate(signals, key), key, "left_anti").join(known, score_key(scores))
     ordered = F.array_sort(F.collect_list(F.struct("seq", "pattern", "rule_id")))
     candidates = signals.where("needs_ai").groupBy(key).agg(ordered.alias("_c"))
     df = waiting.join(candidates, key, "left")
