@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,8 +106,13 @@ def asked(candidates: DataFrame, model: str = "", prompt: str = review_json.PROM
     return df.withColumn("request", body).drop("_s")
 
 
-def queued(df: DataFrame, enabled: bool, capacity: int | None = None, answers: DataFrame | None = None) -> DataFrame:
-    """Rows that ``asked`` made, with status and evidence. Column duplicate, if it is there, tells what is known to be one; it goes."""
+def queued(
+    df: DataFrame, enabled: bool, capacity: int | None = None, answers: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """Rows that ``asked`` made, with status and evidence. Column duplicate, if it is there, tells what is known to be one; it goes.
+
+    settle writes a table and reads it back, as the queue is swept several times.
+    """
     if not enabled:
         return df.drop("duplicate").withColumn("status", F.lit("skipped")).withColumn("evidence", F.lit("AI 复核未启用或未配置 API Key"))
     df = df if "duplicate" in df.columns else deduplicated(df)
@@ -114,6 +121,7 @@ def queued(df: DataFrame, enabled: bool, capacity: int | None = None, answers: D
     if capacity is None:
         return df
     if answers is not None:
+        df = settle(df)
         done = answers.groupBy("review_key").agg(F.min("done_ms").alias("done_ms"))
         held = occupancy(df.where("status = 'pending'").join(done, "review_key", "left"), capacity).drop("done_ms", "queued", "running")
         refused = {"status": F.when(F.col("full"), "failed").otherwise(F.col("status")), "evidence": F.when(F.col("full"), "AI 复核队列已满").otherwise(F.col("evidence"))}

@@ -147,8 +147,7 @@ def decide(
     """
     policy, key = settings.policy(), identity.ROW_KEY
     known = gather(messages, rules, access, settings, scores, contents, settle, limited)
-    asked = settle(known.asked) if capacity is not None and answers is not None else known.asked  # the queue is swept several times
-    requests = audit.queued(asked, reviews(settings), capacity, answers)
+    requests = audit.queued(known.asked, reviews(settings), capacity, answers, settle)
     chosen = sig.top(known.deterministic)
     if answers is not None:
         requests = requests.where("status <> 'pending'").unionByName(audit.reviewed(requests, answers), allowMissingColumns=True)
