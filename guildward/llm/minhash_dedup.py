@@ -22,7 +22,9 @@ corpora raise ROWS.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a row
 without doc_id links with nothing and is kept; rows that repeat a doc_id are one
-node with the links of each; ties take the smallest doc_id.
+node with the links of each; ties take the smallest doc_id; a very long text is read
+whole, its sketch has the size of any other, and its full set moves only where it is
+compared; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ is the sigmoid of an intercept and one table entry per feature and pair.
 Defined cases: a null text is an empty one and is scored like any other; with no
 labelled rows every score is 0.9 (nothing speaks against a document); rows
 without a doc_id are never learnt from, and rows that repeat one count once;
-repeated rows give repeated rows; other columns pass through ``score`` unless
+repeated rows give repeated rows, and equal texts equal scores; a very long text is
+read whole, by counts over its bytes and words; an empty table gives no rows, and
+to learn from counts as one without labels; other columns pass through ``score`` unless
 they are called like its results, whose names may be chosen.
 """
 

@@ -14,7 +14,9 @@ MARGIN times its distance from the median.
 Defined cases: a null or empty text has no words, zero counts, score 0 and fails
 the base rule; with no trusted documents all scores are 0; with none that meets
 the base rules no score is too low; repeated rows give
-repeated rows and count as often; other columns pass through ``judge`` unless
+repeated rows and count as often, and equal texts get equal results; a very long
+text is read whole, as one list of words; an empty table gives no rows, and as the
+text to learn from a model that rejects by the base rules only; other columns pass through ``judge`` unless
 they are called like its results, whose names may be chosen.
 """
 

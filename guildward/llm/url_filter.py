@@ -7,6 +7,8 @@ filter passes goes to an exact equi-join with the list.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no
 rule, and is allowed; equal rows give equal rows; an empty list blocks nothing;
+a very long url is a key like any other; an empty table gives no rows; of rules
+that fit equally long the one later in order of text wins;
 other columns of the input pass through ``judge`` unless they are called like
 its results, which replace them.
 """
