@@ -6,8 +6,9 @@
 The first form clears the folder of a running Moderation (streaming/moderation.py)
 where it is. It looks for old rows by time, which passes over the files without any,
 and only touches the batches that hold some: one whose rows are all old goes, of
-others what is kept is written beside them and takes their place. A run that is
-broken off is finished by the next one.
+others what is kept is written beside them and takes their place. What the queries
+hand to one another goes by whole batches only, as a batch written anew would be
+read again. A run that is broken off is finished by the next one.
 
 The second form writes what is kept of the tables audits, events and offenses in
 <in> to <out>, as for tables that were made otherwise. A scheduler runs either each
@@ -30,6 +31,8 @@ from guildward.streaming.moderation import OFFENSE_LOG, typed
 
 TABLES = ("audits", "events", "offenses")
 _STORED = {"audits": schemas.AUDITS, "events": schemas.AUDIT_EVENTS, "changes": schemas.AUDIT_CHANGES, "offenses": OFFENSE_LOG}
+#: What the queries hand on, or have decided; rows have guild_id and t_ms.
+_HANDED_ON = ("chosen", "asked", "requests", "reviews", "confirmed", "decisions")
 
 
 def _now(now_ms: int | None) -> int:
@@ -83,6 +86,15 @@ def finish(spark: SparkSession, folder: str) -> None:
     tables.delete(spark, staged)
 
 
+def _passed(spark: SparkSession, settings: Config, folder: str, name: str, now_ms: int) -> list[str]:
+    """Batches of which every row is old. Rows of audits that are kept for another guild keep their batch."""
+    rows = spark.read.schema("guild_id string, t_ms long").option("recursiveFileLookup", "true").parquet(tables.make_folder(spark, f"{folder}/{name}"))
+    old = retention.in_scope(settings) & (F.col("t_ms") < retention.audit_cutoff(now_ms, settings.audit_retention_days))
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*/batch=\d+)/", 1)
+    batches = rows.select(batch.alias("_batch"), F.coalesce(old, F.lit(False)).alias("_old")).groupBy("_batch").agg(F.min("_old").alias("_old"))
+    return [r[0] for r in batches.where("_old").select("_batch").collect()]
+
+
 def prune(spark: SparkSession, settings: Config, folder: str, now_ms: int | None = None) -> dict[str, int]:
     """Clears the tables of a Moderation's folder; rows that went, by table. Events and changes go by the audits as they were."""
     now_ms = _now(now_ms)
@@ -102,7 +114,10 @@ def prune(spark: SparkSession, settings: Config, folder: str, now_ms: int | None
             target = f"{folder}/_kept/{path[path.rindex('/' + name + '/') + 1 :]}"
             typed(rows.where("not _old"), ddl).write.mode("overwrite").parquet(target)
             staged.append((path, target, n == old))
+    passed = [path for name in _HANDED_ON for path in _passed(spark, settings, folder, name, now_ms)]
     # all reads are done: only now are batches replaced
+    for path in passed:
+        tables.delete(spark, path)
     for path, target, empty in staged:
         tables.delete(spark, path)
         if empty:

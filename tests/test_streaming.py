@@ -226,6 +226,40 @@ def test_reviews_of_a_stream(spark, tmp_path):
     assert state == last
 
 
+def test_clear_markers_reach_the_decisions_of_a_stream(spark, tmp_path):
+    from guildward.config import Config
+    from guildward.plans import decisions
+    from guildward.streaming.moderation import CLEARS, Moderation
+
+    rng, t, rows, marks = random.Random(6), 1_704_067_200_000, [], []
+    for i in range(60):
+        t += rng.choice([0, 500, 30_000])
+        rows.append((f"{i:03d}", "g", rng.choice("uv"), "spam" if rng.random() < 0.8 else "fine", t))
+        if rng.random() < 0.15:
+            marks.append(("g", rng.choice("uv"), t))
+    schema = "message_id string, guild_id string, user_id string, content string, t_ms long"
+    messages, clears = spark.createDataFrame(rows, schema), spark.createDataFrame(marks, CLEARS)
+    messages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    clears.coalesce(1).write.parquet(str(tmp_path / "clears"))
+    rules, access = spark.createDataFrame([(1, "g", "redline", "spam", True)], RULES), spark.createDataFrame([], ACCESS)
+    settings = Config(behavior_detection_enabled=False)
+    made = Moderation(settings, lambda s: rules, lambda s: access, str(tmp_path / "out"))
+    made.start(
+        spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), clears=spark.readStream.schema(CLEARS).parquet(str(tmp_path / "clears")), availableNow=True
+    )
+    want = decisions.decide(messages, rules, access, settings, clears=clears).decisions.select("message_id", "offense_count", "final_action").collect()
+    got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / "decisions"))
+    assert sorted(got.select("message_id", "offense_count", "final_action").collect()) == sorted(want)
+    assert len(marks) > 4 and sum(r.offense_count == 1 for r in want) > 4  # counts began anew
+    # a user whose last row is a marker has no offenses any more
+    last = {}
+    for r in rows:
+        if r[3] == "spam":
+            last[r[2]] = r[4]
+    cleared = {u for _, u, at in marks if at >= last.get(u, 0)}
+    assert {r.user_id for r in made.offenses(spark).collect()} == set(last) - cleared
+
+
 def audit_rows(audits, shown):
     return audits.select(*shown).collect()
 
@@ -307,11 +341,14 @@ def test_retention_of_a_running_folder(spark, tmp_path):
     made = stored_tables(spark, folder, [10, 20, 60, 80, 95, 99])
     stamp = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
     before, audits = stamp(), made.audits(spark).count()
+    decided = lambda: sorted(r.t_ms // day for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/decisions").select("t_ms").distinct().collect())
+    assert decided() == [10, 20, 60, 80, 95, 99]
     gone = retention_job.prune(spark, Config(audit_retention_days=30, offense_window_hours=24), folder, now)
     times = lambda df, c: sorted(int(r[0].timestamp() * 1000) // day for r in df.select(c).collect())
     assert audits == 6 and gone["audits"] == 3 and gone["changes"] == 3 and gone["offenses"] == 10
     assert times(made.audits(spark), "created_at") == [80, 95, 99] and set(times(made.events(spark), "created_at")) == {80, 95, 99}
     assert [r.updated_ms // day for r in made.offenses(spark).collect()] == [99]
+    assert decided() == [60, 80, 95, 99]  # a batch with a row that is kept stays as it is
     after = stamp()
     young = {p for p in before if any(f"{t}/decisions/batch={n}/" in str(p) for t in ("audits", "events", "changes") for n in (2, 102))}
     assert young and all(after.get(p) == before[p] for p in young)
