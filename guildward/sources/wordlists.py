@@ -102,7 +102,10 @@ def lexicon_stats(files: DataFrame, excluded: tuple[str, ...] = EXCLUDED_FILES)
 
 
 def progress(total: int) -> list[tuple[int, int, str]]:
-    """(rows done, percent, message) of each report of an import of total rows: batches of 100, a report about every tenth."""
+    """(rows done, percent, message) of each report of an import of total rows: batches of 100, a report about every tenth.
+
+    The text of a report is a fixed value.
+    """
     step, last, out = max(100, math.ceil(total / 10 / 100) * 100), 0, []
     for done in [*range(100, total, 100), *([total] if total else [])]:
         if done == total or done - last >= step:
@@ -112,7 +115,7 @@ def progress(total: int) -> list[tuple[int, int, str]]:
 
 
 def summary(counts: DataFrame, scope: str) -> DataFrame:
-    """(message): what an import with these counters (and created_count, known_count, failed_count) reports."""
+    """(message): what an import with these counters (and created_count, known_count, failed_count) reports; its texts are fixed values."""
     n = lambda c: F.col(c).cast("string")
     failed = F.when(F.col("failed_count") > 0, F.concat(F.lit("，失败 "), n("failed_count"), F.lit(" 条"))).otherwise("")
     duplicates = (F.col("duplicate_count") + F.col("known_count")).cast("string")

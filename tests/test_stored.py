@@ -219,3 +219,16 @@ def test_signals_without_keys_still_work(spark):
     rows = [(1, "g", "u", 1, 0, "a", "x", "r", "e", "p", "delete", False, 0, True, True, None), (2, "g", "u", 1, 0, "a", "x", "r", "e", "p", "delete", False, 0, True, True, None)]
     kinds = "message_id long, guild_id string, user_id string, t_ms long, seq int, code string, source string, public_reason string, evidence string, pattern string, action string, needs_ai boolean, rule_id long, counts_as_offense boolean, write_audit boolean, content_label string"
     assert sig.top(spark.createDataFrame(rows, kinds)).count() == 2
+
+
+def test_a_lexicon_is_written_with_its_counters(spark, tmp_path):
+    import json
+
+    from guildward.sources import wordlists
+
+    files = spark.createDataFrame([("a.txt", "one two\n# note\nthree\nThree.\nx"), ("b.txt", "four")], "file string, text string")
+    wordlists.write_lexicon(files, str(tmp_path / "words"), str(tmp_path / "stats"))
+    (told,) = [json.loads(p.read_text()) for p in (tmp_path / "stats").glob("part-*.json")]
+    words = "".join(p.read_text() for p in (tmp_path / "words").glob("part-*.txt")).split("\n")[:-1]
+    assert told == wordlists.lexicon_stats(files).first().asDict() and told["output_words"] == len(words) == 3
+    assert told["output_bytes"] == sum(len(w.encode()) + 1 for w in words)
