@@ -759,11 +759,11 @@ def known_rule_counts(spark, d):
     return _placed(Console(Config(guild_ids=guilds)).groups(_known_rules(spark, d)))
 
 
-@query(f"WITH {_KNOWN} SELECT id, scope, pattern, enabled, place FROM (SELECT *, row_number() OVER (ORDER BY id) AS place FROM known WHERE guild_id = 'view' AND scope = 'redline') WHERE place BETWEEN 6 AND 10")
+@query(f"WITH {_KNOWN} SELECT id, scope, pattern, enabled, place FROM (SELECT *, row_number() OVER (ORDER BY id) AS place FROM known WHERE guild_id = 'view' AND scope = 'redline') WHERE place BETWEEN 3 AND 4")
 def known_rule_page(spark, d):
     """The second page of a guild's rules of one scope, with each row's place in the list."""
-    listed = Console(Config()).rules(_known_rules(spark, d), "view", scope="redline", page=2, size=5)
-    return _placed(listed.rows, 5).select("id", "scope", "pattern", "enabled", "place")
+    listed = Console(Config()).rules(_known_rules(spark, d), "view", scope="redline", page=2, size=2)
+    return _placed(listed.rows, 2).select("id", "scope", "pattern", "enabled", "place")
 
 
 def _placed(page: DataFrame, before: int = 0) -> DataFrame:
