@@ -1,13 +1,9 @@
-"""Text as column expressions. All are built-in functions but for NFKC, which Spark lacks."""
+"""Text as column expressions, all of them built-in functions."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from guildward import config, schemas
 
@@ -21,14 +17,10 @@ def trim(x: Column) -> Column:
     return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
-
-
 def nfkc(x: Column) -> Column:
-    """NFKC; ASCII, which is its own normal form, never reaches Python."""
-    return F.coalesce(_nfkc(F.when(~x.rlike(r"^\p{ASCII}*$"), x)), x)
+    """NFKC by the Unicode library that comes with Spark; ASCII is its own normal form."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    return F.when(x.rlike(r"^\p{ASCII}*$"), x).when(x.isNotNull(), composed)
 
 
 def normalize(x: Column, word_joiner: bool = True) -> Column:

@@ -242,6 +242,17 @@ def normalize_text(spark, d):
     return _read(spark, d, "documents").select("doc_id", kw.alias("s")).select("doc_id", F.md5("s").alias("digest"), F.char_length("s").alias("n_chars"))
 
 
+@query(
+    f"""WITH {norm_cte("(SELECT doc_id, '1(株)fiパkg ' || text AS text FROM documents)", "doc_id", "text", "kw")}
+    SELECT doc_id, md5(s) AS digest, length(s) AS n_chars FROM kw"""
+)
+def compatible_text(spark, d):
+    """Full-width letters and digits, ligatures, half-width kana and square units have the normal form of the plain ones."""
+    wide = F.translate("text", "aeiouAEIOU0123456789", "ａｅｉｏｕＡＥＩＯＵ０１２３４５６７８９")
+    kw = text.normalize(F.concat(F.lit("①㈱ﬁﾊﾟ㎏\u3000"), wide))
+    return _read(spark, d, "documents").select("doc_id", kw.alias("s")).select("doc_id", F.md5("s").alias("digest"), F.char_length("s").alias("n_chars"))
+
+
 @query(f"SELECT page_id, md5({plain_sql('html')}) AS digest FROM pages")
 def plain_text(spark, d):
     return _read(spark, d, "pages").select("page_id", F.md5(text.plain_text(F.col("html"))).alias("digest"))

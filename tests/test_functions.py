@@ -1,4 +1,5 @@
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ def test_normalize(spark):
     assert column(spark, ["a⁠b"], lambda x: text.normalize(x, False)) == ["a⁠b"]
 
 
+def test_nfkc_of_all_characters(spark):
+    """Alone, and between marks whose order and composition depend on the neighbours; no Python worker takes part."""
+    known = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    df = spark.createDataFrame([(c,) for c in known] + [(f"a{c}\u0327\u0301e{c}",) for c in known] + [(None,), ("",)], "x string").select(
+        "x", text.nfkc(F.col("x")).alias("y")
+    )
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    got = df.collect()
+    assert len(got) == 2 * len(known) + 2
+    assert [r for r in got if r.y != (None if r.x is None else unicodedata.normalize("NFKC", r.x))] == []
+
+
 def test_plain_text(spark):
     given = ["<p>a</p><p>b &amp; c</p>", '<img src="x"/>', "1 < 2", "", "plain"]
     assert column(spark, given, text.plain_text) == ["a b & c", '<img src="x"/>', "1 < 2", "", "plain"]
