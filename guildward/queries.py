@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from guildward import schemas
 from guildward.config import Config, Policy, ladder
 from guildward.functions import review_json, text
-from guildward.operators import audit, classifier, flood, gates, identity, keywords, offenses, retention, review_queue
+from guildward.operators import audit, classifier, flood, flood_split, gates, identity, keywords, offenses, retention, review_queue
 from guildward.operators import rules as rule_ops
 from guildward.operators import signals as sig
 from guildward.plans import console, decisions
@@ -348,6 +348,17 @@ def gcra_user_summary(spark, d):
     )
 
 
+@query(
+    f"""WITH RECURSIVE {MSG}, {gcra_cte('msg', 'guild_id', Config(governance_preset='balanced').policy())}
+    SELECT guild_id, message_id, exceeded, triggered, retry_after_ms, debt_ms, tat AS expected_ms FROM gcra"""
+)
+def gcra_hot_keys(spark, d):
+    """One limiter for each guild: few keys with very long histories, each cut into chunks."""
+    policy = Config(governance_preset="balanced").policy()
+    out = flood_split.limit(messages(spark, d), policy, ["guild_id"], ["t_ms", "message_id"], hot_rows=150, chunk_rows=5000)
+    return out.select("guild_id", "message_id", "exceeded", "triggered", "retry_after_ms", "debt_ms", "expected_ms")
+
+
 @query(f"{_gcra('strict')} SELECT message_id, user_id, triggered, retry_after_ms, debt_ms FROM gcra WHERE exceeded")
 def gcra_exceeded_rows(spark, d):
     return _limited(spark, d, "strict").where("exceeded").select("message_id", "user_id", "triggered", "retry_after_ms", "debt_ms")
