@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from guildward import config
 from guildward.config import Config
 from guildward.functions import text
-from guildward.operators import audit, flood, gates, identity, keywords, offenses
+from guildward.operators import audit, flood_split, gates, identity, keywords, offenses
 from guildward.operators import signals as sig
 
 
@@ -64,7 +64,7 @@ def detect(
         user = F.coalesce(F.when(F.col("user_id") != "", F.col("user_id")), F.lit("unknown"))
         told = identity.carried(messages)
         keyed = messages.select(*sig.KEY, *told).withColumn("_user", user)
-        out = out.unionByName(sig.flood_signals(flood.limit(keyed, policy, ["guild_id", "_user"], ["t_ms", "message_id", *told]), policy))
+        out = out.unionByName(sig.flood_signals(flood_split.limit(keyed, policy, ["guild_id", "_user"], ["t_ms", "message_id", *told]), policy))
     if settings.content_detection_enabled:
         out = out.unionByName(sig.keyword_signals(keyword_hits(messages, rules, contents)))
     return out
