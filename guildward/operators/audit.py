@@ -97,10 +97,19 @@ def review_requests(
 
 def asked(candidates: DataFrame, model: str = "", prompt: str = review_json.PROMPT) -> DataFrame:
     """A row per message with candidate signals: review_key, and the request as JSON."""
+    return worded(grouped(candidates), model, prompt)
+
+
+def grouped(candidates: DataFrame) -> DataFrame:
+    """``asked`` without the request, which ``worded`` adds. Candidates may lack the texts till then, so these need not be dealt with the rows."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "pattern", "evidence")))
     texts = [F.first(c).alias(c) for c in ("content", "stored", "short", "channel_id") if c in candidates.columns]
     df = candidates.groupBy("message_id", "guild_id", "user_id", "t_ms", *carried(candidates)).agg(ordered.alias("_s"), *texts)
-    df = df.withColumn("review_key", told_by())
+    return df.withColumn("review_key", told_by())
+
+
+def worded(df: DataFrame, model: str = "", prompt: str = review_json.PROMPT) -> DataFrame:
+    """Rows that ``grouped`` made, with the content of their messages: the request as JSON."""
     patterns = F.filter(F.transform("_s", lambda s: s["pattern"]), lambda p: p != "")
     body = review_json.request(F.lit(model), F.col("content"), patterns, F.transform("_s", lambda s: s["evidence"]), prompt)
     return df.withColumn("request", body).drop("_s")
@@ -109,7 +118,7 @@ def asked(candidates: DataFrame, model: str = "", prompt: str = review_json.PROM
 def queued(
     df: DataFrame, enabled: bool, capacity: int | None = None, answers: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df
 ) -> DataFrame:
-    """Rows that ``asked`` made, with status and evidence. Column duplicate, if it is there, tells what is known to be one; it goes.
+    """Rows that ``asked`` or ``grouped`` made, with status and evidence. Column duplicate, if it is there, tells what is known to be one; it goes.
 
     settle writes a table and reads it back, as the queue is swept several times.
     """

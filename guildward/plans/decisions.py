@@ -37,16 +37,31 @@ def keyword_hits(messages: DataFrame, rules: DataFrame, contents: DataFrame | No
     return messages.select(*sig.KEY, *identity.carried(messages), "content_id").join(hits, ["content_id", "guild_id"])
 
 
-def texts_of(messages: DataFrame, contents: DataFrame | None) -> DataFrame:
-    """(message_key, content, stored, short): the text, as an audit keeps it and as a notice shows it, and channel_id if messages have one.
+def told(df: DataFrame, messages: DataFrame, contents: DataFrame | None) -> DataFrame:
+    """df with the texts of its messages: content, stored (as an audit keeps it), short (as a notice shows it), and channel_id if messages have one.
 
-    The last two are made per content, before the join, and only where they are used.
+    With contents a row names its text by content_id up to the last join, so a
+    text is dealt out once, not with every message. The cuts are made before the
+    join, and only where they are used.
     """
-    own = [identity.row_key(messages), *(["channel_id"] if "channel_id" in messages.columns else [])]
-    given = messages.select(*own, "content") if contents is None else contents.select("content_id", "content")
-    cut = F.left(F.coalesce("content", F.lit("")), F.lit(config.CONTENT_LIMIT))
-    given = given.withColumns({"stored": cut, "short": text.shortened(F.coalesce("content", F.lit("")))})
-    return given if contents is None else messages.select(*own, "content_id").join(given, "content_id").drop("content_id")
+    key = identity.row_key(messages)
+    own = messages.select(key, *(["channel_id"] if "channel_id" in messages.columns else []), "content" if contents is None else "content_id")
+    if contents is None:
+        return df.join(cut(own), key, "left")
+    return df.join(own, key, "left").join(cut(contents.select("content_id", "content")), "content_id", "left").drop("content_id")
+
+
+def cut(texts: DataFrame) -> DataFrame:
+    """texts with their cuts, stored and short."""
+    content = F.coalesce("content", F.lit(""))
+    return texts.withColumns({"stored": F.left(content, F.lit(config.CONTENT_LIMIT)), "short": text.shortened(content)})
+
+
+def once(contents: DataFrame | None) -> DataFrame | None:
+    """contents with every content_id once; of texts that share an id the greatest stays."""
+    if contents is None or contents.groupBy("content_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return contents
+    return contents.groupBy("content_id").agg(F.max("content").alias("content"))
 
 
 def detect(
@@ -76,7 +91,7 @@ class Gathered:
 
     signals: all; events: their rows to append; deterministic: signals that need no
     review; passed: the classifier's silent ones, if it was asked; asked: reviews to
-    make, not yet queued; texts: ``texts_of`` the messages.
+    make, not yet queued or worded; messages: those that passed the gates.
     """
 
     signals: DataFrame
@@ -84,7 +99,16 @@ class Gathered:
     deterministic: DataFrame
     passed: DataFrame | None
     asked: DataFrame
-    texts: DataFrame
+    messages: DataFrame
+    contents: DataFrame | None
+    model: str
+
+    def told(self, df: DataFrame) -> DataFrame:
+        return told(df, self.messages, self.contents)
+
+    def worded(self, df: DataFrame) -> DataFrame:
+        """asked, or what the queue made of it, with texts and requests; a message asks once, even if its text is there twice."""
+        return audit.worded(told(df, self.messages, once(self.contents)), self.model)
 
 
 def reviews(settings: Config) -> bool:
@@ -97,11 +121,12 @@ def gather(
     settle: Callable[[DataFrame], DataFrame] = lambda df: df, limited: DataFrame | None = None,
 ) -> Gathered:
     """Gates, signals, the classifier's routes and the reviews to ask for."""
-    messages = identity.with_key(gates.drop_whitelisted(gates.gate(messages, settings, contents), access))
+    keyed = identity.with_key(gates.drop_whitelisted(gates.gate(messages, settings, contents), access))
+    # numbering the rows is a shuffle, which every use of them would repeat; messages with texts of their own are not written again
+    messages = keyed if contents is None else settle(keyed)
     key = identity.ROW_KEY
     found = settle(detect(messages, rules, access, settings, contents, limited))
     events = audit.hit_events(found)
-    with_text = texts_of(messages, contents)
     deterministic, candidates = found.where("not needs_ai"), found.where("needs_ai")
     passed = None
     if scores is not None:
@@ -117,8 +142,8 @@ def gather(
         told = told.withColumn("evidence", F.concat(F.col("evidence"), F.lit("；"), sig.model_evidence())).select(*candidates.columns)
         unscored = candidates.join(routed.select(key), key, "left_anti")
         candidates = told.join(reviewed, key, "left_semi").unionByName(unscored).unionByName(own)
-    candidates = candidates.join(sig.immediate(found), key, "left_anti").join(with_text, key)
-    return Gathered(found, events, deterministic, passed, audit.asked(candidates, settings.model), with_text)
+    candidates = candidates.join(sig.immediate(found), key, "left_anti")
+    return Gathered(found, events, deterministic, passed, audit.grouped(candidates), messages, contents, settings.model)
 
 
 def selected(signals: DataFrame) -> DataFrame:
@@ -145,16 +170,17 @@ def decide(
     what the review queue holds: with answers a request leaves it at its answer,
     without them the first in time fill it.
     """
-    policy, key = settings.policy(), identity.ROW_KEY
+    policy = settings.policy()
     known = gather(messages, rules, access, settings, scores, contents, settle, limited)
     requests = audit.queued(known.asked, reviews(settings), capacity, answers, settle)
     chosen = sig.top(known.deterministic)
     if answers is not None:
         requests = requests.where("status <> 'pending'").unionByName(audit.reviewed(requests, answers), allowMissingColumns=True)
         chosen = chosen.unionByName(audit.confirmed_signals(requests))
+    requests = known.worded(requests)
     chosen = chosen.withColumn("category", offenses.category(F.col("source")))
     counted = offenses.count(chosen, policy.window_ms, clears, only="counts_as_offense", carry=carry).drop("category", "first_ms")
-    decisions = offenses.decide(counted, policy).join(known.texts, key, "left")
+    decisions = known.told(offenses.decide(counted, policy))
     audits = audit.audits(decisions, F.lit("confirmed"))
     if known.passed is not None:
         audits = audits.unionByName(passed_audits(known))
@@ -165,8 +191,8 @@ def decide(
 
 def passed_audits(known: Gathered) -> DataFrame:
     """Audits of what the classifier let pass."""
-    silent = known.passed.withColumn("final_action", F.lit("silent")).withColumn("offense_count", F.lit(0)).join(known.texts, identity.ROW_KEY, "left")
-    return audit.audits(silent, F.lit("dismissed"))
+    silent = known.passed.withColumn("final_action", F.lit("silent")).withColumn("offense_count", F.lit(0))
+    return audit.audits(known.told(silent), F.lit("dismissed"))
 
 
 def assigned(messages: DataFrame, configs: Sequence[Config]) -> DataFrame:

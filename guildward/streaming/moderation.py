@@ -132,9 +132,9 @@ class Moderation:
             names = [c for c in held.columns if c not in _LIMITER]
             spark = limited.sparkSession
             known = decisions.gather(held.select(*names), self.rules(spark), self.access(spark), self.settings, limited=held, settle=work.table, **self.more)
-            chosen = decisions.selected(known.deterministic).join(known.texts, identity.ROW_KEY, "left")
+            chosen = known.told(decisions.selected(known.deterministic))
             self._write(typed(chosen, CHOSEN), "chosen", number)
-            self._write(typed(known.asked, ASKED), "asked", number)
+            self._write(typed(known.worded(known.asked), ASKED), "asked", number)
             events = known.events
             if known.passed is not None:
                 passed = work.table(decisions.passed_audits(known))
