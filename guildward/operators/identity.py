@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guildward.operators.gates import BROADCAST_ROWS
+from guildward.tables import unsettled
+
 #: Column that is unique per message row.
 ROW_KEY = "message_key"
+#: Column that names a message's text, where texts are a table of their own.
+TEXT_KEY = "content_id"
 
 
 def has_id() -> Column:
@@ -33,6 +40,36 @@ def with_key(messages: DataFrame) -> DataFrame:
     return df.withColumn(ROW_KEY, F.concat(F.col("_told"), F.lit("#"), F.row_number().over(w).cast("string"))).drop("_told")
 
 
+def keyed(messages: DataFrame, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``with_key``, numbering only rows that others may equal: those whose hash of what tells them apart is there more than once.
+
+    Hashes are counted first, so a count and a hash are dealt out, not the row. If
+    none comes twice, which is the rule, no row is dealt; beyond BROADCAST_ROWS of
+    them all rows are numbered. Rows that were dealt are settled, as every use
+    would deal them again; without settle this is ``with_key``.
+    """
+    if ROW_KEY in messages.columns or settle is unsettled:
+        return with_key(messages)
+    single, several = split(messages, told_by(), settle)
+    if single is None:
+        return settle(with_key(messages))
+    single = single.withColumn(ROW_KEY, F.concat(told_by(), F.lit("#1")))
+    return single if several is None else settle(single.unionByName(with_key(several)))
+
+
+def split(df: DataFrame, key: Column, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of df whose key is surely theirs alone, and others, each None if there are none; all are others if more than BROADCAST_ROWS hashes of keys repeat."""
+    hashed = F.xxhash64(key)
+    again = settle(df.groupBy(hashed.alias("_h")).agg(F.count("*").alias("_n")).where("_n > 1").select("_h"))
+    n = again.count()
+    if n > BROADCAST_ROWS:
+        return None, df
+    if not n:
+        return df, None
+    df, again = df.withColumn("_h", hashed), F.broadcast(again)
+    return df.join(again, "_h", "left_anti").drop("_h"), df.join(again, "_h", "left_semi").drop("_h")
+
+
 def row_key(df: DataFrame) -> str:
     """The column that tells df's messages apart: ROW_KEY, or the id in tables made without it."""
     return ROW_KEY if ROW_KEY in df.columns else "message_id"
@@ -46,6 +83,11 @@ def carried(df: DataFrame) -> list[str]:
     return [ROW_KEY] if ROW_KEY in df.columns else []
 
 
+def named(df: DataFrame) -> list[str]:
+    """``carried``, and the column that names the text of a row."""
+    return [*carried(df), *([TEXT_KEY] if TEXT_KEY in df.columns else [])]
+
+
 def trace_key(df: DataFrame) -> Column:
     """What a trace's id is made of, beside the guild: the id, or the key of messages that it doesn't tell apart."""
     message = F.col("message_id").cast("string")

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from guildward import config, schemas
 from guildward.config import Policy
 from guildward.functions import text
-from guildward.operators.identity import carried, common_key, row_key
+from guildward.operators.identity import carried, common_key, named, row_key
 
 COLUMNS = [
     "message_id", "guild_id", "user_id", "t_ms", "seq", "code", "source", "public_reason", "evidence", "pattern", "action",
     "needs_ai", "rule_id", "counts_as_offense", "write_audit", "content_label",
 ]
 KEY = ["message_id", "guild_id", "user_id", "t_ms"]
+#: What stands for a pattern where only the classifier found something.
+MODEL_PATTERN = "违规消息检测模型"
 
 
 def _signal(df: DataFrame, **values: Column | str | bool | int | None) -> DataFrame:
@@ -28,7 +30,7 @@ def _signal(df: DataFrame, **values: Column | str | bool | int | None) -> DataFr
     given.setdefault("pattern", given["evidence"])
     kinds = {"seq": "int", "rule_id": "long", "needs_ai": "boolean", "counts_as_offense": "boolean", "write_audit": "boolean"}
     column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return df.select(*KEY, *carried(df), *[column(given[c]).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS[len(KEY) :]])
+    return df.select(*KEY, *named(df), *[column(given[c]).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS[len(KEY) :]])
 
 
 def access_signals(flagged: DataFrame) -> DataFrame:
@@ -67,9 +69,14 @@ def keyword_signals(hits: DataFrame) -> DataFrame:
     )
 
 
+def at_once() -> Column:
+    """Signals that need neither classifier nor review."""
+    return F.col("code").isin("redline_keyword", "blacklist_user")
+
+
 def immediate(signals: DataFrame, key: str | None = None) -> DataFrame:
     """Messages with a signal that needs neither classifier nor review."""
-    return signals.where(F.col("code").isin("redline_keyword", "blacklist_user")).select(key or row_key(signals)).distinct()
+    return signals.where(at_once()).select(key or row_key(signals)).distinct()
 
 
 def model_evidence(tail: Column | None = None) -> Column:
@@ -88,9 +95,20 @@ def route_scores(messages: DataFrame, signals: DataFrame, scores: DataFrame) ->
     it, guild_id. The rule of the first keyword candidate and the patterns of all
     are carried along.
     """
-    key = common_key(messages, signals)
+    return routed(scored(messages, scores), signals)
+
+
+def scored(messages: DataFrame, scores: DataFrame) -> DataFrame:
+    """messages with their results: status, label, confidence, violation_probability; a row for each result."""
+    by = score_key(scores)
     known = scores.where(F.col("status").isin("action", "review", "pass"))
-    waiting = messages.join(immediate(signals, key), key, "left_anti").join(known, score_key(scores))
+    return messages.join(known.select(*by, "status", "label", "confidence", "violation_probability"), by)
+
+
+def routed(results: DataFrame, signals: DataFrame) -> DataFrame:
+    """``route_scores`` of messages that have their results."""
+    key = common_key(results, signals)
+    waiting = results.join(immediate(signals, key), key, "left_anti")
     ordered = F.array_sort(F.collect_list(F.struct("seq", "pattern", "rule_id")))
     candidates = signals.where("needs_ai").groupBy(key).agg(ordered.alias("_c"))
     df = waiting.join(candidates, key, "left")
@@ -101,7 +119,7 @@ def route_scores(messages: DataFrame, signals: DataFrame, scores: DataFrame) ->
     signal = _signal(
         df.withColumn("seq", F.lit(99)), seq=99, code="spam_model", source="content",
         public_reason=F.when(status == "pass", "本地违规消息检测模型判定放行").when(status == "review", "消息疑似违规，等待复核").otherwise("消息疑似违规"),
-        evidence=model_evidence(tail), pattern=F.when(F.col("_p") != "", F.col("_p")).otherwise("违规消息检测模型"),
+        evidence=model_evidence(tail), pattern=F.when(F.col("_p") != "", F.col("_p")).otherwise(MODEL_PATTERN),
         action=F.when(status == "action", "delete").otherwise("silent"), needs_ai=status == "review", rule_id=F.col("_r"),
         counts_as_offense=status == "action", content_label=F.when(F.col("label") != schemas.LABELS[0], F.col("label")),
     )

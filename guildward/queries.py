@@ -497,7 +497,7 @@ def model_routing(spark, d):
       AND (r.status = 'review' OR (r.status IS NULL AND g.message_id IN (SELECT message_id FROM cand)))"""
 )
 def review_candidates(spark, d):
-    return outcome(spark, d, scores=message_scores(spark, d), settle=Work(spark).table).requests.select("message_id")
+    return outcome(spark, d, scores=message_scores(spark, d), settle=Work(spark).settled).requests.select("message_id")
 
 
 @query(
@@ -511,7 +511,7 @@ def scored_reviews(spark, d):
     """Classifier and reviews at once: what the classifier sends to review, and candidates that it has no result for."""
     settings = replace(CONFIG, ai_review_enabled=True, api_key="k", model="m")
     m, texts = messages(spark, d), contents(spark, d)
-    got = decisions.decide(m, rules_table(spark), access_table(spark, d), settings, scores=message_scores(spark, d), contents=texts, settle=Work(spark).table)
+    got = decisions.decide(m, rules_table(spark), access_table(spark, d), settings, scores=message_scores(spark, d), contents=texts, settle=Work(spark).settled)
     asked = F.get_json_object("request", "$.messages[1].content")
     patterns = F.split(F.substring_index(F.substring_index(asked, "\nEvidence: ", 1), "Patterns: ", -1), ", |、")
     return got.requests.select("message_id", "status", F.size(patterns).cast("long").alias("n_patterns"), F.contains(asked, F.lit("总违规概率")).alias("scored"))

@@ -77,6 +77,11 @@ def write_once(df: DataFrame, folder: str, name: str, part: str) -> bool:
     return True
 
 
+def unsettled(df: DataFrame) -> DataFrame:
+    """What functions with a parameter settle take where no table is to be written."""
+    return df
+
+
 class Work:
     """The tables of one run."""
 
@@ -105,6 +110,16 @@ class Work:
         out._written_at = path
         return out
 
+    def settled(self, df: DataFrame) -> DataFrame:
+        """``table``; the shuffles that df was made by go once it is written, not when the driver happens to collect its garbage."""
+        conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(name)
+        conf.set(name, "true")
+        try:
+            return self.table(df)
+        finally:
+            conf.set(name, before)
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that no later plan reads."""
         self._delete(df._written_at)
